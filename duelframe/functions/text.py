@@ -16,8 +16,11 @@ def _c(x) -> Column:
 
 
 def tokens(text, pattern: str = WHITESPACE) -> Column:
-    """Split on a separator pattern and drop empty pieces (leading/trailing separators)."""
-    return F.filter(F.split(F.coalesce(_c(text), F.lit("")), pattern), lambda t: t != F.lit(""))
+    """Split on a separator pattern and drop empty pieces (leading/trailing separators).
+
+    ``array_remove`` keeps this inside generated code (no lambda evaluation per token).
+    """
+    return F.array_remove(F.split(F.coalesce(_c(text), F.lit("")), pattern), "")
 
 
 def truncate_prompt(toks, n: int, keep: str = "end") -> Column:

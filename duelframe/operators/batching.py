@@ -35,7 +35,11 @@ def with_row_index(df: DataFrame, order: Sequence, partition_by: Sequence[str] =
     checkpoint_dir(spark)
     keys = list(partition_by) + list(order)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *_cols(keys)).sortWithinPartitions(*_cols(keys)).checkpoint(eager=True)
+    cached = df.repartitionByRange(n, *_cols(keys)).sortWithinPartitions(*_cols(keys)).persist()
+    # persisted first so the reliable checkpoint writes the computed partitions instead of
+    # recomputing them; the checkpoint keeps partition boundaries and row order fixed
+    ranged = cached.checkpoint(eager=True)
+    cached.unpersist()
     tagged = (ranged.withColumn("_mid", F.monotonically_increasing_id())
               .withColumn("_pid", F.shiftright(F.col("_mid"), 33)))
     grp = list(partition_by)

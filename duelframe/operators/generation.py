@@ -3,7 +3,7 @@
 Greedy continuation under a bigram model is a walk on the word -> most-likely-next-word
 map.  The map is one grouped aggregate; the walk is a short loop of joins whose frontier
 has one row per distinct (model, start word), with lineage cut at every step by a
-reliable checkpoint in the shared checkpoint folder.
+small table written to the shared checkpoint folder.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duelframe.operators.scoring import BigramModel
-from duelframe.session import checkpoint_dir
+from duelframe.session import materialize
 
 
 def prompt_grid(prompts: DataFrame, model_ids: Sequence[str]) -> DataFrame:
@@ -27,14 +27,17 @@ def prompt_grid(prompts: DataFrame, model_ids: Sequence[str]) -> DataFrame:
 def next_word_table(model: BigramModel, model_ids: Sequence[str] | None = None) -> DataFrame:
     """Top-1 next word per (model, prev): highest count, ties to the smaller word.
 
-    A grouped min over (-count, word) keeps the argmax in a partial aggregate, so a very
-    frequent context word does not pile into one task the way a ranking window would.
+    One grouped aggregate over the bigram counts computes every model's argmax as its own
+    column (a min over (-count, word)); it stays a partial aggregate, so a very frequent
+    context word does not pile into one task the way a ranking window would.
     """
-    ids = model_ids or model.model_ids
-    longf = F.inline(F.array(*[F.struct(F.lit(m).alias("model_id"), F.col(f"c_{m}").alias("c")) for m in ids]))
-    bg = model.bigrams.select("prev", "w", longf).where(F.col("c") > 0)
-    best = bg.groupBy("model_id", "prev").agg(F.min(F.struct((-F.col("c")).alias("nc"), F.col("w"))).alias("b"))
-    return best.select("model_id", "prev", F.col("b.w").alias("next_word"))
+    ids = list(model_ids or model.model_ids)
+    best = model.bigrams.groupBy("prev").agg(*[
+        F.min(F.when(F.col(f"c_{m}") > 0, F.struct((-F.col(f"c_{m}")).alias("nc"), F.col("w")))).alias(f"b_{m}")
+        for m in ids])
+    longf = F.inline(F.array(*[F.struct(F.lit(m).alias("model_id"), F.col(f"b_{m}.w").alias("next_word"))
+                               for m in ids]))
+    return best.select("prev", longf).where(F.col("next_word").isNotNull()).select("model_id", "prev", "next_word")
 
 
 def greedy_extend(seeds: DataFrame, next_table: DataFrame, max_new: int) -> DataFrame:
@@ -43,17 +46,17 @@ def greedy_extend(seeds: DataFrame, next_table: DataFrame, max_new: int) -> Data
     seeds: (prompt_id, model_id, word).  Output: prompt_id, model_id, step, word with step 0
     the seed; a walk stops early at a word that never precedes another word.
     """
-    spark = seeds.sparkSession
-    checkpoint_dir(spark)
     starts = seeds.select("model_id", F.col("word").alias("start")).distinct()
-    frontier = starts.select("model_id", "start", F.lit(0).alias("step"), F.col("start").alias("word"))
-    frontier = frontier.checkpoint(eager=True)
+    frontier = materialize(
+        starts.select("model_id", "start", F.lit(0).alias("step"), F.col("start").alias("word")), "greedy-step")
     walked = [frontier]
-    nxt = next_table.select("model_id", F.col("prev").alias("word"), "next_word")
+    # the next-word map is built once and read by every step
+    nxt = materialize(next_table.select("model_id", F.col("prev").alias("word"), "next_word"), "greedy-next")
     for step in range(1, int(max_new) + 1):
-        frontier = (frontier.join(nxt, on=["model_id", "word"], how="inner")
-                    .select("model_id", "start", F.lit(step).alias("step"), F.col("next_word").alias("word"))
-                    .checkpoint(eager=True))
+        frontier = materialize(
+            frontier.join(nxt, on=["model_id", "word"], how="inner")
+            .select("model_id", "start", F.lit(step).alias("step"), F.col("next_word").alias("word")),
+            "greedy-step")
         walked.append(frontier)
     paths = walked[0]
     for f in walked[1:]:

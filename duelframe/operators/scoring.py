@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duelframe.functions.text import tokens
+from duelframe.session import materialize
 
 # Fixed value of the built-in scorer (FIXTURES.md F5): interpolation weight.
 DEFAULT_ALPHA = 100.0
@@ -65,30 +66,40 @@ class BigramModel:
                    spark.read.parquet(f"{path}/totals"), alpha)
 
 
-def bigram_rows(token_col: Column) -> Column:
-    """Consecutive (prev, w) pairs of a token array as an array of structs (empty below 2 tokens)."""
-    n = F.size(token_col) - F.lit(1)
-    return F.when(F.size(token_col) >= 2, F.zip_with(
-        F.slice(token_col, F.lit(1), n), F.slice(token_col, F.lit(2), n),
-        lambda a, b: F.struct(a.alias("prev"), b.alias("w")))).otherwise(
-        F.array().cast("array<struct<prev:string,w:string>>"))
+def predecessor_rows(token_col: Column) -> Column:
+    """Every token with its predecessor (NULL for a text's first token) as an array of structs.
+
+    Built with ``arrays_zip`` (generated code, no per-element lambda).
+    """
+    t = token_col
+    prev = F.concat(F.array(F.lit(None).cast("string")), F.slice(t, F.lit(1), F.greatest(F.size(t) - 1, F.lit(0))))
+    return F.arrays_zip(prev, t).cast("array<struct<prev:string,w:string>>")
 
 
 def fit_bigram(docs: DataFrame, models: Mapping[str, Column], text_col: str = "text",
-               alpha: float = DEFAULT_ALPHA) -> BigramModel:
+               alpha: float = DEFAULT_ALPHA, write_counts: bool = True) -> BigramModel:
     """L5 fit: count unigrams and bigrams of whole documents for every model at once.
 
     ``models`` maps a model id to a boolean Column saying whether a document belongs to
-    that model's corpus.  Counting is a plain grouped sum, so partial aggregation runs
-    before the shuffle and frequent words (a Zipf head) collapse map-side.
+    that model's corpus (spread a single-split input first, see ``sources.tables.spread``).
+    One grouped sum over (prev, w) rows -- with a NULL prev for
+    each document's first token -- yields everything: bigram counts are its non-NULL
+    rows, unigram counts its sums by w, context counts the bigram sums by prev.  The
+    token rows are shuffled once; partial aggregation runs before that shuffle, so the
+    frequent head of the word distribution collapses map-side.
     """
     ids = tuple(_safe(m) for m in models)
     flags = [F.coalesce(cond, F.lit(False)).cast("long").alias(f"f_{m}") for m, cond in models.items()]
+    fcols = [f"f_{m}" for m in ids]
     toks = docs.select(*flags, tokens(F.col(text_col)).alias("_t"))
-    uni = (toks.select(*[f"f_{m}" for m in ids], F.explode("_t").alias("w"))
-           .groupBy("w").agg(*[F.sum(f"f_{m}").alias(f"c_{m}") for m in ids]))
-    bi = (toks.select(*[f"f_{m}" for m in ids], F.inline(bigram_rows(F.col("_t"))))
-          .groupBy("prev", "w").agg(*[F.sum(f"f_{m}").alias(f"c_{m}") for m in ids]))
+    allp = (toks.select(*fcols, F.inline(predecessor_rows(F.col("_t"))))
+            .groupBy("prev", "w").agg(*[F.sum(f"f_{m}").alias(f"c_{m}") for m in ids]))
+    if write_counts:
+        # The fitted counts feed four tables; write them once to the shared checkpoint
+        # folder so the document corpus is tokenised and shuffled exactly once.
+        allp = materialize(allp, "bigram-counts")
+    bi = allp.where(F.col("prev").isNotNull())
+    uni = allp.groupBy("w").agg(*[F.sum(f"c_{m}").alias(f"c_{m}") for m in ids])
     ctx = bi.groupBy("prev").agg(*[F.sum(f"c_{m}").alias(f"c_{m}") for m in ids])
     totals = uni.agg(*[F.sum(f"c_{m}").alias(f"n_{m}") for m in ids], F.count(F.lit(1)).alias("vocab"))
     return BigramModel(ids, bi, uni, ctx, totals, alpha)

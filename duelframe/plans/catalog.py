@@ -25,7 +25,7 @@ from duelframe.operators import scoring as SC
 from duelframe.operators import sides as S
 from duelframe.operators import training as TR
 from duelframe.sources import fixtures as fx
-from duelframe.sources.tables import read_table
+from duelframe.sources.tables import read_table, spread
 
 CFG = PrefConfig()
 
@@ -78,9 +78,21 @@ def _sides(spark, d, cfg=CFG):
     return S.sides(_extracted(spark, d), cfg)
 
 
+_FITTED: dict = {}
+
+
 def _model(spark, d, ids=("ref", "policy")):
-    docs = read_table(spark, d, "documents").join(read_table(spark, d, "labels"), on="doc_id", how="left")
-    return SC.fit_bigram(docs, {m: MODEL_FILTERS[m]() for m in ids})
+    """Fit (or reuse) the corpus's bigram models: all models are fitted together in one pass
+    over the documents, once per session, and every scoring query reads the fitted counts."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _FITTED:
+        docs = spread(read_table(spark, d, "documents")).join(read_table(spark, d, "labels"), on="doc_id",
+                                                             how="left")
+        _FITTED[key] = SC.fit_bigram(docs, {m: f() for m, f in MODEL_FILTERS.items()})
+    missing = set(ids) - set(_FITTED[key].model_ids)
+    if missing:
+        raise ValueError(f"unknown model ids {sorted(missing)}")
+    return _FITTED[key]
 
 
 def _seq(spark, d, ids=("ref", "policy"), side_rows=None):
@@ -219,15 +231,16 @@ def q_mean_logits(spark, d):
 
 
 def q_bigram_fit(spark, d):
-    m = _model(spark, d)
-    longf = F.inline(F.array(*[F.struct(F.lit(i).alias("model_id"), F.col(f"c_{i}").alias("c")) for i in m.model_ids]))
+    ids = ("ref", "policy")
+    m = _model(spark, d, ids)
+    longf = F.inline(F.array(*[F.struct(F.lit(i).alias("model_id"), F.col(f"c_{i}").alias("c")) for i in ids]))
     return m.bigrams.select("prev", "w", longf).where(F.col("c") > 0).select(
         "model_id", "prev", "w", F.col("c").cast("bigint").alias("c"))
 
 
 def q_sequence_logps(spark, d):
     m = _model(spark, d)
-    return SC.sequence_logps(_sides(spark, d), m).select(
+    return SC.sequence_logps(_sides(spark, d), m, ("ref", "policy")).select(
         "pair_id", "side", "model_id", F.col("n_tokens").cast("bigint").alias("n_tokens"), "sum_logp", "mean_logp")
 
 
@@ -321,7 +334,7 @@ def _turn0_seeds(spark, d):
 def q_greedy_extend(spark, d):
     m = _model(spark, d, ("ref",))
     seeds = G.prompt_grid(_turn0_seeds(spark, d), ["ref"])
-    walk = G.greedy_extend(seeds, G.next_word_table(m), GREEDY_STEPS)
+    walk = G.greedy_extend(seeds, G.next_word_table(m, ["ref"]), GREEDY_STEPS)
     return walk.select(F.col("prompt_id").alias("conv_id"), F.col("step").cast("bigint").alias("step"), "word")
 
 
@@ -330,7 +343,7 @@ def q_generation_report(spark, d):
     m = _model(spark, d, tuple(ids))
     prompts = _turn0_seeds(spark, d)
     seeds = G.prompt_grid(prompts, ids)
-    walk = G.greedy_extend(seeds, G.next_word_table(m), GREEDY_STEPS)
+    walk = G.greedy_extend(seeds, G.next_word_table(m, ids), GREEDY_STEPS)
     cont = G.continuation_text(walk)
     full = seeds.join(cont, on=["prompt_id", "model_id"], how="left").withColumn(
         "generated", F.concat_ws(" ", F.col("prompt"), F.col("continuation")))

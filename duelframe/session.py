@@ -68,3 +68,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A unique path under the shared checkpoint folder for written intermediate tables."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, name: str):
+    """Write a DataFrame as parquet under the shared checkpoint folder and read it back.
+
+    Cuts lineage in one job (a reliable ``checkpoint()`` computes its input twice unless
+    cached) and gives later joins real size statistics and column pruning.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

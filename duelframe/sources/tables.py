@@ -23,6 +23,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition only when a scan yields fewer partitions than there are cores.
+
+    A single large row group is one scan task; heavy per-row work after it (tokenising
+    whole documents) would then run on one core.  Large inputs already arrive in many
+    splits and pass through untouched, so this never adds a shuffle at scale.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def load_pairs(spark: SparkSession, path: str, split: str | None = None, fmt: str = "parquet") -> DataFrame:
     """A named split of a pair dataset (parquet or json lines with chosen/rejected chat arrays).
 
