@@ -118,21 +118,30 @@ def feature_deltas(pairs: DataFrame) -> DataFrame:
     return pairs.select("pair_id", F.zip_with("phi_chosen", "phi_rejected", lambda a, b: a - b).alias("dphi"))
 
 
-def gradient(deltas: DataFrame, theta: DataFrame, beta: float = 0.1) -> DataFrame:
+def gradient(deltas: DataFrame, theta, beta: float = 0.1) -> DataFrame:
     """One full-batch gradient of the DPO loss of a linear reward beta * theta . phi.
 
-    ``theta`` is a one-row table (column ``theta``), broadcast to every task; the gradient
-    is one vector mean (JVM-side Summarizer), so a step is one job whatever the dimension.
+    ``theta`` is a one-row table with an array column ``theta`` (lazy, e.g. derived from
+    the data) or a list of floats.  A list becomes one array constant: the generated code
+    does not change between steps (the constant is passed by reference), and no
+    per-step broadcast job is needed.  The gradient is one vector mean (JVM Summarizer,
+    partial per partition then merged), so a step is one job whatever the dimension.
     Returns one row: n, loss, accuracy, grad (array<double>).
     """
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
     b = F.lit(float(beta))
-    s = dot(F.col("theta"), F.col("dphi"))
-    j = deltas.crossJoin(F.broadcast(theta))
+    if isinstance(theta, DataFrame):
+        j = deltas.crossJoin(F.broadcast(theta))   # one row
+        th = F.col("theta")
+    else:
+        j = deltas
+        th = F.array(*[F.lit(float(x)) for x in theta]).cast("array<double>")
+    scored = j.select("dphi", dot(th, F.col("dphi")).alias("s"))
+    s = F.col("s")
     coef = -b * sigmoid(-b * s)
-    rows = j.select(
+    rows = scored.select(
         (-log_sigmoid(b * s)).alias("loss"),
         (s > 0).cast("double").alias("acc"),
         array_to_vector(F.transform("dphi", lambda x: coef * x)).alias("g"))
@@ -144,19 +153,21 @@ def gradient(deltas: DataFrame, theta: DataFrame, beta: float = 0.1) -> DataFram
 def fit_linear_dpo(pairs: DataFrame, beta: float = 0.1, steps: int = 60, lr: float = 50.0) -> DataFrame:
     """Plain full-batch gradient descent on the linear preference model.
 
-    The deltas are persisted once; each step is one aggregation job that returns one
-    row (the mean gradient, O(dimension)) and theta is updated on the driver.  Returns the
-    step log: step, loss, accuracy, grad_norm_sq, with step 0 at theta = 0 and step s after
-    s updates.
+    The deltas are cached once, one partition per core (fewer for tiny inputs), so each
+    step is one aggregation job over all cores returning one row (the mean gradient,
+    O(dimension)); theta is updated on the driver.  Returns the step log: step, loss,
+    accuracy, grad_norm_sq, with step 0 at theta = 0 and step s after s updates.
     """
     spark = pairs.sparkSession
-    deltas = feature_deltas(pairs).persist()
-    dim = deltas.select(F.size("dphi").alias("d")).agg(F.max("d")).first()[0] or 0
-    theta = [0.0] * int(dim)
+    deltas = feature_deltas(pairs)
+    stats = deltas.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("dphi")).alias("d")).first()
+    n, dim = int(stats["n"]), int(stats["d"] or 0)
+    parts = max(1, min(spark.sparkContext.defaultParallelism, n))
+    deltas = deltas.repartition(parts).persist()
+    theta = [0.0] * dim
     log = []
     for step in range(int(steps) + 1):
-        tdf = spark.createDataFrame([(theta,)], "theta array<double>")
-        row = gradient(deltas, tdf, beta).first()
+        row = gradient(deltas, theta, beta).first()
         g = list(row["grad"])
         log.append((step, float(row["loss"]), float(row["accuracy"]), float(sum(x * x for x in g))))
         if step < steps:
