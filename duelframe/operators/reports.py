@@ -13,6 +13,15 @@ from duelframe.functions.metrics import delta_columns, mean_logp_margin, summary
 from duelframe.functions.text import char_len, preview
 
 
+def select_tags(metric_log: DataFrame, substrings: Sequence[str] = ("rewards/", "logps/", "logits/"),
+                tag_col: str = "tag") -> DataFrame:
+    """Metric rows whose tag contains any of the substrings, sorted by tag."""
+    keep = F.lit(False)
+    for sub in substrings:
+        keep = keep | F.col(tag_col).contains(sub)
+    return metric_log.where(keep).orderBy(tag_col)
+
+
 def summarise(scored: DataFrame) -> DataFrame:
     """A3: row-weighted means over all rows."""
     return scored.agg(*summary_aggs())

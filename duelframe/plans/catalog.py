@@ -430,10 +430,7 @@ def q_metric_tags(spark, d):
     tags = ["loss", "rewards/chosen", "rewards/rejected", "rewards/margins", "rewards/accuracies",
             "logps/chosen", "logps/rejected"]
     long = per_batch.unpivot("batch_id", [F.col(f"`{t}`").alias(t) for t in tags], "tag", "value")
-    wanted = F.lit(False)
-    for s in ("rewards/", "logps/", "logits/"):
-        wanted = wanted | F.col("tag").contains(s)
-    return long.where(wanted).orderBy("batch_id", "tag")
+    return RP.select_tags(long, ("rewards/", "logps/", "logits/"))
 
 
 # ----------------------------------------------------------------- streaming (ST1-ST3)

@@ -477,6 +477,36 @@ FROM m GROUP BY policy_id"""
 {greedy_sql(("ref",), Q.GREEDY_STEPS).replace('WITH RECURSIVE ', 'WITH RECURSIVE ' + F2 + ', ' + F3 + ', ')}
 SELECT conv_id, CAST(step AS BIGINT) AS step, word FROM walk"""
 
+    gen_models = ("ref", "policy")
+    nxt_union = " UNION ALL ".join(
+        f"SELECT '{m}' AS model_id, prev, w AS next_word, "
+        f"row_number() OVER (PARTITION BY prev ORDER BY c_{m} DESC, w) AS rn FROM bi WHERE c_{m} > 0"
+        for m in gen_models)
+    q["generation_report"] = f"""
+WITH RECURSIVE {F2}, {F3}, {bigram(gen_models)},
+nxt AS (SELECT model_id, prev, next_word FROM ({nxt_union}) WHERE rn = 1),
+seeds AS (SELECT conv_id, {tok('text')} AS t FROM conversations WHERE turn = 0),
+sm AS (
+  SELECT s.conv_id, m.model_id, s.t[len(s.t)] AS word
+  FROM seeds s CROSS JOIN (VALUES ('ref'), ('policy')) m(model_id) WHERE len(s.t) > 0
+),
+walk(conv_id, model_id, step, word) AS (
+  SELECT conv_id, model_id, 0, word FROM sm
+  UNION ALL
+  SELECT w.conv_id, w.model_id, w.step + 1, n.next_word
+  FROM walk w JOIN nxt n ON w.model_id = n.model_id AND w.word = n.prev WHERE w.step < {Q.GREEDY_STEPS}
+),
+cont AS (SELECT conv_id, model_id, string_agg(word, ' ' ORDER BY step) AS c FROM walk WHERE step > 0
+         GROUP BY conv_id, model_id),
+ans AS (SELECT sm.conv_id, sm.model_id, coalesce(cont.c, '') AS a
+        FROM sm LEFT JOIN cont ON sm.conv_id = cont.conv_id AND sm.model_id = cont.model_id)
+SELECT conv_id,
+       CAST(max(CASE WHEN model_id = 'ref' THEN length(a) END) AS BIGINT) AS chars_ref,
+       CAST(max(CASE WHEN model_id = 'policy' THEN length(a) END) AS BIGINT) AS chars_policy,
+       max(CASE WHEN model_id = 'ref' THEN md5(left(a, 900)) END) AS preview_md5_ref,
+       max(CASE WHEN model_id = 'policy' THEN md5(left(a, 900)) END) AS preview_md5_policy
+FROM ans GROUP BY conv_id"""
+
     q["extract_answer"] = f"""
 WITH {F2},
 dec AS (

@@ -71,3 +71,32 @@ def test_driver_contract(spark):
     qs, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(qs)
     assert set(qs) - set(sql) == {"linear_dpo_fit", "generation_report"} or set(qs) - set(sql) == {"linear_dpo_fit"}
+
+
+def test_load_pairs_split_filter_reaches_scan(spark, tmp_dir):
+    from duelframe.sources.tables import load_pairs
+    p = fx.pairs_raw(spark, SF001).withColumn("split", F.when(F.col("pair_id") % 2 == 0, "train").otherwise("test"))
+    path = os.path.join(tmp_dir, "pairs")
+    p.write.parquet(path)
+    df = load_pairs(spark, path, "train")
+    assert df.count() == p.where("split = 'train'").count()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(split), EqualTo(split,train)]" in plan
+
+
+def test_external_scorer_hook(spark):
+    import pandas as pd
+
+    from duelframe.operators import scoring as SC
+    from duelframe.operators import sides as S
+
+    def predict(pdf: pd.DataFrame) -> pd.DataFrame:
+        # a stand-in model: every answer token has log-prob -1
+        n = pdf["answer_tokens"].map(len).astype("int64")
+        return pd.DataFrame({"pair_id": pdf["pair_id"], "side": pdf["side"], "n_tokens": n,
+                             "sum_logp": -n.astype("float64")})
+
+    sd = S.sides(S.extract(fx.pairs_raw(spark, SF001)))
+    ext = SC.external_sequence_logps(sd, predict, "ext")
+    got = ext.join(sd.select("pair_id", "side", "answer_len"), ["pair_id", "side"]).collect()
+    assert len(got) == 32 and all(r.sum_ext == -r.answer_len and r.n_tokens == r.answer_len for r in got)
