@@ -96,15 +96,27 @@ def fit_bigram(docs: DataFrame, models: Mapping[str, Column], text_col: str = "t
             .groupBy("prev", "w").agg(*[F.sum(f"f_{m}").alias(f"c_{m}") for m in ids]))
     if write_counts:
         # The fitted counts feed four tables; write them once to the shared checkpoint
-        # folder so the document corpus is tokenised and shuffled exactly once.
+        # folder so the document corpus is tokenised and shuffled exactly once, and the
+        # derived tables are aggregated once instead of in every scoring job.
         allp = materialize(allp, "bigram-counts")
     bi = allp.where(F.col("prev").isNotNull())
     uni = allp.groupBy("w").agg(*[F.sum(f"c_{m}").alias(f"c_{m}") for m in ids])
     ctx = bi.groupBy("prev").agg(*[F.sum(f"c_{m}").alias(f"c_{m}") for m in ids])
+    if write_counts:
+        uni = materialize(uni, "unigram-counts")
+        ctx = materialize(ctx, "context-counts")
     totals = uni.agg(*[F.sum(f"c_{m}").alias(f"n_{m}") for m in ids], F.count(F.lit(1)).alias("vocab"))
+    if write_counts:
+        totals = materialize(totals, "model-totals")
     return BigramModel(ids, bi, uni, ctx, totals, alpha)
 
 
+# A text's first answer word with no prompt word before it gets this context.  Tokens are
+# never empty strings, so the sentinel cannot collide with a real word, and plain
+# equality joins work on it (no null-safe join keys).
+NO_CONTEXT = ""
+
+
 def token_rows(side_rows: DataFrame) -> DataFrame:
     """L2/L3: one row per answer token with its predecessor (shift alignment).
 
@@ -114,8 +126,9 @@ def token_rows(side_rows: DataFrame) -> DataFrame:
     return (side_rows
             .select("pair_id", "side", "context0", "answer_tokens",
                     F.posexplode_outer("answer_tokens").alias("pos", "w"))
-            .withColumn("prev", F.when(F.col("pos") == 0, F.col("context0"))
-                        .otherwise(F.get(F.col("answer_tokens"), F.col("pos") - F.lit(1))))
+            .withColumn("prev", F.coalesce(F.when(F.col("pos") == 0, F.col("context0"))
+                                           .otherwise(F.get(F.col("answer_tokens"), F.col("pos") - F.lit(1))),
+                                           F.lit(NO_CONTEXT)))
             .select("pair_id", "side", "pos", "prev", "w"))
 
 
@@ -153,11 +166,13 @@ def sequence_logps_wide(side_rows: DataFrame, model: BigramModel,
     Empty answers give n_tokens 0 and NULL sums/means.
     """
     ids = model_ids or model.model_ids
-    toks = token_rows(side_rows)
-    keys = toks.where(F.col("w").isNotNull()).select("prev", "w").distinct()
-    lp = key_logps(keys, model, ids).withColumnRenamed("prev", "k_prev").withColumnRenamed("w", "k_w")
-    cond = (F.col("w") == F.col("k_w")) & F.col("prev").eqNullSafe(F.col("k_prev"))
-    joined = toks.join(lp, on=cond, how="left").select("pair_id", "side", "w", *[f"lp_{m}" for m in ids])
+    # Token rows are hash-partitioned on (prev, w) once; the distinct keys and the join
+    # back both read that one exchange (the same subtree, so Spark reuses it), and the
+    # sides are computed once.  Rows of empty answers (w NULL) never match a key.
+    toks = token_rows(side_rows).repartition("prev", "w")
+    keys = toks.select("prev", "w").distinct()
+    lp = key_logps(keys, model, ids)
+    joined = toks.join(lp, on=["prev", "w"], how="left").select("pair_id", "side", "w", *[f"lp_{m}" for m in ids])
     agg = joined.groupBy("pair_id", "side").agg(
         F.count("w").alias("n_tokens"),
         *[F.sum(f"lp_{m}").alias(f"sum_{m}") for m in ids])
