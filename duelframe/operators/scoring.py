@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duelframe.functions.text import tokens
-from duelframe.session import materialize
+from duelframe.session import materialize, write_bucketed
 
 # Fixed value of the built-in scorer (FIXTURES.md F5): interpolation weight.
 DEFAULT_ALPHA = 100.0
@@ -97,14 +97,15 @@ def fit_bigram(docs: DataFrame, models: Mapping[str, Column], text_col: str = "t
     if write_counts:
         # The fitted counts feed four tables; write them once to the shared checkpoint
         # folder so the document corpus is tokenised and shuffled exactly once, and the
-        # derived tables are aggregated once instead of in every scoring job.
-        allp = materialize(allp, "bigram-counts")
+        # derived tables are aggregated once instead of in every scoring job.  Each is
+        # bucketed on the key it is joined on, so scoring never re-shuffles the model.
+        allp = write_bucketed(allp, "bigram-counts", ["prev", "w"])
     bi = allp.where(F.col("prev").isNotNull())
     uni = allp.groupBy("w").agg(*[F.sum(f"c_{m}").alias(f"c_{m}") for m in ids])
     ctx = bi.groupBy("prev").agg(*[F.sum(f"c_{m}").alias(f"c_{m}") for m in ids])
     if write_counts:
-        uni = materialize(uni, "unigram-counts")
-        ctx = materialize(ctx, "context-counts")
+        uni = write_bucketed(uni, "unigram-counts", ["w"])
+        ctx = write_bucketed(ctx, "context-counts", ["prev"])
     totals = uni.agg(*[F.sum(f"c_{m}").alias(f"n_{m}") for m in ids], F.count(F.lit(1)).alias("vocab"))
     if write_counts:
         totals = materialize(totals, "model-totals")
