@@ -68,10 +68,12 @@ def bucket_report(scored: DataFrame, edges: str | Sequence[int] = PrefConfig().b
         F.grouping("bucket_id").alias("_g"), F.count(F.lit(1)).alias("n"),
         F.avg("loss").alias("mean_loss"), F.avg("reward_margin").alias("mean_margin"),
         F.avg(F.col("correct").cast("double")).alias("mean_acc"))
-    return agg.select(
+    out = agg.select(
         F.when(F.col("_g") == 1, F.lit("overall")).otherwise(bucket_label(F.col("bucket_id"), e)).alias("bucket"),
         F.when(F.col("_g") == 1, F.lit(None).cast("int")).otherwise(F.col("bucket_id")).alias("bucket_id"),
         "n", "mean_loss", "mean_margin", "mean_acc")
+    # at most len(edges) rows: sorting them is free
+    return out.orderBy(F.col("bucket_id").asc_nulls_first())
 
 
 def compare_policies(seq_wide: DataFrame, policy_ids: Sequence[str], ref_id: str,
