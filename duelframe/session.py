@@ -21,6 +21,17 @@ BASE_CONF = {
 }
 
 
+def default_driver_memory(cap_gb: int = 16, share: float = 0.6) -> str:
+    """A local driver heap that fits the machine: ``share`` of physical RAM, at most ``cap_gb``."""
+    try:
+        with open("/proc/meminfo") as fh:
+            kb = next(int(line.split()[1]) for line in fh if line.startswith("MemTotal:"))
+        gb = max(1, min(cap_gb, int(kb / 1024 / 1024 * share)))
+    except (OSError, StopIteration, ValueError):
+        gb = 4
+    return f"{gb}g"
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "duelframe", extra: dict | None = None) -> SparkSession:
     """Local/test session builder. On a cluster use the cluster's session instead."""
@@ -30,7 +41,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     conf = dict(BASE_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf.setdefault("spark.driver.memory", os.environ.get("DUELFRAME_DRIVER_MEMORY", "8g"))
+    conf.setdefault("spark.driver.memory", os.environ.get("DUELFRAME_DRIVER_MEMORY") or default_driver_memory())
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)

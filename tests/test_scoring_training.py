@@ -43,6 +43,10 @@ def test_bigram_scores_match_brute_force(spark):
     assert got[(2, "chosen")].n_tokens == 0 and got[(2, "chosen")].sum_ref is None   # empty answer kept
     pl = {r.pair_id: r for r in SC.pair_logps(SC.sequence_logps_wide(sides, model), "pol", "ref").collect()}
     assert pl[2].n_chosen == 0 and pl[2].n_rejected == 1
+    masked = {(r.pair_id, r.side): r for r in SC.sequence_logps_wide(sides, model, mask_token="sat").collect()}
+    assert masked[(1, "chosen")].n_tokens == 2       # L3: the masked position is not scored
+    assert math.isclose(masked[(1, "chosen")].sum_ref,
+                        brute_logp("the", "cat", DOCS, 3.0) + brute_logp("sat", "zebra", DOCS, 3.0), rel_tol=1e-12)
 
 
 def test_log_softmax_gather(spark):
