@@ -162,19 +162,21 @@ def sequence_logps_wide(side_rows: DataFrame, model: BigramModel,
                         model_ids: tuple[str, ...] | None = None, mask_token: str | None = None) -> DataFrame:
     """L4: per (pair_id, side): n_tokens and sum_<m> / mean_<m> for every model.
 
-    Distinct (prev, w) keys are scored once, then joined back to the token rows
-    (AQE splits hot keys of this join); the per-side sums are partial aggregates.
+    Distinct (prev, w) keys are scored once (a partial aggregate, so hot keys collapse
+    map-side), then joined back to the token rows; the per-side sums are partial
+    aggregates.
     Empty answers give n_tokens 0 and NULL sums/means.  ``mask_token`` (L3) drops a pad
     token from the scored positions.
     """
     ids = model_ids or model.model_ids
-    # Token rows are hash-partitioned on (prev, w) once; the distinct keys and the join
-    # back both read that one exchange (the same subtree, so Spark reuses it), and the
-    # sides are computed once.  Rows of empty answers (w NULL) never match a key.
+    # The join back is where the Zipf head of (prev, w) lands.  Its exchanges are left to
+    # the planner (no explicit repartition): AQE's skew-join split only applies to
+    # planner-inserted shuffles, so a key holding a third of all tokens is split across
+    # tasks while its single scored row is replicated.  Rows of empty answers (w NULL)
+    # never match a key.
     toks = token_rows(side_rows)
     if mask_token is not None:
         toks = toks.withColumn("w", F.when(F.col("w") != F.lit(mask_token), F.col("w")))
-    toks = toks.repartition("prev", "w")
     keys = toks.select("prev", "w").distinct()
     lp = key_logps(keys, model, ids)
     joined = toks.join(lp, on=["prev", "w"], how="left").select("pair_id", "side", "w", *[f"lp_{m}" for m in ids])
