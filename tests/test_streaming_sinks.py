@@ -37,7 +37,9 @@ def test_stream_smooth_carries_state_across_micro_batches(spark, tmp_dir):
     os.makedirs(src)
     step = (t.num_rows + 3) // 4
     for i in range(4):
-        pq.write_table(t.slice(i * step, step), os.path.join(src, f"part-{i}.parquet"))
+        f = os.path.join(src, f"part-{i}.parquet")
+        pq.write_table(t.slice(i * step, step), f)
+        os.utime(f, (1_700_000_000 + 60 * i, 1_700_000_000 + 60 * i))   # the source reads files in mtime order
     got = {r.run_id: r for r in live.run_stream_smooth(spark, SF001, 0.8, source_path=src,
                                                         max_files_per_trigger=1).collect()}
     ml = fx.metric_log(spark, SF001)
