@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duelframe.session import checkpoint_dir
+from duelframe.session import broadcast_if_small, checkpoint_dir
 
 
 def _cols(xs) -> list[Column]:
@@ -51,6 +51,9 @@ def with_row_index(df: DataFrame, order: Sequence, partition_by: Sequence[str] =
     if not grp:
         # one row per Spark partition: bounded by the partition count chosen above
         offsets = F.broadcast(offsets)
+    else:
+        # one row per (partition, group): counted, then broadcast only when small
+        offsets = broadcast_if_small(offsets)
     out = tagged.join(offsets, on=["_pid", *grp], how="inner")
     out = out.withColumn(name, (F.col("_off") + F.col("_mid") - F.col("_first")).cast("bigint"))
     return out.drop("_mid", "_pid", "_off", "_first")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from duelframe.functions.logits import dot
 from duelframe.functions.metrics import log_sigmoid, sigmoid
 from duelframe.operators.batching import with_row_index
+from duelframe.session import broadcast_if_small
 
 
 # ---------------------------------------------------------------- schedules and logs
@@ -42,7 +43,7 @@ def rollup_log(metric_log: DataFrame, every: int = 10) -> DataFrame:
 def checkpoint_steps(metric_log: DataFrame, every: int = 1000) -> DataFrame:
     """Steps that get a checkpoint: every ``every`` steps plus the run's last step."""
     steps = metric_log.select("run_id", "step").distinct()
-    last = steps.groupBy("run_id").agg(F.max("step").alias("last_step"))
+    last = broadcast_if_small(steps.groupBy("run_id").agg(F.max("step").alias("last_step")))
     joined = steps.join(last, on="run_id", how="inner")
     return joined.where(((F.col("step") % F.lit(int(every))) == 0) | (F.col("step") == F.col("last_step"))) \
         .select("run_id", "step", (F.col("step") == F.col("last_step")).alias("is_last"))
@@ -103,7 +104,7 @@ def last_smoothed(df: DataFrame, weight: float, group_cols: Sequence[str], index
     """
     w = float(weight)
     grp = list(group_cols)
-    n = df.groupBy(*grp).agg(F.max(index_col).alias("_n"))
+    n = broadcast_if_small(df.groupBy(*grp).agg(F.max(index_col).alias("_n")))
     j = df.join(n, on=grp, how="inner")
     term = F.lit(1.0 - w) * F.pow(F.lit(w), (F.col("_n") - F.col(index_col)).cast("double")) * F.col(value_col)
     return j.groupBy(*grp).agg(F.max("_n").alias("n_points"), F.sum(term).alias("_e")).select(

@@ -105,3 +105,20 @@ def write_bucketed(df, name: str, cols, buckets: int | None = None):
     (df.repartition(n, *cols).write.bucketBy(n, *cols).sortBy(*cols)
        .option("path", scratch_path(spark, name)).saveAsTable(table))
     return spark.table(table)
+
+
+# Row bound under which a small side table is broadcast (after counting it).
+BROADCAST_MAX_ROWS = 2_000_000
+
+
+def broadcast_if_small(df, max_rows: int = BROADCAST_MAX_ROWS):
+    """Broadcast ``df`` only behind a checked size: it is cached and counted first.
+
+    Under ``max_rows`` the join becomes a broadcast join (the big side is never
+    shuffled); above it the ordinary shuffle join is kept.  Meant for per-group or
+    per-partition side tables whose size is not known in advance.
+    """
+    from pyspark.sql import functions as F
+
+    df = df.persist()
+    return F.broadcast(df) if df.count() <= max_rows else df
