@@ -93,16 +93,17 @@ def materialize(df, name: str):
 
 
 def write_bucketed(df, name: str, cols, buckets: int | None = None):
-    """Write a table bucketed (and sorted) by ``cols`` under the shared checkpoint folder.
+    """Write a table bucketed by ``cols`` under the shared checkpoint folder.
 
     Later joins on exactly those columns read it without shuffling it again: only the
     other side moves.  One file per bucket (the rows are clustered first), and the
-    bucket count defaults to the session's shuffle partition count.
+    bucket count defaults to the session's shuffle partition count.  No ``sortBy``:
+    bucketed scans do not report an ordering by default, so the join sorts anyway.
     """
     spark = df.sparkSession
     n = int(buckets or spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"{name.replace('-', '_')}_{uuid.uuid4().hex[:10]}"
-    (df.repartition(n, *cols).write.bucketBy(n, *cols).sortBy(*cols)
+    (df.repartition(n, *cols).write.bucketBy(n, *cols)
        .option("path", scratch_path(spark, name)).saveAsTable(table))
     return spark.table(table)
 
