@@ -58,7 +58,8 @@ def round_doubles(df: DataFrame, n: int = 6) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (DoubleType, FloatType)):
-            cols.append(F.round(F.col(f.name).cast("double"), n).alias(f.name))
+            # "+ 0.0" turns a rounded -0.0 into 0.0 so both engines print the same value
+            cols.append((F.round(F.col(f.name).cast("double"), n) + F.lit(0.0)).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)

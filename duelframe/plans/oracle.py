@@ -16,7 +16,7 @@ def tok(x: str) -> str:
 
 
 def r6(x: str) -> str:
-    return f"round(CAST({x} AS DOUBLE), 6)"
+    return f"(round(CAST({x} AS DOUBLE), 6) + 0.0)"
 
 
 def logsig(x: str) -> str:

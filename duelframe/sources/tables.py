@@ -36,12 +36,21 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     return df
 
 
-def load_pairs(spark: SparkSession, path: str, split: str | None = None, fmt: str = "parquet") -> DataFrame:
+# Input shape of a preference dataset: two chat arrays per row (JSON lines or parquet).
+PAIR_SCHEMA = ("pair_id bigint, chosen array<struct<role:string,content:string>>, "
+               "rejected array<struct<role:string,content:string>>, split string")
+
+
+def load_pairs(spark: SparkSession, path: str, split: str | None = None, fmt: str = "parquet",
+               schema: str | None = None) -> DataFrame:
     """A named split of a pair dataset (parquet or json lines with chosen/rejected chat arrays).
 
     A ``split`` column, when present, is filtered on so the predicate reaches the scan.
+    Pass ``schema`` (e.g. ``PAIR_SCHEMA``) for JSON to skip schema inference over the data.
     """
     reader = spark.read.format(fmt)
+    if schema is not None:
+        reader = reader.schema(schema)
     df = reader.load(path)
     if split is not None and "split" in df.columns:
         df = df.where(F.col("split") == F.lit(split))

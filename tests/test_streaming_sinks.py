@@ -113,6 +113,9 @@ def test_load_pairs_from_json_lines(spark, tmp_dir):
     p.write.json(path)
     back = load_pairs(spark, path, fmt="json")
     assert back.count() == p.count()
+    from duelframe.sources.tables import PAIR_SCHEMA
+    typed = load_pairs(spark, path, fmt="json", schema=PAIR_SCHEMA)
+    assert typed.where("split IS NULL").count() == p.count()
     a = {r.pair_id: (r.prompt_text, r.chosen_text, r.rejected_text) for r in S.extract(p).collect()}
     b = {r.pair_id: (r.prompt_text, r.chosen_text, r.rejected_text) for r in S.extract(back).collect()}
     assert a == b
