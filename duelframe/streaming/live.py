@@ -20,17 +20,26 @@ from duelframe.session import scratch_path
 from duelframe.sources.tables import table_path
 
 
-def file_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
+# Micro-batch size bound of the file streams (whole files are taken, at least one).
+MAX_BYTES_PER_TRIGGER = 256 * 1024 * 1024
+
+
+def file_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None,
+                max_bytes_per_trigger: int | None = MAX_BYTES_PER_TRIGGER) -> DataFrame:
     """A parquet file stream whose schema is read once from the existing files.
 
     ``path`` is a folder of parquet files, or one parquet file: then its folder is
-    watched with a file-name filter (a stream source must be a folder).
+    watched with a file-name filter (a stream source must be a folder).  Micro-batches
+    are bounded by a file count or, by default, by bytes, so per-key work inside one
+    batch (ST2's state function) never sees an unbounded slice of the input.
     """
     import os
     schema = spark.read.parquet(path).schema
     r = spark.readStream.schema(schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", int(max_files_per_trigger))
+    elif max_bytes_per_trigger:
+        r = r.option("maxBytesPerTrigger", int(max_bytes_per_trigger))
     if path.endswith(".parquet") and not os.path.isdir(path):
         folder, name = os.path.split(path)
         return r.option("pathGlobFilter", name).parquet(folder)
