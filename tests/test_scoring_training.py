@@ -116,3 +116,16 @@ def test_f5_expected_values(spark):
     assert m.n == 98 and abs(m.mm - (-0.017246722958)) < 1e-5
     assert abs(m.lo - (-7.692594681)) < 1e-5 and abs(m.hi - 6.761740897) < 1e-5
     assert abs(m.acc - 0.459184) < 1e-6
+
+
+def test_scores_unchanged_by_repartition(spark):
+    from conftest import SF001
+    from duelframe.plans import catalog as Q
+    m = Q._model(spark, SF001)
+    sd = Q._sides(spark, SF001)
+    want = {(r.pair_id, r.side): (r.n_tokens, round(r.sum_ref, 9), round(r.sum_policy, 9))
+            for r in SC.sequence_logps_wide(sd, m, ("ref", "policy")).collect()}
+    for n in (1, 7):
+        got = {(r.pair_id, r.side): (r.n_tokens, round(r.sum_ref, 9), round(r.sum_policy, 9))
+               for r in SC.sequence_logps_wide(sd.repartition(n), m, ("ref", "policy")).collect()}
+        assert got == want
