@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from duelframe.config import PrefConfig
 from duelframe.functions.buckets import bucket_id, bucket_label, parse_edges
-from duelframe.functions.metrics import delta_columns, mean_logp_margin, summary_aggs, with_dpo_metrics
+from duelframe.functions.metrics import (delta_columns, mean_logp_margin, strictly_greater, summary_aggs,
+                                          with_dpo_metrics)
 from duelframe.functions.text import char_len, preview
 
 
@@ -103,6 +104,27 @@ def compare_policies(seq_wide: DataFrame, policy_ids: Sequence[str], ref_id: str
         F.avg((F.col("mean_logp_margin") > 0).cast("double")).alias("frac_mean_logp_pos"))
 
 
+def policy_margins_by_pair(seq_wide: DataFrame, policy_ids: Sequence[str], ref_id: str,
+                           cfg: PrefConfig = PrefConfig()) -> DataFrame:
+    """A8 per pair: reward margin and correctness of every policy side by side.
+
+    One aggregate over the (pair, side) table; policies become columns with explicit names.
+    """
+    def pick(col, side):
+        return F.max(F.when(F.col("side") == side, F.col(col)))
+
+    models = list(dict.fromkeys([*policy_ids, ref_id]))
+    per_pair = seq_wide.groupBy("pair_id").agg(
+        *[pick(f"sum_{m}", sd).alias(f"{m}__{sd}") for m in models for sd in ("chosen", "rejected")])
+    b = F.lit(float(cfg.beta))
+    cols = ["pair_id"]
+    for p in policy_ids:
+        rc = b * (F.col(f"{p}__chosen") - F.col(f"{ref_id}__chosen"))
+        rr = b * (F.col(f"{p}__rejected") - F.col(f"{ref_id}__rejected"))
+        cols += [(rc - rr).alias(f"margin_{p}"), strictly_greater(rc, rr).alias(f"correct_{p}")]
+    return per_pair.select(*cols)
+
+
 def length_bias_report(pl: DataFrame) -> DataFrame:
     """D9 (+D7): tokens, sums and means per side and model in one row per pair.
 

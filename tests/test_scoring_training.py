@@ -129,3 +129,17 @@ def test_scores_unchanged_by_repartition(spark):
         got = {(r.pair_id, r.side): (r.n_tokens, round(r.sum_ref, 9), round(r.sum_policy, 9))
                for r in SC.sequence_logps_wide(sd.repartition(n), m, ("ref", "policy")).collect()}
         assert got == want
+
+
+def test_policy_margins_by_pair_agree_with_summary(spark):
+    from conftest import SF001
+    from duelframe.operators import reports as RP
+    from duelframe.plans import catalog as Q
+    seq = SC.sequence_logps_wide(Q._sides(spark, SF001), Q._model(spark, SF001), ("ref", "policy", "nontoxic"))
+    per_pair = RP.policy_margins_by_pair(seq, ["policy", "nontoxic"], "ref")
+    summ = {r.policy_id: r for r in RP.compare_policies(seq, ["policy", "nontoxic"], "ref").collect()}
+    agg = per_pair.agg(F.avg("margin_policy").alias("mp"), F.avg(F.col("correct_nontoxic").cast("double")).alias("an"),
+                       F.count("*").alias("n")).first()
+    assert agg.n == summ["policy"].n
+    assert abs(agg.mp - summ["policy"].reward_margin) < 1e-12
+    assert abs(agg.an - summ["nontoxic"].accuracy) < 1e-12
