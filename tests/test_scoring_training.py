@@ -89,6 +89,10 @@ def test_fixture_facts_sf0_01(spark):
     assert pairs.count() == 98
     sd = S.sides(S.extract(pairs))
     assert sd.where("side = 'chosen' AND prompt_len_raw > 128").count() == 72
+    pos = S.extract(pairs, "positional")
+    assert pos.where("valid").count() == 15                      # 83 of 98 differ from last-assistant
+    assert pairs.where(F.get("chosen", 0).getField("role") == "system").count() == 22
+    assert S.extract(pairs).where(F.size("prompt_msgs_chosen") == 1).count() == 15
     summ = TR.feature_deltas(fx.feature_pairs(spark, SF01))
     g = TR.gradient(summ, [0.0] * 64, 0.1).first()
     assert abs(sum(x * x for x in g.grad) - 1.941e-05) < 5e-9
