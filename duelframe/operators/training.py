@@ -138,7 +138,12 @@ def gradient(deltas: DataFrame, theta, beta: float = 0.1) -> DataFrame:
         th = F.col("theta")
     else:
         j = deltas
-        th = F.array(*[F.lit(float(x)) for x in theta]).cast("array<double>")
+        vals = [float(x) for x in theta]
+        if all(math.isfinite(v) for v in vals):
+            # one SQL array literal: a single call to build; repr() round-trips doubles exactly
+            th = F.expr("array(" + ", ".join(repr(v) + "D" for v in vals) + ")").cast("array<double>")
+        else:
+            th = F.array(*[F.lit(v) for v in vals]).cast("array<double>")
     scored = j.select("dphi", dot(th, F.col("dphi")).alias("s"))
     s = F.col("s")
     coef = -b * sigmoid(-b * s)
