@@ -93,6 +93,10 @@ def test_fixture_facts_sf0_01(spark):
     assert pos.where("valid").count() == 15                      # 83 of 98 differ from last-assistant
     assert pairs.where(F.get("chosen", 0).getField("role") == "system").count() == 22
     assert S.extract(pairs).where(F.size("prompt_msgs_chosen") == 1).count() == 15
+    rep = S.truncation_report(sd)
+    over = {r.side: r.n for r in rep.where("over_max_length").groupBy("side").agg(F.count("*").alias("n")).collect()}
+    assert over == {"chosen": 37, "rejected": 40}
+    assert rep.where("over_after_prompt_cut").count() == 0
     summ = TR.feature_deltas(fx.feature_pairs(spark, SF01))
     g = TR.gradient(summ, [0.0] * 64, 0.1).first()
     assert abs(sum(x * x for x in g.grad) - 1.941e-05) < 5e-9
