@@ -151,3 +151,11 @@ def test_policy_margins_by_pair_agree_with_summary(spark):
     assert agg.n == summ["policy"].n
     assert abs(agg.mp - summ["policy"].reward_margin) < 1e-12
     assert abs(agg.an - summ["nontoxic"].accuracy) < 1e-12
+
+
+def test_prompt_bucket_counts_match_fixture_table(spark):
+    import __spark_entry__ as E
+    rows = E.queries()["length_buckets_prompt"](spark, SF01).collect()
+    got = [(r.bucket, r.n) for r in rows]
+    assert got == [("overall", 98), ("[0,32)", 6), ("[32,64)", 13), ("[64,96)", 3), ("[96,128)", 4),
+                   ("[128,99999)", 72)]
