@@ -85,7 +85,8 @@ _FITTED: dict = {}
 def _model(spark, d, ids=("ref", "policy")):
     """Fit (or reuse) the corpus's bigram models: all models are fitted together in one pass
     over the documents, once per session, and every scoring query reads the fitted counts."""
-    key = (spark.sparkContext.applicationId, spark._jsparkSession.hashCode(), d)
+    # the cached DataFrames keep their session alive, so its id() cannot be reused meanwhile
+    key = (spark.sparkContext.applicationId, id(spark), d)
     if key not in _FITTED:
         docs = spread(read_table(spark, d, "documents")).join(read_table(spark, d, "labels"), on="doc_id",
                                                              how="left")
