@@ -69,7 +69,8 @@ def head_slice(df: DataFrame, n: int, order: Sequence = ("row_idx",)) -> DataFra
 def select_by_index(df: DataFrame, ids: Sequence[int], idx_col: str = "row_idx") -> DataFrame:
     """S3: rows at the given positions, in list order, duplicates kept (column ``sel_pos``).
 
-    The id list lives on the driver, so its broadcast has a known size.
+    The id list lives on the driver, so its broadcast has a known size.  A position past
+    the end of the table yields no row (a dataset library would raise instead).
     """
     spark = df.sparkSession
     sel = spark.createDataFrame([(i, int(x)) for i, x in enumerate(ids)], f"sel_pos int, {idx_col} bigint")
