@@ -20,14 +20,17 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     that no learned language codes better than raw bytes)."""
     prepare(spark)
     model = langid.train(langid.training_rows(docs))
-    return langid.detect(docs, model).where(langid.is_accepted()).select(*docs.columns)
+    result = langid.scorer(spark, model)(F.col("text"))
+    return (docs.withColumn("_llm_result", result).where(langid.is_accepted(F.col("_llm_result")))
+            .drop("_llm_result"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: documents scored 0.5 or more go."""
     prepare(spark)
     model = toxicity.train(docs, toxicity.training_labels(table(spark, sf_dir, "labels")))
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    result = toxicity.scorer(spark, model)(F.col("text"))
+    return docs.withColumn("_llm_result", result).where("_llm_result.predicted = 0").drop("_llm_result")
 
 
 STAGES = [("language", keep_language), ("toxicity", drop_toxic)]

@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duelframe.llm.common import id_remainder, segment_sums, utf8_buffers, with_struct
@@ -215,11 +215,18 @@ def _has_letter(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     return found
 
 
+RESULT = ["lang_pred", "score", "bits_per_byte"]
+
+
 def detect(docs: DataFrame, model: PPMModel, text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` (posterior of the shortest code among the
     languages) and ``bits_per_byte`` (the shortest code's bits by the text's bytes; null for
     ``und``)."""
-    spark = docs.sparkSession
+    return with_struct(docs, scorer(docs.sparkSession, model)(F.col(text_col)), RESULT)
+
+
+def scorer(spark: SparkSession, model: PPMModel):
+    """A Column function: text -> struct of the fields in ``RESULT``."""
     shared = spark.sparkContext.broadcast(model)            # bounded by TABLE_BYTES
 
     @F.arrow_udf("lang_pred string, score double, bits_per_byte double")
@@ -241,9 +248,9 @@ def detect(docs: DataFrame, model: PPMModel, text_col: str = "text") -> DataFram
                 rate[known] = (least / np.maximum(1, np.diff(off)))[known]
             yield pa.StructArray.from_arrays(
                 [pa.array(names, pa.string()), pa.array(prob),
-                 pa.array(rate, pa.float64(), mask=~known)], names=["lang_pred", "score", "bits_per_byte"])
+                 pa.array(rate, pa.float64(), mask=~known)], names=RESULT)
 
-    return with_struct(docs, score(F.col(text_col)), ["lang_pred", "score", "bits_per_byte"])
+    return score
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
@@ -251,6 +258,7 @@ def training_rows(docs: DataFrame) -> DataFrame:
     return docs.where(id_remainder(F.col("doc_id"), 4) != 2)
 
 
-def is_accepted() -> "F.Column":
-    """The filter's decision: a language was found and the text codes better than raw bytes."""
-    return (F.col("lang_pred") != UNDETERMINED) & (F.col("bits_per_byte") < 8.0)
+def is_accepted(result: Column) -> Column:
+    """The filter's decision on a ``scorer`` result: a language was found and the text codes
+    better than raw bytes."""
+    return (result["lang_pred"] != UNDETERMINED) & (result["bits_per_byte"] < 8.0)

@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelframe.llm import langid, toxicity
+from duelframe.llm import langid, neardup, toxicity
 from duelframe.llm.common import id_remainder, prepare, table
 
 
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return neardup.assign(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -30,7 +35,7 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_toxicity": op4_toxicity, "op6_langid": op6_langid}
+    return {"op1_order_minhash": op1_order_minhash, "op4_toxicity": op4_toxicity, "op6_langid": op6_langid}
 
 
 def oracle_sql() -> dict[str, str]:

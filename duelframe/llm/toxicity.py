@@ -25,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duelframe.llm.common import id_remainder, with_struct
@@ -162,7 +162,12 @@ def logits(model: ToxicityModel, texts: list[str | None]) -> np.ndarray:
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 if the score is 0.5 or more)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)   # bounded by MAX_WEIGHTS
+    return with_struct(docs, scorer(docs.sparkSession, model)(F.col(text_col)), ["score", "predicted"])
+
+
+def scorer(spark: SparkSession, model: ToxicityModel):
+    """A Column function: text -> struct of score and predicted."""
+    shared = spark.sparkContext.broadcast(model)               # bounded by MAX_WEIGHTS
 
     @F.arrow_udf("score double, predicted int")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -173,7 +178,7 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> Data
             yield pa.StructArray.from_arrays([pa.array(p), pa.array((p >= 0.5).astype(np.int32))],
                                              names=["score", "predicted"])
 
-    return with_struct(docs, run(F.col(text_col)), ["score", "predicted"])
+    return run
 
 
 def training_labels(labels: DataFrame) -> DataFrame:
