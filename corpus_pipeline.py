@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelframe.llm import langid, toxicity
+from duelframe.llm import langid, neardup, packing, secrets, toxicity
 from duelframe.llm.common import prepare, table
 from duelframe.session import materialize
 
@@ -33,7 +33,37 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.withColumn("_llm_result", result).where("_llm_result.predicted = 0").drop("_llm_result")
 
 
-STAGES = [("language", keep_language), ("toxicity", drop_toxic)]
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: one document of each class of near duplicates stays."""
+    prepare(spark)
+    return neardup.keep_one(docs)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: secrets in the texts are masked (``n_chars`` follows the new text)."""
+    prepare(spark)
+    found = secrets.scanner(spark, secrets.fit(docs), with_text=True)(F.col("text"))
+    changed = docs.withColumn("_llm_result", found)
+    out = {"text": F.col("_llm_result.redacted"),
+           "n_chars": F.when(F.col("_llm_result.spans") == "", F.col("n_chars"))
+                       .otherwise(F.length("_llm_result.redacted").cast("long"))}
+    return changed.select(*[out.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+
+
+def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: the place of every document in a length bucket and batch."""
+    prepare(spark)
+    rows = docs.select("doc_id", "lang", "source", packing.word_count(F.col("text")).alias("_llm_words"))
+    return packing.pack(rows, F.col("_llm_words")).drop("_llm_words")
+
+
+STAGES = [
+    ("language", keep_language),
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("secrets", redact_secrets),
+    ("packing", pack_batches),
+]
 
 # Trained models, sketches and a dynamic program: not expressible in SQL; tested by brute force.
 ORACLE_SQL = None

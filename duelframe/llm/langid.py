@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duelframe.llm.common import id_remainder, segment_sums, utf8_buffers, with_struct
+from duelframe.session import materialize
 
 UNDETERMINED = "und"
 ORDER = 3
@@ -102,8 +103,8 @@ def train(docs: DataFrame, docs_per_lang: int = TRAIN_DOCS_PER_LANG,
     for name in langs:
         share = F.when(F.col("lang") == name, int(min(1.0, docs_per_lang / sizes[name]) * slots)).otherwise(share)
     sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(slots)) < share).select("lang", "text")
-    grams = (sample.mapInArrow(_gram_counts, "lang string, gram long, n long")
-             .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    grams = materialize(sample.mapInArrow(_gram_counts, "lang string, gram long, n long")
+                        .groupBy("lang", "gram").agg(F.sum("n").alias("n")), "ppm-grams")
 
     spark = docs.sparkSession
     seen = sorted({int(b) for (b,) in

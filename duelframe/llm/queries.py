@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelframe.llm import langid, neardup, toxicity
+from duelframe.llm import langid, neardup, packing, secrets, toxicity
 from duelframe.llm.common import id_remainder, prepare, table
 
 
@@ -25,6 +25,14 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", held.alias("held_out"), "score", "predicted"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scanner(spark, secrets.fit(docs))(F.col("text"))
+    return (docs.select("doc_id", found.alias("r"))
+            .select("doc_id", *[F.col("r")[c].alias(c) for c in secrets.RESULT if c != "redacted"]))
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     docs = table(spark, sf_dir, "documents")
@@ -34,8 +42,15 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", held.alias("held_out"), "lang_pred", "score", "bits_per_byte"))
 
 
+def op10_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(docs.select("doc_id", packing.word_count(F.col("text")).alias("n")), F.col("n")).drop("n")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_order_minhash": op1_order_minhash, "op4_toxicity": op4_toxicity, "op6_langid": op6_langid}
+    return {f.__name__: f for f in (
+        op1_order_minhash, op4_toxicity, op5_secrets, op6_langid, op10_length_buckets)}
 
 
 def oracle_sql() -> dict[str, str]:
