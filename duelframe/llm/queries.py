@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelframe.llm import langid, neardup, packing, secrets, toxicity
+from duelframe.llm import bpe, langid, neardup, packing, pii, secrets, toxicity
 from duelframe.llm.common import id_remainder, prepare, table
 
 
@@ -42,6 +43,22 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", held.alias("held_out"), "lang_pred", "score", "bits_per_byte"))
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    vocabulary = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary, public_tokenizers.PATTERN)
+    return (bpe.decode(ids.select("doc_id", "ids"), vocabulary)
+            .select("doc_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"),
+                    F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents")
+    return (docs.select("doc_id", pii.scanner()(F.col("text")).alias("r"))
+            .select("doc_id", *[F.col("r")[c].alias(c) for c in pii.RESULT]))
+
+
 def op10_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     docs = table(spark, sf_dir, "documents")
@@ -50,7 +67,8 @@ def op10_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_order_minhash, op4_toxicity, op5_secrets, op6_langid, op10_length_buckets)}
+        op1_order_minhash, op4_toxicity, op5_secrets, op6_langid, op8_byte_bpe, op9_pii,
+        op10_length_buckets)}
 
 
 def oracle_sql() -> dict[str, str]:
