@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelframe.llm import bpe, langid, neardup, packing, pii, secrets, toxicity
+from duelframe.llm import bpe, langid, neardup, packing, pii, secrets, topk, toxicity
 from duelframe.llm.common import id_remainder, prepare, table
 
 
@@ -43,6 +43,12 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", held.alias("held_out"), "lang_pred", "score", "bits_per_byte"))
 
 
+def op7_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    found = topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+    return found.withColumnRenamed("id", "vec_id")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     vocabulary = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -65,11 +71,29 @@ def op10_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs.select("doc_id", packing.word_count(F.col("text")).alias("n")), F.col("n")).drop("n")
 
 
+OP7_SQL = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+         vec_id, score
+  FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_order_minhash, op4_toxicity, op5_secrets, op6_langid, op8_byte_bpe, op9_pii,
+        op1_order_minhash, op4_toxicity, op5_secrets, op6_langid, op7_ball_tree, op8_byte_bpe, op9_pii,
         op10_length_buckets)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_ball_tree": OP7_SQL}
