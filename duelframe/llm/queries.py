@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelframe.llm import bpe, langid, neardup, packing, pii, secrets, topk, toxicity
+from duelframe.llm import bpe, langid, neardup, packing, pii, secrets, topk, toxicity, warc
 from duelframe.llm.common import id_remainder, prepare, table
 
 
@@ -17,6 +17,13 @@ def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.assign(table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    manifest = warc.write(table(spark, sf_dir, "pages"))
+    return warc.read(manifest).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest",
+                                      "record_type", "refers_to")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -71,6 +78,25 @@ def op10_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs.select("doc_id", packing.word_count(F.col("text")).alias("n")), F.col("n")).drop("n")
 
 
+# SHA-1 in base 32: five hex digits are 20 bits, which are four letters of the alphabet
+OP2_SQL = """
+WITH body AS (
+  SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+         sha1(coalesce(html, '')) AS hex
+  FROM pages),
+coded AS (
+  SELECT page_id, html, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+         array_to_string(list_transform(range(0, 32), lambda i:
+           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                  CAST((CAST('0x' || substr(hex, CAST(i // 4 AS BIGINT) * 5 + 1, 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest
+  FROM body),
+headed AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS head FROM coded)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM head THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS NOT DISTINCT FROM head THEN NULL ELSE head END AS refers_to
+FROM headed
+"""
+
 OP7_SQL = """
 WITH whole AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
@@ -91,9 +117,9 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_order_minhash, op4_toxicity, op5_secrets, op6_langid, op7_ball_tree, op8_byte_bpe, op9_pii,
+        op1_order_minhash, op2_warc, op4_toxicity, op5_secrets, op6_langid, op7_ball_tree, op8_byte_bpe, op9_pii,
         op10_length_buckets)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_ball_tree": OP7_SQL}
+    return {"op2_warc": OP2_SQL, "op7_ball_tree": OP7_SQL}
