@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelframe.llm import bpe, langid, neardup, packing, pii, secrets, topk, toxicity, warc
+from duelframe.llm import bpe, langid, neardup, packing, pii, quality, secrets, topk, toxicity, warc
 from duelframe.llm.common import id_remainder, prepare, table
 
 
@@ -24,6 +24,13 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
                                       "record_type", "refers_to")
 
 
+def op3_likelihood_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality.judge(docs, quality.log_ratios(docs, trusted)).drop("text")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -117,7 +124,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_order_minhash, op2_warc, op4_toxicity, op5_secrets, op6_langid, op7_ball_tree, op8_byte_bpe, op9_pii,
+        op1_order_minhash, op2_warc, op3_likelihood_ratio, op4_toxicity, op5_secrets, op6_langid, op7_ball_tree, op8_byte_bpe, op9_pii,
         op10_length_buckets)}
 
 
