@@ -1,0 +1,103 @@
+"""Operators 5 and 9: base spans against plain regular expressions, added spans, odd rows."""
+import hashlib
+import random
+import re
+import string
+
+import pytest
+
+from duelframe.llm import pii as P
+from duelframe.llm import queries as Q
+from duelframe.llm import secrets as S
+from llm_helpers import empty, llm, make_docs, odd, sentence  # noqa: F401
+
+SF01 = "/root/testdata/sf0.01"
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def secret_base(t):
+    out = [("assign", *m.span()) for m in ASSIGN.finditer(t) if len(m[2]) >= 12]
+    out += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+    out += [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
+    return sorted(out, key=lambda s: (s[1], S.KINDS.index(s[0])))
+
+
+def pii_base(t):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t)
+            if all(int(x) <= 255 for x in m[0].split("."))]
+    for kind, pattern, low, high in (("card", r"[0-9]([\x20-]?[0-9])+", 13, 19), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 9, 15)):
+        for m in re.finditer(pattern, t):
+            d = re.sub("[^0-9]", "", m[0])
+            if low <= len(d) <= high and (kind == "phone" or sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(d))) % 10 == 0):
+                out.append((kind, *m.span()))
+    return out
+
+
+def digest(spans):
+    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
+
+
+def test_pii_base_spans_on_random_text():
+    anchors, rnd = P._anchors(), random.Random(1)
+    for alphabet in ("0123. -+@a", "01 -", "ab@.-+1", "0.1.2 ", "+1()-. 2", "4111 -"):
+        for _ in range(3000):
+            t = "".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 45)))
+            assert [s for s in P.find(t, anchors) if s[0] in P.BASE] == pii_base(t), t
+
+
+def test_secret_base_spans_on_random_text():
+    cues, rnd = S._automaton(), random.Random(1)
+    parts = ["password", "Token", "secret", "api_key", "APIKEY", "passwd", "=", ":", " ", '"', "'", "abc", "0123456789abcdef",
+             "AKIA", "ABCDEFGHIJKLMN", "İ", "ſecret", "K", "x.y-z/w+", "é"]
+    for _ in range(8000):
+        t = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 12)))
+        assert sorted(S.base_spans(t, cues), key=lambda s: (s[1], S.KINDS.index(s[0]))) == secret_base(t), t
+
+
+@pytest.mark.parametrize("name,base,kinds", [("op5_secrets", secret_base, ("assign", "access", "hex")), ("op9_pii", pii_base, P.BASE)])
+def test_query_equals_brute_force(llm, name, base, kinds):
+    rows = {r["doc_id"]: r for r in Q.queries()[name](llm, SF01).collect()}
+    docs = llm.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "text").collect()
+    assert len(rows) == len(docs)
+    for d in docs:
+        want, r = base(d["text"] or ""), rows[d["doc_id"]]
+        assert r["base_sha256"] == digest(want)
+        assert [r[f"n_{k}"] for k in kinds] == [sum(s[0] == k for s in want) for k in kinds]
+        assert {f"{k}:{a}:{b}" for k, a, b in want} <= set(r["spans"].split(","))
+
+
+def test_random_tokens_are_found_and_words_are_not(llm):
+    rnd = random.Random(4)
+    words = ["alpha", "internationalisation", "beta", "characteristically", "gamma"]
+    prose = [sentence(rnd, 60, words) + " a_long_snake_case_identifier_name aaaaaaaaaaaaaaaaaaaaaaaaaa" for _ in range(60)]
+    token = ["".join(rnd.choice(string.ascii_letters + string.digits) for _ in range(40)) for _ in range(20)]
+    docs = make_docs(llm, prose + [f"{p} {t} end" for p, t in zip(prose, token)])
+    rows = {r["doc_id"]: r for r in S.scan(docs, S.fit(docs)).collect()}
+    assert all(rows[i]["n_random"] == 0 for i in range(60))
+    assert sum(rows[60 + i]["n_random"] == 1 for i in range(20)) >= 18
+    hit = next(r for i, r in rows.items() if r["n_random"])
+    assert S.MASK in hit["redacted"] and not any(t in hit["redacted"] for t in token)
+
+
+def test_redaction_keeps_the_rest():
+    text = 'x token = "0123456789abcdef0123" y 0123456789abcdef'
+    spans = S.find(text, S.SecretModel([0.0] * 128, [0.0] * 10), S._automaton())
+    assert S.redact(text, spans) == 'x token = "[SECRET]" y [SECRET]'
+
+
+def test_added_pii():
+    anchors = P._anchors()
+    t = "IBAN DE89 3704 0044 0532 0130 00, ftp://ann:pw@host.org, account no. 1234-5678, IBAN DE00 3704 0044 0532 0130 00"
+    assert [(k, t[a:b]) for k, a, b in P.find(t, anchors) if k in P.ADDED] == [
+        ("iban", "DE89 3704 0044 0532 0130 00"), ("login", "ann:pw"), ("account", "1234-5678")]
+
+
+def test_odd_rows(odd, empty):
+    for scan, names in ((lambda d: S.scan(d, S.fit(d)), S.RESULT), (P.scan, P.RESULT)):
+        got = scan(odd)
+        rows = got.collect()
+        assert len(rows) == odd.count() and set(names) <= set(got.columns)
+        assert len({c.lower() for c in got.columns}) == len(got.columns)
+        assert {r["spans"] for r in rows if r["text"] is None} == {""}
+        assert scan(empty).count() == 0
