@@ -17,10 +17,13 @@ fewer above.
 
 Classes are the connected components of the verified links.  Exact copies are one node from
 the start (keyed by 128 bits of SHA-256 of the text).  Within a bucket of candidates every
-text is first compared with one pivot; after components are merged, texts of still different
-components get a second pivot, and what remains is compared pair by pair.  So a
-bucket of ``n`` near copies costs about ``n`` comparisons, and still no link between
-different components is lost.
+text is first aligned with one pivot, so a bucket of ``n`` near copies costs about ``n``
+alignments.  After components are merged, the texts outside the pivot's component are
+compared with all others of the bucket that are of another component, in blocks of bounded
+size, by a sketch of ``SKETCH`` minima: first each text's best partner is aligned and
+components are merged again, then every remaining pair whose estimated similarity is at
+least ``ESTIMATE``.  The estimate's standard deviation is below 0.018, so a pair at 0.8 is
+passed over with a probability of about 10**-5; no pair is left out for the size of a group.
 
 Defined results: null text: a class of its own, with the document's id.  A text without a
 word joins only its exact copies.  Repeated rows share a class.  ``class_id`` is the class's
@@ -46,10 +49,13 @@ SIMILARITY = 0.8
 HASHES = 16
 ELL = 3
 BLOCK = 1 << 15               # labelled k-mers hashed at once: bounds memory for long texts
-PIVOT_ROUNDS = 2              # the last one compares texts of different components in pairs
+SKETCH = 512                  # minima of the sketch, one byte each
+ESTIMATE = 0.72               # four and a half standard deviations below SIMILARITY
+BLOCK_ROWS = 512              # texts of one bucket that are compared at once
 
 _rng = np.random.RandomState(20240601)
 _MULTIPLIERS = (_rng.randint(0, 1 << 62, HASHES, dtype=np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
+_SKETCHERS = (_rng.randint(0, 1 << 62, SKETCH, dtype=np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -112,6 +118,20 @@ def order_minhash(x: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def sketch(x: np.ndarray) -> np.ndarray:
+    """One byte of each of ``SKETCH`` minima over the k-mers: the share of equal bytes of two
+    sketches estimates the Jaccard index of their k-mers."""
+    least = np.full(SKETCH, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for lo in range(0, len(x), 2048):
+        np.minimum(least, (x[None, lo:lo + 2048] * _SKETCHERS[:, None]).min(axis=1), out=least)
+    return (_mix(least) & np.uint64(255)).astype(np.uint8)
+
+
+def estimate(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Estimated Jaccard index of a sketch with each row of ``many`` (chance hits taken out)."""
+    return ((many == one).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
+
+
 def alignment_similarity(x: np.ndarray, y: np.ndarray, least: float = SIMILARITY) -> float:
     """Similarity of two sequences of distinct k-mers by banded alignment; 0 if below ``least``."""
     n, m = len(x), len(y)
@@ -144,10 +164,12 @@ def _sketch(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.array([order_minhash(kmers(t)) for t in texts.to_pylist()], pa.list_(pa.int64()))
 
 
-@F.arrow_udf(T.BinaryType())
+@F.arrow_udf(T.StructType([T.StructField("seq", T.BinaryType()), T.StructField("sketch", T.BinaryType())]))
 def _sequence(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in batches:
-        yield pa.array([kmers(t).tobytes() for t in texts.to_pylist()], pa.binary())
+        x = [kmers(t) for t in texts.to_pylist()]
+        yield pa.StructArray.from_arrays([pa.array([k.tobytes() for k in x], pa.binary()),
+                                          pa.array([sketch(k).tobytes() for k in x], pa.binary())], names=["seq", "sketch"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,6 +180,45 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(on, pa.bool_()))
 
 
+_PAIRS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+
+def _alike(t: pa.Table, best_only: bool) -> pa.Table:
+    """Pairs (a > b) of two blocks of one bucket that are of different components and whose
+    estimate reaches ``ESTIMATE``; with ``best_only`` each text's best partner alone.  A pair
+    that meets in several buckets is given by the first of its equal tuples."""
+    h, i, j, both = (t.column(c)[0].as_py() for c in ("h", "i", "j", "both"))
+    key = t.column("key").to_pylist()
+    sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(key), SKETCH)
+    bands = np.array(t.column("bands").to_pylist(), dtype=np.int64)
+    comp = np.unique(np.array([c.hex() for c in t.column("comp").to_pylist()]), return_inverse=True)[1]
+    outside, blk = t.column("outside").to_numpy(zero_copy_only=False), t.column("blk").to_numpy()
+    left = np.flatnonzero(outside & (blk == i))
+    right = np.flatnonzero(outside & (blk == j)) if both else np.flatnonzero(~outside)
+    found = set()
+    for n, x in enumerate(left):
+        other = right[n + 1:] if both and i == j and not best_only else right
+        other = other[comp[other] != comp[x]]
+        if not len(other):
+            continue
+        e = estimate(sk[x], sk[other])
+        on = np.flatnonzero(e >= ESTIMATE)
+        if best_only and len(on):
+            on = on[[e[on].argmax()]]
+        for y in other[on]:
+            if best_only or bands[x][(bands[x] == bands[y]).argmax()] == h:
+                found.add((max(key[x], key[y]), min(key[x], key[y])))
+    return pa.Table.from_arrays([pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)], schema=_PAIRS)
+
+
+def _best(t: pa.Table) -> pa.Table:
+    return _alike(t, True)
+
+
+def _every(t: pa.Table) -> pa.Table:
+    return _alike(t, False)
+
+
 def content_key(text: Column) -> Column:
     """128 bits of SHA-256 of the text; null for null."""
     return F.unhex(F.substring(F.sha2(text.cast("binary"), 256), 1, 32))
@@ -227,51 +288,66 @@ def _labels(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> Da
     members = materialize(slots.join(shared.select("h", "pivot"), "h"), "omh-members")
 
     # the k-mers of candidate texts, each text once (by its row of smallest id)
-    wanted = members.select("key").distinct().join(nodes.select("key", "id"), "key")
+    wanted = members.select("key").distinct().join(nodes, "key")
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).withColumn("_key", content_key(F.col("_text")))
     seqs = materialize(
         own.join(wanted, (F.col("_key") == F.col("key")) & F.col("_id").eqNullSafe(F.col("id")))
-        .select("key", _sequence(F.col("_text")).alias("seq")).groupBy("key").agg(F.first("seq").alias("seq")),
-        "omh-kmers")
+        .select("key", "bands", _sequence(F.col("_text")).alias("s"))
+        .groupBy("key").agg(F.first("bands").alias("bands"), F.first("s").alias("s"))
+        .select("key", "bands", "s.seq", "s.sketch"), "omh-kmers")
 
-    def verify(pairs: DataFrame, name: str) -> DataFrame:
+    def verify(pairs: DataFrame) -> DataFrame:
         left = seqs.select(F.col("key").alias("a"), F.col("seq").alias("sa"))
         right = seqs.select(F.col("key").alias("b"), F.col("seq").alias("sb"))
         return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
-                           .mapInArrow(_verified, "a binary, b binary"), name)
-
-    pairs = members.where("key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = verify(pairs, "omh-links")
-    tested = pairs
-    for k in range(PIVOT_ROUNDS):
-        if links.isEmpty():
-            at = members.select("h", "key", F.col("key").alias("comp"))
-            labels = None
-        else:
-            labels = components(links)
-            at = (members.select("h", "key").join(labels, "key", "left")
-                  .select("h", "key", F.coalesce("comp", "key").alias("comp")))
-        mixed = at.groupBy("h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
-        at = materialize(at.join(mixed.select("h"), "h"), "omh-mixed")
-        if at.isEmpty():
+                           .mapInArrow(_verified, "a binary, b binary"), "omh-links")
+
+    tested = members.where("key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct()
+    links = verify(tested)
+    for best_only in (True, False):
+        labels = None if links.isEmpty() else components(links)
+        blocks = _blocks(members, seqs, labels)
+        more = blocks.groupBy("h", "both", "i", "j").applyInArrow(_best if best_only else _every, "a binary, b binary")
+        fresh = materialize(more.distinct().join(tested, ["a", "b"], "left_anti"), "omh-pairs")
+        if fresh.isEmpty():
+            if best_only:
+                continue
             return labels
-        if k < PIVOT_ROUNDS - 1:
-            # another pivot for each bucket: a text chosen by hash, another in every round
-            mine = F.struct(F.xxhash64("key", F.lit(k)), F.col("key"), F.col("comp"))
-            pivot = at.groupBy("h").agg(F.min(mine).alias("p")).select(
-                "h", F.col("p.key").alias("b"), F.col("p.comp").alias("pc"))
-            more = at.join(pivot, "h").where("comp <> pc").select(F.col("key").alias("a"), "b").distinct()
-        else:
-            # the rest: every two texts of a bucket whose components still differ
-            x = at.select("h", F.col("key").alias("a"), F.col("comp").alias("ca"))
-            y = at.select("h", F.col("key").alias("b"), F.col("comp").alias("cb"))
-            more = x.join(y, "h").where("ca <> cb and a < b").select("a", "b").distinct()
-        fresh = materialize(more.join(tested, ["a", "b"], "left_anti"), "omh-pairs")
-        found = verify(fresh, "omh-links")
-        links, tested = links.unionByName(found), tested.unionByName(fresh)
+        links, tested = links.unionByName(verify(fresh)), tested.unionByName(fresh)
     return None if links.isEmpty() else components(links)
 
 
+def _blocks(members: DataFrame, seqs: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The buckets that hold several components, dealt out in pairs of blocks.
+
+    ``outside`` marks texts that are not of the pivot's component: these meet each other
+    (``both``) and the rest, the rest need not meet itself."""
+    if labels is None:
+        at = members.select("h", "key", "pivot", F.col("key").alias("comp"), F.col("pivot").alias("own"))
+    else:
+        at = (members.join(labels, "key", "left")
+              .join(labels.select(F.col("key").alias("pivot"), F.col("comp").alias("own")), "pivot", "left")
+              .select("h", "key", "pivot", F.coalesce("comp", "key").alias("comp"), F.coalesce("own", "pivot").alias("own")))
+    at = materialize(at.select("h", "key", "comp", (F.col("comp") != F.col("own")).alias("outside")), "omh-at")
+    share = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
+    sizes = (at.groupBy("h").agg(F.count_if("outside").alias("n"), F.count_if(~F.col("outside")).alias("m")).where("n > 0")
+             .select("h", share.alias("nb"), F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("mb")))
+    x = F.col("blk")
+
+    def upto(n):
+        return F.sequence(F.lit(0), F.col(n) - 1)
+
+    among = F.transform(upto("nb"), lambda y: F.struct(F.lit(True).alias("both"), F.least(x, y).alias("i"), F.greatest(x, y).alias("j")))
+    across = F.transform(upto("mb"), lambda y: F.struct(F.lit(False).alias("both"), x.alias("i"), y.alias("j")))
+    rest = F.transform(upto("nb"), lambda y: F.struct(F.lit(False).alias("both"), y.alias("i"), x.alias("j")))
+    return (at.join(sizes, "h")
+            .withColumn("blk", F.pmod(F.xxhash64("key"), F.when(F.col("outside"), F.col("nb")).otherwise(F.col("mb")).cast("long")).cast("int"))
+            .select("h", "key", "comp", "outside", "blk",
+                    F.explode(F.when(F.col("outside"), F.concat(among, across)).otherwise(rest)).alias("p"))
+            .select("h", "key", "comp", "outside", "blk", "p.both", "p.i", "p.j")
+            .join(seqs.select("key", "bands", "sketch"), "key"))
+
+
 def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: its id and its class id."""
     return classes(docs, id_col, text_col).select(F.col("id").alias(id_col), "class_id")
