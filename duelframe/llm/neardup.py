@@ -129,7 +129,7 @@ def sketch(x: np.ndarray) -> np.ndarray:
 
 def estimate(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     """Estimated Jaccard index of a sketch with each row of ``many`` (chance hits taken out)."""
-    return ((many == one).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
+    return (np.count_nonzero(many == one, axis=1) / SKETCH - 1 / 256) / (1 - 1 / 256)
 
 
 def alignment_similarity(x: np.ndarray, y: np.ndarray, least: float = SIMILARITY) -> float:
@@ -186,7 +186,7 @@ _PAIRS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 def _alike(t: pa.Table, best_only: bool) -> pa.Table:
     """Pairs (a > b) of two blocks of one bucket that are of different components and whose
     estimate reaches ``ESTIMATE``; with ``best_only`` each text's best partner alone.  A pair
-    that meets in several buckets is given by the first of its equal tuples."""
+    that meets in several buckets is compared in one of them."""
     h, i, j, both = (t.column(c)[0].as_py() for c in ("h", "i", "j", "both"))
     key = t.column("key").to_pylist()
     sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(key), SKETCH)
@@ -199,15 +199,16 @@ def _alike(t: pa.Table, best_only: bool) -> pa.Table:
     for n, x in enumerate(left):
         other = right[n + 1:] if both and i == j and not best_only else right
         other = other[comp[other] != comp[x]]
+        if len(other):
+            equal = bands[other] == bands[x]                # a pair is compared in the bucket of its first equal tuple
+            other = other[bands[x][equal.argmax(axis=1)] == h]
         if not len(other):
             continue
         e = estimate(sk[x], sk[other])
         on = np.flatnonzero(e >= ESTIMATE)
         if best_only and len(on):
             on = on[[e[on].argmax()]]
-        for y in other[on]:
-            if best_only or bands[x][(bands[x] == bands[y]).argmax()] == h:
-                found.add((max(key[x], key[y]), min(key[x], key[y])))
+        found.update((max(key[x], key[y]), min(key[x], key[y])) for y in other[on])
     return pa.Table.from_arrays([pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)], schema=_PAIRS)
 
 
@@ -239,18 +240,18 @@ def components(edges: DataFrame) -> DataFrame:
         else:
             out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
                 least.select("a", F.col("m").alias("b")))
-        return out.where("a <> b").distinct()
+        return materialize(out.where("a <> b").distinct(), "omh-star")
 
-    def mark(e: DataFrame):
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def unsettled(e: DataFrame) -> DataFrame:
+        """Nodes that have two edges to smaller ones, or edges to both sides."""
+        ends = e.select("a", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+            e.select(F.col("b").alias("a"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        return ends.groupBy("a").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)")
 
-    before = None
     while True:
-        edges = materialize(star(star(edges, True), False), "omh-star")
-        now = mark(edges)
-        if now == before:
+        edges = star(star(edges, True), False)
+        if unsettled(edges).isEmpty():
             break
-        before = now
     comp = edges.select(F.col("a").alias("key"), F.col("b").alias("comp"))
     return comp.unionByName(comp.select(F.col("comp").alias("key"), "comp").distinct())
 
