@@ -7,13 +7,16 @@ from dataclasses import dataclass, field
 
 @dataclass(frozen=True)
 class PrefConfig:
-    """Parameters of a preference run (the full run's explicit values are the defaults)."""
+    """Parameters of a preference run (the full run's explicit values are the defaults).
+
+    Texts are whole by default: ``max_length`` and ``max_prompt_length`` are caps only
+    where a caller sets them (see ``TRAINER_CAPS``)."""
 
     beta: float = 0.1
     label_smoothing: float = 0.0
     reference_free: bool = False
-    max_length: int = 512
-    max_prompt_length: int = 128
+    max_length: int | None = None
+    max_prompt_length: int | None = None
     # Which end of the prompt survives truncation ('end' keeps the last tokens).
     prompt_keep: str = "end"
     # Which end of the answer survives sequence truncation ('start' keeps the first tokens).
@@ -29,6 +32,10 @@ class PrefConfig:
     bucket_edges: str = "0,32,64,96,128,99999"
 
 
+# The caps of the training run, for audits that read what the trainer read.
+TRAINER_CAPS = PrefConfig(max_length=512, max_prompt_length=128)
+
+
 @dataclass(frozen=True)
 class ChatTemplate:
     """Marker strings of a chat template; rendering is a pure column expression.

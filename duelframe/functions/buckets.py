@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+from itertools import pairwise
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def parse_edges(spec: str | list[int]) -> list[int]:
-    """Comma-separated integers, blanks ignored; fewer than two edges is an error."""
-    if isinstance(spec, str):
-        edges = [int(x.strip()) for x in spec.split(",") if x.strip()]
-    else:
-        edges = [int(x) for x in spec]
-    if len(edges) < 2:
-        raise ValueError("bucket edges need at least 2 numbers")
+def parse_edges(spec: str | Iterable[int]) -> list[int]:
+    """Boundaries of adjacent buckets: whole numbers in rising order, two at least.
+
+    A string lists them between commas; empty places are skipped.
+    """
+    given = re.split(r"\s*,\s*", spec.strip()) if isinstance(spec, str) else list(spec)
+    wrong = [x for x in given if not re.fullmatch(r"[+-]?\d*", str(x))]
+    if wrong:
+        raise ValueError(f"not a whole number: {wrong[0]!r}")
+    edges = [int(x) for x in given if x != ""]
+    if any(a >= b for a, b in pairwise(edges)):
+        raise ValueError("boundaries must rise")
+    if not edges[1:]:
+        raise ValueError("one bucket needs two boundaries")
     return edges
 
 

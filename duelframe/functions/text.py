@@ -23,9 +23,11 @@ def tokens(text, pattern: str = WHITESPACE) -> Column:
     return F.array_remove(F.split(F.coalesce(_c(text), F.lit("")), pattern), "")
 
 
-def truncate_prompt(toks, n: int, keep: str = "end") -> Column:
-    """Keep at most n tokens; 'end' keeps the last n, 'start' the first n."""
+def truncate_prompt(toks, n: int | None, keep: str = "end") -> Column:
+    """Keep at most n tokens (None: all); 'end' keeps the last n, 'start' the first n."""
     t = _c(toks)
+    if n is None:
+        return t
     if keep == "start":
         return F.slice(t, F.lit(1), F.lit(int(n)))
     if keep != "end":
@@ -33,9 +35,11 @@ def truncate_prompt(toks, n: int, keep: str = "end") -> Column:
     return F.slice(t, F.greatest(F.size(t) - F.lit(int(n)) + F.lit(1), F.lit(1)), F.lit(int(n)))
 
 
-def truncate_answer(answer_toks, prompt_len, max_length: int, keep: str = "start") -> Column:
-    """Cut the answer so that prompt + answer fits max_length."""
+def truncate_answer(answer_toks, prompt_len, max_length: int | None, keep: str = "start") -> Column:
+    """Cut the answer so that prompt + answer fits max_length (None: whole)."""
     a = _c(answer_toks)
+    if max_length is None:
+        return a
     budget = F.greatest(F.lit(int(max_length)) - _c(prompt_len), F.lit(0))
     if keep == "start":
         return F.slice(a, F.lit(1), budget)
@@ -50,14 +54,6 @@ def nonpad_len(ids, pad) -> Column:
     return F.size(F.filter(_c(ids), lambda x: ~(x.eqNullSafe(p))))
 
 
-def pad_to(ids, length, pad) -> Column:
-    """Right-pad an array to ``length`` with ``pad`` (what a collator does; used to test T5)."""
-    a = _c(ids)
-    p = pad if isinstance(pad, Column) else F.lit(pad)
-    fill = F.array_repeat(p, F.greatest(_c(length) - F.size(a), F.lit(0)))
-    return F.concat(a, fill)
-
-
 def char_len(text) -> Column:
     """Length in code points."""
     return F.length(_c(text))

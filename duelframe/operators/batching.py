@@ -12,69 +12,74 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duelframe.session import broadcast_if_small, checkpoint_dir
+from duelframe.session import materialize
 
 
-def _cols(xs) -> list[Column]:
-    return [F.col(x) if isinstance(x, str) else x for x in xs]
+def _same(a: DataFrame, b: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:
+    """Null-safe equality of column pairs: rows with a null key keep their place."""
+    cond = F.lit(True)
+    for x, y in pairs:
+        cond = cond & a[x].eqNullSafe(b[y])
+    return cond
 
 
-def with_row_index(df: DataFrame, order: Sequence, partition_by: Sequence[str] = (),
-                   name: str = "row_idx", num_partitions: int | None = None) -> DataFrame:
-    """Dense 0-based index over ``order`` (within each ``partition_by`` group).
+def with_row_index(df: DataFrame, order: Sequence[str], partition_by: Sequence[str] = (),
+                   name: str = "row_idx", num_partitions: int | None = None,
+                   key: Sequence[str] | None = None) -> DataFrame:
+    """Dense 0-based index over ``order`` (within each ``partition_by`` group, nulls being
+    a group of their own).
 
     Equivalent to ``row_number() - 1`` over the same window, without funnelling a whole
-    table or a whole hot group into one task: rows are range-partitioned on the group and
-    order keys, sorted inside each partition, checkpointed to the shared checkpoint folder
-    (so recomputation after an executor loss sees identical partitions), then each row gets
-    ``offset(partition, group) + position inside the partition``.  The offset table has at
-    most one row per (partition, group) and is the only thing a window runs over.
-    The order must be a total order (add a unique tie-breaker) for the result to be stable.
+    table or a whole hot group into one task.  Only the group, order and ``key`` columns are
+    range-partitioned, sorted and written to the shared checkpoint folder, each row with its
+    position inside its partition (so the positions stay fixed after an executor loss); the
+    index of a row is its partition's offset plus that position.  The offset table has one
+    row per (partition, group) and is the only thing a window runs over.  All other columns
+    are joined back by ``key``, which must identify a row (default: group and order columns,
+    which must then form a total order); a table of key columns only is not joined.
     """
     spark = df.sparkSession
-    checkpoint_dir(spark)
-    keys = list(partition_by) + list(order)
+    grp, by = list(partition_by), [*partition_by, *order]
+    key = list(key or by)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cached = df.repartitionByRange(n, *_cols(keys)).sortWithinPartitions(*_cols(keys)).persist()
-    # persisted first so the reliable checkpoint writes the computed partitions instead of
-    # recomputing them; the checkpoint keeps partition boundaries and row order fixed
-    ranged = cached.checkpoint(eager=True)
-    cached.unpersist()
-    tagged = (ranged.withColumn("_mid", F.monotonically_increasing_id())
-              .withColumn("_pid", F.shiftright(F.col("_mid"), 33)))
-    grp = list(partition_by)
+    slim = df.select(*dict.fromkeys([*by, *key]))
+    tagged = materialize(slim.repartitionByRange(n, *by).sortWithinPartitions(*by)
+                         .withColumn("_mid", F.monotonically_increasing_id()), "row-index")
+    tagged = tagged.withColumn("_pid", F.shiftright(F.col("_mid"), 33))
     counts = tagged.groupBy("_pid", *grp).agg(F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_first"))
     w = Window.partitionBy(*grp).orderBy("_pid") if grp else Window.orderBy("_pid")
-    offsets = counts.withColumn(
-        "_off", F.coalesce(F.sum("_cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    offsets = offsets.select("_pid", *grp, "_off", "_first")
-    if not grp:
-        # one row per Spark partition: bounded by the partition count chosen above
-        offsets = F.broadcast(offsets)
-    else:
-        # one row per (partition, group): counted, then broadcast only when small
-        offsets = broadcast_if_small(offsets)
-    out = tagged.join(offsets, on=["_pid", *grp], how="inner")
-    out = out.withColumn(name, (F.col("_off") + F.col("_mid") - F.col("_first")).cast("bigint"))
-    return out.drop("_mid", "_pid", "_off", "_first")
-
-
-def head_slice(df: DataFrame, n: int, order: Sequence = ("row_idx",)) -> DataFrame:
-    """The first n rows by an order (``train[:n]``); never a bare limit."""
-    if "row_idx" not in df.columns:
-        df = with_row_index(df, order)
-    return df.where(F.col("row_idx") < F.lit(int(n)))
+    before = F.coalesce(F.sum("_cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(F.col("_pid").alias("_p"), *[F.col(g).alias(f"_g_{g}") for g in grp],
+                            (before - F.col("_first")).alias("_shift"))
+    cond = _same(tagged, offsets, [("_pid", "_p"), *[(g, f"_g_{g}") for g in grp]])
+    index = tagged.join(offsets, cond).select(*key, (F.col("_mid") + F.col("_shift")).cast("bigint").alias(name))
+    if set(df.columns) <= set(key):
+        return index
+    index = index.select(*[F.col(k).alias(f"_k_{k}") for k in key], name)
+    return df.join(index, _same(df, index, [(k, f"_k_{k}") for k in key])).drop(*[f"_k_{k}" for k in key])
+
+
+def head_slice(df: DataFrame, n: int, order: Sequence[str] = ("row_idx",)) -> DataFrame:
+    """The first n rows by an order (``train[:n]``); never a bare limit.
+
+    A top-k (every partition keeps n rows); ``row_idx`` is the place among them."""
+    if "row_idx" in df.columns:
+        return df.where(F.col("row_idx") < F.lit(int(n)))
+    top = df.orderBy(*order).limit(int(n))
+    return top.withColumn("row_idx", (F.row_number().over(Window.orderBy(*order)) - 1).cast("bigint"))
 
 
 def select_by_index(df: DataFrame, ids: Sequence[int], idx_col: str = "row_idx") -> DataFrame:
     """S3: rows at the given positions, in list order, duplicates kept (column ``sel_pos``).
 
-    The id list lives on the driver, so its broadcast has a known size.  A position past
-    the end of the table yields no row (a dataset library would raise instead).
+    A position that the table does not have is an error.
     """
     spark = df.sparkSession
     sel = spark.createDataFrame([(i, int(x)) for i, x in enumerate(ids)], f"sel_pos int, {idx_col} bigint")
-    return df.join(F.broadcast(sel), on=idx_col, how="inner")
+    lost = sel.join(df.select(idx_col), on=idx_col, how="left_anti").first()
+    if lost is not None:
+        raise IndexError(f"no row at position {lost[idx_col]}")
+    return df.join(sel, on=idx_col, how="inner")
 
 
 def hash_key(id_col, seed: int) -> Column:
@@ -89,7 +94,7 @@ def sample_k(df: DataFrame, k: int, seed: int, id_col: str, mode: str = "hash")
     mode='hash': distributed top-k over md5('seed:id'); each partition keeps k rows and
     a final merge keeps k, so nothing larger than k rows meets in one place.
     mode='python': draws positions like ``random.Random(seed).sample(range(n), k)`` on the
-    driver (n is one count; k ints travel), then selects them with S3 on ``row_idx``.
+    driver (n is one count; k ints travel), then selects them with S3 on the ids' index.
     """
     if mode == "hash":
         key = hash_key(id_col, seed)
@@ -98,17 +103,17 @@ def sample_k(df: DataFrame, k: int, seed: int, id_col: str, mode: str = "hash")
                               .cast("int"))
     if mode != "python":
         raise ValueError("mode must be 'hash' or 'python'")
-    if "row_idx" not in df.columns:
-        df = with_row_index(df, [id_col])
-    n = df.count()
+    index = df.select(id_col, "row_idx") if "row_idx" in df.columns else with_row_index(df.select(id_col), [id_col])
+    n = index.count()
     ids = random.Random(seed).sample(range(n), min(int(k), n))
-    return select_by_index(df, ids).withColumnRenamed("sel_pos", "sample_pos")
+    drawn = select_by_index(index, ids).withColumnRenamed("sel_pos", "sample_pos")
+    return df.drop("row_idx").join(drawn, on=id_col)
 
 
 def shuffle_take(df: DataFrame, n: int, seed: int, id_col: str) -> DataFrame:
-    """Seeded shuffle, then the first n rows; ``row_idx`` is the shuffled position."""
-    ranked = with_row_index(df.withColumn("_hk", hash_key(id_col, seed)), ["_hk", id_col])
-    return ranked.where(F.col("row_idx") < F.lit(int(n))).drop("_hk")
+    """Seeded shuffle, then the first n rows; ``row_idx`` is the shuffled position.  A
+    top-k over the hash order: rows past the first n of each partition never move."""
+    return head_slice(df.drop("row_idx").withColumn("_hk", hash_key(id_col, seed)), n, ["_hk", id_col]).drop("_hk")
 
 
 def assign_batches(df: DataFrame, size: int, drop_last: bool = False, idx_col: str = "row_idx") -> DataFrame:

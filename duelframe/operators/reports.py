@@ -16,11 +16,12 @@ from duelframe.functions.text import char_len, preview
 
 def select_tags(metric_log: DataFrame, substrings: Sequence[str] = ("rewards/", "logps/", "logits/"),
                 tag_col: str = "tag") -> DataFrame:
-    """Metric rows whose tag contains any of the substrings, sorted by tag."""
+    """Metric rows whose tag contains any of the substrings (rows have no order: a sort
+    by the few tags would put each tag in one task)."""
     keep = F.lit(False)
     for sub in substrings:
         keep = keep | F.col(tag_col).contains(sub)
-    return metric_log.where(keep).orderBy(tag_col)
+    return metric_log.where(keep)
 
 
 def summarise(scored: DataFrame) -> DataFrame:
@@ -59,6 +60,8 @@ def bucket_report(scored: DataFrame, edges: str | Sequence[int] = PrefConfig().b
                   mode: str = "reference", key: str = "length_key") -> DataFrame:
     """Per-bucket count and means plus the overall row, in one pass.
 
+    ``n_scored`` counts the pairs that the means are over (an empty answer has no score).
+
     ``rollup`` on the bucket id is GROUPING SETS ((bucket), ()), so the overall row and
     the buckets come out of one partial/final aggregation.  Empty buckets are absent;
     rows sort by the bucket's lower edge with the overall row first.
@@ -66,13 +69,13 @@ def bucket_report(scored: DataFrame, edges: str | Sequence[int] = PrefConfig().b
     e = parse_edges(edges)
     b = scored.withColumn("bucket_id", bucket_id(F.col(key), e, mode))
     agg = b.rollup("bucket_id").agg(
-        F.grouping("bucket_id").alias("_g"), F.count(F.lit(1)).alias("n"),
+        F.grouping("bucket_id").alias("_g"), F.count(F.lit(1)).alias("n"), F.count("loss").alias("n_scored"),
         F.avg("loss").alias("mean_loss"), F.avg("reward_margin").alias("mean_margin"),
         F.avg(F.col("correct").cast("double")).alias("mean_acc"))
     out = agg.select(
         F.when(F.col("_g") == 1, F.lit("overall")).otherwise(bucket_label(F.col("bucket_id"), e)).alias("bucket"),
         F.when(F.col("_g") == 1, F.lit(None).cast("int")).otherwise(F.col("bucket_id")).alias("bucket_id"),
-        "n", "mean_loss", "mean_margin", "mean_acc")
+        "n", "n_scored", "mean_loss", "mean_margin", "mean_acc")
     # at most len(edges) rows: sorting them is free
     return out.orderBy(F.col("bucket_id").asc_nulls_first())
 
@@ -98,7 +101,7 @@ def compare_policies(seq_wide: DataFrame, policy_ids: Sequence[str], ref_id: str
     scored = with_dpo_metrics(long, cfg).withColumn(
         "mean_logp_margin", mean_logp_margin("pc", "n_chosen", "pr", "n_rejected"))
     return scored.groupBy("policy_id").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("loss").alias("loss"), F.avg("reward_margin").alias("reward_margin"),
+        F.count(F.lit(1)).alias("n"), F.count("loss").alias("n_scored"), F.avg("loss").alias("loss"), F.avg("reward_margin").alias("reward_margin"),
         F.avg(F.col("correct").cast("double")).alias("accuracy"),
         F.avg("mean_logp_margin").alias("mean_logp_margin"),
         F.avg((F.col("mean_logp_margin") > 0).cast("double")).alias("frac_mean_logp_pos"))

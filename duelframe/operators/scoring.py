@@ -15,15 +15,16 @@ External models plug in through ``external_sequence_logps`` (Arrow-batched mapIn
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duelframe.functions.text import tokens
-from duelframe.session import materialize, write_bucketed
+from duelframe.session import materialize
 
 # Fixed value of the built-in scorer (FIXTURES.md F5): interpolation weight.
 DEFAULT_ALPHA = 100.0
@@ -81,7 +82,7 @@ def fit_bigram(docs: DataFrame, models: Mapping[str, Column], text_col: str = "t
     """L5 fit: count unigrams and bigrams of whole documents for every model at once.
 
     ``models`` maps a model id to a boolean Column saying whether a document belongs to
-    that model's corpus (spread a single-split input first, see ``sources.tables.spread``).
+    that model's corpus (spread an input of few splits first, see ``sources.tables.spread``).
     One grouped sum over (prev, w) rows -- with a NULL prev for
     each document's first token -- yields everything: bigram counts are its non-NULL
     rows, unigram counts its sums by w, context counts the bigram sums by prev.  The
@@ -97,15 +98,14 @@ def fit_bigram(docs: DataFrame, models: Mapping[str, Column], text_col: str = "t
     if write_counts:
         # The fitted counts feed four tables; write them once to the shared checkpoint
         # folder so the document corpus is tokenised and shuffled exactly once, and the
-        # derived tables are aggregated once instead of in every scoring job.  Each is
-        # bucketed on the key it is joined on, so scoring never re-shuffles the model.
-        allp = write_bucketed(allp, "bigram-counts", ["prev", "w"])
+        # derived tables are aggregated once instead of in every scoring job.
+        allp = materialize(allp, "bigram-counts")
     bi = allp.where(F.col("prev").isNotNull())
     uni = allp.groupBy("w").agg(*[F.sum(f"c_{m}").alias(f"c_{m}") for m in ids])
     ctx = bi.groupBy("prev").agg(*[F.sum(f"c_{m}").alias(f"c_{m}") for m in ids])
     if write_counts:
-        uni = write_bucketed(uni, "unigram-counts", ["w"])
-        ctx = write_bucketed(ctx, "context-counts", ["prev"])
+        uni = materialize(uni, "unigram-counts")
+        ctx = materialize(ctx, "context-counts")
     totals = uni.agg(*[F.sum(f"c_{m}").alias(f"n_{m}") for m in ids], F.count(F.lit(1)).alias("vocab"))
     if write_counts:
         totals = materialize(totals, "model-totals")
@@ -118,35 +118,50 @@ def fit_bigram(docs: DataFrame, models: Mapping[str, Column], text_col: str = "t
 NO_CONTEXT = ""
 
 
-def token_rows(side_rows: DataFrame) -> DataFrame:
+def token_rows(side_rows: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """L2/L3: one row per answer token with its predecessor (shift alignment).
 
     The first answer token is predicted from the last prompt word (``context0``).  Sides
     with an empty answer keep one row with a NULL token so that they survive aggregation.
     """
     return (side_rows
-            .select("pair_id", "side", "context0", "answer_tokens",
+            .select("pair_id", "side", *carry, "context0", "answer_tokens",
                     F.posexplode_outer("answer_tokens").alias("pos", "w"))
             .withColumn("prev", F.coalesce(F.when(F.col("pos") == 0, F.col("context0"))
                                            .otherwise(F.get(F.col("answer_tokens"), F.col("pos") - F.lit(1))),
                                            F.lit(NO_CONTEXT)))
-            .select("pair_id", "side", "pos", "prev", "w"))
+            .select("pair_id", "side", *carry, "pos", "prev", "w"))
+
+
+# Fixed number of salts of the two single-word joins in ``key_logps``.
+KEY_SALTS = 16
+
+
+def _replicated(counts: DataFrame, salt: str) -> DataFrame:
+    return counts.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(KEY_SALTS - 1))))
 
 
 def key_logps(keys: DataFrame, model: BigramModel, model_ids: tuple[str, ...] | None = None) -> DataFrame:
     """log p(w | prev) for distinct (prev, w) keys, one ``lp_<m>`` column per model.
 
-    Keys are distinct, so these joins carry no hot key; small count tables become
-    broadcasts at run time (AQE measures them), large ones stay sort-merge joins.
+    The pairs are distinct, but one word can still have very many distinct successors (or
+    predecessors), which all meet that word's row.  Those keys are split by a salt, the hash
+    of the other word modulo ``KEY_SALTS``, and each word's row is given once per salt.
+    Small count tables become broadcasts at run time (AQE measures them).
     """
     ids = model_ids or model.model_ids
     a = F.lit(float(model.alpha))
-    k = (keys
+
+    def salt(word):
+        return F.pmod(F.xxhash64(word), F.lit(KEY_SALTS)).cast("int")
+
+    unigrams = _replicated(model.unigrams.select("w", *[F.col(f"c_{m}").alias(f"uc_{m}") for m in ids]), "_by_prev")
+    contexts = _replicated(model.contexts.select("prev", *[F.col(f"c_{m}").alias(f"cc_{m}") for m in ids]), "_by_w")
+    k = (keys.withColumn("_by_prev", salt("prev")).withColumn("_by_w", salt("w"))
          .join(model.bigrams.select("prev", "w", *[F.col(f"c_{m}").alias(f"bc_{m}") for m in ids]),
                on=["prev", "w"], how="left")
-         .join(model.unigrams.select("w", *[F.col(f"c_{m}").alias(f"uc_{m}") for m in ids]), on="w", how="left")
-         .join(model.contexts.select("prev", *[F.col(f"c_{m}").alias(f"cc_{m}") for m in ids]), on="prev",
-               how="left")
+         .join(unigrams, on=["w", "_by_prev"], how="left")
+         .join(contexts, on=["prev", "_by_w"], how="left")
          .crossJoin(F.broadcast(model.totals)))   # one row
     cols = []
     for m in ids:
@@ -159,9 +174,14 @@ def key_logps(keys: DataFrame, model: BigramModel, model_ids: tuple[str, ...] |
 
 
 def sequence_logps_wide(side_rows: DataFrame, model: BigramModel,
-                        model_ids: tuple[str, ...] | None = None, mask_token: str | None = None) -> DataFrame:
+                        model_ids: tuple[str, ...] | None = None, mask_token: str | None = None,
+                        carry: Sequence[str] = (), empty: str = "null") -> DataFrame:
     """L4: per (pair_id, side): n_tokens and sum_<m> / mean_<m> for every model.
 
+    ``carry`` names columns of a side (lengths, a batch id) that go with its tokens through
+    the same aggregate, so that no join has to bring them back.  Sums and means of empty
+    answers are NULL, or NaN with ``empty='nan'`` (one NaN then shows in every mean).
+
     Distinct (prev, w) keys are scored once (a partial aggregate, so hot keys collapse
     map-side), then joined back to the token rows; the per-side sums are partial
     aggregates.
@@ -174,15 +194,21 @@ def sequence_logps_wide(side_rows: DataFrame, model: BigramModel,
     # planner-inserted shuffles, so a key holding a third of all tokens is split across
     # tasks while its single scored row is replicated.  Rows of empty answers (w NULL)
     # never match a key.
-    toks = token_rows(side_rows)
+    if empty not in ("null", "nan"):
+        raise ValueError("empty must be 'null' or 'nan'")
+    toks = token_rows(side_rows, carry)
     if mask_token is not None:
         toks = toks.withColumn("w", F.when(F.col("w") != F.lit(mask_token), F.col("w")))
     keys = toks.select("prev", "w").distinct()
     lp = key_logps(keys, model, ids)
-    joined = toks.join(lp, on=["prev", "w"], how="left").select("pair_id", "side", "w", *[f"lp_{m}" for m in ids])
+    joined = toks.join(lp, on=["prev", "w"], how="left").select("pair_id", "side", *carry, "w", *[f"lp_{m}" for m in ids])
     agg = joined.groupBy("pair_id", "side").agg(
-        F.count("w").alias("n_tokens"),
+        F.count("w").alias("n_tokens"), *[F.max(c).alias(c) for c in carry],
         *[F.sum(f"lp_{m}").alias(f"sum_{m}") for m in ids])
+    if empty == "nan":
+        for m in ids:
+            agg = agg.withColumn(f"sum_{m}", F.when(F.col("n_tokens") > 0, F.col(f"sum_{m}")).otherwise(F.lit(math.nan)))
+        return agg.select("*", *[(F.col(f"sum_{m}") / F.greatest(F.col("n_tokens"), F.lit(1))).alias(f"mean_{m}") for m in ids])
     for m in ids:
         agg = agg.withColumn(f"mean_{m}", F.when(F.col("n_tokens") > 0, F.col(f"sum_{m}") / F.col("n_tokens")))
     return agg
@@ -198,9 +224,12 @@ def sequence_logps(side_rows: DataFrame, model: BigramModel,
     return wide.select("pair_id", "side", "n_tokens", longf)
 
 
-def pair_logps(seq_wide: DataFrame, policy_id: str, ref_id: str | None) -> DataFrame:
+def pair_logps(seq_wide: DataFrame, policy_id: str, ref_id: str | None,
+               carry: Mapping[str, tuple[str, str]] | None = None) -> DataFrame:
     """Policy x reference per pair (pc, pr, rc, rr, n_chosen, n_rejected).
 
+    ``carry`` adds columns: name -> (column of a side, which side).
+
     Sides are pivoted with explicit values.  ``ref_id=None`` copies the policy as its own
     reference, the library default the reference relied on.
     """
@@ -215,7 +244,8 @@ def pair_logps(seq_wide: DataFrame, policy_id: str, ref_id: str | None) -> DataF
         pick(f"mean_{policy_id}", "chosen").alias("mc_policy"), pick(f"mean_{policy_id}", "rejected").alias("mr_policy"),
         pick(f"mean_{ref}", "chosen").alias("mc_ref"), pick(f"mean_{ref}", "rejected").alias("mr_ref"),
         pick("n_tokens", "chosen").cast("bigint").alias("n_chosen"),
-        pick("n_tokens", "rejected").cast("bigint").alias("n_rejected"))
+        pick("n_tokens", "rejected").cast("bigint").alias("n_rejected"),
+        *[pick(c, side).alias(name) for name, (c, side) in (carry or {}).items()])
 
 
 def external_sequence_logps(side_rows: DataFrame, predict: Callable, model_id: str) -> DataFrame:

@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duelframe.config import PrefConfig
+from duelframe.config import TRAINER_CAPS, ChatTemplate, PrefConfig
 from duelframe.functions import chat as C
 from duelframe.functions import text as T
 
 SIDES = ("chosen", "rejected")
+CARRIED = ("row_idx", "batch_id")      # columns of a pair that stay with its sides
 
 
 def extract(pairs: DataFrame, mode: str = "last_assistant", on_missing: str = "empty") -> DataFrame:
@@ -42,7 +43,7 @@ def extract(pairs: DataFrame, mode: str = "last_assistant", on_missing: str = "e
         raise ValueError("mode must be 'last_assistant', 'positional' or 'common_prefix'")
     prompt_text = prompt if mode == "positional" else C.chat_text(p_c)
     return pairs.select(
-        "pair_id", *[x for x in pairs.columns if x == "row_idx"],
+        "pair_id", *[x for x in pairs.columns if x in CARRIED],
         F.lit(mode).alias("extract_mode"),
         p_c.alias("prompt_msgs_chosen"), p_r.alias("prompt_msgs_rejected"),
         prompt_text.alias("prompt_text"), a_c.alias("chosen_text"), a_r.alias("rejected_text"),
@@ -62,15 +63,23 @@ def check_prompt_same(extracted: DataFrame, on_fail: str = "flag") -> DataFrame:
     raise ValueError("on_fail must be 'flag', 'drop' or 'raise'")
 
 
-def sides(extracted: DataFrame, cfg: PrefConfig = PrefConfig()) -> DataFrame:
-    """unpivot to one row per side; tokenise; truncate.
+def sides(extracted: DataFrame, cfg: PrefConfig = PrefConfig(), template: ChatTemplate | None = None) -> DataFrame:
+    """unpivot to one row per side; tokenise; truncate (T1-T3) where ``cfg`` has caps.
+
+    With a ``template`` the prompt is the rendered chat up to the generation marker (P5),
+    so prompt lengths and the first answer word's context include the markers.
 
     Columns: pair_id, side, prompt_tokens, answer_tokens, prompt_len_raw, prompt_len,
     answer_len_raw, answer_len, prompt_truncated, truncated, context0 (last prompt word).
     """
-    keep = ["pair_id"] + [x for x in extracted.columns if x in ("row_idx",)]
+    keep = ["pair_id"] + [x for x in extracted.columns if x in CARRIED]
+
+    def prompt(s):
+        msgs = F.col(f"prompt_msgs_{s}")
+        return C.chat_text(msgs) if template is None else C.render_chat(msgs, template, add_generation_prompt=True)
+
     per_side = F.inline(F.array(*[
-        F.struct(F.lit(s).alias("side"), C.chat_text(F.col(f"prompt_msgs_{s}")).alias("p_text"),
+        F.struct(F.lit(s).alias("side"), prompt(s).alias("p_text"),
                  F.col(f"{s}_text").alias("a_text"))
         for s in SIDES]))
     base = extracted.select(*keep, per_side)
@@ -86,7 +95,7 @@ def sides(extracted: DataFrame, cfg: PrefConfig = PrefConfig()) -> DataFrame:
            .select(*keep, "side", "prompt_tokens", "answer_tokens",
                    F.size("_rp").alias("prompt_len_raw"), "prompt_len",
                    F.size("_ra").alias("answer_len_raw"), F.size("answer_tokens").alias("answer_len"),
-                   (F.size("_rp") > F.lit(cfg.max_prompt_length)).alias("prompt_truncated"),
+                   (F.size("prompt_tokens") < F.size("_rp")).alias("prompt_truncated"),
                    (F.size("answer_tokens") < F.size("_ra")).alias("truncated"),
                    F.get(F.col("_rp"), F.size("_rp") - F.lit(1)).alias("context0"),
                    F.col("a_text").isNull().alias("answer_missing")))
@@ -111,7 +120,7 @@ def length_key(side_rows: DataFrame, by: str = "prompt") -> DataFrame:
     return g.withColumn("length_key", F.col(by))
 
 
-def truncation_report(side_rows: DataFrame, cfg: PrefConfig = PrefConfig()) -> DataFrame:
+def truncation_report(side_rows: DataFrame, cfg: PrefConfig = TRAINER_CAPS) -> DataFrame:
     """T4: strict '>' limit flags on untruncated lengths, next to the truncated lengths."""
     full_raw = F.col("prompt_len_raw") + F.col("answer_len_raw")
     return side_rows.select(

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from duelframe.functions.logits import dot
 from duelframe.functions.metrics import log_sigmoid, sigmoid
 from duelframe.operators.batching import with_row_index
-from duelframe.session import broadcast_if_small
 
 
 # ---------------------------------------------------------------- schedules and logs
@@ -33,20 +32,24 @@ def lr_schedule(steps: DataFrame, total_col: str = "total_steps", peak: float =
 
 
 def rollup_log(metric_log: DataFrame, every: int = 10) -> DataFrame:
-    """Mean of each tag over bins of ``every`` steps (bin = step div every)."""
-    return (metric_log.withColumn("bin", (F.col("step") / F.lit(int(every))).cast("bigint"))
+    """Mean of each tag over windows of ``every`` steps.
+
+    Steps are 1-based: bin b covers steps ``every*b + 1`` to ``every*(b+1)``, the step at
+    which the window is logged (``log_step``)."""
+    n = F.lit(int(every))
+    return (metric_log.withColumn("bin", ((F.col("step") - 1) / n).cast("bigint"))
             .groupBy("run_id", "tag", "bin")
-            .agg(F.avg("value").alias("value"), F.count(F.lit(1)).alias("n"),
+            .agg(((F.col("bin") + 1) * n).alias("log_step"), F.avg("value").alias("value"), F.count(F.lit(1)).alias("n"),
                  F.min("step").alias("first_step"), F.max("step").alias("last_step")))
 
 
 def checkpoint_steps(metric_log: DataFrame, every: int = 1000) -> DataFrame:
-    """Steps that get a checkpoint: every ``every`` steps plus the run's last step."""
-    steps = metric_log.select("run_id", "step").distinct()
-    last = broadcast_if_small(steps.groupBy("run_id").agg(F.max("step").alias("last_step")))
-    joined = steps.join(last, on="run_id", how="inner")
-    return joined.where(((F.col("step") % F.lit(int(every))) == 0) | (F.col("step") == F.col("last_step"))) \
-        .select("run_id", "step", (F.col("step") == F.col("last_step")).alias("is_last"))
+    """Steps that get a checkpoint: every ``every`` steps plus the run's last step.
+
+    One maximum per run and one filter; only the kept steps are made distinct."""
+    last = metric_log.groupBy("run_id").agg(F.max("step").alias("step")).withColumn("is_last", F.lit(True))
+    kept = metric_log.where((F.col("step") % F.lit(int(every))) == 0).select("run_id", "step", F.lit(False).alias("is_last"))
+    return kept.unionByName(last).groupBy("run_id", "step").agg(F.max("is_last").alias("is_last"))
 
 
 def smooth(df: DataFrame, weight: float, group_cols: Sequence[str], index_col: str, value_col: str = "value",
@@ -67,8 +70,8 @@ def smooth(df: DataFrame, weight: float, group_cols: Sequence[str], index_col: s
         raise ValueError("weight must be in [0, 1)")
     grp = list(group_cols)
     if not dense:
-        df = with_row_index(df, [index_col], partition_by=grp, name="_k0").withColumn("_k", F.col("_k0") + 1) \
-            .drop("_k0")
+        df = (with_row_index(df, [index_col], partition_by=grp, name="_k0")
+              .withColumn("_k", F.col("_k0") + 1).drop("_k0"))
     else:
         df = df.withColumn("_k", F.col(index_col).cast("bigint"))
     if w == 0.0:
@@ -88,8 +91,11 @@ def smooth(df: DataFrame, weight: float, group_cols: Sequence[str], index_col: s
              .withColumn("_t", F.col("_b") + F.lit(1) + F.col("_d"))
              .groupBy(*grp, "_t")
              .agg(F.sum(F.col("_s") * F.pow(wl, (F.col("_d") * F.lit(block)).cast("double"))).alias("_carry"))
-             .withColumnRenamed("_t", "_b"))
-    out = d.join(carry, on=[*grp, "_b"], how="left")
+             .select(*[F.col(g).alias(f"_g_{g}") for g in grp], "_t", "_carry"))
+    cond = d["_b"] == carry["_t"]
+    for g in grp:
+        cond = cond & d[g].eqNullSafe(carry[f"_g_{g}"])
+    out = d.join(carry, cond, "left").drop("_t", *[f"_g_{g}" for g in grp])
     e = F.coalesce(F.col("_carry"), F.lit(0.0)) * F.pow(wl, F.col("_o") + F.lit(1.0)) + F.col("_local")
     debias = F.lit(1.0) - F.pow(wl, F.col("_k").cast("double"))
     return out.withColumn(out_col, e / debias).drop("_b", "_o", "_x", "_local", "_carry", "_k")
@@ -104,12 +110,28 @@ def last_smoothed(df: DataFrame, weight: float, group_cols: Sequence[str], index
     """
     w = float(weight)
     grp = list(group_cols)
-    n = broadcast_if_small(df.groupBy(*grp).agg(F.max(index_col).alias("_n")))
-    j = df.join(n, on=grp, how="inner")
+    parts = smooth_part(df, w, grp, index_col, value_col)
+    return parts.select(*grp, "n_points", debiased(F.col("e"), F.col("n_points"), w).alias("last_smoothed"))
+
+
+def smooth_part(df: DataFrame, weight: float, group_cols: Sequence[str], index_col: str,
+                value_col: str = "value") -> DataFrame:
+    """(group, n_points, e): number of points and the undebiased average E_n of each group.
+
+    Two consecutive parts combine as ``E = w^n2 * E1 + E2``, ``n = n1 + n2``."""
+    w, grp = float(weight), list(group_cols)
+    n = df.groupBy(*grp).agg(F.max(index_col).alias("_n"))
+    n = n.select(*[F.col(g).alias(f"_g_{g}") for g in grp], "_n")
+    cond = F.lit(True)
+    for g in grp:
+        cond = cond & df[g].eqNullSafe(n[f"_g_{g}"])
     term = F.lit(1.0 - w) * F.pow(F.lit(w), (F.col("_n") - F.col(index_col)).cast("double")) * F.col(value_col)
-    return j.groupBy(*grp).agg(F.max("_n").alias("n_points"), F.sum(term).alias("_e")).select(
-        *grp, "n_points",
-        (F.col("_e") / (F.lit(1.0) - F.pow(F.lit(w), F.col("n_points").cast("double")))).alias("last_smoothed"))
+    return df.join(n, cond).groupBy(*grp).agg(F.max("_n").alias("n_points"), F.sum(term).alias("e"))
+
+
+def debiased(e, n, weight: float):
+    """E_n / (1 - w^n)."""
+    return e / (F.lit(1.0) - F.pow(F.lit(float(weight)), n.cast("double")))
 
 
 # ---------------------------------------------------------------- linear preference model
@@ -159,17 +181,14 @@ def gradient(deltas: DataFrame, theta, beta: float = 0.1) -> DataFrame:
 def fit_linear_dpo(pairs: DataFrame, beta: float = 0.1, steps: int = 60, lr: float = 50.0) -> DataFrame:
     """Plain full-batch gradient descent on the linear preference model.
 
-    The deltas are cached once, one partition per core (fewer for tiny inputs), so each
-    step is one aggregation job over all cores returning one row (the mean gradient,
-    O(dimension)); theta is updated on the driver.  Returns the step log: step, loss,
+    The deltas are cached once, partitioned as they arrive, so the data are read once and
+    each step is one aggregation job returning one row (the mean gradient, O(dimension));
+    theta is updated on the driver.  Returns the step log: step, loss,
     accuracy, grad_norm_sq, with step 0 at theta = 0 and step s after s updates.
     """
     spark = pairs.sparkSession
-    deltas = feature_deltas(pairs)
-    stats = deltas.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("dphi")).alias("d")).first()
-    n, dim = int(stats["n"]), int(stats["d"] or 0)
-    parts = max(1, min(spark.sparkContext.defaultParallelism, n))
-    deltas = deltas.repartition(parts).persist()
+    deltas = feature_deltas(pairs).persist()
+    dim = int(deltas.agg(F.max(F.size("dphi")).alias("d")).first()["d"] or 0)
     theta = [0.0] * dim
     log = []
     for step in range(int(steps) + 1):

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
-from duelframe.config import ChatTemplate, PrefConfig
+from duelframe.config import TRAINER_CAPS, ChatTemplate, PrefConfig
 from duelframe.functions import chat as C
 from duelframe.functions import text as T
 from duelframe.functions.logits import array_mean, log_softmax_gather
@@ -27,22 +27,27 @@ from duelframe.operators import training as TR
 from duelframe.sources import fixtures as fx
 from duelframe.sources.tables import read_table, spread
 
-CFG = PrefConfig()
+CFG = PrefConfig()          # whole texts
+TRAINER = TRAINER_CAPS      # what the training run read: capped prompts and sequences
+TIGHT = PrefConfig(max_length=256, max_prompt_length=128)
 
 # Fixed values of the registered queries (parameters, stated once).
-SELECT_IDS = (41, 72, 16, 48, 18, 72)   # positions into the pair table, list order, duplicate kept
+SELECT_K, SELECT_STRIDE, SELECT_OFFSET = 6, 7919, 13   # positions (stride*i + offset) mod n, the first one again at the end
 HEAD_N = 50                              # head slice length
 SAMPLE_K, SAMPLE_SEED = 80, 42           # seeded sample
 SHUFFLE_SEED = 0                         # seeded shuffle used for batches
-AUDIT_BATCH, AUDIT_N_BATCHES = 8, 10     # 10 batches of 8 from the shuffled pairs
+AUDIT_BATCH, AUDIT_N_BATCHES = 8, 10     # batch_metrics: the first 10 batches of 8 of the shuffled pairs
+SHUFFLE_TAKE = 64                        # rows after the seeded shuffle
 MEAN_BATCH = 4                           # batch size of the mean-of-batch-means audit
-GREEDY_STEPS = 8
-SMOOTH_WEIGHT = 0.8
+GREEDY_STEPS = 160
+SMOOTH_WEIGHT, SMOOTH_WEIGHT_LIGHT = 0.8, 0.6
 LOG_EVERY = 10
+SMOKE_STEPS = 60                         # step cap of a short run
 SAVE_EVERY = 1000
 PAD_TOKEN = None
 EOS_TOKEN = "<|endoftext|>"
-STREAM_WINDOW = "6 hours"
+STREAM_WINDOW, STREAM_DELAY = "6 hours", "1 hour"
+UNDERFLOW_EDGES = "32,64,96,128"
 LINEAR_STEPS, LINEAR_LR = 60, 50.0
 TEMPLATE = ChatTemplate()
 
@@ -53,6 +58,13 @@ MODEL_FILTERS = {
     "nontoxic": lambda: F.col("toxic") == 0,
 }
 
+MODELS_CONF = "spark.duelframe.models"   # a folder with a saved fit of all models over the same tables
+
+# Checkpoints of a growing policy: its corpus after each step is the share of the quality=1
+# documents whose id falls into the first residues modulo 4.
+CHECKPOINTS = {f"step_{1000 * s}": s for s in (1, 2, 3, 4)}
+MODEL_FILTERS |= {m: (lambda s=s: (F.col("quality") == 1) & (F.col("doc_id") % 4 < s)) for m, s in CHECKPOINTS.items()}
+
 
 def round_doubles(df: DataFrame, n: int = 6) -> DataFrame:
     cols = []
@@ -75,51 +87,51 @@ def _extracted(spark, d, mode="last_assistant"):
     return S.extract(_pairs(spark, d), mode)
 
 
-def _sides(spark, d, cfg=CFG):
-    return S.sides(_extracted(spark, d), cfg)
+def _sides(spark, d, cfg=CFG, mode="last_assistant", template=None):
+    return S.sides(_extracted(spark, d, mode), cfg, template)
+
 
+def _model(spark, d, ids=("ref", "policy")):
+    """The corpus's bigram models: fitted together in one pass over the documents, their
+    counts written to the shared folder.  If the session names a folder in ``MODELS_CONF``,
+    the fit that ``BigramModel.save`` left there is loaded instead."""
+    unknown = set(ids) - set(MODEL_FILTERS)
+    if unknown:
+        raise ValueError(f"unknown model ids {sorted(unknown)}")
+    saved = spark.conf.get(MODELS_CONF, None)
+    return SC.BigramModel.load(spark, saved) if saved else fit_models(spark, d, ids)
 
-_FITTED: dict = {}
 
+def fit_models(spark, d, ids=tuple(MODEL_FILTERS)):
+    cores = spark.sparkContext.defaultParallelism
+    docs = spread(read_table(spark, d, "documents"), cores).join(read_table(spark, d, "labels"), on="doc_id", how="left")
+    return SC.fit_bigram(docs, {m: MODEL_FILTERS[m]() for m in ids})
 
-def _model(spark, d, ids=("ref", "policy")):
-    """Fit (or reuse) the corpus's bigram models: all models are fitted together in one pass
-    over the documents, once per session, and every scoring query reads the fitted counts."""
-    # the cached DataFrames keep their session alive, so its id() cannot be reused meanwhile
-    key = (spark.sparkContext.applicationId, id(spark), d)
-    if key not in _FITTED:
-        docs = spread(read_table(spark, d, "documents")).join(read_table(spark, d, "labels"), on="doc_id",
-                                                             how="left")
-        _FITTED[key] = SC.fit_bigram(docs, {m: f() for m, f in MODEL_FILTERS.items()})
-    missing = set(ids) - set(_FITTED[key].model_ids)
-    if missing:
-        raise ValueError(f"unknown model ids {sorted(missing)}")
-    return _FITTED[key]
-
-
-def _seq(spark, d, ids=("ref", "policy"), side_rows=None):
+
+def _seq(spark, d, ids=("ref", "policy"), side_rows=None, carry=()):
     sd = side_rows if side_rows is not None else _sides(spark, d)
-    return SC.sequence_logps_wide(sd, _model(spark, d, ids), ids)
+    return SC.sequence_logps_wide(sd, _model(spark, d, ids), ids, carry=carry)
 
 
-def _pair_logps(spark, d, side_rows=None):
-    return SC.pair_logps(_seq(spark, d, side_rows=side_rows), "policy", "ref")
+def _pair_logps(spark, d, side_rows=None, carry=None):
+    seq = _seq(spark, d, side_rows=side_rows, carry=tuple(dict.fromkeys(c for c, _ in (carry or {}).values())))
+    return SC.pair_logps(seq, "policy", "ref", carry)
 
 
-def _scored(spark, d, side_rows=None):
-    return with_dpo_metrics(_pair_logps(spark, d, side_rows), CFG)
+def _scored(spark, d, side_rows=None, carry=None, cfg=CFG):
+    return with_dpo_metrics(_pair_logps(spark, d, side_rows, carry), cfg)
 
 
-def _shuffled_pairs(spark, d):
-    """Pairs with row_idx = position in the seeded shuffle order."""
-    p = _pairs(spark, d).withColumn("_hk", B.hash_key("pair_id", SHUFFLE_SEED))
-    return B.with_row_index(p, ["_hk", "pair_id"]).drop("_hk")
+def _shuffled_index(spark, d):
+    """(pair_id, row_idx): position in the seeded shuffle order."""
+    keys = fx.pair_ids(spark, d).withColumn("_hk", B.hash_key("pair_id", SHUFFLE_SEED))
+    return B.with_row_index(keys, ["_hk", "pair_id"]).select("pair_id", "row_idx")
 
 
 # ----------------------------------------------------------------- pairs
 
-def q_pairs_last_assistant(spark, d):
-    e = S.check_prompt_same(_extracted(spark, d, "last_assistant"), "flag")
+def _last_assistant(pairs):
+    e = S.check_prompt_same(S.extract(pairs, "last_assistant"), "flag")
     return e.select("pair_id", F.size("prompt_msgs_chosen").cast("bigint").alias("n_prompt_msgs"),
                     T.char_len("prompt_text").cast("bigint").alias("prompt_chars"),
                     T.char_len("chosen_text").cast("bigint").alias("chosen_chars"),
@@ -127,6 +139,19 @@ def q_pairs_last_assistant(spark, d):
                     "prompt_same", F.md5("prompt_text").alias("prompt_md5"))
 
 
+def q_pairs_last_assistant(spark, d):
+    return _last_assistant(_pairs(spark, d))
+
+
+def q_pairs_last_assistant_cross(spark, d):
+    return _last_assistant(fx.pairs_cross(spark, d))
+
+
+def q_validate_pairs(spark, d):
+    v = S.validate_pairs(fx.pairs_broken(spark, d))
+    return v.select("pair_id", F.size("errors").cast("bigint").alias("n_errors"), F.array_join("errors", ",").alias("errors"))
+
+
 def q_pairs_positional(spark, d):
     p = S.validate_pairs(_pairs(spark, d))
     prompt, a_c, a_r, valid = C.positional(F.col("chosen"), F.col("rejected"))
@@ -137,8 +162,7 @@ def q_pairs_positional(spark, d):
                     F.array_join("errors", ",").alias("errors"))
 
 
-def q_pairs_common_prefix(spark, d):
-    p = _pairs(spark, d)
+def _common_prefix(p):
     k = C.common_prefix_len(F.col("chosen"), F.col("rejected"))
     la_prompt, _, _ = C.split_last_assistant(F.col("chosen"))
     return p.select("pair_id", k.cast("bigint").alias("prefix_len"),
@@ -148,6 +172,14 @@ def q_pairs_common_prefix(spark, d):
                     (k == F.size(la_prompt)).alias("agrees_with_last_assistant"))
 
 
+def q_pairs_common_prefix(spark, d):
+    return _common_prefix(_pairs(spark, d))
+
+
+def q_pairs_common_prefix_cross(spark, d):
+    return _common_prefix(fx.pairs_cross(spark, d))
+
+
 def q_render_prompt(spark, d):
     e = _extracted(spark, d)
     rendered = C.render_chat(F.col("prompt_msgs_chosen"), TEMPLATE, add_generation_prompt=True)
@@ -159,60 +191,89 @@ def q_render_prompt(spark, d):
 
 
 def q_select_index(spark, d):
-    p = fx.pairs_indexed(spark, d)
-    return B.select_by_index(p, SELECT_IDS).select(
+    index = fx.pair_index(spark, d)
+    n = index.count()
+    ids = [(SELECT_STRIDE * i + SELECT_OFFSET) % n for i in range(SELECT_K)] if n else []
+    picked = B.select_by_index(index, ids + ids[:1])
+    return picked.join(_pairs(spark, d), on="pair_id").select(
         F.col("sel_pos").cast("bigint").alias("sel_pos"), "row_idx", "pair_id",
         F.size("chosen").cast("bigint").alias("n_msgs"))
 
 
 def q_head_slice(spark, d):
-    p = fx.pairs_indexed(spark, d)
-    return B.head_slice(p, HEAD_N).select("row_idx", "pair_id", F.size("chosen").cast("bigint").alias("n_msgs"))
+    head = B.head_slice(fx.pair_ids(spark, d), HEAD_N, ["pair_id"])
+    return head.join(_pairs(spark, d), on="pair_id").select(
+        "row_idx", "pair_id", F.size("chosen").cast("bigint").alias("n_msgs"))
+
+
+def q_shuffle_take(spark, d):
+    taken = B.shuffle_take(fx.pair_ids(spark, d), SHUFFLE_TAKE, SHUFFLE_SEED, "pair_id")
+    return taken.join(_pairs(spark, d), on="pair_id").select(
+        "row_idx", "pair_id", F.size("chosen").cast("bigint").alias("n_msgs"))
+
+
+def q_sample_python_metrics(spark, d):
+    """S4 (driver draw) -> S3 -> D1-D6 of the drawn pairs, keyed by pair_id."""
+    drawn = B.sample_k(fx.pair_ids(spark, d), SAMPLE_K, SAMPLE_SEED, "pair_id", mode="python")
+    chosen = _pairs(spark, d).join(drawn.select("pair_id", "sample_pos"), on="pair_id")
+    m = _scored(spark, d, side_rows=S.sides(S.extract(chosen), CFG))
+    return m.join(drawn.select("pair_id", "sample_pos"), on="pair_id").select(
+        "pair_id", F.col("sample_pos").cast("bigint").alias("sample_pos"), "z", "loss", "reward_chosen",
+        "reward_rejected", "reward_margin", "correct")
 
 
 def q_sample_hash(spark, d):
-    ch = fx.chats(spark, d)
-    s = B.sample_k(ch, SAMPLE_K, SAMPLE_SEED, "conv_id", mode="hash")
-    return s.select("conv_id", F.col("sample_pos").cast("bigint").alias("sample_pos"),
+    ids = fx.conversations(spark, d).select("conv_id").distinct()
+    s = B.sample_k(ids, SAMPLE_K, SAMPLE_SEED, "conv_id", mode="hash")
+    return s.join(fx.chats(spark, d), on="conv_id").select("conv_id", F.col("sample_pos").cast("bigint").alias("sample_pos"),
                     F.size("messages").cast("bigint").alias("n_msgs"))
 
 
 def q_row_index_batches(spark, d):
-    ch = fx.chats(spark, d).withColumn("_hk", B.hash_key("conv_id", SHUFFLE_SEED))
+    ch = (fx.conversations(spark, d).select("conv_id").distinct()
+          .withColumn("_hk", B.hash_key("conv_id", SHUFFLE_SEED)))
     idx = B.with_row_index(ch, ["_hk", "conv_id"])
     return B.assign_batches(idx, AUDIT_BATCH).select("conv_id", "row_idx", "batch_id")
 
 
 # ----------------------------------------------------------------- text and lengths
 
-def q_truncation_report(spark, d):
-    return S.truncation_report(_sides(spark, d), CFG).select(
-        "pair_id", "side", *[F.col(c).cast("bigint").alias(c) for c in
-                             ("prompt_len_raw", "prompt_len", "answer_len_raw", "answer_len", "full_len_raw",
-                              "full_len")],
-        "over_prompt_limit", "over_max_length", "over_after_prompt_cut", "truncated")
+def _truncation(cfg, template=None):
+    def q(spark, d):
+        return S.truncation_report(_sides(spark, d, cfg, template=template), cfg).select(
+            "pair_id", "side", *[F.col(c).cast("bigint").alias(c) for c in
+                                 ("prompt_len_raw", "prompt_len", "answer_len_raw", "answer_len", "full_len_raw",
+                                  "full_len")],
+            "over_prompt_limit", "over_max_length", "over_after_prompt_cut", "truncated")
+    return q
 
 
 def q_nonpad_length(spark, d):
-    p = fx.pairs_indexed(spark, d)
-    sd = S.sides(S.extract(p), CFG)
+    """T5: answer and prompt tokens of the trainer's input that are not the pad token (which is
+    the end token if no pad token is set), and the longest answer of their batch."""
+    sd = S.sides(S.extract(fx.pairs_indexed(spark, d)), TRAINER)
     pad = F.coalesce(F.lit(PAD_TOKEN).cast("string"), F.lit(EOS_TOKEN))
     sd = sd.withColumn("batch_id", (F.col("row_idx") / F.lit(AUDIT_BATCH)).cast("bigint"))
     w = Window.partitionBy("batch_id", "side")   # a batch holds AUDIT_BATCH rows per side
-    padded = T.pad_to(F.col("answer_tokens"), F.max("answer_len").over(w), pad)
-    out = sd.withColumn("_p", padded)
-    return out.select("pair_id", "side", "batch_id", F.size("_p").cast("bigint").alias("padded_len"),
-                      T.nonpad_len(F.col("_p"), pad).cast("bigint").alias("nonpad_len"))
+    return sd.select("pair_id", "side", "batch_id", F.max("answer_len").over(w).cast("bigint").alias("padded_len"),
+                     T.nonpad_len(F.col("answer_tokens"), pad).cast("bigint").alias("nonpad_len"),
+                     T.nonpad_len(F.col("prompt_tokens"), pad).cast("bigint").alias("prompt_nonpad_len"))
 
 
-def _bucket_query(by):
+# Lengths that go with the scores: name -> (column of a side, side)
+LENGTHS = {"len_prompt": ("prompt_len", "chosen"), "len_chosen": ("answer_len", "chosen"),
+           "len_rejected": ("answer_len", "rejected")}
+
+
+def _bucket_query(by, mode="reference"):
     def q(spark, d):
-        sd = _sides(spark, d)
-        keys = S.length_key(sd, by).select("pair_id", "length_key")
-        scored = _scored(spark, d, side_rows=sd).join(keys, on="pair_id", how="inner")
-        return RP.bucket_report(scored, CFG.bucket_edges, mode="reference").select(
+        scored = _scored(spark, d, side_rows=_sides(spark, d, TRAINER), carry=LENGTHS, cfg=TRAINER)
+        key = (F.coalesce("len_chosen", F.lit(0)) + F.coalesce("len_rejected", F.lit(0)) if by == "pair_total"
+               else F.col(f"len_{by}"))
+        edges = CFG.bucket_edges if mode == "reference" else UNDERFLOW_EDGES
+        return RP.bucket_report(scored.withColumn("length_key", key), edges, mode=mode).select(
             "bucket", F.col("bucket_id").cast("bigint").alias("bucket_id"), F.col("n").cast("bigint").alias("n"),
-            "mean_loss", "mean_margin", "mean_acc")
+            F.col("n_scored").cast("bigint").alias("n_scored"), "mean_loss", "mean_margin", "mean_acc")
     q.__name__ = f"q_length_buckets_{by}"
     return q
 
@@ -233,7 +294,7 @@ def q_mean_logits(spark, d):
 
 def q_bigram_fit(spark, d):
     ids = ("ref", "policy")
-    m = _model(spark, d, ids)
+    m = fit_models(spark, d, ids)
     longf = F.inline(F.array(*[F.struct(F.lit(i).alias("model_id"), F.col(f"c_{i}").alias("c")) for i in ids]))
     return m.bigrams.select("prev", "w", longf).where(F.col("c") > 0).select(
         "model_id", "prev", "w", F.col("c").cast("bigint").alias("c"))
@@ -245,14 +306,17 @@ def q_sequence_logps(spark, d):
         "pair_id", "side", "model_id", F.col("n_tokens").cast("bigint").alias("n_tokens"), "sum_logp", "mean_logp")
 
 
-def q_pair_logps(spark, d):
-    return _pair_logps(spark, d).select("pair_id", "pc", "pr", "rc", "rr", "n_chosen", "n_rejected")
+def _pair_logps_query(mode="last_assistant", template=None):
+    def q(spark, d):
+        return _pair_logps(spark, d, _sides(spark, d, CFG, mode, template)).select(
+            "pair_id", "pc", "pr", "rc", "rr", "n_chosen", "n_rejected")
+    return q
 
 
 def q_self_reference(spark, d):
     pl = SC.pair_logps(_seq(spark, d), "policy", None)
     return with_dpo_metrics(pl, CFG).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("loss").alias("loss"), F.avg("reward_margin").alias("reward_margin"),
+        F.count(F.lit(1)).alias("n"), F.count("loss").alias("n_scored"), F.avg("loss").alias("loss"), F.avg("reward_margin").alias("reward_margin"),
         F.avg(F.col("correct").cast("double")).alias("accuracy"))
 
 
@@ -287,13 +351,12 @@ def q_length_bias(spark, d):
 # ----------------------------------------------------------------- batches (A2, A4, A5)
 
 def _batched_scores(spark, d, size, n_batches=None):
-    p = _shuffled_pairs(spark, d)
+    """Scores of the trainer's input with the batch of each pair in the shuffled order."""
+    index = _shuffled_index(spark, d)
     if n_batches is not None:
-        p = p.where(F.col("row_idx") < F.lit(int(size * n_batches)))   # select before scoring
-    p = B.assign_batches(p, size)
-    sd = S.sides(S.extract(p), CFG)
-    scored = _scored(spark, d, side_rows=sd)
-    return scored.join(p.select("pair_id", "batch_id"), on="pair_id", how="inner")
+        index = index.where(F.col("row_idx") < F.lit(int(size * n_batches)))   # select before scoring
+    p = _pairs(spark, d).join(B.assign_batches(index, size), on="pair_id")
+    return _scored(spark, d, side_rows=S.sides(S.extract(p), TRAINER), carry={"batch_id": ("batch_id", "chosen")}, cfg=TRAINER)
 
 
 def q_batch_metrics(spark, d):
@@ -309,7 +372,7 @@ def q_batch_mean_summary(spark, d):
 
 
 def q_batch_sign_rate(spark, d):
-    b = RP.batch_metrics(_batched_scores(spark, d, AUDIT_BATCH, AUDIT_N_BATCHES), AUDIT_N_BATCHES)
+    b = RP.batch_metrics(_batched_scores(spark, d, AUDIT_BATCH))
     return RP.batch_sign_rate(b).select(F.col("n_batches").cast("bigint").alias("n_batches"), "mean_margin",
                                         "frac_batches_margin_pos", "mean_acc")
 
@@ -318,8 +381,16 @@ def q_compare_policies(spark, d):
     ids = ("ref", "policy", "nontoxic")
     seq = _seq(spark, d, ids)
     return RP.compare_policies(seq, ["ref", "policy", "nontoxic"], "ref", CFG).select(
-        "policy_id", F.col("n").cast("bigint").alias("n"), "loss", "reward_margin", "accuracy",
-        "mean_logp_margin", "frac_mean_logp_pos")
+        "policy_id", F.col("n").cast("bigint").alias("n"), F.col("n_scored").cast("bigint").alias("n_scored"),
+        "loss", "reward_margin", "accuracy", "mean_logp_margin", "frac_mean_logp_pos")
+
+
+def q_compare_checkpoints(spark, d):
+    """A8 over a series: the base model against the policy's checkpoints, one row per step."""
+    seq = _seq(spark, d, ("ref", *CHECKPOINTS))
+    rows = RP.compare_policies(seq, list(CHECKPOINTS), "ref", CFG)
+    return rows.select(F.substring_index("policy_id", "_", -1).cast("bigint").alias("step"),
+                       F.col("n").cast("bigint").alias("n"), "loss", "reward_margin", "accuracy", "mean_logp_margin")
 
 
 # ----------------------------------------------------------------- generation
@@ -369,20 +440,22 @@ def q_extract_answer(spark, d):
 
 # ----------------------------------------------------------------- training run as data
 
-def q_step_plan(spark, d):
-    p = fx.pairs_indexed(spark, d)
-    sp = B.step_plan(p, CFG.batch_size, CFG.grad_accum, CFG.epochs)
-    return sp.groupBy("step").agg(F.count(F.lit(1)).alias("n_pairs"), F.min("row_idx").alias("first_row"),
-                                  F.max("row_idx").alias("last_row"))
+def _step_plan(max_steps=None):
+    def q(spark, d):
+        sp = B.step_plan(fx.pair_index(spark, d), CFG.batch_size, CFG.grad_accum, CFG.epochs, max_steps)
+        return sp.groupBy("step").agg(F.count(F.lit(1)).alias("n_pairs"), F.min("row_idx").alias("first_row"),
+                                      F.max("row_idx").alias("last_row"))
+    return q
 
 
 def q_lr_schedule(spark, d):
-    p = fx.pairs_indexed(spark, d)
-    sp = B.step_plan(p, CFG.batch_size, CFG.grad_accum, CFG.epochs)
-    steps = sp.select("step", "steps_per_epoch").distinct().select(
-        (F.col("step") - 1).alias("step_idx"), (F.col("steps_per_epoch") * CFG.epochs).alias("total_steps"))
+    """R2 read off the metric log: the rate at every logged step of every run, whose length is
+    the run's last step."""
+    log = TR.rollup_log(fx.metric_log(spark, d), LOG_EVERY).select("run_id", F.col("last_step").alias("step"))
+    runs = log.groupBy("run_id").agg(F.max("step").alias("total_steps"))
+    steps = log.join(runs, on="run_id").withColumn("step_idx", F.col("step") - 1)
     return TR.lr_schedule(steps, "total_steps", CFG.learning_rate, CFG.warmup_ratio).select(
-        "step_idx", "warmup_steps", (F.col("lr") * F.lit(1e6)).alias("lr_e6"))
+        "run_id", "step", "warmup_steps", (F.col("lr") * F.lit(1e6)).alias("lr_e6"))
 
 
 def q_checkpoint_steps(spark, d):
@@ -405,7 +478,7 @@ def q_linear_dpo_fit(spark, d):
 
 def q_metric_rollup(spark, d):
     r = TR.rollup_log(fx.metric_log(spark, d), LOG_EVERY)
-    return r.select("run_id", "tag", "bin", "value", F.col("n").cast("bigint").alias("n"), "first_step", "last_step")
+    return r.select("run_id", "tag", "bin", "value", F.col("n").cast("bigint").alias("n"), "log_step", "first_step", "last_step")
 
 
 def q_metric_smooth(spark, d):
@@ -414,10 +487,12 @@ def q_metric_smooth(spark, d):
     return s.select("run_id", "tag", "bin", "smoothed")
 
 
-def q_metric_smooth_last(spark, d):
-    r = TR.rollup_log(fx.metric_log(spark, d), LOG_EVERY).withColumn("k", F.col("bin") + 1)
-    return TR.last_smoothed(r, SMOOTH_WEIGHT, ["run_id", "tag"], "k", "value").select(
-        "run_id", "tag", F.col("n_points").cast("bigint").alias("n_points"), "last_smoothed")
+def _smooth_last(weight):
+    def q(spark, d):
+        r = TR.rollup_log(fx.metric_log(spark, d), LOG_EVERY).withColumn("k", F.col("bin") + 1)
+        return TR.last_smoothed(r, weight, ["run_id", "tag"], "k", "value").select(
+            "run_id", "tag", F.col("n_points").cast("bigint").alias("n_points"), "last_smoothed")
+    return q
 
 
 def q_metric_tags(spark, d):
@@ -437,7 +512,12 @@ def q_metric_tags(spark, d):
 
 def q_stream_rollup(spark, d):
     from duelframe.streaming import live
-    return live.run_stream_rollup(spark, d, STREAM_WINDOW)
+    return live.run_stream_rollup(spark, d, STREAM_WINDOW, STREAM_DELAY)
+
+
+def q_stream_rollup_append(spark, d):
+    from duelframe.streaming import live
+    return live.run_stream_rollup(spark, d, STREAM_WINDOW, STREAM_DELAY, "append")
 
 
 def q_stream_metrics(spark, d):
@@ -461,17 +541,27 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "head_slice": q_head_slice,
     "sample_hash": q_sample_hash,
     "row_index_batches": q_row_index_batches,
-    "truncation_report": q_truncation_report,
+    "pairs_last_assistant_cross": q_pairs_last_assistant_cross,
+    "pairs_common_prefix_cross": q_pairs_common_prefix_cross,
+    "validate_pairs": q_validate_pairs,
+    "shuffle_take": q_shuffle_take,
+    "sample_python_metrics": q_sample_python_metrics,
+    "truncation_report": _truncation(TRAINER),
+    "truncation_report_tight": _truncation(TIGHT),
+    "truncation_report_rendered": _truncation(TRAINER, TEMPLATE),
     "nonpad_length": q_nonpad_length,
     "length_buckets_prompt": _bucket_query("prompt"),
     "length_buckets_chosen": _bucket_query("chosen"),
     "length_buckets_rejected": _bucket_query("rejected"),
     "length_buckets_pair_total": _bucket_query("pair_total"),
+    "length_buckets_underflow": _bucket_query("prompt", "underflow"),
     "log_softmax_gather": q_log_softmax_gather,
     "mean_logits": q_mean_logits,
     "bigram_fit": q_bigram_fit,
     "sequence_logps": q_sequence_logps,
-    "pair_logps": q_pair_logps,
+    "pair_logps": _pair_logps_query(),
+    "pair_logps_positional": _pair_logps_query("positional"),
+    "pair_logps_rendered": _pair_logps_query(template=TEMPLATE),
     "self_reference": q_self_reference,
     "dpo_metrics": q_dpo_metrics,
     "dpo_summary": _summary(CFG),
@@ -484,19 +574,23 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "batch_mean_summary": q_batch_mean_summary,
     "batch_sign_rate": q_batch_sign_rate,
     "compare_policies": q_compare_policies,
+    "compare_checkpoints": q_compare_checkpoints,
     "greedy_extend": q_greedy_extend,
     "generation_report": q_generation_report,
     "extract_answer": q_extract_answer,
-    "step_plan": q_step_plan,
+    "step_plan": _step_plan(),
+    "step_plan_capped": _step_plan(SMOKE_STEPS),
     "lr_schedule": q_lr_schedule,
     "checkpoint_steps": q_checkpoint_steps,
     "linear_dpo_step0": q_linear_dpo_step0,
     "linear_dpo_fit": q_linear_dpo_fit,
     "metric_rollup": q_metric_rollup,
     "metric_smooth": q_metric_smooth,
-    "metric_smooth_last": q_metric_smooth_last,
+    "metric_smooth_last": _smooth_last(SMOOTH_WEIGHT),
+    "metric_smooth_last_light": _smooth_last(SMOOTH_WEIGHT_LIGHT),
     "metric_tags": q_metric_tags,
     "stream_rollup": q_stream_rollup,
+    "stream_rollup_append": q_stream_rollup_append,
     "stream_metrics": q_stream_metrics,
     "stream_smooth": q_stream_smooth,
 }

@@ -52,26 +52,131 @@ f2 AS (
 f2i AS (SELECT *, row_number() OVER (ORDER BY pair_id) - 1 AS row_idx FROM f2)
 """
 
-# one row per side, whitespace tokens, prompt keeps its last 128, answer cut to 512 overall.
-F3 = f"""
+def f3(cfg=None, prompt: str = "f.prompt_text", prompt_rejected: str | None = None,
+       chosen: str = "f.chosen_text", rejected: str = "f.rejected_text") -> str:
+    """one row per side, whitespace tokens; ``cfg`` caps the prompt (its last tokens stay)
+    and the sequence."""
+    p_cap, cap = (cfg.max_prompt_length, cfg.max_length) if cfg else (None, None)
+    p_len = f"least(len(p_raw), {p_cap})" if p_cap else "len(p_raw)"
+    a_len = f"least(len(a_raw), greatest({cap} - {p_len}, 0))" if cap else "len(a_raw)"
+    return f"""
 f3_raw AS (
-  SELECT f.pair_id, f.row_idx, s.side, {tok('f.prompt_text')} AS p_raw,
-         {tok("CASE WHEN s.side = 'chosen' THEN f.chosen_text ELSE f.rejected_text END")} AS a_raw
+  SELECT f.pair_id, f.row_idx, s.side,
+         {tok(f"CASE WHEN s.side = 'chosen' THEN {prompt} ELSE {prompt_rejected or prompt} END")} AS p_raw,
+         {tok(f"CASE WHEN s.side = 'chosen' THEN {chosen} ELSE {rejected} END")} AS a_raw
   FROM f2i f CROSS JOIN (VALUES ('chosen'), ('rejected')) s(side)
 ),
 f3 AS (
-  SELECT pair_id, row_idx, side, len(p_raw) AS prompt_len_raw, least(len(p_raw), 128) AS prompt_len,
-         len(a_raw) AS answer_len_raw,
-         least(len(a_raw), greatest(512 - least(len(p_raw), 128), 0)) AS answer_len,
+  SELECT pair_id, row_idx, side, len(p_raw) AS prompt_len_raw, {p_len} AS prompt_len,
+         len(a_raw) AS answer_len_raw, {a_len} AS answer_len,
          CASE WHEN len(p_raw) > 0 THEN p_raw[len(p_raw)] END AS ctx0,
-         a_raw[1:least(len(a_raw), greatest(512 - least(len(p_raw), 128), 0))] AS a_tok
+         p_raw[len(p_raw) - {p_len} + 1:len(p_raw)] AS p_tok, a_raw[1:{a_len}] AS a_tok
   FROM f3_raw
 )
 """
 
 
+F3 = f3()                   # whole texts
+F3T = f3(Q.TRAINER)         # the training run's caps
+
+# F2 read by position: message 0 is the prompt, message 1 the answer of each side.
+F3P = f3(prompt="CASE WHEN f.last_turn = 0 THEN f.chosen_text ELSE f.text0 END",
+         prompt_rejected="CASE WHEN f.last_turn = 0 THEN f.rejected_text ELSE f.text0 END",
+         chosen="CASE WHEN f.last_turn = 0 THEN NULL WHEN f.last_turn = 1 THEN f.chosen_text ELSE f.text1 END",
+         rejected="CASE WHEN f.last_turn = 0 THEN NULL WHEN f.last_turn = 1 THEN f.rejected_text ELSE f.text1 END")
+
+# F2 as lists of messages; F9: the rejected side is the next conversation unless 3 divides the id.
+F9 = """
+m_last AS (SELECT conv_id, max(CASE WHEN role = 'assistant' THEN turn END) AS last_turn FROM conversations GROUP BY conv_id),
+m_base AS (
+  SELECT c.conv_id AS pair_id, c.conv_id // 64 AS block,
+         coalesce(list(struct_pack(role := c.role, content := c.text) ORDER BY c.turn) FILTER (c.turn < l.last_turn), []) AS p,
+         max(CASE WHEN c.turn = l.last_turn THEN c.text END) AS ans
+  FROM conversations c JOIN m_last l ON c.conv_id = l.conv_id WHERE l.last_turn IS NOT NULL GROUP BY c.conv_id
+),
+m_next AS (
+  SELECT *, coalesce(lead(ans) OVER w, first_value(ans) OVER w) AS other_ans, coalesce(lead(p) OVER w, first_value(p) OVER w) AS other_p
+  FROM m_base WINDOW w AS (PARTITION BY block ORDER BY pair_id)
+),
+f2m AS (
+  SELECT pair_id, p, list_append(p, struct_pack(role := 'assistant', content := ans)) AS c,
+         list_append(p, struct_pack(role := 'assistant', content := other_ans)) AS r
+  FROM m_next
+),
+f9 AS (
+  SELECT pair_id, p, ans, other_ans, CASE WHEN pair_id % 3 = 0 THEN p ELSE other_p END AS rp,
+         list_append(p, struct_pack(role := 'assistant', content := ans)) AS c,
+         list_append(CASE WHEN pair_id % 3 = 0 THEN p ELSE other_p END, struct_pack(role := 'assistant', content := other_ans)) AS r
+  FROM m_next
+)
+"""
+
+
+def chat_text(x: str) -> str:
+    return f"array_to_string(list_transform({x}, lambda m: coalesce(m.content, '')), {NL})"
+
+
+def common_prefix_sql(src: str) -> str:
+    """P3 on message lists ``c`` and ``r``; ``p`` is the chosen side's prompt."""
+    return f"""
+d AS (
+  SELECT *, least(len(c), len(r)) AS n,
+         coalesce(list_position(list_transform(range(1, least(len(c), len(r)) + 1), lambda i: c[i] IS DISTINCT FROM r[i]), true), 0) AS differs
+  FROM {src}
+),
+k AS (SELECT *, CASE WHEN differs > 0 THEN differs - 1 ELSE greatest(n - 1, 0) END AS k FROM d)
+SELECT pair_id, CAST(k AS BIGINT) AS prefix_len, CAST(len(c) - k AS BIGINT) AS chosen_rest_msgs,
+       CAST(len(r) - k AS BIGINT) AS rejected_rest_msgs, CAST(length({chat_text('c[k + 1:]')}) AS BIGINT) AS chosen_rest_chars,
+       k = len(p) AS agrees_with_last_assistant
+FROM k"""
+
+
+def last_assistant_sql(src: str) -> str:
+    return f"""
+SELECT pair_id, CAST(len(p) AS BIGINT) AS n_prompt_msgs, CAST(length({chat_text('p')}) AS BIGINT) AS prompt_chars,
+       CAST(length(ans) AS BIGINT) AS chosen_chars, CAST(length(other_ans) AS BIGINT) AS rejected_chars,
+       p IS NOT DISTINCT FROM rp AS prompt_same, md5({chat_text('p')}) AS prompt_md5
+FROM {src}"""
+
+
+# damaged pairs; P8 by its definition on message lists.
+VALIDATE = f"""
+WITH {F9},
+f10 AS (
+  SELECT pair_id,
+         CASE pair_id % 9 WHEN 1 THEN [] WHEN 3 THEN list_transform(c[1:len(c) - 1], lambda m: struct_pack(role := 'user', content := m.content))
+              WHEN 5 THEN c[len(c):] WHEN 7 THEN list_prepend(struct_pack(role := 'user', content := CAST(NULL AS VARCHAR)), c) ELSE c END AS c,
+         CASE pair_id % 9 WHEN 2 THEN [] WHEN 4 THEN list_transform(r[1:len(r) - 1], lambda m: struct_pack(role := 'user', content := m.content))
+              WHEN 5 THEN r[len(r):] WHEN 6 THEN list_prepend(struct_pack(role := 'user', content := 'another question'), r)
+              WHEN 8 THEN c ELSE r END AS r
+  FROM f2m
+),
+roles AS (
+  SELECT *, coalesce(list_max(list_transform(range(1, len(c) + 1), lambda i: CASE WHEN c[i].role = 'assistant' THEN i ELSE 0 END)), 0) AS ic,
+         coalesce(list_max(list_transform(range(1, len(r) + 1), lambda i: CASE WHEN r[i].role = 'assistant' THEN i ELSE 0 END)), 0) AS ir
+  FROM f10
+),
+parts AS (
+  SELECT *, CASE WHEN ic > 0 THEN c[1:ic - 1] ELSE c END AS pc, CASE WHEN ir > 0 THEN r[1:ir - 1] ELSE r END AS pr,
+         CASE WHEN ic > 0 THEN c[ic].content END AS ac, CASE WHEN ir > 0 THEN r[ir].content END AS ar
+  FROM roles
+),
+e AS (
+  SELECT pair_id, list_filter([
+    CASE WHEN len(c) = 0 THEN 'chosen_empty' END, CASE WHEN len(r) = 0 THEN 'rejected_empty' END,
+    CASE WHEN ic = 0 THEN 'chosen_no_assistant' END, CASE WHEN ir = 0 THEN 'rejected_no_assistant' END,
+    CASE WHEN ic > 0 AND len(pc) = 0 THEN 'prompt_missing' END, CASE WHEN pc IS DISTINCT FROM pr THEN 'prompt_mismatch' END,
+    CASE WHEN len(list_filter(c, lambda m: m.content IS NULL)) + len(list_filter(r, lambda m: m.content IS NULL)) > 0 THEN 'null_content' END,
+    CASE WHEN ic > 0 AND ir > 0 AND ac IS NOT DISTINCT FROM ar THEN 'answers_identical' END], lambda x: x IS NOT NULL) AS errors
+  FROM parts
+)
+SELECT pair_id, CAST(len(errors) AS BIGINT) AS n_errors, array_to_string(errors, ',') AS errors FROM e
+"""
+
+
 def bigram(models=("ref", "policy")) -> str:
     flags = {"ref": "true", "policy": "coalesce(l.quality = 1, false)", "nontoxic": "coalesce(l.toxic = 0, false)"}
+    flags |= {m: f"coalesce(l.quality = 1 AND d.doc_id % 4 < {k}, false)" for m, k in Q.CHECKPOINTS.items()}
     fl = ", ".join(f"{flags[m]} AS f_{m}" for m in models)
     fcols = ", ".join(f"f_{m}" for m in models)
     sums = ", ".join(f"sum(CASE WHEN f_{m} THEN 1 ELSE 0 END) AS c_{m}" for m in models)
@@ -176,7 +281,7 @@ def shuffled(seed: int, src: str = "f2i", key: str = "pair_id") -> str:
 def scored_batches(size: int, n_batches: int | None = None) -> str:
     lim = f"WHERE sidx < {size * n_batches}" if n_batches is not None else ""
     return f"""
-WITH {F2}, {F3}, {bigram()}, {PL},
+WITH {F2}, {F3T}, {bigram()}, {PL},
 {metrics_cte('pl')},
 sh AS (SELECT pair_id, {shuffled(Q.SHUFFLE_SEED)} AS sidx FROM f2i),
 mb AS (SELECT m.*, sh.sidx // {size} AS batch_id FROM m JOIN sh ON m.pair_id = sh.pair_id {lim}),
@@ -188,7 +293,7 @@ bm AS (SELECT batch_id, count(*) AS n, avg(loss) AS loss, avg(reward_margin) AS
 """
 
 
-def bucket_sql(by: str) -> str:
+def bucket_sql(by: str, underflow: bool = False) -> str:
     key = {
         "prompt": "max(CASE WHEN side = 'chosen' THEN prompt_len END)",
         "chosen": "max(CASE WHEN side = 'chosen' THEN answer_len END)",
@@ -196,17 +301,21 @@ def bucket_sql(by: str) -> str:
         "pair_total": "coalesce(max(CASE WHEN side = 'chosen' THEN answer_len END), 0)"
                       " + coalesce(max(CASE WHEN side = 'rejected' THEN answer_len END), 0)",
     }[by]
-    edges = [int(x) for x in Q.CFG.bucket_edges.split(",")]
+    edges = [int(x) for x in (Q.UNDERFLOW_EDGES if underflow else Q.CFG.bucket_edges).split(",")]
     cases = " ".join(f"WHEN k >= {edges[i]} AND k < {edges[i + 1]} THEN {i}" for i in range(len(edges) - 1))
     labels = " ".join(f"WHEN {i} THEN '[{edges[i]},{edges[i + 1]})'" for i in range(len(edges) - 1))
+    if underflow:
+        cases += f" WHEN k < {edges[0]} THEN -1"
+        labels += f" WHEN -1 THEN '(-inf,{edges[0]})'"
     return f"""
-WITH {F2}, {F3}, {bigram()}, {PL},
+WITH {F2}, {F3T}, {bigram()}, {PL},
 {metrics_cte('pl')},
 lk AS (SELECT pair_id, {key} AS k FROM f3 GROUP BY pair_id),
 b AS (SELECT m.*, CASE {cases} ELSE {len(edges) - 2} END AS bid FROM m JOIN lk ON m.pair_id = lk.pair_id)
 SELECT CASE WHEN grouping(bid) = 1 THEN 'overall' ELSE CASE bid {labels} END END AS bucket,
        CAST(CASE WHEN grouping(bid) = 1 THEN NULL ELSE bid END AS BIGINT) AS bucket_id,
-       CAST(count(*) AS BIGINT) AS n, {r6('avg(loss)')} AS mean_loss, {r6('avg(reward_margin)')} AS mean_margin,
+       CAST(count(*) AS BIGINT) AS n, CAST(count(loss) AS BIGINT) AS n_scored, {r6('avg(loss)')} AS mean_loss,
+       {r6('avg(reward_margin)')} AS mean_margin,
        {r6('avg(CASE WHEN correct THEN 1.0 ELSE 0.0 END)')} AS mean_acc
 FROM b GROUP BY GROUPING SETS ((bid), ())
 """
@@ -227,9 +336,9 @@ f8 AS (
   FROM events
 ),
 roll AS (
-  SELECT run_id, tag, step // 10 AS bin, avg(value) AS value, count(*) AS n, min(step) AS first_step,
+  SELECT run_id, tag, (step - 1) // 10 AS bin, avg(value) AS value, count(*) AS n, min(step) AS first_step,
          max(step) AS last_step
-  FROM f8 GROUP BY run_id, tag, step // 10
+  FROM f8 GROUP BY run_id, tag, (step - 1) // 10
 )
 """
 
@@ -249,7 +358,7 @@ def greedy_sql(models=("ref",), steps: int = 8) -> str:
     m = models[0]
     return f"""
 WITH RECURSIVE {bigram(models)},
-nxt AS (
+nxt AS MATERIALIZED (
   SELECT prev, w AS next_word
   FROM (SELECT prev, w, row_number() OVER (PARTITION BY prev ORDER BY c_{m} DESC, w) AS rn FROM bi WHERE c_{m} > 0)
   WHERE rn = 1
@@ -269,12 +378,9 @@ def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     w = Q.SMOOTH_WEIGHT
 
-    q["pairs_last_assistant"] = f"""
-WITH {F2}
-SELECT pair_id, CAST(last_turn AS BIGINT) AS n_prompt_msgs, CAST(length(prompt_text) AS BIGINT) AS prompt_chars,
-       CAST(length(chosen_text) AS BIGINT) AS chosen_chars, CAST(length(rejected_text) AS BIGINT) AS rejected_chars,
-       true AS prompt_same, md5(prompt_text) AS prompt_md5
-FROM f2"""
+    q["pairs_last_assistant"] = f"WITH {F9}, f2p AS (SELECT * REPLACE (p AS rp) FROM f9) {last_assistant_sql('f2p')}"
+    q["pairs_last_assistant_cross"] = f"WITH {F9} {last_assistant_sql('f9')}"
+    q["validate_pairs"] = VALIDATE
 
     q["pairs_positional"] = f"""
 WITH {F2},
@@ -295,12 +401,8 @@ SELECT pair_id, CAST(length(c0) AS BIGINT) AS prompt_chars, CAST(length(c1) AS B
                       CASE WHEN same_answer THEN 'answers_identical' END) AS errors
 FROM pp"""
 
-    q["pairs_common_prefix"] = f"""
-WITH {F2}
-SELECT pair_id, CAST(last_turn AS BIGINT) AS prefix_len, CAST(1 AS BIGINT) AS chosen_rest_msgs,
-       CAST(1 AS BIGINT) AS rejected_rest_msgs, CAST(length(chosen_text) AS BIGINT) AS chosen_rest_chars,
-       true AS agrees_with_last_assistant
-FROM f2"""
+    q["pairs_common_prefix"] = f"WITH {F9}, {common_prefix_sql('f2m')}"
+    q["pairs_common_prefix_cross"] = f"WITH {F9}, {common_prefix_sql('f9')}"
 
     q["render_prompt"] = f"""
 WITH {F2}
@@ -309,18 +411,24 @@ SELECT pair_id, CAST(last_turn AS BIGINT) AS n_msgs, CAST(length(rendered) AS BI
        CAST(length(rendered || rejected_text) AS BIGINT) AS full_rejected_chars
 FROM f2"""
 
-    ids = ", ".join(f"({i}, {x})" for i, x in enumerate(Q.SELECT_IDS))
+    ids = ", ".join(f"({i}, {i % Q.SELECT_K})" for i in range(Q.SELECT_K + 1))
     q["select_index"] = f"""
-WITH {F2}, ids(sel_pos, row_idx) AS (VALUES {ids})
-SELECT CAST(ids.sel_pos AS BIGINT) AS sel_pos, CAST(f2i.row_idx AS BIGINT) AS row_idx, f2i.pair_id,
+WITH {F2}, n AS (SELECT count(*) AS n FROM f2), ids(sel_pos, i) AS (VALUES {ids}),
+place AS (SELECT sel_pos, ({Q.SELECT_STRIDE} * i + {Q.SELECT_OFFSET}) % n AS row_idx FROM ids, n)
+SELECT CAST(place.sel_pos AS BIGINT) AS sel_pos, CAST(f2i.row_idx AS BIGINT) AS row_idx, f2i.pair_id,
        CAST(last_turn + 1 AS BIGINT) AS n_msgs
-FROM ids JOIN f2i ON ids.row_idx = f2i.row_idx"""
+FROM place JOIN f2i ON place.row_idx = f2i.row_idx"""
 
     q["head_slice"] = f"""
 WITH {F2}
 SELECT CAST(row_idx AS BIGINT) AS row_idx, pair_id, CAST(last_turn + 1 AS BIGINT) AS n_msgs
 FROM f2i WHERE row_idx < {Q.HEAD_N}"""
 
+    q["shuffle_take"] = f"""
+WITH {F2}, sh AS (SELECT pair_id, last_turn, {shuffled(Q.SHUFFLE_SEED)} AS row_idx FROM f2i)
+SELECT CAST(row_idx AS BIGINT) AS row_idx, pair_id, CAST(last_turn + 1 AS BIGINT) AS n_msgs
+FROM sh WHERE row_idx < {Q.SHUFFLE_TAKE}"""
+
     q["sample_hash"] = f"""
 WITH ch AS (SELECT conv_id, count(*) AS n_msgs FROM conversations GROUP BY conv_id)
 SELECT conv_id, CAST({shuffled(Q.SAMPLE_SEED, key='conv_id')} AS BIGINT) AS sample_pos,
@@ -332,23 +440,31 @@ WITH ch AS (SELECT DISTINCT conv_id FROM conversations),
 ix AS (SELECT conv_id, {shuffled(Q.SHUFFLE_SEED, key='conv_id')} AS row_idx FROM ch)
 SELECT conv_id, CAST(row_idx AS BIGINT) AS row_idx, CAST(row_idx // {Q.AUDIT_BATCH} AS BIGINT) AS batch_id FROM ix"""
 
-    q["truncation_report"] = f"""
-WITH {F2}, {F3}
+    def truncation(cfg, **text):
+        return f"""
+WITH {F2}, {f3(cfg, **text)}
 SELECT pair_id, side, CAST(prompt_len_raw AS BIGINT) AS prompt_len_raw, CAST(prompt_len AS BIGINT) AS prompt_len,
        CAST(answer_len_raw AS BIGINT) AS answer_len_raw, CAST(answer_len AS BIGINT) AS answer_len,
        CAST(prompt_len_raw + answer_len_raw AS BIGINT) AS full_len_raw,
        CAST(prompt_len + answer_len AS BIGINT) AS full_len,
-       prompt_len_raw > 128 AS over_prompt_limit, prompt_len_raw + answer_len_raw > 512 AS over_max_length,
-       prompt_len + answer_len_raw > 512 AS over_after_prompt_cut, answer_len < answer_len_raw AS truncated
+       prompt_len_raw > {cfg.max_prompt_length} AS over_prompt_limit,
+       prompt_len_raw + answer_len_raw > {cfg.max_length} AS over_max_length,
+       prompt_len + answer_len_raw > {cfg.max_length} AS over_after_prompt_cut, answer_len < answer_len_raw AS truncated
 FROM f3"""
 
+    q["truncation_report"] = truncation(Q.TRAINER)
+    q["truncation_report_tight"] = truncation(Q.TIGHT)
+    q["truncation_report_rendered"] = truncation(Q.TRAINER, prompt="f.rendered")
+
     q["nonpad_length"] = f"""
-WITH {F2}, {F3}
+WITH {F2}, {F3T}
 SELECT pair_id, side, CAST(row_idx // {Q.AUDIT_BATCH} AS BIGINT) AS batch_id,
        CAST(max(answer_len) OVER (PARTITION BY row_idx // {Q.AUDIT_BATCH}, side) AS BIGINT) AS padded_len,
-       CAST(len(list_filter(a_tok, lambda x: x <> '{Q.EOS_TOKEN}')) AS BIGINT) AS nonpad_len
+       CAST(len(list_filter(a_tok, lambda x: x <> '{Q.EOS_TOKEN}')) AS BIGINT) AS nonpad_len,
+       CAST(len(list_filter(p_tok, lambda x: x <> '{Q.EOS_TOKEN}')) AS BIGINT) AS prompt_nonpad_len
 FROM f3"""
 
+    q["length_buckets_underflow"] = bucket_sql("prompt", True)
     for by in ("prompt", "chosen", "rejected", "pair_total"):
         q[f"length_buckets_{by}"] = bucket_sql(by)
 
@@ -379,8 +495,9 @@ UNION ALL
 SELECT pair_id, side, 'policy' AS model_id, CAST(n_tokens AS BIGINT) AS n_tokens, {r6('sum_policy')} AS sum_logp,
        {r6('CASE WHEN n_tokens > 0 THEN sum_policy / n_tokens END')} AS mean_logp FROM seq"""
 
-    q["pair_logps"] = f"""
-WITH {F2}, {F3}, {bigram()}, {PL}
+    for name, rows in (("pair_logps", F3), ("pair_logps_positional", F3P), ("pair_logps_rendered", f3(prompt="f.rendered"))):
+        q[name] = f"""
+WITH {F2}, {rows}, {bigram()}, {PL}
 SELECT pair_id, {r6('pc')} AS pc, {r6('pr')} AS pr, {r6('rc')} AS rc, {r6('rr')} AS rr,
        CAST(n_chosen AS BIGINT) AS n_chosen, CAST(n_rejected AS BIGINT) AS n_rejected
 FROM pl"""
@@ -389,7 +506,8 @@ FROM pl"""
 WITH {F2}, {F3}, {bigram()}, {PL},
 pl2 AS (SELECT pair_id, pc, pr, pc AS rc, pr AS rr FROM pl),
 {metrics_cte('pl2')}
-SELECT CAST(count(*) AS BIGINT) AS n, {r6('avg(loss)')} AS loss, {r6('avg(reward_margin)')} AS reward_margin,
+SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(loss) AS BIGINT) AS n_scored, {r6('avg(loss)')} AS loss,
+       {r6('avg(reward_margin)')} AS reward_margin,
        {r6('avg(CASE WHEN correct THEN 1.0 ELSE 0.0 END)')} AS accuracy
 FROM m"""
 
@@ -443,20 +561,21 @@ SELECT CAST(count(*) AS BIGINT) AS n_batches, CAST(sum(n) AS BIGINT) AS n, {r6('
        {r6('avg(reward_margin)')} AS mean_reward_margin, {r6('avg(accuracy)')} AS mean_reward_acc
 FROM bm"""
 
-    q["batch_sign_rate"] = scored_batches(Q.AUDIT_BATCH, Q.AUDIT_N_BATCHES) + f"""
+    q["batch_sign_rate"] = scored_batches(Q.AUDIT_BATCH) + f"""
 SELECT CAST(count(*) AS BIGINT) AS n_batches, {r6('avg(reward_margin)')} AS mean_margin,
        {r6('avg(CASE WHEN reward_margin > 0 THEN 1.0 ELSE 0.0 END)')} AS frac_batches_margin_pos,
        {r6('avg(accuracy)')} AS mean_acc
 FROM bm"""
 
-    pols = ("ref", "policy", "nontoxic")
-    picks = ",\n         ".join(
-        f"max(CASE WHEN side = '{s}' THEN sum_{m} END) AS {m}__{s}" for m in pols for s in ("chosen", "rejected"))
-    unions = "\n  UNION ALL\n  ".join(
-        f"SELECT pair_id, '{p}' AS policy_id, {p}__chosen AS pc, {p}__rejected AS pr, ref__chosen AS rc, "
-        f"ref__rejected AS rr, n_chosen, n_rejected FROM pp" for p in pols)
-    q["compare_policies"] = f"""
-WITH {F2}, {F3}, {bigram(pols)},
+    def compared(pols):
+        models = tuple(dict.fromkeys(["ref", *pols]))
+        picks = ",\n         ".join(
+            f"max(CASE WHEN side = '{s}' THEN sum_{m} END) AS {m}__{s}" for m in models for s in ("chosen", "rejected"))
+        unions = "\n  UNION ALL\n  ".join(
+            f"SELECT pair_id, '{p}' AS policy_id, {p}__chosen AS pc, {p}__rejected AS pr, ref__chosen AS rc, "
+            f"ref__rejected AS rr, n_chosen, n_rejected FROM pp" for p in pols)
+        return f"""
+WITH {F2}, {F3}, {bigram(models)},
 pp AS (
   SELECT pair_id, {picks},
          max(CASE WHEN side = 'chosen' THEN n_tokens END) AS n_chosen,
@@ -466,13 +585,21 @@ pp AS (
 lp AS (
   {unions}
 ),
-{metrics_cte('lp', extra=', ' + mlm.format(a='pc', b='pr') + ' AS mlm')}
-SELECT policy_id, CAST(count(*) AS BIGINT) AS n, {r6('avg(loss)')} AS loss,
+{metrics_cte('lp', extra=', ' + mlm.format(a='pc', b='pr') + ' AS mlm')}"""
+
+    q["compare_policies"] = compared(("ref", "policy", "nontoxic")) + f"""
+SELECT policy_id, CAST(count(*) AS BIGINT) AS n, CAST(count(loss) AS BIGINT) AS n_scored, {r6('avg(loss)')} AS loss,
        {r6('avg(reward_margin)')} AS reward_margin,
        {r6('avg(CASE WHEN correct THEN 1.0 ELSE 0.0 END)')} AS accuracy, {r6('avg(mlm)')} AS mean_logp_margin,
        {r6('avg(CASE WHEN mlm > 0 THEN 1.0 WHEN mlm IS NULL THEN NULL ELSE 0.0 END)')} AS frac_mean_logp_pos
 FROM m GROUP BY policy_id"""
 
+    q["compare_checkpoints"] = compared(tuple(Q.CHECKPOINTS)) + f"""
+SELECT CAST(substr(policy_id, 6) AS BIGINT) AS step, CAST(count(*) AS BIGINT) AS n, {r6('avg(loss)')} AS loss,
+       {r6('avg(reward_margin)')} AS reward_margin,
+       {r6('avg(CASE WHEN correct THEN 1.0 ELSE 0.0 END)')} AS accuracy, {r6('avg(mlm)')} AS mean_logp_margin
+FROM m GROUP BY policy_id"""
+
     q["greedy_extend"] = f"""
 {greedy_sql(("ref",), Q.GREEDY_STEPS).replace('WITH RECURSIVE ', 'WITH RECURSIVE ' + F2 + ', ' + F3 + ', ')}
 SELECT conv_id, CAST(step AS BIGINT) AS step, word FROM walk"""
@@ -484,7 +611,7 @@ SELECT conv_id, CAST(step AS BIGINT) AS step, word FROM walk"""
         for m in gen_models)
     q["generation_report"] = f"""
 WITH RECURSIVE {F2}, {F3}, {bigram(gen_models)},
-nxt AS (SELECT model_id, prev, next_word FROM ({nxt_union}) WHERE rn = 1),
+nxt AS MATERIALIZED (SELECT model_id, prev, next_word FROM ({nxt_union}) WHERE rn = 1),
 seeds AS (SELECT conv_id, {tok('text')} AS t FROM conversations WHERE turn = 0),
 sm AS (
   SELECT s.conv_id, m.model_id, s.t[len(s.t)] AS word
@@ -533,20 +660,22 @@ SELECT pair_id, matched_rendered, matched_plain, CAST(length(ans_r) AS BIGINT) A
        CAST(length(ans_p) AS BIGINT) AS answer_chars, md5(ans_p) AS answer_md5
 FROM ans"""
 
-    q["step_plan"] = f"""
+    step_plan = f"""
 WITH {F2},
 n AS (SELECT count(*) // 8 AS spe FROM f2i)
 SELECT CAST(row_idx // 8 + 1 AS BIGINT) AS step, CAST(count(*) AS BIGINT) AS n_pairs,
        CAST(min(row_idx) AS BIGINT) AS first_row, CAST(max(row_idx) AS BIGINT) AS last_row
-FROM f2i, n WHERE row_idx // 8 < n.spe GROUP BY row_idx // 8"""
+FROM f2i, n WHERE row_idx // 8 < n.spe"""
+    q["step_plan"] = f"{step_plan} GROUP BY row_idx // 8"
+    q["step_plan_capped"] = f"{step_plan} AND row_idx // 8 < {Q.SMOKE_STEPS} GROUP BY row_idx // 8"
 
+    rate = ("CASE WHEN step_idx < warm THEN step_idx / greatest(1.0, warm) "
+            "ELSE greatest(0.0, 0.5 * (1 + cos(pi() * (step_idx - warm) / greatest(1.0, total - warm)))) END")
     q["lr_schedule"] = f"""
-WITH {F2},
-n AS (SELECT count(*) // 8 AS total FROM f2i),
-s AS (SELECT DISTINCT row_idx // 8 AS step_idx FROM f2i, n WHERE row_idx // 8 < n.total),
-p AS (SELECT step_idx, total, ceil(0.03 * total) AS warm FROM s, n)
-SELECT CAST(step_idx AS BIGINT) AS step_idx, CAST(warm AS BIGINT) AS warmup_steps,
-       {r6("1e-6 * CASE WHEN step_idx < warm THEN step_idx / greatest(1.0, warm) ELSE greatest(0.0, 0.5 * (1 + cos(pi() * (step_idx - warm) / greatest(1.0, total - warm)))) END * 1e6")} AS lr_e6
+WITH {F8},
+l AS (SELECT run_id, last_step AS step, last_step - 1 AS step_idx, max(last_step) OVER (PARTITION BY run_id) AS total FROM roll),
+p AS (SELECT *, ceil(0.03 * total) AS warm FROM l)
+SELECT run_id, CAST(step AS BIGINT) AS step, CAST(warm AS BIGINT) AS warmup_steps, {r6(f"1e-6 * {rate} * 1e6")} AS lr_e6
 FROM p"""
 
     q["checkpoint_steps"] = f"""
@@ -563,19 +692,41 @@ u AS (SELECT unnest(generate_series(0, len(dphi) - 1)) AS dim, unnest(dphi) AS x
 SELECT CAST(dim AS BIGINT) AS dim, {r6(f'avg(-{Q.CFG.beta} * 0.5 * x) * 1e6')} AS grad_e6
 FROM u GROUP BY dim"""
 
+    # plain gradient descent as a chain of steps: scores, gradient, next parameters
+    chain = ["t0 AS (SELECT DISTINCT dim, CAST(0 AS DOUBLE) AS th FROM x)"]
+    for k in range(Q.LINEAR_STEPS + 1):
+        chain.append(f"s{k} AS MATERIALIZED (SELECT pair_id, sum(x * th) AS s FROM x JOIN t{k} USING (dim) GROUP BY pair_id)")
+        chain.append(f"g{k} AS MATERIALIZED (SELECT dim, avg(-{Q.CFG.beta} / (1 + exp({Q.CFG.beta} * s)) * x) AS g "
+                     f"FROM x JOIN s{k} USING (pair_id) GROUP BY dim)")
+        chain.append(f"t{k + 1} AS MATERIALIZED (SELECT dim, th - {Q.LINEAR_LR} * g AS th FROM t{k} JOIN g{k} USING (dim))")
+    steps = "\nUNION ALL\n".join(f"""
+SELECT CAST({k} AS BIGINT) AS step, {r6(f"avg(-{logsig(f'{Q.CFG.beta} * s')})")} AS loss,
+       {r6('avg(CASE WHEN s > 0 THEN 1.0 ELSE 0.0 END)')} AS accuracy,
+       {r6(f'(SELECT sum(g * g) FROM g{k}) * 1e6')} AS grad_norm_sq_e6 FROM s{k}""" for k in range(Q.LINEAR_STEPS + 1))
+    q["linear_dpo_fit"] = f"""
+WITH {EMB},
+x AS MATERIALIZED (
+  SELECT pair_id, unnest(generate_series(0, len(phi_chosen) - 1)) AS dim,
+         unnest(list_transform(generate_series(1, len(phi_chosen)), lambda i: phi_chosen[i] - phi_rejected[i])) AS x
+  FROM fp),
+{", ".join(chain)}
+{steps}"""
+
     q["metric_rollup"] = f"""
 WITH {F8}
 SELECT run_id, tag, CAST(bin AS BIGINT) AS bin, {r6('value')} AS value, CAST(n AS BIGINT) AS n,
+       CAST((bin + 1) * 10 AS BIGINT) AS log_step,
        CAST(first_step AS BIGINT) AS first_step, CAST(last_step AS BIGINT) AS last_step
 FROM roll"""
 
     q["metric_smooth"] = smooth_sql(w)
 
-    q["metric_smooth_last"] = f"""
+    for name, v in (("metric_smooth_last", w), ("metric_smooth_last_light", Q.SMOOTH_WEIGHT_LIGHT)):
+        q[name] = f"""
 WITH {F8},
 rk AS (SELECT *, bin + 1 AS k, max(bin + 1) OVER (PARTITION BY run_id, tag) AS nk FROM roll)
 SELECT run_id, tag, CAST(max(nk) AS BIGINT) AS n_points,
-       {r6(f'sum((1 - {w}) * pow({w}, nk - k) * value) / (1 - pow({w}, max(nk)))')} AS last_smoothed
+       {r6(f'sum((1 - {v}) * pow({v}, nk - k) * value) / (1 - pow({v}, max(nk)))')} AS last_smoothed
 FROM rk GROUP BY run_id, tag"""
 
     q["metric_tags"] = scored_batches(Q.AUDIT_BATCH) + f"""
@@ -592,6 +743,11 @@ SELECT CAST(floor(epoch(ts) / 21600) * 21600 AS BIGINT) AS window_start, event_t
        CAST(count(*) AS BIGINT) AS n, {r6('avg(value)')} AS avg_value, {r6('sum(value)')} AS sum_value
 FROM events GROUP BY 1, 2"""
 
+    # append mode: windows that end at or before the last event time less the allowed delay
+    q["stream_rollup_append"] = f"""
+SELECT * FROM ({q["stream_rollup"]})
+WHERE (window_start + 21600) * 1000 <= (SELECT epoch_ms(max(ts)) FROM events) - 3600000"""
+
     q["stream_metrics"] = f"WITH {F4}, {metrics_cte('f4')} {summary_select('m')}"
 
     q["stream_smooth"] = f"""

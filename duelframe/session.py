@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -61,14 +62,17 @@ def apply_runtime_conf(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting points at shared storage and is read, never replaced.
-    Only when it is unset (local runs, tests) a fresh folder is made and registered.
+    On a cluster this setting points at shared storage and is read, never replaced; it
+    must be set there.  Only a ``local`` master, whose executors are the driver, gets a
+    fresh local folder when it is unset.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not conf_dir and not re.fullmatch(r"local(\[.*\])?", sc.master or ""):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not conf_dir:
         conf_dir = tempfile.mkdtemp(prefix="duelframe-ckpt-")
     sc.setCheckpointDir(conf_dir)
@@ -90,36 +94,3 @@ def materialize(df, name: str):
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def write_bucketed(df, name: str, cols, buckets: int | None = None):
-    """Write a table bucketed by ``cols`` under the shared checkpoint folder.
-
-    Later joins on exactly those columns read it without shuffling it again: only the
-    other side moves.  One file per bucket (the rows are clustered first), and the
-    bucket count defaults to the session's shuffle partition count.  No ``sortBy``:
-    bucketed scans do not report an ordering by default, so the join sorts anyway.
-    """
-    spark = df.sparkSession
-    n = int(buckets or spark.conf.get("spark.sql.shuffle.partitions"))
-    table = f"{name.replace('-', '_')}_{uuid.uuid4().hex[:10]}"
-    (df.repartition(n, *cols).write.bucketBy(n, *cols)
-       .option("path", scratch_path(spark, name)).saveAsTable(table))
-    return spark.table(table)
-
-
-# Row bound under which a small side table is broadcast (after counting it).
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def broadcast_if_small(df, max_rows: int = BROADCAST_MAX_ROWS):
-    """Broadcast ``df`` only behind a checked size: it is cached and counted first.
-
-    Under ``max_rows`` the join becomes a broadcast join (the big side is never
-    shuffled); above it the ordinary shuffle join is kept.  Meant for per-group or
-    per-partition side tables whose size is not known in advance.
-    """
-    from pyspark.sql import functions as F
-
-    df = df.persist()
-    return F.broadcast(df) if df.count() <= max_rows else df

@@ -40,7 +40,7 @@ def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chats_from_turns(conversations(spark, sf_dir))
 
 
-def pairs_raw(spark: SparkSession, sf_dir: str, block: int = PAIR_BLOCK) -> DataFrame:
+def pairs_raw(spark: SparkSession, sf_dir: str, block: int = PAIR_BLOCK, cross: bool = False) -> DataFrame:
     """(pair_id, chosen, rejected) chat arrays.
 
     Prompt = messages before the last assistant turn, chosen answer = that turn, rejected
@@ -55,18 +55,69 @@ def pairs_raw(spark: SparkSession, sf_dir: str, block: int = PAIR_BLOCK) -> Data
     base = ch.select("block", F.col("conv_id").alias("pair_id"), prompt.alias("prompt_msgs"),
                      answer.alias("answer"), found.alias("found")).where("found")
     w = Window.partitionBy("block").orderBy("pair_id")
-    nxt = F.lead(F.struct("answer"), 1).over(w)
-    first = F.first(F.struct("answer")).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    rejected_answer = F.coalesce(nxt, first).getField("answer")
+    other = F.struct("answer", "prompt_msgs") if cross else F.struct("answer")
+    nxt = F.lead(other, 1).over(w)
+    first = F.first(other).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    of_other = F.coalesce(nxt, first)
+    prompt = F.col("prompt_msgs")
+    if cross:
+        prompt = F.when(F.col("pair_id") % 3 == 0, prompt).otherwise(of_other.getField("prompt_msgs"))
     return base.select(
         "pair_id",
         F.concat("prompt_msgs", F.array(message("assistant", F.col("answer")))).alias("chosen"),
-        F.concat("prompt_msgs", F.array(message("assistant", rejected_answer))).alias("rejected"))
+        F.concat(prompt, F.array(message("assistant", of_other.getField("answer")))).alias("rejected"))
+
+
+def pair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of F2 without its texts: conversations with an assistant turn."""
+    turns = conversations(spark, sf_dir).where(F.col("role") == "assistant")
+    return turns.select(F.col("conv_id").alias("pair_id")).distinct()
+
+
+def pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pair_id, row_idx): dense position in pair_id order; no text moves to number the rows."""
+    return with_row_index(pair_ids(spark, sf_dir), ["pair_id"])
 
 
 def pairs_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F2 with ``row_idx`` = dense position in pair_id order (the dataset's positional index)."""
-    return with_row_index(pairs_raw(spark, sf_dir), ["pair_id"])
+    return pairs_raw(spark, sf_dir).join(pair_index(spark, sf_dir), on="pair_id")
+
+
+def pairs_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F2 whose rejected side is the next conversation as a whole (its prompt and answer)
+    unless 3 divides the id, which keeps F2's shared prompt: both outcomes of the prompt
+    checks occur."""
+    return pairs_raw(spark, sf_dir, cross=True)
+
+
+# Number of ways in which F10 damages a pair, by pair_id modulo this.
+DAMAGES = 9
+
+
+def pairs_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F2 damaged in the way that ``pair_id % 9`` names, so that every kind of
+    validation error occurs: 1, 2 a side without messages; 3, 4 a side without its assistant
+    turn; 5 both sides without a prompt; 6 another first message; 7 a null content; 8 equal
+    answers; 0 whole."""
+    k = F.col("pair_id") % DAMAGES
+    c, r = F.col("chosen"), F.col("rejected")
+    none = F.slice(c, F.lit(1), F.lit(0))
+
+    def without_last(m):
+        # only the last turn is an assistant turn that counts: earlier ones become user turns
+        return F.transform(F.slice(m, F.lit(1), F.size(m) - 1), lambda x: message("user", x.getField("content")))
+
+    def last(m):
+        return F.slice(m, F.size(m), F.lit(1))
+
+    null_first = F.concat(F.array(message("user", F.lit(None).cast("string"))), c)
+    other_first = F.concat(F.array(message("user", F.lit("another question"))), r)
+    return pairs_raw(spark, sf_dir).select(
+        "pair_id",
+        F.when(k == 1, none).when(k == 3, without_last(c)).when(k == 5, last(c)).when(k == 7, null_first).otherwise(c).alias("chosen"),
+        F.when(k == 2, none).when(k == 4, without_last(r)).when(k == 5, last(r)).when(k == 6, other_first)
+         .when(k == 8, c).otherwise(r).alias("rejected"))
 
 
 def lineitem_logps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,6 +159,7 @@ def metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     ev = read_table(spark, sf_dir, "events").select(
         F.col("event_type").alias("run_id"), "ts", "event_id", "value")
-    idx = with_row_index(ev, ["ts", "event_id"], partition_by=["run_id"], name="_i")
+    idx = with_row_index(ev, ["ts", "event_id"], partition_by=["run_id"], name="_i",
+                         key=["run_id", "ts", "event_id", "value"])   # narrow: carried, not joined back
     return idx.select("run_id", (F.col("_i") + F.lit(1)).alias("step"), "ts",
                       F.lit("train/value").alias("tag"), "value")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from duelframe.operators.training import rollup_log
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -23,17 +25,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition only when a scan yields fewer partitions than there are cores.
-
-    A single large row group is one scan task; heavy per-row work after it (tokenising
-    whole documents) would then run on one core.  Large inputs already arrive in many
-    splits and pass through untouched, so this never adds a shuffle at scale.
-    """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+def spread(df: DataFrame, partitions: int) -> DataFrame:
+    """Round-robin over ``partitions``: for an input of few splits and heavy work per row
+    (one large row group is one scan task).  An explicit choice of the caller."""
+    return df.repartition(int(partitions))
 
 
 # Input shape of a preference dataset: two chat arrays per row (JSON lines or parquet).
@@ -45,14 +40,17 @@ def load_pairs(spark: SparkSession, path: str, split: str | None = None, fmt: st
                schema: str | None = None) -> DataFrame:
     """A named split of a pair dataset (parquet or json lines with chosen/rejected chat arrays).
 
-    A ``split`` column, when present, is filtered on so the predicate reaches the scan.
+    The ``split`` column is filtered on so the predicate reaches the scan; asking for a
+    split of a table without that column is an error.
     Pass ``schema`` (e.g. ``PAIR_SCHEMA``) for JSON to skip schema inference over the data.
     """
     reader = spark.read.format(fmt)
     if schema is not None:
         reader = reader.schema(schema)
     df = reader.load(path)
-    if split is not None and "split" in df.columns:
+    if split is not None:
+        if "split" not in df.columns:
+            raise ValueError(f"no column 'split' in {path}")
         df = df.where(F.col("split") == F.lit(split))
     return df
 
@@ -64,9 +62,9 @@ def write_checkpoint(df: DataFrame, out_dir: str, run_id: str, step: int, mode:
 
 
 def write_metrics(metric_log: DataFrame, out_dir: str, every: int = 10) -> None:
-    """Append the metric log rows at logging steps (step % every == 0) partitioned by run."""
-    (metric_log.where((F.col("step") % F.lit(int(every))) == 0)
-       .write.mode("append").partitionBy("run_id").parquet(out_dir))
+    """Append the log's window means (R4: one row for every ``every`` steps, each the mean
+    of its window) partitioned by run; every value of the log counts."""
+    rollup_log(metric_log, every).write.mode("append").partitionBy("run_id").parquet(out_dir)
 
 
 def read_metrics(spark: SparkSession, out_dir: str, run_id: str | None = None) -> DataFrame:

@@ -3,19 +3,20 @@
 Sources are file streams over parquet; sinks write to the shared checkpoint folder
 (``spark.checkpoint.dir``) through foreachBatch or the file sink, so results survive the
 driver and executors.  The ``run_*`` helpers drive a stream over everything available
-(``availableNow``) and return the sink as a batch DataFrame.
+(``availableNow``) and return the sink as a batch DataFrame.  Given ``state`` (a folder on
+shared storage) a run resumes there: its offsets, state and results continue those of the
+run before; otherwise it starts in a folder of its own.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from duelframe.config import PrefConfig
 from duelframe.functions.metrics import summary_aggs, with_dpo_metrics
+from duelframe.operators.batching import with_row_index
+from duelframe.operators.training import debiased, smooth_part
 from duelframe.session import scratch_path
 from duelframe.sources.tables import table_path
 
@@ -24,26 +25,39 @@ from duelframe.sources.tables import table_path
 MAX_BYTES_PER_TRIGGER = 256 * 1024 * 1024
 
 
+def _path_status(spark: SparkSession, path: str):
+    """The Hadoop file status of a path on any storage, or None if it does not exist."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.getFileStatus(p) if fs.exists(p) else None
+
+
 def file_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None,
                 max_bytes_per_trigger: int | None = MAX_BYTES_PER_TRIGGER) -> DataFrame:
     """A parquet file stream whose schema is read once from the existing files.
 
     ``path`` is a folder of parquet files, or one parquet file: then its folder is
-    watched with a file-name filter (a stream source must be a folder).  Micro-batches
-    are bounded by a file count or, by default, by bytes, so per-key work inside one
-    batch (ST2's state function) never sees an unbounded slice of the input.
+    watched with a file-name filter (a stream source must be a folder).  Which of the two
+    it is the file system says, whatever the storage.  Micro-batches are bounded by a file
+    count or, by default, by bytes.
     """
-    import os
     schema = spark.read.parquet(path).schema
     r = spark.readStream.schema(schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", int(max_files_per_trigger))
     elif max_bytes_per_trigger:
         r = r.option("maxBytesPerTrigger", int(max_bytes_per_trigger))
-    if path.endswith(".parquet") and not os.path.isdir(path):
-        folder, name = os.path.split(path)
-        return r.option("pathGlobFilter", name).parquet(folder)
-    return r.parquet(path)
+    if _path_status(spark, path).isDirectory():
+        return r.parquet(path)
+    folder, _, name = path.rstrip("/").rpartition("/")
+    return r.option("pathGlobFilter", name).parquet(folder)
+
+
+def _folders(spark: SparkSession, state: str | None, name: str) -> tuple[str, str]:
+    """(results, checkpoint) of a run."""
+    base = state or scratch_path(spark, name)
+    return f"{base}/out", f"{base}/checkpoint"
 
 
 # ---------------------------------------------------------------- ST1
@@ -67,26 +81,28 @@ def _complete_to(path: str):
     return sink
 
 
+ROLLUP_OUT = "window_start bigint, event_type string, n bigint, avg_value double, sum_value double"
+
+
 def run_stream_rollup(spark: SparkSession, sf_dir: str, window: str = "6 hours", delay: str = "1 hour",
                       output_mode: str = "complete", max_files_per_trigger: int | None = None,
-                      source_path: str | None = None) -> DataFrame:
+                      source_path: str | None = None, state: str | None = None) -> DataFrame:
+    """ST1 over everything available.  ``append`` emits a window once, when the watermark has
+    passed its end, and then frees its state; ``complete`` keeps every window."""
+    if output_mode not in ("complete", "append"):
+        raise ValueError("output_mode must be 'complete' or 'append'")
     src = file_stream(spark, source_path or table_path(sf_dir, "events"), max_files_per_trigger)
     agg = stream_rollup(src, window, delay)
-    out = scratch_path(spark, "stream-rollup-out")
-    ckpt = scratch_path(spark, "stream-rollup-ckpt")
+    out, ckpt = _folders(spark, state, "stream-rollup")
     w = agg.writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True)
     if output_mode == "complete":
         q = w.outputMode("complete").foreachBatch(_complete_to(out)).start()
-    elif output_mode == "append":
-        q = w.outputMode("append").format("parquet").option("path", out).start()
     else:
-        raise ValueError("output_mode must be 'complete' or 'append'")
+        q = w.outputMode("append").format("parquet").option("path", out).start()
     q.awaitTermination()
-    schema = "window_start bigint, event_type string, n bigint, avg_value double, sum_value double"
-    try:
-        return spark.read.schema(schema).parquet(out)
-    except Exception:  # nothing emitted (append mode before any window closed)
-        return spark.createDataFrame([], schema)
+    if _path_status(spark, out) is None:       # no batch was run: the source has no file
+        return spark.createDataFrame([], ROLLUP_OUT)
+    return spark.read.schema(ROLLUP_OUT).parquet(out)
 
 
 # ---------------------------------------------------------------- ST3
@@ -97,15 +113,16 @@ def stream_metrics(pair_logps: DataFrame, cfg: PrefConfig = PrefConfig()) -> Dat
 
 
 def run_stream_metrics(spark: SparkSession, sf_dir: str, cfg: PrefConfig = PrefConfig(),
-                       source_path: str | None = None, max_files_per_trigger: int | None = None) -> DataFrame:
+                       source_path: str | None = None, max_files_per_trigger: int | None = None,
+                       state: str | None = None) -> DataFrame:
     """The lineitem-derived log-probs (F4) replayed as a stream; complete mode."""
     li = file_stream(spark, source_path or table_path(sf_dir, "lineitem"), max_files_per_trigger)
     q_, d, t = F.col("l_quantity"), F.col("l_discount"), F.col("l_tax")
     logps = li.select((-q_).alias("pc"), (-q_ * (F.lit(1.0) + d)).alias("pr"),
                       (-q_ * (F.lit(1.0) + t)).alias("rc"), (-q_ * (F.lit(1.0) + t / F.lit(2.0))).alias("rr"))
     agg = stream_metrics(logps, cfg)
-    out = scratch_path(spark, "stream-metrics-out")
-    q = (agg.writeStream.option("checkpointLocation", scratch_path(spark, "stream-metrics-ckpt"))
+    out, ckpt = _folders(spark, state, "stream-metrics")
+    q = (agg.writeStream.option("checkpointLocation", ckpt)
          .trigger(availableNow=True).outputMode("complete").foreachBatch(_complete_to(out)).start())
     q.awaitTermination()
     return spark.read.parquet(out)
@@ -113,63 +130,56 @@ def run_stream_metrics(spark: SparkSession, sf_dir: str, cfg: PrefConfig = PrefC
 
 # ---------------------------------------------------------------- ST2
 
-SMOOTH_OUT = "run_id string, n_points long, last_smoothed double, last_ts timestamp"
-SMOOTH_STATE = "e double, n long, last_ts timestamp"
-
-
-def _smoother(weight: float):
-    w = float(weight)
-
-    def fold(key, pdfs, state):
-        """Advance one run's exponential average by this micro-batch's points.
-
-        A micro-batch is bounded by the trigger (files/bytes per trigger), so the rows of a
-        run inside one batch are bounded too; the state is two numbers per run.
-        """
-        pdf = pd.concat(list(pdfs), ignore_index=True)
-        pdf = pdf.sort_values(["ts", "event_id"], kind="mergesort")
-        v = pdf["value"].to_numpy(dtype=np.float64)
-        m = len(v)
-        if state.exists:
-            e0, n0, _ = state.get
-        else:
-            e0, n0 = 0.0, 0
-        powers = np.power(w, np.arange(m - 1, -1, -1, dtype=np.float64))
-        e = (w ** m) * e0 + (1.0 - w) * float(np.dot(powers, v))
-        n = int(n0) + m
-        last_ts = pdf["ts"].iloc[-1] if m else None
-        state.update((e, n, last_ts))
-        smoothed = e / (1.0 - w ** n) if n > 0 else float("nan")
-        yield pd.DataFrame({"run_id": [key[0]], "n_points": [n], "last_smoothed": [smoothed],
-                            "last_ts": [last_ts]})
-
-    return fold
-
-
-def stream_smooth(events: DataFrame, weight: float = 0.8) -> DataFrame:
-    """ST2: per-run debiased exponential smoothing with state carried across micro-batches.
-
-    Points are folded in (ts, event_id) order inside a batch; batches are assumed to
-    arrive in event-time order per run (a log written by a running job).
-    """
-    ev = events.select(F.col("event_type").alias("run_id"), F.col("ts").cast("timestamp").alias("ts"),
-                       "event_id", "value")
-    return ev.groupBy("run_id").applyInPandasWithState(
-        _smoother(weight), SMOOTH_OUT, SMOOTH_STATE, "update", GroupStateTimeout.NoTimeout)
+PART_OUT = ("run_id string, n_points bigint, e double, first struct<ts:timestamp,event_id:bigint>, "
+            "last struct<ts:timestamp,event_id:bigint>, epoch bigint")
+
+
+def smooth_batch(points: DataFrame, weight: float) -> DataFrame:
+    """One micro-batch of (run_id, ts, event_id, value) as one row per run: the number of its
+    points, their undebiased average in (ts, event_id) order, and its time range.  The
+    points are numbered by the distributed row index: no run is gathered in one task."""
+    k = with_row_index(points, ["ts", "event_id"], partition_by=["run_id"], name="_i",
+                       key=["run_id", "ts", "event_id", "value"]).withColumn("k", F.col("_i") + 1)
+    at = F.struct("ts", "event_id")
+    span = k.groupBy("run_id").agg(F.min(at).alias("first"), F.max(at).alias("last"))
+    part = smooth_part(k, weight, ["run_id"], "k").withColumnRenamed("run_id", "_run")
+    return part.join(span, part["_run"].eqNullSafe(span["run_id"])).select("run_id", "n_points", "e", "first", "last")
+
+
+def combine_parts(parts: DataFrame, weight: float) -> DataFrame:
+    """(run_id, n_points, last_smoothed) from the micro-batches' parts, in whatever order they
+    were read: parts are put in the order of their time ranges and combine as
+    ``E = w^n2 * E1 + E2``.  Ranges of one run that overlap have no such order: an error."""
+    by_time = Window.partitionBy("run_id").orderBy("first")      # one row per micro-batch
+    later = Window.partitionBy("run_id").orderBy(F.col("first").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    p = (parts.withColumn("_before", F.lag("last").over(by_time))
+         .withColumn("n_points", F.when(F.col("_before") >= F.col("first"),
+                                        F.raise_error(F.lit("micro-batches of one run overlap in event time")).cast("bigint"))
+                     .otherwise(F.col("n_points")))
+         .withColumn("_after", F.coalesce(F.sum("n_points").over(later), F.lit(0))))
+    e = F.sum(F.col("e") * F.pow(F.lit(float(weight)), F.col("_after").cast("double")))
+    return (p.groupBy("run_id").agg(F.sum("n_points").alias("n_points"), e.alias("e"))
+            .select("run_id", "n_points", debiased(F.col("e"), F.col("n_points"), weight).alias("last_smoothed")))
 
 
 def run_stream_smooth(spark: SparkSession, sf_dir: str, weight: float = 0.8, source_path: str | None = None,
-                      max_files_per_trigger: int | None = None) -> DataFrame:
+                      max_files_per_trigger: int | None = None, state: str | None = None) -> DataFrame:
+    """ST2: per-run debiased exponential smoothing over a stream of points.
+
+    Every micro-batch leaves one mergeable row per run (two numbers and a time range), so
+    the answer does not depend on how files fall into micro-batches or in which order these
+    come, as long as the batches of a run do not overlap in event time (checked)."""
     src = file_stream(spark, source_path or table_path(sf_dir, "events"), max_files_per_trigger)
-    sm = stream_smooth(src, weight)
-    out = scratch_path(spark, "stream-smooth-out")
+    points = src.select(F.col("event_type").alias("run_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
+    out, ckpt = _folders(spark, state, "stream-smooth")
 
     def sink(batch: DataFrame, epoch_id: int) -> None:
-        batch.withColumn("epoch", F.lit(int(epoch_id)).cast("long")).write.mode("append").parquet(out)
+        # a repeated epoch replaces what its first attempt wrote
+        smooth_batch(batch, weight).write.mode("overwrite").parquet(f"{out}/epoch={int(epoch_id)}")
 
-    q = (sm.writeStream.option("checkpointLocation", scratch_path(spark, "stream-smooth-ckpt"))
-         .trigger(availableNow=True).outputMode("update").foreachBatch(sink).start())
+    q = (points.writeStream.option("checkpointLocation", ckpt)
+         .trigger(availableNow=True).outputMode("append").foreachBatch(sink).start())
     q.awaitTermination()
-    rows = spark.read.parquet(out)
-    latest = rows.groupBy("run_id").agg(F.max_by(F.struct("n_points", "last_smoothed"), "epoch").alias("s"))
-    return latest.select("run_id", F.col("s.n_points").alias("n_points"), F.col("s.last_smoothed").alias("last_smoothed"))
+    if _path_status(spark, out) is None:
+        return spark.createDataFrame([], "run_id string, n_points bigint, last_smoothed double")
+    return combine_parts(spark.read.schema(PART_OUT).parquet(out), weight)

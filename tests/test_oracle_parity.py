@@ -10,7 +10,7 @@ def _names():
     return sorted(E.oracle_sql())
 
 
-TABLES = ("conversations documents labels embeddings events lineitem").split()
+TABLES = ("conversations documents labels embeddings events lineitem pages").split()
 
 
 @pytest.fixture(scope="module")

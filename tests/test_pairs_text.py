@@ -96,11 +96,22 @@ def test_sides_lengths_max_length_256(spark):
     assert r["rejected"].answer_len == 1 and r["rejected"].truncated is False
 
 
+def test_template_aware_and_whole_sides(spark):
+    """With a template, prompt lengths and the first word's context include the markers; without
+    caps nothing is cut."""
+    e = S.extract(pairs(spark))
+    plain = {(r.pair_id, r.side): r for r in S.sides(e).collect()}
+    drawn = {(r.pair_id, r.side): r for r in S.sides(e, PrefConfig(), ChatTemplate()).collect()}
+    one = drawn[(1, "chosen")]
+    assert one.prompt_tokens == ["<|im_start|>user", "hi", "there<|im_end|>", "<|im_start|>assistant"]
+    assert one.context0 == "<|im_start|>assistant" and plain[(1, "chosen")].context0 == "there"
+    assert all(r.prompt_len == r.prompt_len_raw and r.answer_len == r.answer_len_raw for r in plain.values())
+    assert S.extract(pairs(spark)).select(C.render_chat(C.as_user_chat("prompt_text")).alias("t")).first().t.startswith("<|im_start|>user")
+
+
 def test_nonpad_and_preview(spark):
-    df = spark.createDataFrame([(["a", "b"],)], "ids array<string>")
-    out = df.select(T.pad_to("ids", F.lit(5), "<pad>").alias("p")).select(
-        "p", T.nonpad_len("p", "<pad>").alias("n")).first()
-    assert out.p == ["a", "b", "<pad>", "<pad>", "<pad>"] and out.n == 2
+    df = spark.createDataFrame([(["a", "b", "<pad>", "<pad>"],), ([],), (["<pad>", "x"],)], "ids array<string>")
+    assert [r.n for r in df.select(T.nonpad_len("ids", "<pad>").alias("n")).collect()] == [2, 0, 1]
     assert spark.createDataFrame([("héllo wörld",)], "t string").select(
         T.char_len("t").alias("n"), T.preview("t", 4).alias("p")).first() == (11, "héll")
 

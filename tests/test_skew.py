@@ -1,4 +1,5 @@
-"""A (prev, w) key holding half of all answer tokens: the join back is split by AQE, results stay exact."""
+"""Hot keys of the scorer: a (prev, w) key that holds half of all answer tokens (the join back
+is split by AQE), and a word with very many distinct successors (the key joins are salted)."""
 
 import math
 from collections import Counter
@@ -50,3 +51,27 @@ def test_hot_scoring_key_is_split_and_exact(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_a_word_with_many_successors_is_split(spark):
+    """200,000 distinct words follow one word, on the path with written counts: no task of the
+    salted context join holds them all, and the scores are exact."""
+    n = 200_000
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("hub w"), F.col("id").cast("string")).alias("text"))
+        model = SC.fit_bigram(docs, {"ref": F.lit(True)})
+        keys = spark.range(n).select(F.lit("hub").alias("prev"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("w"))
+        lp = SC.key_logps(keys, model)
+        total, v = 2 * n, n + 1
+        want = math.log((1 + 100 * 2 / (total + v + 1)) / (n + 100))
+        stats = lp.agg(F.count("lp_ref"), F.min("lp_ref"), F.max("lp_ref")).first()
+        assert stats[0] == n and math.isclose(stats[1], want) and math.isclose(stats[2], want)
+        salted = keys.select("prev", F.pmod(F.xxhash64("w"), F.lit(SC.KEY_SALTS)).cast("int").alias("s")).groupBy("prev", "s").count()
+        largest = salted.agg(F.max("count")).first()[0]
+        assert largest < n / SC.KEY_SALTS * 1.1
+        plan = lp._jdf.queryExecution().executedPlan().toString()
+        assert "_by_w" in plan and "_by_prev" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
