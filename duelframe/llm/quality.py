@@ -30,7 +30,7 @@ from duelframe.llm.common import with_struct
 
 BUCKETS = 1 << 14
 TRUSTED_DOCS = 20_000
-THRESHOLD = -0.3
+THRESHOLD = -0.15
 MIN_WORDS = 10
 WINDOW = 5
 REPEAT_PERCENT = 20
