@@ -102,9 +102,13 @@ def _model(spark, d, ids=("ref", "policy")):
     return SC.BigramModel.load(spark, saved) if saved else fit_models(spark, d, ids)
 
 
-def fit_models(spark, d, ids=tuple(MODEL_FILTERS)):
-    cores = spark.sparkContext.defaultParallelism
-    docs = spread(read_table(spark, d, "documents"), cores).join(read_table(spark, d, "labels"), on="doc_id", how="left")
+def fit_models(spark, d, ids=tuple(MODEL_FILTERS), partitions=None):
+    """A fit over all documents.  ``partitions`` spreads a corpus of few splits first; by
+    default the documents are read as they are split, without a shuffle."""
+    docs = read_table(spark, d, "documents")
+    if partitions:
+        docs = spread(docs, partitions)
+    docs = docs.join(read_table(spark, d, "labels"), on="doc_id", how="left")
     return SC.fit_bigram(docs, {m: MODEL_FILTERS[m]() for m in ids})
 
 
