@@ -8,11 +8,14 @@ lost or repeated attempts are not in it and are never read.
 
 The reader plans byte ranges over the manifest.  A task scans its range for the gzip magic,
 takes a position as a member only if the gzip header is well formed and the member's first
-bytes inflate to a WARC record header, and owns the records that start inside its range; the
-last one may end beyond it.  From a validated member the walk goes on at that member's exact
-end.  A record whose header is valid but whose body is damaged raises an error: records are
-never left out silently.  (A payload that itself holds an uncompressed-stored WARC archive
-could be taken for records if a range happens to start inside it.)
+bytes inflate to the start of a WARC record, and owns the records that start inside its range;
+the last one may end beyond it.  From a validated member the walk goes on at that member's
+exact end.  Header and body may be of any length and compress to any ratio.  A member that
+starts as a record but has no valid header, or whose body is damaged, raises an error, and if
+the manifest has the records of each archive, ``read`` counts them in a pass of its own before
+it returns: records are never left out silently.  (A payload that itself holds an
+uncompressed-stored WARC archive could be taken for records if a range happens to start inside
+it; the count then differs.)
 
 Files are opened through ``pyarrow.fs`` on the shared checkpoint folder or another folder
 that all executors reach (file, hdfs, s3, gs).
@@ -29,6 +32,7 @@ import base64
 import hashlib
 import uuid
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -43,10 +47,12 @@ MAGIC = b"\x1f\x8b\x08"
 FILE_BYTES = 256 << 20        # an archive file is closed beyond this
 SPLIT_BYTES = 8 << 20
 READ_BYTES = 1 << 20
-HEADER_BYTES = 1 << 20        # a record header that is longer is not valid
+PIECE_BYTES = 1 << 10         # of a member's first inflated piece; each next one may be twice as long,
+MAX_PIECE_BYTES = 1 << 20     # to this
 BATCH_BYTES = 8 << 20
 LEVEL = 4
 _PREFIX = "urn:page:"
+_START = b"WARC/1."
 
 
 def _open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -160,21 +166,26 @@ def _candidate(w: _Window, pos: int, end: int) -> int:
 
 
 def _inflate(w: _Window, pos: int) -> Iterator[tuple[bytes, int]]:
-    """(bytes, position after the member or 0) piece by piece; zlib.error if not a member."""
-    z = zlib.decompressobj(31)
+    """(bytes, position after the member or 0) piece by piece; zlib.error if not a member.
+
+    The first pieces are short: a record's start is seen before any damage that comes later."""
+    z, most = zlib.decompressobj(31), PIECE_BYTES
     while not z.eof:
-        block = w.get(pos, 1 << 16)
+        block = z.unconsumed_tail
         if not block:
-            raise zlib.error("the member is cut off")
-        out = z.decompress(block)
-        pos += len(block) - len(z.unused_data)
-        yield out, pos if z.eof else 0
+            block = w.get(pos, 1 << 16)
+            if not block:
+                raise zlib.error("the member is cut off")
+            pos += len(block)
+        out = z.decompress(block, most)
+        most = min(2 * most, MAX_PIECE_BYTES)
+        yield out, pos - len(z.unused_data) if z.eof else 0
 
 
 def _header(head: bytes) -> dict[str, str] | None:
     """Fields of a WARC header block by lower-case name; None if it is not one."""
     lines = head.split(b"\r\n")
-    if not lines[0].startswith(b"WARC/1."):
+    if not lines[0].startswith(_START):
         return None
     fields = {}
     for line in lines[1:]:
@@ -190,7 +201,7 @@ def members(w: _Window, start: int, end: int, path: str = "") -> Iterator[tuple[
     pos = start
     while (pos := _candidate(w, pos, end)) >= 0:
         flags = w.get(pos, 4)
-        data, fields, after, body = b"", None, 0, 0
+        data, fields, after, body = bytearray(), None, 0, 0
         parts: list[bytes] = []
         try:
             if len(flags) < 4 or flags[3] & 0xE0:
@@ -199,23 +210,23 @@ def members(w: _Window, start: int, end: int, path: str = "") -> Iterator[tuple[
                 if fields is not None:
                     parts.append(out)
                     continue
+                seen = max(0, len(data) - 3)
                 data += out
-                if not data.startswith(b"WARC/1."[:len(data)]) or len(data) > HEADER_BYTES:
+                if not data.startswith(_START[:len(data)]):
                     raise zlib.error("not a record")
-                body = data.find(b"\r\n\r\n")
+                body = data.find(b"\r\n\r\n", seen)
                 if body >= 0:
-                    fields = _header(data[:body])
+                    fields = _header(bytes(data[:body]))
                     if fields is None:
                         raise zlib.error("not a record header")
-                    parts.append(data[body + 4:])
+                    parts.append(bytes(data[body + 4:]))
+            if fields is None:
+                raise zlib.error("no header")
         except zlib.error as e:
-            if fields is not None:
+            if data.startswith(_START):
                 raise ValueError(f"damaged record at {path}:{pos}") from e
             pos += 1
             continue
-        if fields is None:
-            pos += 1
-            continue
         block = b"".join(parts)
         n = int(fields["content-length"])
         if len(block) < n:
@@ -252,28 +263,43 @@ def _row(path: str, pos: int, f: dict[str, str], block: bytes) -> tuple:
 
 
 def read(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """All records of the archives of a manifest (path, bytes); see ``SCHEMA``."""
+    """All records of the archives of a manifest (path, bytes, and records if they are to be
+    counted); see ``SCHEMA``."""
     total = manifest.agg(F.sum(F.ceil(F.col("bytes") / split_bytes)).alias("n")).first()["n"] or 1
     splits = (manifest.where("bytes > 0")
               .select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
               .repartition(min(int(total), 10_000), "path", "start"))
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, held = [], 0
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, dict[str, str], bytes]]:
         for batch in batches:
             for s in batch.to_pylist():
                 store, name = _open_fs(s["path"])
                 with store.open_input_file(name) as f:
-                    for pos, fields, block in members(_Window(f, s["bytes"]), s["start"],
-                                                      min(s["start"] + split_bytes, s["bytes"]), s["path"]):
-                        rows.append(_row(s["path"], pos, fields, block))
-                        held += len(block) + 200
-                        if held >= BATCH_BYTES:
-                            yield _batch(rows)
-                            rows, held = [], 0
+                    for found in members(_Window(f, s["bytes"]), s["start"], min(s["start"] + split_bytes, s["bytes"]), s["path"]):
+                        yield s["path"], *found
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Counter(path for path, *_ in walk(batches))
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["path", "n"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for path, pos, fields, block in walk(batches):
+            rows.append(_row(path, pos, fields, block))
+            held += len(block) + 200
+            if held >= BATCH_BYTES:
+                yield _batch(rows)
+                rows, held = [], 0
         if rows:
             yield _batch(rows)
 
+    if "records" in manifest.columns:
+        zero = F.lit(0).cast("long")
+        wrong = (splits.mapInArrow(count, "path string, n long").select("path", "n", zero.alias("records"))
+                 .unionByName(manifest.select("path", zero.alias("n"), "records"))
+                 .groupBy("path").agg(F.sum("n").alias("n"), F.sum("records").alias("records")).where("n <> records").first())
+        if wrong is not None:
+            raise ValueError(f"{wrong['path']} has {wrong['n']} records, the manifest {wrong['records']}")
     return splits.mapInArrow(scan, SCHEMA)
 
 

@@ -53,6 +53,37 @@ def test_damage_is_an_error(llm, tmp_path):
         W.read(manifest).count()
 
 
+@pytest.mark.parametrize("split", [5000, 30_000, 1 << 20])
+def test_long_records_of_few_bytes(llm, split):
+    """Pages and a URL that inflate to several MB from one block of 64 KB."""
+    rnd = random.Random(1)
+    passage = "".join(rnd.choice("abcdefgh <>") for _ in range(3000))
+    pages = [(1, "u", "<li>one line of a template</li>\n" * 80_000), (2, "u", passage * 900), (3, "v", "x" * 5_000_000),
+             (4, "http://h/" + "é" * 500_000, "short"), (5, "w", "x" * 5_000_000), (6, "w", "end")]
+    got = {r["id"]: r for r in W.read(W.write(llm.createDataFrame(pages, SCHEMA).coalesce(1)), split).collect()}
+    assert [(i, got[i]["payload_bytes"]) for i in sorted(got)] == [(i, len(html)) for i, _, html in pages]
+    assert (got[5]["record_type"], got[5]["refers_to"]) == ("revisit", 3)
+    assert all(bytes(got[i]["payload"]).decode() == html for i, _, html in pages if i != 5)
+
+
+def test_damage_near_a_start_is_an_error(llm, tmp_path):
+    """In the first block, in the header, and where only the manifest's count tells."""
+    rnd = random.Random(2)
+    first, last = (W.member(W.record(i, "u", rnd.randbytes(9000))) for i in (1, 3))
+    whole = W.member(W.record(2, "u", rnd.randbytes(9000)))
+    no_length = W.member(b"WARC/1.1\r\nWARC-Type: response\r\n\r\nbody")
+    endless = W.member(b"WARC/1.1\r\nWARC-Type: " + b"x" * 3_000_000)
+    torn = whole[:5000] + bytes(b ^ 255 for b in whole[5000:])
+    unknown = b"\0" * 12 + whole[12:]
+    for k, (middle, error) in enumerate([(torn, "damaged record"), (no_length, "damaged record"), (endless, "damaged record"),
+                                         (unknown, "has 2 records, the manifest 3")]):
+        path = tmp_path / f"{k}.warc.gz"
+        path.write_bytes(first + middle + last)
+        manifest = llm.createDataFrame([(str(path), os.path.getsize(path), 3)], "path string, bytes long, records long")
+        with pytest.raises(Exception, match=error):
+            W.read(manifest).count()
+
+
 def test_revisits_and_odd_rows(llm):
     pages = [(5, "u", "same"), (3, None, "same"), (9, "v", "same"), (3, None, "same"), (1, "w", None), (2, "w", ""), (None, None, "same"),
              (None, "n", "lone"), (None, "n", "lone"), (7, "x", "é" * 300_000), (8, None, "short")]
