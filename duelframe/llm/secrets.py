@@ -4,8 +4,10 @@ Base kinds, leftmost and non-overlapping for each kind, positions in code points
 exclusive: ``assign`` (a key word, a sign, a value of 12 or more characters), ``access``
 (AKIA and capitals or digits, 18 or more) and ``hex`` (16 or more lower-case hex digits).
 
-The method adds kind ``random``: runs of 20 or more characters of ``[A-Za-z0-9+/_=-]`` with
-a letter and outside the base spans.  For the encoding that a run's characters fit (hex,
+The method adds kind ``random``: runs of 20 or more characters of ``[A-Za-z0-9+/_-]``, with
+their ``=`` padding, that hold a letter.  A ``=`` before such a character is a sign between a
+name and its value and ends a run; of a run that meets base spans the rests around them are
+runs of their own.  For the encoding that a run's characters fit (hex,
 base 32, base 64) three tests ask whether it looks uniformly random: chi-squared of the
 alphabet's use (with as many cells as the length allows), Wald-Wolfowitz runs about the
 alphabet's middle, and serial correlation of neighbours.  A run that any test rejects at
@@ -51,7 +53,7 @@ _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]
                      re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN)
+_RUN = re.compile(r"[A-Za-z0-9+/_-]{%d,}(?:=+(?![A-Za-z0-9+/_=-]))?" % (MIN_RUN - 4))   # the length is tested with the padding
 _CUES = ("password", "passwd", "secret", "token", "api_key", "apikey", "akia")
 
 _ENCODINGS = tuple((re.compile(pattern + r"=*"), alphabet) for pattern, alphabet in (
@@ -137,14 +139,27 @@ def length_class(n: int) -> int:
     return int(np.searchsorted(LENGTH_CLASSES, n))
 
 
+def _rests(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
+    """(start, end) of what ``spans`` leave of each run."""
+    taken, k = sorted((a, b) for _, a, b in spans), 0
+    at = 0                                     # the end of the spans passed so far
+    for m in _RUN.finditer(text):
+        s, e = m.span()
+        while k < len(taken) and taken[k][0] < e:
+            if taken[k][0] > max(s, at):
+                yield max(s, at), taken[k][0]
+            at, k = max(at, taken[k][1]), k + 1
+        if at < e:
+            yield max(s, at), e
+
+
 def random_runs(text: str, log_text: np.ndarray, spans: list[tuple[str, int, int]]):
     """(start, end, length class, evidence, passed) of each tested run outside ``spans``:
     evidence is -log10 p against ordinary text, passed the battery's verdict."""
-    for m in _RUN.finditer(text):
-        s, e = m.span()
-        if any(a < e and s < b for _, a, b in spans):
+    for s, e in _rests(text, spans):
+        token = text[s:e]
+        if len(token) < MIN_RUN:
             continue
-        token = m.group()
         tested = battery(token) if any(c.isalpha() for c in token) else None
         if tested is None:
             continue
