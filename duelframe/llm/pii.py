@@ -9,7 +9,9 @@ digits, digit counts).  Text without anchors is never parsed.
 Base kinds, leftmost and non-overlapping for each kind, positions in code points, end
 exclusive: ``email``, ``ip``, ``card``, ``phone``; a match that fails its validation is
 dropped and not retried.  The method adds ``iban`` (country, check digits and account
-after the cue ``IBAN``, mod 97 = 1), ``login`` (user and password inside a URL) and
+after the cue ``IBAN``, mod 97 = 1; it ends at the country's length, else where the longest
+expansion ends or, of a country without a known length, at the last possible end before
+another character than a capital letter or digit), ``login`` (user and password inside a URL) and
 ``account`` (6 to 20 digits, single blanks or hyphens between, after an account cue).
 
 Defined results: null text is empty and has no spans.  Empty table: no rows.  Rows are
@@ -41,7 +43,14 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"[:\x20]{0,3}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})(?![A-Z0-9])")
+_IBAN = re.compile(r"[:\x20]{0,3}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})")
+_IBAN_END = re.compile(r"[A-Z0-9](?![A-Z0-9])")
+_IBAN_LENGTHS = {c: int(n) for c, n in (x.split(":") for x in (
+    "AD:24 AE:23 AL:28 AT:20 AZ:28 BA:20 BE:16 BG:22 BH:22 BI:27 BR:29 BY:28 CH:21 CR:22 CY:28 CZ:24 DE:22 DJ:27 DK:18 DO:28 "
+    "EE:20 EG:29 ES:24 FI:18 FK:18 FO:18 FR:27 GB:22 GE:22 GI:23 GL:18 GR:27 GT:28 HN:28 HR:21 HU:28 IE:22 IL:23 IQ:23 IS:26 "
+    "IT:27 JO:30 KW:30 KZ:20 LB:28 LC:32 LI:21 LT:20 LU:20 LV:21 LY:25 MC:27 MD:24 ME:22 MK:19 MN:20 MR:27 MT:31 MU:30 NI:28 "
+    "NL:18 NO:15 OM:23 PK:24 PL:28 PS:29 PT:25 QA:29 RO:24 RS:22 RU:33 SA:24 SC:31 SD:18 SE:24 SI:19 SK:24 SM:27 SO:23 ST:25 "
+    "SV:28 TL:23 TN:24 TR:26 UA:29 VA:22 VG:24 XK:20 YE:30").split())}
 _LOGIN = re.compile(r"([^\s/@:?#]{1,128}:[^\s/@?#]{1,128})@[A-Za-z0-9]")
 _ACCOUNT = re.compile(r"(?:\x20(?:number|no\.?|nr\.?|num\.?))?\x20?[:#]?\x20?([0-9](?:[\x20-]?[0-9]){5,19})(?![0-9])", re.IGNORECASE)
 _SCHEMES = ("http://", "https://", "ftp://", "ssh://")
@@ -82,6 +91,21 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def _iban(text: str, at: int) -> tuple[int, int] | None:
+    """The account after a cue that ends at ``at``."""
+    m = _IBAN.match(text, at)
+    if not m:
+        return None
+    start = m.start(1)
+    # (end, characters) of each possible account, the longest first
+    ends = [(e, n) for e in (x.end() for x in _IBAN_END.finditer(text, start, m.end(1) + 1))
+            if e <= m.end(1) and (n := e - start - text.count(" ", start, e)) >= 15][::-1]
+    length = _IBAN_LENGTHS.get(text[start:start + 2])
+    if length is not None:
+        ends = [x for x in ends if x[1] == length] + ends[:1]
+    return next(((start, e) for e, _ in ends if mod97(text[start:e].replace(" ", ""))), None)
+
+
 def _digits(text: str, start: int, end: int) -> str:
     return "".join(c for c in text[start:end] if c in _DIGITS)
 
@@ -133,11 +157,10 @@ def find(text: str | None, anchors: ahocorasick.Automaton) -> list[tuple[str, in
                 done["email"] = m.end()
                 spans["email"].append(("email", at, m.end()))
         elif kind == "iban":
-            m = _IBAN.match(text, last + 1)
-            if m:
-                done["iban"] = m.end()
-                if mod97(m[1].replace(" ", "")):
-                    spans["iban"].append(("iban", m.start(1), m.end(1)))
+            found = _iban(text, last + 1)
+            if found:
+                done["iban"] = found[1]
+                spans["iban"].append(("iban", *found))
         elif kind == "login":
             m = _LOGIN.match(text, last + 1)
             if m:

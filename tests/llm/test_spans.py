@@ -117,6 +117,22 @@ def test_added_pii():
         ("iban", "DE89 3704 0044 0532 0130 00"), ("login", "ann:pw"), ("account", "1234-5678")]
 
 
+@pytest.mark.parametrize("iban", ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "NO93 8601 1117 947", "GB29 NWBK 6016 1331 9268 19",
+                                  "MT84 MALT 0110 0001 2345 MTLC AST0 01S", "ZZ33 1234 5678 9012 345"])
+@pytest.mark.parametrize("after", ["", ", x", " BIC COBADEFFXXX", " Berlin", " 12 Euro", " B", " 2024-01-02", "\nKonto", " IBAN DE00 1", " Ä", "."])
+def test_iban_before_words_and_numbers(iban, after):
+    t = f"IBAN: {iban}{after}"
+    assert [t[a:b] for k, a, b in P.find(t, P._anchors()) if k == "iban"] == [iban]
+
+
+def test_iban_that_is_none():
+    anchors = P._anchors()
+    for t in ("IBAN DE00 3704 0044 0532 0130 00 BIC X", "IBAN DE89 3704", "IBAN DE89370400440532013000BIC", "IBAN"):
+        assert not [s for s in P.find(t, anchors) if s[0] == "iban"], t
+    t = "IBAN DE00 3704 0044 0532 0130 00 IBAN DE89 3704 0044 0532 0130 00 IBAN"
+    assert [(a, b) for k, a, b in P.find(t, anchors) if k == "iban"] == [(38, 65)]
+
+
 def test_odd_rows(odd, empty):
     for scan, names in ((lambda d: S.scan(d, S.fit(d)), S.RESULT), (P.scan, P.RESULT)):
         got = scan(odd)
