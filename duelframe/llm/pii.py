@@ -51,7 +51,7 @@ _IBAN_LENGTHS = {c: int(n) for c, n in (x.split(":") for x in (
     "IT:27 JO:30 KW:30 KZ:20 LB:28 LC:32 LI:21 LT:20 LU:20 LV:21 LY:25 MC:27 MD:24 ME:22 MK:19 MN:20 MR:27 MT:31 MU:30 NI:28 "
     "NL:18 NO:15 OM:23 PK:24 PL:28 PS:29 PT:25 QA:29 RO:24 RS:22 RU:33 SA:24 SC:31 SD:18 SE:24 SI:19 SK:24 SM:27 SO:23 ST:25 "
     "SV:28 TL:23 TN:24 TR:26 UA:29 VA:22 VG:24 XK:20 YE:30").split())}
-_LOGIN = re.compile(r"([^\s/@:?#]{1,128}:[^\s/@?#]{1,128})@[A-Za-z0-9]")
+_LOGIN = re.compile(r"([^\s/@:?#]++:[^\s/@?#]++)@[A-Za-z0-9]")
 _ACCOUNT = re.compile(r"(?:\x20(?:number|no\.?|nr\.?|num\.?))?\x20?[:#]?\x20?([0-9](?:[\x20-]?[0-9]){5,19})(?![0-9])", re.IGNORECASE)
 _SCHEMES = ("http://", "https://", "ftp://", "ssh://")
 _ACCOUNT_CUES = ("account", "acct", "konto", "cuenta", "compte")
@@ -142,7 +142,7 @@ def find(text: str | None, anchors: ahocorasick.Automaton) -> list[tuple[str, in
             m = _IP.match(text, at) if at < last - 1 else None
             if m:
                 done["ip"] = m.end()
-                if all(int(p) <= 255 for p in m.group().split(".")):
+                if all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m.group().split("."))):
                     spans["ip"].append(("ip", at, m.end()))
         elif kind == "phone":
             m = _PHONE.match(text, last - 1)

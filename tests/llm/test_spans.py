@@ -133,6 +133,14 @@ def test_iban_that_is_none():
     assert [(a, b) for k, a, b in P.find(t, anchors) if k == "iban"] == [(38, 65)]
 
 
+def test_long_digit_runs_and_logins():
+    """Over 4,300 digits, leading zeros, and a token of any length as password."""
+    anchors, login = P._anchors(), f"{'u' * 300}:{'eyJhbGciOiJIUzI1NiJ9.' * 300}-._~%3A"
+    t = f"{'1' * 5000}.1.1.1 1.{'2' * 5000}.1.1, {'0' * 5000}255.000.1.1 https://{login}@host.org http://{login} x@y"
+    found = [(k, t[a:b]) for k, a, b in P.find(t, anchors) if k in ("ip", "login")]
+    assert found == [("ip", "0" * 5000 + "255.000.1.1"), ("login", login)]
+
+
 def test_odd_rows(odd, empty):
     for scan, names in ((lambda d: S.scan(d, S.fit(d)), S.RESULT), (P.scan, P.RESULT)):
         got = scan(odd)
