@@ -58,7 +58,7 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    found = topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+    found = topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, merge_ids=False)
     return found.withColumnRenamed("id", "vec_id")
 
 

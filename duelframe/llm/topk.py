@@ -1,7 +1,7 @@
 """Exact top-k search by inner product with ball trees (operator 7).
 
 Vectors become integers, ``floor(scale * x)``.  Candidates are dealt by a hash of their id
-into shards of about ``SHARD_ROWS``; each shard is built once into a ball tree (nodes with a
+and place into shards of about ``SHARD_ROWS``; each shard is built once into a ball tree (nodes with a
 centre and a radius, leaves of at most ``LEAF`` vectors) and stored as one row.  Queries go
 in blocks of ``BLOCK``.  A block meets a shard by branch and bound: the bound of a node for
 a query is ``q . centre + |q| * radius``; nodes below the query's current k-th score are cut
@@ -15,7 +15,9 @@ exact: the integers are far below the point where a double rounds, which is chec
 
 Defined results: rows whose vector is null or holds a null, NaN or infinite component take
 no part, nor do rows with a null id.  Rows with the same id count as one, with the smallest
-of their vectors.  Vectors of different lengths are compared as if filled up with zeros.  A
+of their vectors, or with ``merge_ids=False`` (the registered query) each by itself, as in its
+SQL: every row is a candidate for the queries of other ids, and the query rows of one id have
+one ranking of all their scores, equal scores by the candidates' ids.  Vectors of different lengths are compared as if filled up with zeros.  A
 query has fewer than k rows if there are fewer other rows.  Empty table: no rows.  Other
 columns of the input are not read.
 """
@@ -149,14 +151,17 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
-           scale: float = SCALE, shard_rows: int = SHARD_ROWS, block: int = BLOCK) -> DataFrame:
-    """(query_id, rank, id, score): for every row with ``is_query`` the ``k`` other rows of
-    largest integer inner product, ties to the smaller id."""
-    rows = materialize(
-        vectors.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v"),
-                       F.coalesce(is_query, F.lit(False)).alias("asks"))
-        .where("id is not null and v is not null")
-        .groupBy("id").agg(F.min("v").alias("v"), F.max("asks").alias("asks")), "topk-rows")
+           scale: float = SCALE, shard_rows: int = SHARD_ROWS, block: int = BLOCK, merge_ids: bool = True) -> DataFrame:
+    """(query_id, rank, id, score): for every id with ``is_query`` the ``k`` rows of other ids
+    of largest integer inner product, ties to the smaller id."""
+    rows = (vectors.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v"),
+                           F.coalesce(is_query, F.lit(False)).alias("asks"))
+            .where("id is not null and v is not null"))
+    if merge_ids:
+        rows = rows.groupBy("id").agg(F.min("v").alias("v"), F.max("asks").alias("asks")).withColumn("at", F.lit(0).cast("long"))
+    else:
+        rows = rows.withColumn("at", F.monotonically_increasing_id())
+    rows = materialize(rows, "topk-rows")                  # a row's place is fixed from here on
     size = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim"), F.count_if("asks").alias("q"),
                     F.max(F.array_max(F.transform("v", F.abs))).alias("top")).first()
     dim = size["dim"] or 1
@@ -178,7 +183,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
         return pa.Table.from_batches(list(build(iter(t.to_batches()))),
                                      pa.schema([("shard", pa.int32()), ("tree", pa.list_(pa.binary()))]))
 
-    trees = materialize(rows.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), "id", "v")
+    trees = materialize(rows.select(F.pmod(F.xxhash64("id", "at"), F.lit(shards)).cast("int").alias("shard"), "id", "v")
                         .groupBy("shard").applyInArrow(whole_shard, "shard int, tree array<binary>"), "topk-trees")
 
     def gather(t: pa.Table) -> pa.Table:
@@ -186,7 +191,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
                          "ids": pa.array([t.column("id").to_numpy().tobytes()], pa.binary()),
                          "q": pa.array([_matrix(t.column("v"), dim).tobytes()], pa.binary())})
 
-    asks = materialize(rows.where("asks").select(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), "id", "v")
+    asks = materialize(rows.where("asks").select(F.pmod(F.xxhash64("id", "at", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), "id", "v")
                        .groupBy("block").applyInArrow(gather, "block int, ids binary, q binary"), "topk-queries")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -123,6 +123,17 @@ def test_search_odd_rows(llm):
         K.search(llm.createDataFrame([(1, [1e30])], "vec_id long, embedding array<double>"), F.lit(True))
 
 
+def test_query_equals_sql_with_repeated_ids(llm, tmp_path):
+    rnd = np.random.RandomState(3)
+    rows = [(int(i), np.round(rnd.randn(5), 1).tolist()) for i in rnd.randint(0, 60, 300)]
+    rows += [(20, [0.5] * 5)] * 30 + rows[:40]
+    llm.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    got = sorted(tuple(r[c] for c in ("query_id", "rank", "vec_id", "score")) for r in Q.op7_ball_tree(llm, str(tmp_path)).collect())
+    assert got == sorted(con.sql(Q.OP7_SQL).fetchall())
+
+
 def test_query_equals_sql(llm):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{SF001}/embeddings.parquet')")
