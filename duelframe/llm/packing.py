@@ -6,13 +6,16 @@ the boundary of its bucket, is smallest.  Inside a bucket documents form batches
 ``floor(budget / boundary)`` rows (at least one), so that a padded batch stays within the
 token budget unless one document alone is longer.
 
-The histogram has one entry for each length up to ``EXACT``; beyond, an entry covers 1/128
-of a power of two and boundaries lie at the longest length present in an entry.  So it is
-bounded, and the padding is exact for the boundaries it can choose.
+The histogram has one entry for each length up to ``EXACT``, where the padding is the least
+that any boundaries give; beyond, an entry covers 1/128 of a power of two and boundaries lie
+at the longest length present in an entry.  So it is bounded, and the padding is exact for the
+boundaries it can choose.  The cost is convex (of Monge's form), so that the best last boundary
+only moves up with the length: each row of the program takes n log n steps.
 
 A bucket may hold any share of all rows, so its rows are dealt by a hash of the id into
 groups of about ``GROUP_ROWS`` that are batched independently; each group has at most one
-batch that is not full.
+batch that is not full.  If one id alone has more rows than a group, the rows' places in the
+input are hashed with the ids.
 
 Defined results: null and empty texts have length 0 and are packed like others.  Documents
 of equal length and id are ordered arbitrarily, their columns are equal either way.  Empty
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 BUCKETS = 16
 TOKEN_BUDGET = 16_384
-EXACT = 1024
+EXACT = 1 << 16
 GROUP_ROWS = 8192
 
 RESULT = ["n_tokens", "bucket", "edge", "padding", "part", "batch", "slot"]
@@ -45,6 +48,29 @@ def _entry(n: Column) -> Column:
     return F.when(n <= EXACT, n).otherwise(F.ceil(n / step) * step)
 
 
+def _least(best: np.ndarray, edge: np.ndarray, c: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each entry j >= 1 the least of ``best[i]`` plus the padding of the entries i + 1 to j
+    in one bucket, over all i < j, and the first such i; by divide and conquer, level by level."""
+    h = len(edge)
+    value, first = np.full(h, np.iinfo(np.int64).max), np.full(h, -1, dtype=np.int64)
+    # ranges of j (lo to hi), whose first best i lies from a to b
+    lo, hi, a, b = (np.array([x], dtype=np.int64) for x in (1, h - 1, 0, h - 2))
+    while len(lo):
+        mid = (lo + hi) // 2
+        n = np.minimum(b, mid - 1) - a + 1
+        at = np.concatenate([[0], np.cumsum(n)])
+        i = np.arange(at[-1]) - np.repeat(at[:-1] - a, n)
+        j = np.repeat(mid, n)
+        cost = best[i] + edge[j] * (c[j + 1] - c[i + 1]) - (s[j + 1] - s[i + 1])
+        value[mid] = np.minimum.reduceat(cost, at[:-1])
+        hits = np.flatnonzero(cost == np.repeat(value[mid], n))
+        first[mid] = i[hits[np.searchsorted(hits, at[:-1])]]
+        left, right = lo < mid, mid < hi
+        lo, hi, a, b = (np.concatenate(x) for x in ((lo[left], mid[right] + 1), (mid[left] - 1, hi[right]),
+                                                    (a[left], first[mid[right]]), (first[mid[left]], b[right])))
+    return value, first
+
+
 def optimal_edges(lengths: np.ndarray, counts: np.ndarray, sums: np.ndarray, buckets: int = BUCKETS) -> list[int]:
     """Boundaries with the least padding: ``lengths`` ascending, ``counts`` and ``sums`` (of
     lengths) of each histogram entry.  Of equal choices, fewer buckets win, then lower edges."""
@@ -58,13 +84,9 @@ def optimal_edges(lengths: np.ndarray, counts: np.ndarray, sums: np.ndarray, buc
     choice = [np.zeros(h, dtype=np.int64)]
     totals = [best[-1]]
     for _ in range(1, min(buckets, h)):
-        now, back = best.copy(), np.full(h, -1, dtype=np.int64)
-        for j in range(1, h):
-            cost = best[:j] + edge[j] * (c[j + 1] - c[1:j + 1]) - (s[j + 1] - s[1:j + 1])
-            i = int(cost.argmin())
-            if cost[i] < now[j]:
-                now[j], back[j] = cost[i], i
-        best = now
+        value, first = _least(best, edge, c, s)
+        back = np.where(value < best, first, -1)
+        best = np.minimum(value, best)
         choice.append(back)
         totals.append(best[-1])
     k = int(np.argmin(totals))
@@ -101,7 +123,11 @@ def pack(docs: DataFrame, length: Column, id_col: str = "doc_id", buckets: int =
 
     n = F.col("n_tokens")
     bucket = sum((F.when(n > e, 1).otherwise(0) for e in edges[:-1]), F.lit(0))
-    spread = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.monotonically_increasing_id().cast("string")))
+    place = F.monotonically_increasing_id().cast("string")
+    spread = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), place))
+    ids = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col)).agg(F.count("*").alias("_n"))
+    if ids.where(F.col("_n") > group_rows).first() is not None:
+        spread = F.xxhash64(F.col(id_col).cast("string"), place)
     rows = (rows.withColumn("bucket", bucket.cast("int"))
             .withColumn("edge", pick(edges).cast("long"))
             .withColumn("padding", F.col("edge") - n)

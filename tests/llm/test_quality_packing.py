@@ -102,6 +102,40 @@ def test_edges_are_optimal(seed):
         assert len(edges) <= buckets and edges[-1] == values[-1] and padding(lengths, edges) == best
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_edges_equal_the_quadratic_program(seed):
+    """Many entries: least padding by the plain recurrence."""
+    rnd = random.Random(seed)
+    n = Counter(int(rnd.lognormvariate(5, 1.5)) if seed % 2 else rnd.randint(0, 5000) for _ in range(600))
+    values = sorted(n)
+    c = [0, *itertools.accumulate(n[v] for v in values)]
+    s = [0, *itertools.accumulate(v * n[v] for v in values)]
+    best = [v * c[j + 1] - s[j + 1] for j, v in enumerate(values)]
+    for buckets in range(1, 8):
+        edges = P.optimal_edges(np.array(values), np.array([n[v] for v in values]), np.array([v * n[v] for v in values]), buckets)
+        assert len(edges) <= buckets and edges[-1] == values[-1] and padding(n.elements(), edges) == best[-1]
+        best = [min([best[j]] + [best[i] + v * (c[j + 1] - c[i + 1]) - (s[j + 1] - s[i + 1]) for i in range(j)])
+                for j, v in enumerate(values)]
+
+
+def test_padding_of_long_documents_is_the_least(llm):
+    """A whole table of 1,025 to 20,000 words against the exact optimum over all its lengths."""
+    rnd = random.Random(7)
+    lengths = [rnd.randint(1025, 20_000) for _ in range(400)] + [rnd.randint(1025, 1040) for _ in range(100)]
+    df = llm.createDataFrame([(i, n) for i, n in enumerate(lengths)], "doc_id long, n long")
+    n = Counter(lengths)
+    values = sorted(n)
+    edges = P.optimal_edges(np.array(values), np.array([n[v] for v in values]), np.array([v * n[v] for v in values]))
+    assert P.pack(df, F.col("n")).agg(F.sum("padding")).first()[0] == padding(lengths, edges)
+
+
+def test_rows_of_one_id_are_spread(llm):
+    df = llm.createDataFrame([(7 if i < 300 else i, 5) for i in range(400)], "doc_id long, n long")
+    rows = P.pack(df, F.col("n"), group_rows=50).collect()
+    assert len(rows) == 400 and max(Counter(r["part"] for r in rows).values()) < 120
+    check_batches(rows, P.TOKEN_BUDGET)
+
+
 def check_batches(rows, budget):
     batches = {}
     for r in rows:
