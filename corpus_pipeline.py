@@ -17,9 +17,12 @@ from duelframe.session import materialize
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: documents without a recognised language go (no text, no letter, or a text
-    that no learned language codes better than raw bytes)."""
+    that no learned language codes better than raw bytes).  If no language can be learned, as no
+    document that may be learned from carries one, every text with a letter stays."""
     prepare(spark)
     model = langid.train(langid.training_rows(docs))
+    if not model.langs:
+        return docs.where(F.regexp_like(F.col("text"), F.lit(r"\p{L}")))
     result = langid.scorer(spark, model)(F.col("text"))
     return (docs.withColumn("_llm_result", result).where(langid.is_accepted(F.col("_llm_result")))
             .drop("_llm_result"))

@@ -196,6 +196,13 @@ def test_pipeline_stages(llm):
     assert last == again
 
 
+def test_language_stage_without_languages(llm):
+    texts = ["a clean text", "日本", "été", None, "", "123 !", "ʰ"]
+    docs = make_docs(llm, texts, [None] * len(texts))
+    kept = C.keep_language(llm, docs, SF01)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 2, 6]
+
+
 def test_pipeline_odd_rows(odd, empty, llm):
     for docs in (odd, empty.union(empty)):
         out = docs
