@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelframe.llm import bpe, langid, neardup, packing, pii, quality, secrets, topk, toxicity, warc
+from duelframe.llm import (bond, bpe, langid, merkle, mixing, neardup, packing, pii, quality, secrets, topk, toxicity,
+                           warc)
 from duelframe.llm.common import id_remainder, prepare, table
 
 
@@ -86,6 +87,31 @@ def op10_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs.select("doc_id", packing.word_count(F.col("text")).alias("n")), F.col("n")).drop("n")
 
 
+def op11_bond(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    found = bond.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+    return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = merkle.leaf_hash(*[lower if c == "text" else F.col(c) for c in merkle.FIELDS])
+    manifest = merkle.build(table(spark, sf_dir, "documents"),
+                            carry={"tampered": F.when(id_remainder(F.col("doc_id"), 5) == 0, tampered)})
+    return (merkle.proofs(manifest)
+            .select(F.col("id").alias("doc_id"), "leaf", "subroot", F.lit(manifest.root).cast("string").alias("root"),
+                    merkle.proof_hash(F.col("path")).alias("proof_sha256"),
+                    merkle.fold(F.coalesce("tampered", "leaf"), F.col("path")).alias("folded_root"))
+            .withColumn("verified", F.col("folded_root") == F.col("root")))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return mixing.taken(mixing.plan(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
 # SHA-1 in base 32: five hex digits are 20 bits, which are four letters of the alphabet
 OP2_SQL = """
 WITH body AS (
@@ -122,12 +148,87 @@ ranked AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
+OP11_SQL = """
+WITH whole AS (
+  SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+scored AS (
+  SELECT a.row, a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+  FROM whole a JOIN whole c ON a.vec_id % 100 = 0 AND a.row <> c.row),
+near AS (
+  SELECT row, anchor_id, vec_id AS positive_id, score AS positive_score,
+         row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS place
+  FROM scored WHERE same
+  QUALIFY place <= 5),
+far AS (
+  SELECT n.anchor_id, positive_id, s.vec_id AS negative_id, positive_score, s.score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY n.row, place ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+  FROM near n JOIN scored s ON s.row = n.row AND NOT s.same
+   AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM far WHERE rank <= 10
+"""
+
+# ``crc`` is the CRC-32 of the decimal id, bit by bit; a step of a path is "left|right"
+OP12_SQL = """
+WITH RECURSIVE raw AS (
+  SELECT doc_id, source, coalesce('=' || source, '') AS g, text,
+         CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id END
+         || CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END
+         || CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END
+         || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars END AS head,
+         list_reduce([4294967295] || list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1),
+                       lambda i: CAST(ascii(substr(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT)),
+                     lambda c, b: list_reduce([xor(c, b)] || range(0, 8),
+                       lambda v, j: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)) AS crc
+  FROM documents),
+hashed AS (
+  SELECT doc_id, g, sha256(head || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END) AS leaf,
+         CASE WHEN xor(crc, 4294967295) % 5 = 0
+              THEN sha256(head || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' ||
+                   translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END) END AS tampered
+  FROM raw),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n
+  FROM hashed),
+nodes AS (
+  SELECT 0 AS level, g, i, n, leaf AS h FROM leaves
+  UNION ALL
+  SELECT level + 1, g, i // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY level, g, n, i // 16),
+subroots AS (
+  SELECT g, h AS subroot, row_number() OVER (ORDER BY encode(g)) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS level, i, n, subroot AS h FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY i)) FROM tops WHERE n > 1 GROUP BY level, n, i // 16),
+runs AS (SELECT level, g, i // 16 AS run, list(h ORDER BY i) AS hs FROM nodes WHERE n > 1 GROUP BY level, g, i // 16),
+top_runs AS (SELECT level, i // 16 AS run, list(h ORDER BY i) AS hs FROM tops WHERE n > 1 GROUP BY level, i // 16),
+steps AS (
+  SELECT l.g, l.i, r.level, hs, (l.i >> CAST(4 * r.level AS BIGINT)) % 16 AS slot
+  FROM leaves l JOIN runs r ON r.g = l.g AND r.run = l.i >> CAST(4 * r.level + 4 AS BIGINT)
+  UNION ALL
+  SELECT l.g, l.i, 1000 + r.level, hs, (s.i >> CAST(4 * r.level AS BIGINT)) % 16
+  FROM leaves l JOIN subroots s ON s.g = l.g JOIN top_runs r ON r.run = s.i >> CAST(4 * r.level + 4 AS BIGINT)),
+paths AS (
+  SELECT g, i, list(array_to_string(hs[1:slot], '') || '|' || array_to_string(hs[slot + 2:], '') ORDER BY level) AS path
+  FROM steps GROUP BY g, i),
+folded AS (
+  SELECT l.doc_id, l.leaf, s.subroot, (SELECT h FROM tops WHERE n = 1) AS root,
+         sha256(replace(coalesce(array_to_string(path, ''), ''), '|', '')) AS proof_sha256,
+         list_reduce([coalesce(tampered, leaf)] || coalesce(path, []),
+                     lambda node, p: sha256(split_part(p, '|', 1) || node || split_part(p, '|', 2))) AS folded_root
+  FROM leaves l JOIN subroots s USING (g) LEFT JOIN paths p ON p.g = l.g AND p.i = l.i)
+SELECT *, folded_root = root AS verified FROM folded
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_order_minhash, op2_warc, op3_likelihood_ratio, op4_toxicity, op5_secrets, op6_langid, op7_ball_tree, op8_byte_bpe, op9_pii,
-        op10_length_buckets)}
+        op10_length_buckets, op11_bond, op12_merkle, op13_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op7_ball_tree": OP7_SQL}
+    return {"op2_warc": OP2_SQL, "op7_ball_tree": OP7_SQL, "op11_bond": OP11_SQL, "op12_merkle": OP12_SQL}
