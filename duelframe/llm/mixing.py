@@ -241,7 +241,9 @@ def pieces(mix: Mix) -> DataFrame:
     held = documents(mix).where("size > 0")
     block = F.lit(mix.block).cast("long")
     spans = held.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))))
-    met = spans.join(draws(mix.places.sparkSession, mix), ["source_no", "block"])
+    # Spark takes the size of the drawn rows from the few shards that they are made of, so it must be
+    # told not to broadcast them; a block is drawn at most as often as there are passes
+    met = spans.join(draws(mix.places.sparkSession, mix).hint("merge"), ["source_no", "block"])
     begin = F.greatest(F.col("start"), F.col("block") * block)
     end = F.least(F.col("start") + F.col("size"), F.col("block") * block + F.col("words"))
     return (met.withColumn("first_word", begin - F.col("start")).withColumn("n_words", end - begin).where("n_words > 0")
