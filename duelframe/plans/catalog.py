@@ -24,6 +24,7 @@ from duelframe.operators import reports as RP
 from duelframe.operators import scoring as SC
 from duelframe.operators import sides as S
 from duelframe.operators import training as TR
+from duelframe.session import scratch_path
 from duelframe.sources import fixtures as fx
 from duelframe.sources.tables import read_table, spread
 
@@ -41,6 +42,7 @@ SHUFFLE_TAKE = 64                        # rows after the seeded shuffle
 MEAN_BATCH = 4                           # batch size of the mean-of-batch-means audit
 GREEDY_STEPS = 160
 SMOOTH_WEIGHT, SMOOTH_WEIGHT_LIGHT = 0.8, 0.6
+SMOOTH_FILES, SMOOTH_FILES_PER_TRIGGER = 6, 2   # files that overlap in event time, and micro-batches of them
 LOG_EVERY = 10
 SMOKE_STEPS = 60                         # step cap of a short run
 SAVE_EVERY = 1000
@@ -531,7 +533,9 @@ def q_stream_metrics(spark, d):
 
 def q_stream_smooth(spark, d):
     from duelframe.streaming import live
-    return live.run_stream_smooth(spark, d, SMOOTH_WEIGHT)
+    dealt = scratch_path(spark, "events-dealt")     # every file holds points of the whole time range
+    spread(read_table(spark, d, "events"), SMOOTH_FILES).write.parquet(dealt)
+    return live.run_stream_smooth(spark, d, SMOOTH_WEIGHT, dealt, SMOOTH_FILES_PER_TRIGGER)
 
 
 # ----------------------------------------------------------------- registry

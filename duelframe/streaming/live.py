@@ -10,13 +10,14 @@ run before; otherwise it starts in a folder of its own.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from duelframe.config import PrefConfig
 from duelframe.functions.metrics import summary_aggs, with_dpo_metrics
-from duelframe.operators.batching import with_row_index
-from duelframe.operators.training import debiased, smooth_part
+from duelframe.operators.training import debiased
 from duelframe.session import scratch_path
 from duelframe.sources.tables import table_path
 
@@ -27,9 +28,7 @@ MAX_BYTES_PER_TRIGGER = 256 * 1024 * 1024
 
 def _path_status(spark: SparkSession, path: str):
     """The Hadoop file status of a path on any storage, or None if it does not exist."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, p = _filesystem(spark, path)
     return fs.getFileStatus(p) if fs.exists(p) else None
 
 
@@ -54,6 +53,25 @@ def file_stream(spark: SparkSession, path: str, max_files_per_trigger: int | Non
     return r.option("pathGlobFilter", name).parquet(folder)
 
 
+def _filesystem(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _epochs(spark: SparkSession, out: str) -> list[int]:
+    """The epochs with a folder under ``out``, ascending.  An epoch starts when those before it are
+    complete, so only the last one can be a broken attempt, and the stream repeats it."""
+    fs, p = _filesystem(spark, out)
+    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(int(x[len("epoch="):]) for x in names if x.startswith("epoch="))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, p = _filesystem(spark, path)
+    fs.delete(p, True)
+
+
 def _folders(spark: SparkSession, state: str | None, name: str) -> tuple[str, str]:
     """(results, checkpoint) of a run."""
     base = state or scratch_path(spark, name)
@@ -130,56 +148,84 @@ def run_stream_metrics(spark: SparkSession, sf_dir: str, cfg: PrefConfig = PrefC
 
 # ---------------------------------------------------------------- ST2
 
-PART_OUT = ("run_id string, n_points bigint, e double, first struct<ts:timestamp,event_id:bigint>, "
-            "last struct<ts:timestamp,event_id:bigint>, epoch bigint")
-
-
-def smooth_batch(points: DataFrame, weight: float) -> DataFrame:
-    """One micro-batch of (run_id, ts, event_id, value) as one row per run: the number of its
-    points, their undebiased average in (ts, event_id) order, and its time range.  The
-    points are numbered by the distributed row index: no run is gathered in one task."""
-    k = with_row_index(points, ["ts", "event_id"], partition_by=["run_id"], name="_i",
-                       key=["run_id", "ts", "event_id", "value"]).withColumn("k", F.col("_i") + 1)
-    at = F.struct("ts", "event_id")
-    span = k.groupBy("run_id").agg(F.min(at).alias("first"), F.max(at).alias("last"))
-    part = smooth_part(k, weight, ["run_id"], "k").withColumnRenamed("run_id", "_run")
-    return part.join(span, part["_run"].eqNullSafe(span["run_id"])).select("run_id", "n_points", "e", "first", "last")
-
-
-def combine_parts(parts: DataFrame, weight: float) -> DataFrame:
-    """(run_id, n_points, last_smoothed) from the micro-batches' parts, in whatever order they
-    were read: parts are put in the order of their time ranges and combine as
-    ``E = w^n2 * E1 + E2``.  Ranges of one run that overlap have no such order: an error."""
-    by_time = Window.partitionBy("run_id").orderBy("first")      # one row per micro-batch
-    later = Window.partitionBy("run_id").orderBy(F.col("first").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    p = (parts.withColumn("_before", F.lag("last").over(by_time))
-         .withColumn("n_points", F.when(F.col("_before") >= F.col("first"),
-                                        F.raise_error(F.lit("micro-batches of one run overlap in event time")).cast("bigint"))
-                     .otherwise(F.col("n_points")))
-         .withColumn("_after", F.coalesce(F.sum("n_points").over(later), F.lit(0))))
-    e = F.sum(F.col("e") * F.pow(F.lit(float(weight)), F.col("_after").cast("double")))
-    return (p.groupBy("run_id").agg(F.sum("n_points").alias("n_points"), e.alias("e"))
-            .select("run_id", "n_points", debiased(F.col("e"), F.col("n_points"), weight).alias("last_smoothed")))
+LATEST_OUT = "run_id string, n_points bigint, points array<struct<ts:timestamp,event_id:bigint,value:double>>"
+RUN_SALTS = 32               # parts of a run whose latest points are found by tasks of their own
+
+
+def points_that_count(weight: float) -> int:
+    """The number of a curve's latest points with any effect on its last smoothed value: the
+    weight of an older one, ``weight ** k``, is exactly 0 in double precision."""
+    w = float(weight)
+    if not 0.0 <= w < 1.0:
+        raise ValueError("weight must be in [0, 1)")
+    return 1 if w == 0.0 else max(1, math.ceil(745.2 / -math.log(w)))
+
+
+def latest_points(points: DataFrame, keep: int) -> DataFrame:
+    """(run_id, n_points, points): the number of points of each run and its ``keep`` latest ones in
+    (ts, event_id) order.  ``points`` has run_id, ts, event_id and value.
+
+    A run of any size is cut down by the tasks that read it and by ``RUN_SALTS`` tasks before its
+    points meet, which are then at most ``RUN_SALTS * keep``."""
+    by_time = [F.col(c).desc_nulls_last() for c in ("ts", "event_id", "value")]
+    salted = points.withColumn("_salt", F.pmod(F.xxhash64("ts", "event_id"), F.lit(RUN_SALTS)))
+    part = Window.partitionBy("run_id", "_salt").orderBy(*by_time)
+    last = (salted.withColumn("_r", F.row_number().over(part)).where(F.col("_r") <= keep)
+            .withColumn("_r", F.row_number().over(Window.partitionBy("run_id").orderBy(*by_time))).where(F.col("_r") <= keep)
+            .groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "value")), asc=False).alias("points")))
+    n = points.groupBy(F.col("run_id").alias("_run")).agg(F.count(F.lit(1)).alias("n_points"))
+    return last.join(n, last["run_id"].eqNullSafe(n["_run"])).select("run_id", "n_points", "points")
+
+
+def merge_latest(states: DataFrame, keep: int) -> DataFrame:
+    """States of the same runs, in any order and over any time ranges, as one for each run: counts
+    add up, and of all their points the latest ``keep`` stay."""
+    return (states.groupBy("run_id").agg(F.sum("n_points").alias("n_points"), F.flatten(F.collect_list("points")).alias("points"))
+            .select("run_id", "n_points", F.slice(F.sort_array("points", asc=False), 1, keep).alias("points")))
+
+
+def smoothed_state(states: DataFrame, weight: float) -> DataFrame:
+    """(run_id, n_points, last_smoothed) of merged states."""
+    w = float(weight)
+    each = states.select("run_id", "n_points", F.posexplode("points").alias("k", "p"))
+    e = F.sum(F.lit(1.0 - w) * F.pow(F.lit(w), F.col("k").cast("double")) * F.col("p.value"))
+    return (each.groupBy("run_id", "n_points").agg(e.alias("e"))
+            .select("run_id", "n_points", debiased(F.col("e"), F.col("n_points"), w).alias("last_smoothed")))
 
 
 def run_stream_smooth(spark: SparkSession, sf_dir: str, weight: float = 0.8, source_path: str | None = None,
                       max_files_per_trigger: int | None = None, state: str | None = None) -> DataFrame:
     """ST2: per-run debiased exponential smoothing over a stream of points.
 
-    Every micro-batch leaves one mergeable row per run (two numbers and a time range), so
-    the answer does not depend on how files fall into micro-batches or in which order these
-    come, as long as the batches of a run do not overlap in event time (checked)."""
+    The state of a run is its number of points and its latest points in event-time order, as
+    many as can have an effect (see ``points_that_count``).  States merge in any order, so points
+    may come in any order: the answer is the same however files fall into micro-batches and
+    however their time ranges overlap.  Every micro-batch writes the merged state under its
+    epoch; a repeated epoch starts from the state before it and replaces what its first attempt
+    wrote."""
+    keep = points_that_count(weight)
     src = file_stream(spark, source_path or table_path(sf_dir, "events"), max_files_per_trigger)
-    points = src.select(F.col("event_type").alias("run_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
+    points = src.select(F.col("event_type").alias("run_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id",
+                        F.col("value").cast("double").alias("value"))
     out, ckpt = _folders(spark, state, "stream-smooth")
 
+    def saved(epoch: int) -> str:
+        return f"{out}/epoch={epoch}"
+
     def sink(batch: DataFrame, epoch_id: int) -> None:
-        # a repeated epoch replaces what its first attempt wrote
-        smooth_batch(batch, weight).write.mode("overwrite").parquet(f"{out}/epoch={int(epoch_id)}")
+        here = batch.sparkSession
+        new = latest_points(batch, keep)
+        before = [k for k in _epochs(here, out) if k < epoch_id]
+        if before:
+            new = merge_latest(here.read.schema(LATEST_OUT).parquet(saved(before[-1])).unionByName(new), keep)
+        new.write.mode("overwrite").parquet(saved(epoch_id))
+        for k in before[:-1]:                      # the state before the last is not read again
+            _delete(here, saved(k))
 
     q = (points.writeStream.option("checkpointLocation", ckpt)
          .trigger(availableNow=True).outputMode("append").foreachBatch(sink).start())
     q.awaitTermination()
-    if _path_status(spark, out) is None:
+    epochs = _epochs(spark, out)
+    if not epochs:
         return spark.createDataFrame([], "run_id string, n_points bigint, last_smoothed double")
-    return combine_parts(spark.read.schema(PART_OUT).parquet(out), weight)
+    return smoothed_state(spark.read.schema(LATEST_OUT).parquet(saved(epochs[-1])), weight)

@@ -1,6 +1,8 @@
 """ST1-ST3 against batch results; S7/S8 write/read round trips; the driver contract."""
 
+import datetime
 import os
+import random
 import re
 
 import pyarrow.parquet as pq
@@ -75,12 +77,64 @@ def test_streams_agree_on_folders_uris_and_triggers(spark, tmp_dir):
     assert live.run_stream_metrics(spark, SF001, source_path=f"file://{SF001}/lineitem.parquet").first().n == 6000
 
 
-def test_overlapping_micro_batches_are_an_error(spark, tmp_dir):
+def _smoothed(df):
+    return {r.run_id: (r.n_points, r.last_smoothed) for r in df.collect()}
+
+
+def _same_curves(got, want):
+    assert set(got) == set(want)
+    for k, (n, v) in want.items():
+        assert got[k][0] == n and got[k][1] == pytest.approx(v, abs=1e-9)
+
+
+@pytest.mark.parametrize("weight", [0.8, 0.3, 0.99, 0.0])
+def test_overlapping_files_give_one_answer_at_any_trigger(spark, tmp_dir, weight):
     src = os.path.join(tmp_dir, "events")
+    _split_events(src, 5, "interleaved", [3, 0, 4, 1, 2])          # every file spans the whole time range
+    curve = fx.metric_log(spark, SF001)
+    want = _smoothed(TR.last_smoothed(curve, weight, ["run_id"], "step"))
+    for files in (1, 3, None):
+        _same_curves(_smoothed(live.run_stream_smooth(spark, SF001, weight, src, files)), want)
+
+
+def test_smoothing_state_keeps_what_counts(spark):
+    """Merging states in any order equals the latest points of everything; a hot run, equal
+    times, null values and a null run."""
+    rnd = random.Random(3)
+    rows = [(rnd.choice(["hot", "hot", "cold", None]), datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=rnd.randrange(400)),
+             i, None if i % 17 == 0 else rnd.random()) for i in range(1500)]
+    schema = "run_id string, ts timestamp, event_id long, value double"
+    keep = 40
+    parts = [live.latest_points(spark.createDataFrame(rows[i::4], schema), keep) for i in (2, 0, 3, 1)]
+    merged = parts[0]
+    for p in parts[1:]:
+        merged = live.merge_latest(merged.unionByName(p), keep)
+    got = {r.run_id: (r.n_points, [(p.ts, p.event_id, p.value) for p in r.points]) for r in merged.collect()}
+    for run in ("hot", "cold", None):
+        own = sorted((r[1:] for r in rows if r[0] == run), key=lambda x: (x[0], x[1]), reverse=True)
+        assert got[run] == (len(own), own[:keep])
+
+
+def test_points_that_count_cover_every_weight_above_zero():
+    for w in (0.0, 0.1, 0.6, 0.8, 0.999):
+        n = live.points_that_count(w)
+        assert w ** n == 0.0 and (n == 1 or w ** int(n * 0.99) > 0.0)
+    with pytest.raises(ValueError):
+        live.points_that_count(1.0)
+
+
+def test_a_repeated_epoch_replaces_its_first_attempt(spark, tmp_dir):
+    """A run that died after it wrote an epoch, before the stream noted it: the epoch is repeated
+    over the state before it."""
+    src, state, once = (os.path.join(tmp_dir, x) for x in ("events", "state", "once"))
     _split_events(src, 4, "interleaved", None)
-    assert live.run_stream_smooth(spark, SF001, 0.8, src, 4).count() == 5      # one batch orders its own points
-    with pytest.raises(Exception, match="overlap in event time"):
-        live.run_stream_smooth(spark, SF001, 0.8, src, 1).collect()
+    want = _smoothed(live.run_stream_smooth(spark, SF001, 0.8, src, 1, state=once))
+    live.run_stream_smooth(spark, SF001, 0.8, src, 1, state=state)
+    assert sorted(x for x in os.listdir(f"{state}/out")) == ["epoch=2", "epoch=3"]       # older states are gone
+    for f in ("commits/3", "commits/.3.crc"):
+        if os.path.exists(f"{state}/checkpoint/{f}"):
+            os.remove(f"{state}/checkpoint/{f}")
+    _same_curves(_smoothed(live.run_stream_smooth(spark, SF001, 0.8, src, 1, state=state)), want)
 
 
 def test_a_stream_resumes_from_its_state(spark, tmp_dir):
