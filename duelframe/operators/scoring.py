@@ -133,36 +133,76 @@ def token_rows(side_rows: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
             .select("pair_id", "side", *carry, "pos", "prev", "w"))
 
 
-# Fixed number of salts of the two single-word joins in ``key_logps``.
-KEY_SALTS = 16
-
-
-def _replicated(counts: DataFrame, salt: str) -> DataFrame:
-    return counts.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(KEY_SALTS - 1))))
+def token_multiset(side_rows: DataFrame, carry: Sequence[str] = (), mask_token: str | None = None) -> DataFrame:
+    """L2/L3 as a multiset: one row per distinct (prev, w) of a side's answer and ``n``, how often it
+    occurs there.  ``mask_token`` drops positions that hold it (it still is a predecessor).
+
+    Counted inside the row, by runs of the sorted bigrams, so no repeated token row is ever
+    shuffled.  Sides without a scored token keep one row with a NULL word."""
+    t = F.col("answer_tokens")
+    prev = F.concat(F.array(F.coalesce("context0", F.lit(NO_CONTEXT))), F.slice(t, F.lit(1), F.greatest(F.size(t) - 1, F.lit(0))))
+    scored = F.filter(F.arrays_zip(prev, t).cast("array<struct<prev:string,w:string>>"),
+                      lambda x: x["w"].isNotNull() if mask_token is None else x["w"].isNotNull() & (x["w"] != F.lit(mask_token)))
+    rows = side_rows.select("pair_id", "side", *carry, F.sort_array(scored).alias("_z"))
+    at = F.when(F.size("_z") > 0, F.filter(F.sequence(F.lit(0), F.size("_z") - 1),
+                                           lambda i: (i == 0) | (F.col("_z")[i] != F.col("_z")[F.greatest(i - 1, F.lit(0))])))
+    rows = rows.withColumn("_at", at)
+    runs = F.transform("_at", lambda i, k: F.struct(
+        F.col("_z")[i]["prev"].alias("prev"), F.col("_z")[i]["w"].alias("w"),
+        (F.coalesce(F.get("_at", k + 1), F.size("_z")) - i).cast("long").alias("n")))
+    return rows.select("pair_id", "side", *carry, F.inline_outer(runs))
+
+
+# A word with more than HEAVY_KEYS distinct successors (or predecessors) among the keys, and more than
+# 1/HEAVY_WORDS of all keys, is split; so at most HEAVY_WORDS words are, on each side.
+HEAVY_KEYS = 50_000
+HEAVY_WORDS = 1024
+
+
+def heavy_words(keys: DataFrame, by: str, n_keys: int) -> DataFrame:
+    """(word, salts) of the words of column ``by`` that hold too many of the distinct keys, with the
+    number of parts that each is split into; at most ``HEAVY_WORDS`` rows."""
+    most = max(HEAVY_KEYS, n_keys // HEAVY_WORDS)
+    return (keys.groupBy(F.col(by).alias("_word")).agg(F.count(F.lit(1)).alias("_deg")).where(F.col("_deg") > most)
+            .select("_word", F.ceil(F.col("_deg") / most).cast("int").alias("_salts")))
+
+
+def _join_word(keys: DataFrame, counts: DataFrame, by: str, other: str, heavy: list) -> DataFrame:
+    """``keys`` with the counts of the word in column ``by``.  Keys of the words in ``heavy`` are dealt
+    over the word's salts by a hash of the other word, and only those words' counts are repeated."""
+    if not heavy:
+        return keys.join(counts, on=by, how="left")
+    parts = F.broadcast(keys.sparkSession.createDataFrame(heavy, "_word string, _salts int"))
+    salted = (keys.join(parts, keys[by] == parts["_word"], "left")
+              .withColumn("_salt", F.when(F.col("_salts").isNotNull(), F.pmod(F.xxhash64(other), F.col("_salts")).cast("int")).otherwise(F.lit(0)))
+              .drop("_word", "_salts"))
+    repeated = (counts.join(parts, counts[by] == parts["_word"], "left")
+                .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_word", "_salts"))
+    return salted.join(repeated, on=[by, "_salt"], how="left").drop("_salt")
 
 
 def key_logps(keys: DataFrame, model: BigramModel, model_ids: tuple[str, ...] | None = None) -> DataFrame:
     """log p(w | prev) for distinct (prev, w) keys, one ``lp_<m>`` column per model.
 
     The pairs are distinct, but one word can still have very many distinct successors (or
-    predecessors), which all meet that word's row.  Those keys are split by a salt, the hash
-    of the other word modulo ``KEY_SALTS``, and each word's row is given once per salt.
+    predecessors), which all meet that word's row.  The keys are written once and the degrees of
+    their words measured; only the words above the bound are split (``heavy_words``).
     Small count tables become broadcasts at run time (AQE measures them).
     """
     ids = model_ids or model.model_ids
     a = F.lit(float(model.alpha))
-
-    def salt(word):
-        return F.pmod(F.xxhash64(word), F.lit(KEY_SALTS)).cast("int")
-
-    unigrams = _replicated(model.unigrams.select("w", *[F.col(f"c_{m}").alias(f"uc_{m}") for m in ids]), "_by_prev")
-    contexts = _replicated(model.contexts.select("prev", *[F.col(f"c_{m}").alias(f"cc_{m}") for m in ids]), "_by_w")
-    k = (keys.withColumn("_by_prev", salt("prev")).withColumn("_by_w", salt("w"))
-         .join(model.bigrams.select("prev", "w", *[F.col(f"c_{m}").alias(f"bc_{m}") for m in ids]),
-               on=["prev", "w"], how="left")
-         .join(unigrams, on=["w", "_by_prev"], how="left")
-         .join(contexts, on=["prev", "_by_w"], how="left")
-         .crossJoin(F.broadcast(model.totals)))   # one row
+    keys = materialize(keys.select("prev", "w"), "scoring-keys")
+    n_keys = keys.count()
+    heavy = {"w": [], "prev": []}
+    if n_keys > HEAVY_KEYS:
+        for by in heavy:                       # at most HEAVY_WORDS rows
+            heavy[by] = [(r["_word"], r["_salts"]) for r in heavy_words(keys, by, n_keys).collect()]
+    unigrams = model.unigrams.select("w", *[F.col(f"c_{m}").alias(f"uc_{m}") for m in ids])
+    contexts = model.contexts.select("prev", *[F.col(f"c_{m}").alias(f"cc_{m}") for m in ids])
+    k = keys.join(model.bigrams.select("prev", "w", *[F.col(f"c_{m}").alias(f"bc_{m}") for m in ids]),
+                  on=["prev", "w"], how="left")
+    k = _join_word(k, unigrams, "w", "prev", heavy["w"])
+    k = _join_word(k, contexts, "prev", "w", heavy["prev"]).crossJoin(F.broadcast(model.totals))   # one row
     cols = []
     for m in ids:
         p_uni = (F.coalesce(F.col(f"uc_{m}"), F.lit(0)) + F.lit(1)).cast("double") / (
@@ -182,29 +222,26 @@ def sequence_logps_wide(side_rows: DataFrame, model: BigramModel,
     the same aggregate, so that no join has to bring them back.  Sums and means of empty
     answers are NULL, or NaN with ``empty='nan'`` (one NaN then shows in every mean).
 
-    Distinct (prev, w) keys are scored once (a partial aggregate, so hot keys collapse
-    map-side), then joined back to the token rows; the per-side sums are partial
-    aggregates.
+    An answer is a multiset of (prev, w) with multiplicities (``token_multiset``).  Distinct
+    keys are scored once (a partial aggregate, so hot keys collapse map-side), then joined back
+    and weighted by multiplicity; the per-side sums are partial aggregates.
     Empty answers give n_tokens 0 and NULL sums/means.  ``mask_token`` (L3) drops a pad
     token from the scored positions.
     """
     ids = model_ids or model.model_ids
     # The join back is where the Zipf head of (prev, w) lands.  Its exchanges are left to
     # the planner (no explicit repartition): AQE's skew-join split only applies to
-    # planner-inserted shuffles, so a key holding a third of all tokens is split across
+    # planner-inserted shuffles, so a key that most sides hold is split across
     # tasks while its single scored row is replicated.  Rows of empty answers (w NULL)
     # never match a key.
     if empty not in ("null", "nan"):
         raise ValueError("empty must be 'null' or 'nan'")
-    toks = token_rows(side_rows, carry)
-    if mask_token is not None:
-        toks = toks.withColumn("w", F.when(F.col("w") != F.lit(mask_token), F.col("w")))
-    keys = toks.select("prev", "w").distinct()
-    lp = key_logps(keys, model, ids)
-    joined = toks.join(lp, on=["prev", "w"], how="left").select("pair_id", "side", *carry, "w", *[f"lp_{m}" for m in ids])
+    toks = token_multiset(side_rows, carry, mask_token)
+    lp = key_logps(toks.where("w IS NOT NULL").select("prev", "w").distinct(), model, ids)
+    joined = toks.join(lp, on=["prev", "w"], how="left").select("pair_id", "side", *carry, "n", *[f"lp_{m}" for m in ids])
     agg = joined.groupBy("pair_id", "side").agg(
-        F.count("w").alias("n_tokens"), *[F.max(c).alias(c) for c in carry],
-        *[F.sum(f"lp_{m}").alias(f"sum_{m}") for m in ids])
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_tokens"), *[F.max(c).alias(c) for c in carry],
+        *[F.sum(F.col("n") * F.col(f"lp_{m}")).alias(f"sum_{m}") for m in ids])
     if empty == "nan":
         for m in ids:
             agg = agg.withColumn(f"sum_{m}", F.when(F.col("n_tokens") > 0, F.col(f"sum_{m}")).otherwise(F.lit(math.nan)))

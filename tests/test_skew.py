@@ -53,9 +53,9 @@ def test_hot_scoring_key_is_split_and_exact(spark):
                 spark.conf.set(k, v)
 
 
-def test_a_word_with_many_successors_is_split(spark):
-    """200,000 distinct words follow one word, on the path with written counts: no task of the
-    salted context join holds them all, and the scores are exact."""
+def test_a_word_with_many_successors_is_split(spark, monkeypatch):
+    """200,000 distinct words follow one word: only that word is split, no task of its join holds
+    them all, no other word's counts are repeated, and the scores are exact."""
     n = 200_000
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
@@ -63,15 +63,45 @@ def test_a_word_with_many_successors_is_split(spark):
         docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("hub w"), F.col("id").cast("string")).alias("text"))
         model = SC.fit_bigram(docs, {"ref": F.lit(True)})
         keys = spark.range(n).select(F.lit("hub").alias("prev"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("w"))
+        assert [(r["_word"], r["_salts"]) for r in SC.heavy_words(keys, "prev", n).collect()] == [("hub", 4)]
+        assert SC.heavy_words(keys, "w", n).count() == 0
         lp = SC.key_logps(keys, model)
         total, v = 2 * n, n + 1
         want = math.log((1 + 100 * 2 / (total + v + 1)) / (n + 100))
         stats = lp.agg(F.count("lp_ref"), F.min("lp_ref"), F.max("lp_ref")).first()
         assert stats[0] == n and math.isclose(stats[1], want) and math.isclose(stats[2], want)
-        salted = keys.select("prev", F.pmod(F.xxhash64("w"), F.lit(SC.KEY_SALTS)).cast("int").alias("s")).groupBy("prev", "s").count()
-        largest = salted.agg(F.max("count")).first()[0]
-        assert largest < n / SC.KEY_SALTS * 1.1
         plan = lp._jdf.queryExecution().executedPlan().toString()
-        assert "_by_w" in plan and "_by_prev" in plan
+        assert "[prev" in plan and "_salt" in plan
+        # the split join: 4 parts of the hub, and one row of counts for every other word
+        joined = SC._join_word(keys, model.contexts.select("prev", "c_ref"), "prev", "w", [("hub", 4)])
+        assert joined.count() == n and joined.where("c_ref IS NULL").count() == 0
+        monkeypatch.setattr(SC, "HEAVY_KEYS", 10 ** 9)                 # nothing is heavy: a plain join
+        assert "_salt" not in SC.key_logps(keys, model)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_heavy_words_are_bounded_and_few(spark, monkeypatch):
+    monkeypatch.setattr(SC, "HEAVY_KEYS", 10)
+    monkeypatch.setattr(SC, "HEAVY_WORDS", 8)
+    keys = spark.range(4000).select(F.concat(F.lit("p"), (F.col("id") % 40).cast("string")).alias("prev"),
+                                    F.concat(F.lit("w"), F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id")).cast("string")).alias("w"))
+    found = {r["_word"]: r["_salts"] for r in SC.heavy_words(keys, "w", 4000).collect()}
+    assert found == {"w0": 4}                                          # 2000 of 4000, over 1/8
+    assert SC.heavy_words(keys, "prev", 4000).count() == 0             # 100 each: above 10, not above 1/8
+
+
+def test_tokens_are_shuffled_once_for_each_distinct_bigram_of_a_side(spark):
+    words = ["a", "b", "a", "b", "a", "b", "pad", "a", "pad", "pad"]
+    rows = [(1, "chosen", "p", words, 7), (1, "rejected", None, [], 8), (2, "chosen", None, None, 9), (2, "rejected", "x", ["y"], 6)]
+    sides = spark.createDataFrame(rows, "pair_id long, side string, context0 string, answer_tokens array<string>, batch_id long")
+    got = SC.token_multiset(sides, ["batch_id"]).collect()
+    prev = ["p", *words[:-1]]
+    want = Counter((1, "chosen", 7, p, w) for p, w in zip(prev, words))
+    assert Counter({(r.pair_id, r.side, r.batch_id, r.prev, r.w): r.n for r in got if r.w}) == want + Counter({(2, "rejected", 6, "x", "y"): 1})
+    assert sorted((r.pair_id, r.side) for r in got if r.w is None) == [(1, "rejected"), (2, "chosen")]
+    masked = SC.token_multiset(sides, mask_token="pad").where("pair_id = 1 AND side = 'chosen'").collect()
+    assert {(r.prev, r.w): r.n for r in masked} == {(p, w): c for (_, _, _, p, w), c in want.items() if w != "pad"}
+    # the same (prev, w) a thousand times is one row of the exchange
+    long = spark.createDataFrame([(1, "chosen", "a", ["a"] * 1000)], "pair_id long, side string, context0 string, answer_tokens array<string>")
+    assert [(r.prev, r.w, r.n) for r in SC.token_multiset(long).collect()] == [("a", "a", 1000)]
