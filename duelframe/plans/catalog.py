@@ -19,6 +19,7 @@ from duelframe.functions import text as T
 from duelframe.functions.logits import array_mean, log_softmax_gather
 from duelframe.functions.metrics import delta_columns, mean_logp_margin, summary_aggs, with_dpo_metrics
 from duelframe.operators import batching as B
+from duelframe.operators import external as X
 from duelframe.operators import generation as G
 from duelframe.operators import reports as RP
 from duelframe.operators import scoring as SC
@@ -60,6 +61,7 @@ MODEL_FILTERS = {
     "nontoxic": lambda: F.col("toxic") == 0,
 }
 
+SCORES_CONF = "spark.duelframe.scores"   # a folder with kept scores of the models of one fit
 MODELS_CONF = "spark.duelframe.models"   # a folder with a saved fit of all models over the same tables
 
 # Checkpoints of a growing policy: its corpus after each step is the share of the quality=1
@@ -312,6 +314,14 @@ def q_sequence_logps(spark, d):
         "pair_id", "side", "model_id", F.col("n_tokens").cast("bigint").alias("n_tokens"), "sum_logp", "mean_logp")
 
 
+def q_external_scores(spark, d):
+    """L5 by a model outside Spark: bigrams of word classes, loaded once for each worker."""
+    scorer = X.class_bigram(read_table(spark, d, "documents"))
+    return X.external_scores(_sides(spark, d), scorer).select(
+        "pair_id", "side", "n_tokens", F.col(f"sum_{scorer.model_id}").alias("sum_logp"),
+        F.col(f"mean_{scorer.model_id}").alias("mean_logp"))
+
+
 def _pair_logps_query(mode="last_assistant", template=None):
     def q(spark, d):
         return _pair_logps(spark, d, _sides(spark, d, CFG, mode, template)).select(
@@ -392,8 +402,11 @@ def q_compare_policies(spark, d):
 
 
 def q_compare_checkpoints(spark, d):
-    """A8 over a series: the base model against the policy's checkpoints, one row per step."""
-    seq = _seq(spark, d, ("ref", *CHECKPOINTS))
+    """A8 over a series: the base model against the policy's checkpoints, one row per step.  Scores of
+    the frozen models are kept; those that the folder in ``SCORES_CONF`` holds are not computed again."""
+    store = X.ScoreStore(spark, spark.conf.get(SCORES_CONF, None) or scratch_path(spark, "scores"))
+    seq = store.score(_sides(spark, d), ("ref", *CHECKPOINTS),
+                      lambda rows, ids: SC.sequence_logps_wide(rows, _model(spark, d, ids), ids))
     rows = RP.compare_policies(seq, list(CHECKPOINTS), "ref", CFG)
     return rows.select(F.substring_index("policy_id", "_", -1).cast("bigint").alias("step"),
                        F.col("n").cast("bigint").alias("n"), "loss", "reward_margin", "accuracy", "mean_logp_margin")
@@ -567,6 +580,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "mean_logits": q_mean_logits,
     "bigram_fit": q_bigram_fit,
     "sequence_logps": q_sequence_logps,
+    "external_scores": q_external_scores,
     "pair_logps": _pair_logps_query(),
     "pair_logps_positional": _pair_logps_query("positional"),
     "pair_logps_rendered": _pair_logps_query(template=TEMPLATE),

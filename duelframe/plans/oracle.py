@@ -6,6 +6,7 @@ Shared pieces are CTE fragments assembled per query.  Conventions: doubles round
 
 from __future__ import annotations
 
+from duelframe.operators import external as X
 from duelframe.plans import catalog as Q
 
 NL = "chr(10)"
@@ -15,6 +16,10 @@ def tok(x: str) -> str:
     return f"list_filter(regexp_split_to_array(coalesce({x}, ''), '\\s+'), lambda t: t <> '')"
 
 
+def word_class(x: str) -> str:
+    return f"substr(md5({x}), 1, 2)"
+
+
 def r6(x: str) -> str:
     return f"(round(CAST({x} AS DOUBLE), 6) + 0.0)"
 
@@ -495,6 +500,25 @@ UNION ALL
 SELECT pair_id, side, 'policy' AS model_id, CAST(n_tokens AS BIGINT) AS n_tokens, {r6('sum_policy')} AS sum_logp,
        {r6('CASE WHEN n_tokens > 0 THEN sum_policy / n_tokens END')} AS mean_logp FROM seq"""
 
+    q["external_scores"] = f"""
+WITH {F2}, {F3},
+doc_tok AS (SELECT {tok('text')} AS t FROM documents),
+cls AS (
+  SELECT {word_class('prev')} AS v, {word_class('w')} AS w, count(*) AS c
+  FROM (SELECT unnest(t[1:len(t) - 1]) AS prev, unnest(t[2:len(t)]) AS w FROM doc_tok WHERE len(t) >= 2) GROUP BY ALL
+),
+ctx AS (SELECT v, sum(c) AS n FROM cls GROUP BY v),
+atok AS (
+  SELECT pair_id, side, {word_class('w')} AS w, {word_class("coalesce(CASE WHEN pos = 1 THEN ctx0 ELSE a_tok[pos - 1] END, '')")} AS v
+  FROM (SELECT pair_id, side, ctx0, a_tok, unnest(a_tok) AS w, unnest(generate_series(1, len(a_tok))) AS pos FROM f3 WHERE len(a_tok) > 0)
+),
+scored AS (
+  SELECT a.pair_id, a.side, ln((coalesce(c.c, 0) + 1) / (coalesce(x.n, 0) + {X.CLASSES}.0)) AS lp
+  FROM atok a LEFT JOIN cls c ON c.v = a.v AND c.w = a.w LEFT JOIN ctx x ON x.v = a.v
+)
+SELECT s.pair_id, s.side, CAST(count(lp) AS BIGINT) AS n_tokens, {r6('sum(lp)')} AS sum_logp, {r6('sum(lp) / count(lp)')} AS mean_logp
+FROM f3 s LEFT JOIN scored t ON t.pair_id = s.pair_id AND t.side = s.side GROUP BY s.pair_id, s.side"""
+
     for name, rows in (("pair_logps", F3), ("pair_logps_positional", F3P), ("pair_logps_rendered", f3(prompt="f.rendered"))):
         q[name] = f"""
 WITH {F2}, {rows}, {bigram()}, {PL}
