@@ -8,10 +8,11 @@ the escape ``-log2(t / (n + t))`` plus its cost in the next shorter context; a c
 never seen passes on at no cost; below order 0 a byte costs 8 bits.  The language with the
 shortest code wins.
 
-The trees of all languages share one node set, so scoring is two array look-ups for each
-byte: the last three bytes give the deepest shared node, and node and byte give the bits
-under each language.  Each language's own escapes are folded into these entries, which
-makes the sum the exact code length of that language's tree.
+Every context and byte seen in a language's sample is kept: a tree is a sparse table of
+(context, byte) entries and of the contexts' escapes, so its size follows what was learned and not
+contexts times alphabet times languages.  A text's bytes are looked up in the longest contexts
+first, and only those not found go on to the shorter ones; below two bytes the tables are
+dense.  The sums are the exact code lengths.  A model over ``MODEL_BYTES`` is an error.
 
 Defined results: null text, or a text without a letter: ``und`` with score 0.  Equal code
 lengths: the language that sorts first.  No training rows: every text is ``und``.  Rows are
@@ -37,20 +38,65 @@ ORDER = 3
 PAD = 10                      # the byte that is taken to precede every text
 TRAIN_DOCS_PER_LANG = 1500    # bound of the labelled sample (expected size, whole texts)
 MAX_LANGS = 512
-TABLE_BYTES = 24 << 20        # bound of the code length table that is sent to the workers
+MODEL_BYTES = 512 << 20       # bound of the trees that are sent to the workers
+ENTRY_BYTES = 40              # of a tree for each gram, at most
 CHUNK = 1 << 19               # bytes scored at once
 
 
+class Sparse:
+    """A frozen map from 32-bit keys to floats: open addressing, looked up for whole arrays."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.shift = np.uint32(32 - max(2, int(2 * len(keys)).bit_length()))
+        self.slots = np.full(1 << (32 - int(self.shift)), -1, dtype=np.int32)
+        self.keys, self.values = keys.astype(np.uint32), values.astype(np.float32)
+        left, at = np.arange(len(keys), dtype=np.int32), self._slot(self.keys)
+        while len(left):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = left[free]              # of several, the last one stays
+            moved = self.slots[at] != left
+            left, at = left[moved], (at[moved] + 1) % len(self.slots)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint32(2654435769)) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(values, found); the value of a key not found is 0."""
+        out, found = np.zeros(len(keys), np.float32), np.zeros(len(keys), bool)
+        if not len(self.keys):
+            return out, found
+        at = self._slot(keys)
+        entry = self.slots[at]
+        hit = self.keys[entry] == keys                     # slot -1 reads the last key, and is sorted out next
+        hit &= entry >= 0
+        out[hit], found[hit] = self.values[entry[hit]], True
+        left = np.flatnonzero(~hit & (entry >= 0))         # taken by another key: try the next slot
+        while len(left):
+            at[left] = (at[left] + 1) % len(self.slots)
+            entry = self.slots[at[left]]
+            left, entry = left[entry >= 0], entry[entry >= 0]
+            hit = self.keys[entry] == keys[left]
+            out[left[hit]], found[left[hit]] = self.values[entry[hit]], True
+            left = left[~hit]
+        return out, found
+
+
 @dataclass
-class PPMModel:
-    """Frozen trees: ``symbol`` maps bytes to a compact alphabet, ``node`` the last three
-    symbols to a tree node, ``bits[lang][node * size + symbol]`` is a code length."""
+class Tree:
+    """One language: bits of the bytes seen after three and two bytes, the escapes of these contexts,
+    and the bits of any byte after one byte (orders 1 and 0 and the uniform code together)."""
+
+    hit3: Sparse
+    escape3: Sparse
+    hit2: Sparse
+    escape2: np.ndarray
+    one: np.ndarray
 
+
+@dataclass
+class PPMModel:
     langs: list[str]
-    symbol: np.ndarray
-    size: int
-    node: np.ndarray
-    bits: np.ndarray
+    trees: list[Tree]
 
 
 def _previous(sym: np.ndarray, starts: np.ndarray, lengths: np.ndarray, back: int, pad: int) -> np.ndarray:
@@ -82,14 +128,12 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
 
-def train(docs: DataFrame, docs_per_lang: int = TRAIN_DOCS_PER_LANG,
-          table_bytes: int = TABLE_BYTES) -> PPMModel:
+def train(docs: DataFrame, docs_per_lang: int = TRAIN_DOCS_PER_LANG, model_bytes: int = MODEL_BYTES) -> PPMModel:
     """Learn from ``text`` and ``lang`` of ``docs`` (rows with a null in either are left out).
 
     Of each language a hash sample by ``doc_id`` of about ``docs_per_lang`` documents is
-    used, whole texts; the grams are counted in Spark.  Contexts are kept by falling count
-    as far as ``table_bytes`` reaches, which bounds what the driver holds and sends; a
-    context's shorter suffixes are at least as frequent and so are kept before it.
+    used, whole texts; the grams are counted in Spark, and all of them are kept.  The bound
+    of the sample bounds what the driver holds; over ``model_bytes`` the training fails.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()}
@@ -97,7 +141,7 @@ def train(docs: DataFrame, docs_per_lang: int = TRAIN_DOCS_PER_LANG,
         raise ValueError(f"more than {MAX_LANGS} languages to learn")
     langs = sorted(sizes)
     if not langs:
-        return PPMModel([], np.zeros(256, np.uint8), 1, np.zeros(1, np.int32), np.zeros((0, 1), np.float32))
+        return PPMModel([], [])
     slots = 1 << 24
     share = F.lit(0)
     for name in langs:
@@ -105,88 +149,65 @@ def train(docs: DataFrame, docs_per_lang: int = TRAIN_DOCS_PER_LANG,
     sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(slots)) < share).select("lang", "text")
     grams = materialize(sample.mapInArrow(_gram_counts, "lang string, gram long, n long")
                         .groupBy("lang", "gram").agg(F.sum("n").alias("n")), "ppm-grams")
-
-    spark = docs.sparkSession
-    seen = sorted({int(b) for (b,) in
-                   grams.select((F.col("gram") % 256).alias("b")).distinct().collect()} | {PAD})
-    size = len(seen) + 1                                   # the last symbol: any byte never seen
-    symbol = np.full(256, size - 1, dtype=np.uint8 if size <= 256 else np.uint16)
-    symbol[seen] = np.arange(size - 1)
-    nodes = max(1, table_bytes // (size * len(langs) * 4)) - size - 1
-    # contexts of two and three bytes by their count over all languages
-    ctx = F.shiftright("gram", 8)
-    best = (grams.select(F.explode(F.array(F.struct(F.lit(2).alias("o"), (ctx % 65536).alias("c")),
-                                           F.struct(F.lit(3).alias("o"), ctx.alias("c")))).alias("x"), "n")
-            .groupBy("x.o", "x.c").agg(F.sum("n").alias("n"))
-            .orderBy(F.col("n").desc(), "o", "c").limit(max(0, min(nodes, 65000))))
-    kept = [(r["o"], r["c"]) for r in best.select("o", "c").collect()]
-    chosen = spark.createDataFrame(kept or [(2, -1)], "o int, c long")
-    two = chosen.where("o = 2").select(F.col("c").alias("c2"))
-    three = chosen.where("o = 3").select(F.col("c").alias("c3"))
-    # bounded by nodes x alphabet x languages
-    b = F.col("gram") % 256
-    low = grams.groupBy("lang", F.lit(1).alias("o"), (ctx % 256).alias("c"), b.alias("b")).agg(F.sum("n").alias("n"))
-    mid = (grams.withColumn("c2", ctx % 65536).join(F.broadcast(two), "c2")
-           .groupBy("lang", F.lit(2).alias("o"), F.col("c2").alias("c"), b.alias("b")).agg(F.sum("n").alias("n")))
-    high = (grams.withColumn("c3", ctx).join(F.broadcast(three), "c3")
-            .select("lang", F.lit(3).alias("o"), F.col("c3").alias("c"), b.alias("b"), "n"))
-    counts = low.unionByName(mid).unionByName(high).toPandas()
-    return _freeze(langs, seen, symbol, size, kept, counts)
-
-
-def _freeze(langs, seen, symbol, size, kept, counts) -> PPMModel:
-    """Code length tables from the counts (see the module text for the formula)."""
-    order2 = [c for o, c in kept if o == 2]
-    order3 = [c for o, c in kept if o == 3]
-    # node 0: order 0; 1..size: the last byte; then two bytes; then three
-    id2 = {c: 1 + size + i for i, c in enumerate(order2)}
-    id3 = {c: 1 + size + len(order2) + i for i, c in enumerate(order3)}
-    n_nodes = 1 + size + len(kept)
-    bits = np.empty((len(langs), n_nodes, size), dtype=np.float32)
-    sym = {b: i for i, b in enumerate(seen)}
-    for li, name in enumerate(langs):
-        own = counts[counts["lang"] == name]
-        k = np.zeros((n_nodes, size), dtype=np.float64)
-        for o, c, b, n in zip(own["o"], own["c"], own["b"], own["n"]):
-            row = 1 + sym.get(c, size - 1) if o == 1 else (id2 if o == 2 else id3)[c]
-            k[row, sym[b]] += n
-        k[0] = k[1:1 + size].sum(axis=0)
-        n, t = k.sum(axis=1), (k > 0).sum(axis=1)
-
-        def code(rows, shorter):
-            with np.errstate(divide="ignore", invalid="ignore"):
-                total = np.where(n[rows] > 0, n[rows] + t[rows], 1.0)[:, None]
-                hit = -np.log2(k[rows] / total)
-                escape = np.where(n[rows] > 0, -np.log2(t[rows] / total[:, 0]), 0.0)[:, None]
-            return np.where(k[rows] > 0, hit, escape + shorter)
-
-        bits[li, 0] = code(np.array([0]), np.full((1, size), 8.0))[0]
-        rows = np.arange(1, 1 + size)
-        bits[li, rows] = code(rows, bits[li, 0][None, :])
-        if order2:
-            rows = np.array([id2[c] for c in order2])
-            bits[li, rows] = code(rows, bits[li, [1 + sym.get(c % 256, size - 1) for c in order2]])
-        for lo in range(0, len(order3), 4096):
-            part = order3[lo:lo + 4096]
-            rows = np.array([id3[c] for c in part])
-            bits[li, rows] = code(rows, bits[li, [id2[c % 65536] for c in part]])
-    node = np.tile(np.arange(1, 1 + size, dtype=np.int32), size * size)       # by the last symbol
-    node = node.reshape(size, size, size)
-    for c, i in id2.items():
-        if c // 256 in sym and c % 256 in sym:
-            node[:, sym[c // 256], sym[c % 256]] = i
-    for c, i in id3.items():
-        parts = (c // 65536, c // 256 % 256, c % 256)
-        if all(p in sym for p in parts):
-            node[tuple(sym[p] for p in parts)] = i
-    return PPMModel(langs, symbol, size, node.reshape(-1), bits.reshape(len(langs), -1))
+    size = grams.count() * ENTRY_BYTES + len(langs) * (2 << 18)
+    if size > model_bytes:
+        raise ValueError(f"the context trees need up to {size} bytes, over {model_bytes}: learn from fewer documents")
+    counts = grams.toPandas()                              # bounded: see above
+    return PPMModel(langs, [_tree(own["gram"].to_numpy(np.int64), own["n"].to_numpy(np.int64))
+                            for own in (counts[counts["lang"] == name] for name in langs)])
+
+
+def _level(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """From grams (context and byte) with counts: the bits of each gram, and the contexts with the
+    bits of their escapes."""
+    context, at = np.unique(grams >> 8, return_inverse=True)
+    total, distinct = np.bincount(at, n, len(context)), np.bincount(at, minlength=len(context))
+    with np.errstate(divide="ignore"):
+        return -np.log2(n / (total + distinct)[at]), context, -np.log2(distinct / (total + distinct)), at
+
+
+def _shorter(grams: np.ndarray, n: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The counts of the grams' last ``bits`` bits."""
+    kept, at = np.unique(grams & ((1 << bits) - 1), return_inverse=True)
+    return kept, np.bincount(at, n, len(kept)).astype(np.int64)
+
+
+def _tree(grams: np.ndarray, n: np.ndarray) -> Tree:
+    """The frozen tree from the counts of three bytes and the next (see the module text)."""
+    bits3, context3, out3, _ = _level(grams, n)
+    two, n2 = _shorter(grams, n, 24)
+    bits2, context2, out2, _ = _level(two, n2)
+    escape2 = np.zeros(1 << 16, np.float32)
+    escape2[context2] = out2
+    one, n1 = _shorter(two, n2, 16)
+    zero, n0 = _shorter(one, n1, 8)
+    bits0, _, out0, _ = _level(zero, n0)
+    row = np.full(256, 8.0 + (out0[0] if len(out0) else 0.0))
+    row[zero] = bits0
+    bits1, context1, out1, _ = _level(one, n1)
+    escape1 = np.zeros(256)
+    escape1[context1] = out1
+    dense = escape1[:, None] + row[None, :]
+    dense[one >> 8, one & 255] = bits1
+    return Tree(Sparse(grams, bits3), Sparse(context3, out3), Sparse(two, bits2), escape2, dense.astype(np.float32).reshape(-1))
+
+
+def _bits(tree: Tree, key: np.ndarray) -> np.ndarray:
+    """The bits of each byte; ``key`` is the three bytes before it and the byte."""
+    bits, found = tree.hit3.get(key)
+    left = np.flatnonzero(~found)
+    if len(left):
+        k = key[left]
+        two, found = tree.hit2.get(k & np.uint32(0xFFFFFF))
+        rest = tree.escape2[(k >> np.uint32(8)) & np.uint32(0xFFFF)] + tree.one[k & np.uint32(0xFFFF)]
+        bits[left] = tree.escape3.get(k >> np.uint32(8))[0] + np.where(found, two, rest)
+    return bits
 
 
 def code_lengths(model: PPMModel, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Bits of each text (rows) under each language (columns); ``off`` are byte offsets."""
     lengths = np.diff(off)
     out = np.zeros((len(lengths), len(model.langs)))
-    pad = model.symbol[PAD]
     for lo in range(0, len(raw), CHUNK):
         hi = min(len(raw), lo + CHUNK)
         a = max(0, lo - ORDER)                             # the context may lie in the chunk before
@@ -194,16 +215,14 @@ def code_lengths(model: PPMModel, raw: np.ndarray, off: np.ndarray) -> np.ndarra
         starts = off[first:last]
         inside = starts >= a
         local, local_len = (starts - a)[inside], np.minimum(lengths[first:last][inside], hi - off[first:last][inside])
-        sym = model.symbol[raw[a:hi]]
-        key = np.zeros(hi - a, dtype=np.int64)
+        sym = raw[a:hi]
+        key = np.zeros(hi - a, dtype=np.uint32)
         for back in (3, 2, 1):
-            key *= model.size
-            key += _previous(sym, local, local_len, back, pad)
-        at = model.node[key].astype(np.int64) * model.size + sym
-        at = at[lo - a:]
+            key = (key << np.uint32(8)) | _previous(sym, local, local_len, back, PAD)
+        key = ((key << np.uint32(8)) | sym)[lo - a:]
         seg = np.clip(off[first:last + 1] - lo, 0, hi - lo)
-        for li in range(len(model.langs)):
-            out[first:last, li] += segment_sums(model.bits[li][at], seg)
+        for li, tree in enumerate(model.trees):
+            out[first:last, li] += segment_sums(_bits(tree, key), seg)
     return out
 
 
@@ -228,7 +247,7 @@ def detect(docs: DataFrame, model: PPMModel, text_col: str = "text") -> DataFram
 
 def scorer(spark: SparkSession, model: PPMModel):
     """A Column function: text -> struct of the fields in ``RESULT``."""
-    shared = spark.sparkContext.broadcast(model)            # bounded by TABLE_BYTES
+    shared = spark.sparkContext.broadcast(model)            # bounded by MODEL_BYTES
 
     @F.arrow_udf("lang_pred string, score double, bits_per_byte double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

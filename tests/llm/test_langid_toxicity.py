@@ -55,6 +55,51 @@ def test_code_lengths_are_exact(llm, monkeypatch):
         assert np.allclose(got, want, rtol=1e-5)
 
 
+def test_sparse_maps():
+    rnd = np.random.RandomState(3)
+    for n in (0, 1, 2, 1000, 50_000):
+        keys = np.unique(rnd.randint(0, 2 ** 32, n, dtype=np.uint64).astype(np.uint32))
+        m = L.Sparse(keys, np.arange(len(keys)) + 1.0)
+        ask = np.concatenate([keys, rnd.randint(0, 2 ** 32, 1000, dtype=np.uint64).astype(np.uint32), np.array([0, 2 ** 32 - 1], np.uint32)])
+        known = {int(k): i + 1.0 for i, k in enumerate(keys)}
+        got, found = m.get(ask)
+        assert (got == [known.get(int(k), 0.0) for k in ask]).all() and (found == [int(k) in known for k in ask]).all()
+
+
+def test_no_context_is_dropped_with_a_hundred_languages(llm):
+    """Every context of every language counts, however many languages share the model."""
+    rnd = random.Random(7)
+    words = {f"l{k:03d}": ["".join(chr(rnd.randrange(97, 123)) for _ in range(rnd.randint(2, 6))) for _ in range(25)] for k in range(100)}
+    texts = {name: [sentence(rnd, 30, w) for _ in range(3)] for name, w in words.items()}
+    model = L.train(make_docs(llm, [t for v in texts.values() for t in v], [name for name, v in texts.items() for _ in v]))
+    assert model.langs == sorted(texts)
+    for name, tree in zip(model.langs, model.trees):
+        padded = [bytes([L.PAD] * 3) + t.encode() for t in texts[name]]
+        assert len(tree.escape3.keys) == len({b[i - 3:i] for b in padded for i in range(3, len(b))})
+        assert len(tree.hit3.keys) == len({b[i - 3:i + 1] for b in padded for i in range(3, len(b))})
+    tests = [sentence(rnd, 10, words["l042"]), sentence(rnd, 10, words["l099"]), "other words"]
+    off = np.cumsum([0] + [len(t) for t in tests])
+    got = L.code_lengths(model, np.frombuffer("".join(tests).encode(), np.uint8), off)
+    for k in (0, 42, 99):
+        assert np.allclose(got[:, k], [plain_code_length(texts[model.langs[k]], t) for t in tests], rtol=1e-5)
+    assert got[0].argmin() == 42 and got[1].argmin() == 99
+    with pytest.raises(ValueError, match="bytes"):
+        L.train(make_docs(llm, ["some text"]), model_bytes=1000)
+
+
+def test_all_contexts_of_the_given_table_are_kept(llm):
+    docs = llm.read.parquet(f"{SF1}/documents.parquet")
+    rows = L.training_rows(docs).where("lang IS NOT NULL AND text IS NOT NULL")
+    model = L.train(L.training_rows(docs), docs_per_lang=10 ** 9)      # every training row
+    for name, tree in zip(model.langs, model.trees):
+        want = set()
+        for (t,) in rows.where(F.col("lang") == name).select("text").limit(300).collect():
+            b = bytes([L.PAD] * 3) + t.encode()
+            want |= {b[i - 3:i + 1] for i in range(3, len(b))}
+        keys = np.array([int.from_bytes(g, "big") for g in want], np.uint32)
+        assert len(keys) and tree.hit3.get(keys)[1].all()
+
+
 def test_language_held_out_accuracy(llm):
     rows = Q.op6_langid(llm, SF1).join(llm.read.parquet(f"{SF1}/documents.parquet").select("doc_id", "lang", "text"), "doc_id").toPandas()
     assert len(rows) == 10_000
