@@ -1,29 +1,31 @@
 """Exact top-k search by inner product with ball trees (operator 7).
 
-Vectors become integers, ``floor(scale * x)``.  Candidates are dealt by a hash of their id
-and place into shards of about ``SHARD_ROWS``; each shard is built once into a ball tree (nodes with a
+Vectors become integers, ``floor(scale * x)``.  Rows are dealt by a hash of their place into
+shards of about ``SHARD_ROWS``; each shard is built once into a ball tree (nodes with a
 centre and a radius, leaves of at most ``LEAF`` vectors) and stored as one row.  Queries go
 in blocks of ``BLOCK``.  A block meets a shard by branch and bound: the bound of a node for
-a query is ``q . centre + |q| * radius``; nodes below the query's current k-th score are cut
-with all that is under them, and leaves are visited in the order of their bounds, which
-raises the k-th score early.
+a query is ``q . centre + |q| * radius``.  Nodes are taken in the order of their bounds (the
+largest of the block's queries), which raises the k-th scores early; a query leaves a node whose
+bound is below its current k-th score, with all that is under it.
 
-The k-th score is shared between shards: first every block searches one pilot shard, then
-its k-th scores go with it to all other shards as a floor.  A node is cut only if its bound
-is below the floor, so equal scores survive and ties are settled by id at the end.  Sums are
-exact: the integers are far below the point where a double rounds, which is checked.
+The k-th score is shared between shards in rounds: a block meets one shard, then up to
+``ROUND`` shards, then ``ROUND`` times as many, and starts each round with the k-th scores of all
+rounds before it.  A node is cut only if its bound is below that, so equal scores
+survive and ties are settled by id at the end.  Sums are exact: the integers are far below the
+point where a double rounds, which is checked.
 
 Defined results: rows whose vector is null or holds a null, NaN or infinite component take
-no part, nor do rows with a null id.  Rows with the same id count as one, with the smallest
-of their vectors, or with ``merge_ids=False`` (the registered query) each by itself, as in its
-SQL: every row is a candidate for the queries of other ids, and the query rows of one id have
-one ranking of all their scores, equal scores by the candidates' ids.  Vectors of different lengths are compared as if filled up with zeros.  A
+no part.  A row is told from others by its place, not by its id: every row but the query's own is
+a candidate, also one of the same id, and each query row has a ranking of its own.  A null id is no
+query unless ``is_query`` says so; as a candidate it follows all ids among equal scores.
+Vectors of different lengths are compared as if filled up with zeros.  A
 query has fewer than k rows if there are fewer other rows.  Empty table: no rows.  Other
 columns of the input are not read.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 
@@ -37,6 +39,7 @@ from duelframe.session import materialize
 SHARD_ROWS = 8192
 LEAF = 128
 BLOCK = 512
+ROUND = 8
 SCALE = 64.0
 LARGEST = 2 ** 26             # of a component: products of two are exact in a double
 
@@ -54,92 +57,92 @@ def quantised(vector: Column, scale: float = SCALE) -> Column:
 
 class BallTree:
     """Vectors in leaf order and nodes in breadth-first order; node i has children
-    ``child[i]`` and ``child[i] + 1`` (0: a leaf) and rows ``first[i]`` to ``last[i]``."""
+    ``child[i]`` and ``child[i] + 1`` (0: a leaf) and rows ``first[i]`` to ``last[i]``.  ``rows`` are the
+    rows' places in the table, and ``order`` ranks them among equal scores."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF):
-        order = np.argsort(ids, kind="stable")
-        first, last, child, centre, radius = [0], [len(ids)], [], [], []
+    def __init__(self, rows: np.ndarray, vectors: np.ndarray, leaf: int = LEAF):
+        order = np.arange(len(rows))
+        first, last, child, centre, radius = [0], [len(rows)], [], [], []
         k = 0
         while k < len(first):
             lo, hi = first[k], last[k]
-            rows = vectors[order[lo:hi]]
-            c = rows.mean(axis=0)
-            d = np.sqrt(((rows - c) ** 2).sum(axis=1))
+            own = vectors[order[lo:hi]]
+            c = own.mean(axis=0)
+            d = np.sqrt(((own - c) ** 2).sum(axis=1))
             centre.append(c)
             radius.append(d.max())
             if hi - lo <= leaf or d.max() == 0:
                 child.append(0)
             else:                               # split between two far points, half to each side
-                a = rows[d.argmax()]
-                b = rows[((rows - a) ** 2).sum(axis=1).argmax()]
-                side = np.argsort(rows @ (b - a), kind="stable")
+                a = own[d.argmax()]
+                b = own[((own - a) ** 2).sum(axis=1).argmax()]
+                side = np.argsort(own @ (b - a), kind="stable")
                 order[lo:hi] = order[lo:hi][side]
                 mid = (lo + hi) // 2
                 child.append(len(first))
                 first += [lo, mid]
                 last += [mid, hi]
             k += 1
-        self.ids, self.vectors = ids[order], vectors[order]
+        self.rows, self.order, self.vectors = rows[order], order, vectors[order]
         self.first, self.last, self.child = (np.array(x) for x in (first, last, child))
         self.centre, self.radius = np.array(centre), np.array(radius)
 
     def search(self, q: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-        """For each row of ``q`` (ids ``own``) the k best (score, id) that reach ``floor``, as
-        two arrays filled up with -inf, and the number of scores computed."""
+        """For each row of ``q`` (places ``own``) the k best that reach ``floor``: scores, filled up
+        with -inf, and ``order`` values (equal scores: the smaller one first), and the number of
+        scores computed."""
         n = len(q)
         size = np.sqrt((q * q).sum(axis=1))
         scores = np.full((n, k), -np.inf)
-        ids = np.full((n, k), np.iinfo(np.int64).max)
+        found = np.full((n, k), np.iinfo(np.int64).max)
         kth = floor.astype(float).copy()
         slack = 1e-9 * size * (np.abs(self.centre).max(initial=0.0) * np.sqrt(q.shape[1]) + self.radius.max(initial=0.0)) + 1e-6
         work = 0
-        # branch: level by level, the pairs of query and node whose bound reaches the k-th score
-        leaves: list[tuple[int, np.ndarray, np.ndarray]] = []
-        todo = [(0, np.arange(n))]
-        while todo:
-            node, who = todo.pop()
+
+        def reach(node: int, who: np.ndarray):
             bound = q[who] @ self.centre[node] + size[who] * self.radius[node] + slack[who]
             on = bound >= kth[who]
-            who, bound = who[on], bound[on]
+            return (-bound[on].max(), node, who[on], bound[on]) if on.any() else None
+
+        queue = [x for x in [reach(0, np.arange(n))] if x]
+        while queue:
+            _, node, who, bound = heapq.heappop(queue)
+            who = who[bound >= kth[who]]                   # the k-th scores may have risen
             if not len(who):
                 continue
             if self.child[node]:
-                todo += [(self.child[node], who), (self.child[node] + 1, who)]
-            else:
-                leaves.append((node, who, bound))
-        # bound: leaves by their largest bound, each for the queries that still need it
-        for node, who, bound in sorted(leaves, key=lambda x: -x[2].max()):
-            on = bound >= kth[who]
-            who = who[on]
-            if not len(who):
+                for child in (self.child[node], self.child[node] + 1):
+                    if x := reach(child, who):
+                        heapq.heappush(queue, x)
                 continue
-            rows = slice(self.first[node], self.last[node])
-            s = q[who] @ self.vectors[rows].T
+            at = slice(self.first[node], self.last[node])
+            s = q[who] @ self.vectors[at].T
             work += s.size
-            s[own[who][:, None] == self.ids[rows][None, :]] = -np.inf
+            s[own[who][:, None] == self.rows[at][None, :]] = -np.inf
             s[s < kth[who][:, None]] = -np.inf
             better = (s > -np.inf).any(axis=1)
             who, s = who[better], s[better]
             if not len(who):
                 continue
             all_s = np.concatenate([scores[who], s], axis=1)
-            all_i = np.concatenate([ids[who], np.broadcast_to(self.ids[rows], s.shape)], axis=1)
-            best = np.lexsort((all_i, -all_s), axis=1)[:, :k]
+            all_o = np.concatenate([found[who], np.broadcast_to(self.order[at], s.shape)], axis=1)
+            best = np.lexsort((all_o, -all_s), axis=1)[:, :k]
             scores[who] = np.take_along_axis(all_s, best, 1)
-            ids[who] = np.take_along_axis(all_i, best, 1)
+            found[who] = np.take_along_axis(all_o, best, 1)
             kth[who] = np.maximum(kth[who], scores[who][:, -1])
-        return scores, ids, work
+        return scores, found, work
 
     def packed(self) -> list[bytes]:
-        return [x.tobytes() for x in (self.ids.astype(np.int64), self.vectors.astype(np.int64), self.first.astype(np.int64),
-                                      self.last.astype(np.int64), self.child.astype(np.int64), self.centre, self.radius)]
+        return [x.tobytes() for x in (self.rows.astype(np.int64), self.order.astype(np.int64), self.vectors.astype(np.int64),
+                                      self.first.astype(np.int64), self.last.astype(np.int64), self.child.astype(np.int64),
+                                      self.centre, self.radius)]
 
     @classmethod
     def unpacked(cls, parts: list[bytes], dim: int) -> "BallTree":
         t = cls.__new__(cls)
-        t.ids, v, t.first, t.last, t.child = (np.frombuffer(p, np.int64) for p in parts[:5])
-        t.vectors = v.reshape(len(t.ids), dim).astype(float)
-        t.centre, t.radius = np.frombuffer(parts[5]).reshape(-1, dim), np.frombuffer(parts[6])
+        t.rows, t.order, v, t.first, t.last, t.child = (np.frombuffer(p, np.int64) for p in parts[:6])
+        t.vectors = v.reshape(len(t.rows), dim).astype(float)
+        t.centre, t.radius = np.frombuffer(parts[6]).reshape(-1, dim), np.frombuffer(parts[7])
         return t
 
 
@@ -151,17 +154,13 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
-           scale: float = SCALE, shard_rows: int = SHARD_ROWS, block: int = BLOCK, merge_ids: bool = True) -> DataFrame:
-    """(query_id, rank, id, score): for every id with ``is_query`` the ``k`` rows of other ids
+           scale: float = SCALE, shard_rows: int = SHARD_ROWS, block: int = BLOCK) -> DataFrame:
+    """(query_id, rank, id, score): for every row with ``is_query`` the ``k`` other rows
     of largest integer inner product, ties to the smaller id."""
-    rows = (vectors.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v"),
-                           F.coalesce(is_query, F.lit(False)).alias("asks"))
-            .where("id is not null and v is not null"))
-    if merge_ids:
-        rows = rows.groupBy("id").agg(F.min("v").alias("v"), F.max("asks").alias("asks")).withColumn("at", F.lit(0).cast("long"))
-    else:
-        rows = rows.withColumn("at", F.monotonically_increasing_id())
-    rows = materialize(rows, "topk-rows")                  # a row's place is fixed from here on
+    rows = materialize(vectors.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v"),
+                                      F.coalesce(is_query, F.lit(False)).alias("asks"))
+                       .where("v is not null").withColumn("at", F.monotonically_increasing_id()),
+                       "topk-rows")                        # a row's place is fixed from here on
     size = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim"), F.count_if("asks").alias("q"),
                     F.max(F.array_max(F.transform("v", F.abs))).alias("top")).first()
     dim = size["dim"] or 1
@@ -170,57 +169,55 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     shards = max(1, math.ceil(size["n"] / shard_rows))
     blocks = max(1, math.ceil(size["q"] / block))
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b = pa.Table.from_batches(list(batches))          # one shard: its size is bounded
-        if not b.num_rows:
-            return
-        tree = BallTree(b.column("id").to_numpy(), _matrix(b.column("v"), dim))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([b.column("shard")[0].as_py()], pa.int32()), pa.array([tree.packed()], pa.list_(pa.binary()))],
-            names=["shard", "tree"])
-
-    def whole_shard(t: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(list(build(iter(t.to_batches()))),
-                                     pa.schema([("shard", pa.int32()), ("tree", pa.list_(pa.binary()))]))
-
-    trees = materialize(rows.select(F.pmod(F.xxhash64("id", "at"), F.lit(shards)).cast("int").alias("shard"), "id", "v")
-                        .groupBy("shard").applyInArrow(whole_shard, "shard int, tree array<binary>"), "topk-trees")
+    def build(t: pa.Table) -> pa.Table:                    # one shard: its size is bounded
+        ids = t.column("id").fill_null(0).to_numpy()
+        known = t.column("id").is_valid().to_numpy()
+        by_id = np.lexsort((ids, ~known))                  # null ids last
+        tree = BallTree(t.column("at").to_numpy()[by_id], _matrix(t.column("v"), dim)[by_id])
+        return pa.table({"shard": pa.array([t.column("shard")[0].as_py()], pa.int32()),
+                         "tree": pa.array([tree.packed()], pa.list_(pa.binary())),
+                         "ids": pa.array([ids[by_id].astype(np.int64).tobytes()], pa.binary()),
+                         "known": pa.array([known[by_id].tobytes()], pa.binary())})
+
+    trees = materialize(rows.select(F.pmod(F.xxhash64("at"), F.lit(shards)).cast("int").alias("shard"), "id", "at", "v")
+                        .groupBy("shard").applyInArrow(build, "shard int, tree array<binary>, ids binary, known binary"), "topk-trees")
+    queries = materialize(rows.where("asks").select(F.pmod(F.xxhash64("at", F.lit(1)), F.lit(blocks)).cast("int").alias("block"),
+                                                    "id", "at", "v"), "topk-queries")
 
     def gather(t: pa.Table) -> pa.Table:
+        floor = np.array([-math.inf if x is None else x for x in t.column("floor").to_pylist()], float)
         return pa.table({"block": pa.array([t.column("block")[0].as_py()], pa.int32()),
-                         "ids": pa.array([t.column("id").to_numpy().tobytes()], pa.binary()),
-                         "q": pa.array([_matrix(t.column("v"), dim).tobytes()], pa.binary())})
-
-    asks = materialize(rows.where("asks").select(F.pmod(F.xxhash64("id", "at", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), "id", "v")
-                       .groupBy("block").applyInArrow(gather, "block int, ids binary, q binary"), "topk-queries")
+                         "own": pa.array([t.column("at").to_numpy().astype(np.int64).tobytes()], pa.binary()),
+                         "q": pa.array([_matrix(t.column("v"), dim).tobytes()], pa.binary()),
+                         "floor": pa.array([floor.tobytes()], pa.binary())})
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                own = np.frombuffer(r["ids"], np.int64)
-                q = np.frombuffer(r["q"]).reshape(len(own), dim)
-                floor = np.frombuffer(r["floor"]) if r["floor"] is not None else np.full(len(own), -np.inf)
-                s, ids, _ = BallTree.unpacked(r["tree"], dim).search(q, own, k, floor)
-                found = s > -np.inf
-                kth = np.where(found[:, -1], s[:, -1], -np.inf)
+                own = np.frombuffer(r["own"], np.int64)
+                ids, known = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["known"], bool)
+                s, order, _ = BallTree.unpacked(r["tree"], dim).search(np.frombuffer(r["q"]).reshape(len(own), dim), own, k,
+                                                                       np.frombuffer(r["floor"]))
+                hit = s > -np.inf
+                order = order[hit]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["block"]], pa.int32()), pa.array([kth.tobytes()], pa.binary()),
-                     pa.array([np.repeat(own, found.sum(axis=1)).tolist()], pa.list_(pa.int64())),
-                     pa.array([ids[found].tolist()], pa.list_(pa.int64())),
-                     pa.array([s[found].astype(np.int64).tolist()], pa.list_(pa.int64()))],
-                    names=["block", "kth", "query_id", "id", "score"])
-
-    shape = "block int, kth binary, query_id array<long>, id array<long>, score array<long>"
-    pilot = F.pmod(F.col("block"), F.lit(shards))
-    first = materialize(asks.withColumn("shard", pilot).withColumn("floor", F.lit(None).cast("binary"))
-                        .join(trees, "shard").mapInArrow(meet, shape), "topk-pilot")
-    others = (asks.join(first.select("block", F.col("kth").alias("floor")), "block")
-              .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-              .where(F.col("shard") != pilot))
-    second = others.join(trees, "shard").mapInArrow(meet, shape)
-    hits = (first.unionByName(second)
-            .select(F.explode(F.arrays_zip("query_id", "id", "score")).alias("h"))
-            .select("h.query_id", "h.id", "h.score"))
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    return (hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-            .select("query_id", "rank", "id", "score"))
+                    [pa.array(np.repeat(own, hit.sum(axis=1))), pa.array(ids[order], mask=~known[order]), pa.array(s[hit].astype(np.int64))],
+                    names=["at", "id", "score"])
+
+    best, near, far = None, 0, 1
+    ranks = Window.partitionBy("at").orderBy(F.col("score").desc(), F.col("id").asc_nulls_last())
+    while near < shards:
+        state = queries.drop("id").withColumn("floor", F.lit(None).cast("long"))
+        if best is not None:
+            reached = best.where(F.col("rank") == k).select(F.col("at").alias("_at"), F.col("score").alias("floor"))
+            state = queries.drop("id").join(reached, queries["at"] == reached["_at"], "left").drop("_at")
+        asks = state.groupBy("block").applyInArrow(gather, "block int, own binary, q binary, floor binary")
+        hits = (asks.withColumn("_step", F.explode(F.sequence(F.lit(near), F.lit(min(far, shards) - 1))))
+                .withColumn("shard", F.pmod(F.col("block") + F.col("_step"), F.lit(shards)).cast("int"))
+                .join(trees, "shard").drop("_step", "block").mapInArrow(meet, "at long, id long, score long"))
+        if best is not None:
+            hits = hits.unionByName(best.drop("rank"))
+        best = materialize(hits.withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= k), "topk-best")
+        near, far = far, far * ROUND
+    named = queries.select(F.col("at").alias("_at"), F.col("id").alias("query_id"))
+    return best.join(named, best["at"] == named["_at"]).select("query_id", "rank", "id", "score")

@@ -76,24 +76,29 @@ def test_bpe_odd_rows(odd, empty, vocabulary, library):
 
 
 def brute(rows, k, asks):
-    """(query, rank, id, score) by plain loops over {id: vector}."""
+    """(query, rank, id, score) by plain loops over rows (id, vector), told apart by their place."""
     out = []
-    for q, v in rows.items():
+    for n, (q, v) in enumerate(rows):
         if asks(q):
-            s = sorted(((-sum(a * b for a, b in zip(v, w)), i) for i, w in rows.items() if i != q))[:k]
-            out += [(q, r, i, -x) for r, (x, i) in enumerate(s, 1)]
-    return sorted(out)
+            s = sorted(((-sum(a * b for a, b in zip(v, w)), i is None, i or 0) for m, (i, w) in enumerate(rows) if m != n))[:k]
+            out += [(q, r, None if null else i, -x) for r, (x, null, i) in enumerate(s, 1)]
+    return sorted(out, key=in_order)
 
 
-@pytest.mark.parametrize("rows,shard,block,leaf", [(300, 64, 8, 4), (300, 1000, 1000, 128), (15, 4, 2, 2)])
-def test_search_equals_brute_force(llm, monkeypatch, rows, shard, block, leaf):
+def in_order(r):
+    return tuple((x is None, x or 0) for x in r)
+
+
+@pytest.mark.parametrize("rows,shard,block", [(300, 64, 8), (300, 1000, 1000), (300, 20, 7), (15, 4, 2)])
+def test_search_equals_brute_force(llm, rows, shard, block):
     rnd = np.random.RandomState(rows)
     vectors = np.round(rnd.randn(rows, 6), 1)
     vectors[rows // 2:] = vectors[:rows - rows // 2]               # ties
-    df = llm.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    ids = [None if i % 29 == 0 else i if i % 3 else i // 30 * 30 for i in range(rows)]      # repeated and null ids
+    df = llm.createDataFrame([(i, v.tolist()) for i, v in zip(ids, vectors)], "vec_id long, embedding array<float>")
     got = K.search(df, F.col("vec_id") % 5 == 0, k=7, shard_rows=shard, block=block)
-    want = brute({i: [math.floor(64 * float(np.float32(x))) for x in v] for i, v in enumerate(vectors)}, 7, lambda i: i % 5 == 0)
-    assert sorted(map(tuple, got.collect())) == want
+    whole = [(i, [math.floor(64 * float(np.float32(x))) for x in v]) for i, v in zip(ids, vectors)]
+    assert sorted(map(tuple, got.collect()), key=in_order) == brute(whole, 7, lambda i: i is not None and i % 5 == 0)
 
 
 def test_bounds_cut_work():
@@ -101,11 +106,12 @@ def test_bounds_cut_work():
     centres = rnd.randn(20, 8) * 200
     v = np.floor(centres[rnd.randint(0, 20, 4000)] + rnd.randn(4000, 8))
     tree = K.BallTree(np.arange(4000), v, 64)
-    s, ids, work = tree.search(v[:50], np.arange(50), 5, np.full(50, -np.inf))
+    s, order, work = tree.search(v[:50], np.arange(50), 5, np.full(50, -np.inf))
     assert work < 50 * 4000 / 2
     full = v[:50] @ v.T
     full[np.arange(50), np.arange(50)] = -np.inf
     assert (np.sort(full, axis=1)[:, ::-1][:, :5] == s).all()
+    assert (np.take_along_axis(full, order, 1) == s).all()
     _, _, again = tree.search(v[:50], np.arange(50), 5, s[:, -1])
     assert again <= work                                          # a shared k-th score cuts more
 
@@ -114,24 +120,30 @@ def test_search_odd_rows(llm):
     inf, nan = float("inf"), float("nan")
     rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (0, [0.5, 9.0]), (20, None), (40, [None, 1.0]), (60, [nan, 1.0]), (80, [inf, 1.0]),
             (None, [1.0, 1.0]), (1, [1.0]), (2, []), (3, [0.0, 0.0]), (4, [-1.0, -1.0, 5.0])]
-    df = llm.createDataFrame([(i, v, "x", "y") for i, v in rows], "vec_id long, embedding array<double>, score string, id string")
-    want = brute({0: [32, 576, 0], 1: [64, 0, 0], 2: [0, 0, 0], 3: [0, 0, 0], 4: [-64, -64, 320]}, 20, lambda i: i % 20 == 0)
-    assert sorted(map(tuple, K.search(df, F.col("vec_id") % 20 == 0).collect())) == want
+    df = llm.createDataFrame([(i, v, "x", "y", "z") for i, v in rows], "vec_id long, embedding array<double>, score string, id string, at string")
+    fine = [(i, [math.floor(64 * x) for x in v] + [0] * (3 - len(v))) for i, v in rows
+            if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    want = brute(fine, 20, lambda i: i is not None and i % 20 == 0)
+    assert sorted(map(tuple, K.search(df, F.col("vec_id") % 20 == 0).collect()), key=in_order) == want
     assert K.search(df.where("false"), F.col("vec_id") % 20 == 0).count() == 0
-    assert K.search(df.where("vec_id = 0"), F.lit(True)).count() == 0
+    assert K.search(df.where("vec_id = 1"), F.lit(True)).count() == 0
     with pytest.raises(ValueError):
         K.search(llm.createDataFrame([(1, [1e30])], "vec_id long, embedding array<double>"), F.lit(True))
 
 
-def test_query_equals_sql_with_repeated_ids(llm, tmp_path):
+def test_rows_of_one_id_are_queries_and_candidates_of_each_other(llm, tmp_path):
+    """Two query rows of one id have two rankings, and each is a candidate of the other."""
+    rows = [(20, [1.0, 0.0]), (20, [0.5, 0.0]), (1, [0.1, 0.0])]
+    got = K.search(llm.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
+    assert sorted(map(tuple, got)) == [(20, 1, 20, 2048), (20, 1, 20, 2048), (20, 2, 1, 192), (20, 2, 1, 384)]
     rnd = np.random.RandomState(3)
     rows = [(int(i), np.round(rnd.randn(5), 1).tolist()) for i in rnd.randint(0, 60, 300)]
-    rows += [(20, [0.5] * 5)] * 30 + rows[:40]
+    rows += [(20, [0.5] * 5)] * 30 + rows[:40] + [(None, [0.5] * 5)] * 3
     llm.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
-    got = sorted(tuple(r[c] for c in ("query_id", "rank", "vec_id", "score")) for r in Q.op7_ball_tree(llm, str(tmp_path)).collect())
-    assert got == sorted(con.sql(Q.OP7_SQL).fetchall())
+    got = [tuple(r[c] for c in ("query_id", "rank", "vec_id", "score")) for r in Q.op7_ball_tree(llm, str(tmp_path)).collect()]
+    assert sorted(got, key=in_order) == sorted(con.sql(Q.OP7_SQL).fetchall(), key=in_order)
 
 
 def test_query_equals_sql(llm):
