@@ -21,6 +21,7 @@ from duelframe.functions.metrics import delta_columns, mean_logp_margin, summary
 from duelframe.operators import batching as B
 from duelframe.operators import external as X
 from duelframe.operators import generation as G
+from duelframe.operators import message_rows as MR
 from duelframe.operators import reports as RP
 from duelframe.operators import scoring as SC
 from duelframe.operators import sides as S
@@ -188,6 +189,15 @@ def q_pairs_common_prefix_cross(spark, d):
     return _common_prefix(fx.pairs_cross(spark, d))
 
 
+def q_pairs_last_assistant_long(spark, d):
+    """P2/P4 on message rows: no conversation is gathered."""
+    return MR.split_last_assistant(fx.pair_messages(spark, d, cross=True))
+
+
+def q_pairs_common_prefix_long(spark, d):
+    return MR.common_prefix(fx.pair_messages(spark, d, cross=True))
+
+
 def q_render_prompt(spark, d):
     e = _extracted(spark, d)
     rendered = C.render_chat(F.col("prompt_msgs_chosen"), TEMPLATE, add_generation_prompt=True)
@@ -564,6 +574,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "row_index_batches": q_row_index_batches,
     "pairs_last_assistant_cross": q_pairs_last_assistant_cross,
     "pairs_common_prefix_cross": q_pairs_common_prefix_cross,
+    "pairs_last_assistant_long": q_pairs_last_assistant_long,
+    "pairs_common_prefix_long": q_pairs_common_prefix_long,
     "validate_pairs": q_validate_pairs,
     "shuffle_take": q_shuffle_take,
     "sample_python_metrics": q_sample_python_metrics,

@@ -409,6 +409,16 @@ FROM pp"""
     q["pairs_common_prefix"] = f"WITH {F9}, {common_prefix_sql('f2m')}"
     q["pairs_common_prefix_cross"] = f"WITH {F9}, {common_prefix_sql('f9')}"
 
+    q["pairs_common_prefix_long"] = q["pairs_common_prefix_cross"]
+    q["pairs_last_assistant_long"] = f"""
+WITH {F9}
+SELECT pair_id, CAST(len(p) AS BIGINT) AS n_prompt_msgs, CAST(length({chat_text('p')}) AS BIGINT) AS prompt_chars,
+       CAST(length(ans) AS BIGINT) AS chosen_chars, CAST(length(other_ans) AS BIGINT) AS rejected_chars,
+       p IS NOT DISTINCT FROM rp AS prompt_same,
+       CAST(coalesce(list_sum(list_transform(range(0, len(p)), lambda i: CAST('0x' || substr(md5(
+         i || ':' || coalesce(p[i + 1].role, '') || ':' || coalesce(p[i + 1].content, '')), 1, 8) AS BIGINT))), 0) AS BIGINT) AS prompt_digest
+FROM f9"""
+
     q["render_prompt"] = f"""
 WITH {F2}
 SELECT pair_id, CAST(last_turn AS BIGINT) AS n_msgs, CAST(length(rendered) AS BIGINT) AS rendered_chars,

@@ -68,6 +68,37 @@ def pairs_raw(spark: SparkSession, sf_dir: str, block: int = PAIR_BLOCK, cross:
         F.concat(prompt, F.array(message("assistant", of_other.getField("answer")))).alias("rejected"))
 
 
+def pair_messages(spark: SparkSession, sf_dir: str, block: int = PAIR_BLOCK, cross: bool = False) -> DataFrame:
+    """F2 (F9 with ``cross``) as message rows: pair_id, side, pos, role, content; see ``messages_of``."""
+    return messages_of(conversations(spark, sf_dir), block, cross)
+
+
+def messages_of(turns: DataFrame, block: int = PAIR_BLOCK, cross: bool = False) -> DataFrame:
+    """Pairs of conversations as message rows, without gathering a conversation.
+
+    Only the last assistant turn of each conversation is aggregated.  The window over a block sees one
+    narrow row per conversation and names the conversation whose rejected side this one gives (the
+    one before it, cyclically).  A turn then goes to the sides that hold it in one explode."""
+    last = (turns.where(F.col("role") == "assistant").groupBy("conv_id").agg(F.max("turn").alias("last"))
+            .withColumn("block", F.expr(f"conv_id div {int(block)}")))
+    w = Window.partitionBy("block").orderBy("conv_id")
+    here = F.struct("conv_id", "last")
+    before = F.coalesce(F.lag(here, 1).over(w), F.last(here).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    named = last.withColumn("before", before).select(F.col("conv_id").alias("_conv"), "last", "before")
+    t = turns.join(named, turns["conv_id"] == named["_conv"]).where("turn <= last")
+    is_last = F.col("turn") == F.col("last")
+    own = F.struct(F.col("conv_id").alias("pair_id"), F.lit("chosen").alias("side"), F.col("turn").cast("long").alias("pos"))
+    before_id, before_last = F.col("before.conv_id"), F.col("before.last")
+    keeps = F.lit(True) if not cross else F.col("conv_id") % 3 == 0          # this pair's rejected side has its own prompt
+    gives = F.lit(False) if not cross else before_id % 3 != 0                # the pair before takes this prompt
+    rejected = F.struct(F.col("conv_id").alias("pair_id"), F.lit("rejected").alias("side"), F.col("turn").cast("long").alias("pos"))
+    given = F.struct(before_id.alias("pair_id"), F.lit("rejected").alias("side"),
+                     F.when(is_last & ~gives, before_last).otherwise(F.col("turn")).cast("long").alias("pos"))
+    sides = F.array(own, F.when(~is_last & keeps, rejected), F.when(is_last | gives, given))
+    return (t.select(F.explode(F.filter(sides, lambda x: x.isNotNull())).alias("_s"), "role", F.col("text").alias("content"))
+            .select("_s.pair_id", "_s.side", "_s.pos", "role", "content"))
+
+
 def pair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of F2 without its texts: conversations with an assistant turn."""
     turns = conversations(spark, sf_dir).where(F.col("role") == "assistant")
