@@ -28,7 +28,8 @@ from duelframe.operators import sides as S
 from duelframe.operators import training as TR
 from duelframe.session import scratch_path
 from duelframe.sources import fixtures as fx
-from duelframe.sources.tables import read_table, spread
+from duelframe.sources.tables import (PAIR_SCHEMA, bad_records, load_pairs, read_checkpoints, read_table, spread,
+                                      write_checkpoint)
 
 CFG = PrefConfig()          # whole texts
 TRAINER = TRAINER_CAPS      # what the training run read: capped prompts and sequences
@@ -51,6 +52,8 @@ SAVE_EVERY = 1000
 PAD_TOKEN = None
 EOS_TOKEN = "<|endoftext|>"
 STREAM_WINDOW, STREAM_DELAY = "6 hours", "1 hour"
+STRAGGLERS = 10                          # every tenth event comes with the second delivery
+BROKEN_LINES = 7                         # every seventh pair's line is cut off
 UNDERFLOW_EDGES = "32,64,96,128"
 LINEAR_STEPS, LINEAR_LR = 60, 50.0
 TEMPLATE = ChatTemplate()
@@ -561,6 +564,57 @@ def q_stream_smooth(spark, d):
     return live.run_stream_smooth(spark, d, SMOOTH_WEIGHT, dealt, SMOOTH_FILES_PER_TRIGGER)
 
 
+def q_stream_late_rows(spark, d):
+    """ST1 with a second delivery of stragglers: what was emitted, is open, and came too late."""
+    from duelframe.streaming import live
+    ev = read_table(spark, d, "events")
+    straggles = F.col("event_id") % STRAGGLERS == 0
+    return live.run_stream_late_rows(spark, [ev.where(~straggles), ev.where(straggles)], STREAM_WINDOW, STREAM_DELAY)
+
+
+def q_stream_metric_sink(spark, d):
+    """The log streamed into a metric folder by two runs, the second resuming after the first."""
+    from duelframe.streaming import live
+    base = scratch_path(spark, "metric-log")
+    log = fx.metric_log(spark, d).select("run_id", "step", "tag", "value")
+    later = F.col("step") % 3 == 0                  # windows get rows from both runs
+    for rows in (log.where(~later), log.where(later)):
+        rows.write.mode("append").parquet(f"{base}/source")
+        out = live.run_metric_sink(spark, f"{base}/source", LOG_EVERY, f"{base}/run")
+    return out.select("run_id", "tag", "bin", "value", "n", "log_step", "first_step", "last_step")
+
+
+# ----------------------------------------------------------------- loading and checkpoints
+
+def q_load_pairs_split(spark, d):
+    """The pairs as JSON lines by split, some lines broken, read back with a quarantine: pairs and
+    messages of each split, and its broken lines."""
+    path = scratch_path(spark, "pairs-json")
+    p = _pairs(spark, d).withColumn("split", F.when(F.col("pair_id") % 5 == 0, "test").otherwise("train"))
+    line = F.to_json(F.struct("pair_id", "chosen", "rejected"))
+    broken = F.col("pair_id") % BROKEN_LINES == 0    # cut off in the middle
+    lines = p.select("split", F.when(broken, F.substring(line, F.lit(1), F.floor(F.length(line) / 2).cast("int"))).otherwise(line).alias("value"))
+    lines.write.partitionBy("split").text(path)
+    out = None
+    for split in ("train", "test"):
+        good = load_pairs(spark, path, split, "json", PAIR_SCHEMA, quarantine=True).agg(
+            F.count(F.lit(1)).alias("n_pairs"), F.sum(F.size("chosen") + F.size("rejected")).cast("bigint").alias("n_messages"))
+        bad = bad_records(spark, f"{path}/split={split}").agg(F.count(F.lit(1)).alias("n_bad"))
+        row = good.crossJoin(bad).select(F.lit(split).alias("split"), "n_pairs", "n_messages", "n_bad")     # one row each
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def q_checkpoint_roundtrip(spark, d):
+    """Counts of the corpus after each step written as checkpoints, one of them twice, and read back."""
+    path = scratch_path(spark, "checkpoints")
+    docs = read_table(spark, d, "documents").select("doc_id", "source", F.length("text").cast("bigint").alias("chars"))
+    for step, share in ((1000, 1), (2000, 2), (1000, 3)):
+        write_checkpoint(docs.where(F.col("doc_id") % 4 < share), path, "run-a", step)
+    return read_checkpoints(spark, path).groupBy("run_id", "step", "source").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
+
+
 # ----------------------------------------------------------------- registry
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -627,6 +681,10 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_rollup_append": q_stream_rollup_append,
     "stream_metrics": q_stream_metrics,
     "stream_smooth": q_stream_smooth,
+    "stream_late_rows": q_stream_late_rows,
+    "stream_metric_sink": q_stream_metric_sink,
+    "load_pairs_split": q_load_pairs_split,
+    "checkpoint_roundtrip": q_checkpoint_roundtrip,
 }
 
 

@@ -795,4 +795,26 @@ SELECT run_id, CAST(max(n) AS BIGINT) AS n_points,
        {r6(f'sum((1 - {w}) * pow({w}, n - k) * value) / (1 - pow({w}, max(n)))')} AS last_smoothed
 FROM e GROUP BY run_id"""
 
+    q["stream_metric_sink"] = q["metric_rollup"]
+
+    # a straggler is late if its window ended at or before the first delivery's last time less the delay
+    q["stream_late_rows"] = f"""
+WITH e AS (SELECT event_type, event_id % {Q.STRAGGLERS} = 0 AS straggles, ts, floor(epoch(ts) / 21600) * 21600 + 21600 AS ends FROM events),
+w AS (SELECT max(epoch(ts)) FILTER (NOT straggles) - 3600 AS first, max(epoch(ts)) - 3600 AS last FROM e),
+k AS (SELECT event_type, straggles AND ends <= w.first AS late, ends <= w.last AS closed FROM e, w)
+SELECT event_type, CAST(count(*) AS BIGINT) AS n_read, CAST(count(*) FILTER (NOT late AND closed) AS BIGINT) AS n_emitted,
+       CAST(count(*) FILTER (NOT late AND NOT closed) AS BIGINT) AS n_open, CAST(count(*) FILTER (late) AS BIGINT) AS n_late
+FROM k GROUP BY event_type"""
+
+    q["load_pairs_split"] = f"""
+WITH {F9},
+p AS (SELECT CASE WHEN pair_id % 5 = 0 THEN 'test' ELSE 'train' END AS split, pair_id % {Q.BROKEN_LINES} = 0 AS broken, len(c) + len(r) AS n FROM f2m)
+SELECT s.split, CAST(count(p.split) FILTER (NOT broken) AS BIGINT) AS n_pairs, CAST(sum(n) FILTER (NOT broken) AS BIGINT) AS n_messages,
+       CAST(count(*) FILTER (broken) AS BIGINT) AS n_bad
+FROM (VALUES ('train'), ('test')) s(split) LEFT JOIN p ON p.split = s.split GROUP BY s.split"""
+
+    q["checkpoint_roundtrip"] = """
+SELECT 'run-a' AS run_id, CAST(step AS BIGINT) AS step, source, CAST(count(*) AS BIGINT) AS n, CAST(sum(length(text)) AS BIGINT) AS chars
+FROM documents JOIN (VALUES (1000, 3), (2000, 2)) s(step, share) ON doc_id % 4 < share GROUP BY step, source"""
+
     return q

@@ -11,6 +11,7 @@ run before; otherwise it starts in a folder of its own.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -104,12 +105,13 @@ ROLLUP_OUT = "window_start bigint, event_type string, n bigint, avg_value double
 
 def run_stream_rollup(spark: SparkSession, sf_dir: str, window: str = "6 hours", delay: str = "1 hour",
                       output_mode: str = "complete", max_files_per_trigger: int | None = None,
-                      source_path: str | None = None, state: str | None = None) -> DataFrame:
+                      source_path: str | None = None, state: str | None = None,
+                      max_bytes_per_trigger: int | None = MAX_BYTES_PER_TRIGGER) -> DataFrame:
     """ST1 over everything available.  ``append`` emits a window once, when the watermark has
     passed its end, and then frees its state; ``complete`` keeps every window."""
     if output_mode not in ("complete", "append"):
         raise ValueError("output_mode must be 'complete' or 'append'")
-    src = file_stream(spark, source_path or table_path(sf_dir, "events"), max_files_per_trigger)
+    src = file_stream(spark, source_path or table_path(sf_dir, "events"), max_files_per_trigger, max_bytes_per_trigger)
     agg = stream_rollup(src, window, delay)
     out, ckpt = _folders(spark, state, "stream-rollup")
     w = agg.writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True)
@@ -123,6 +125,80 @@ def run_stream_rollup(spark: SparkSession, sf_dir: str, window: str = "6 hours",
     return spark.read.schema(ROLLUP_OUT).parquet(out)
 
 
+def late_rows(spark: SparkSession, source_path: str, state: str) -> DataFrame:
+    """What became of the rows of an append-mode roll-up that ran with ``state``: per event type the
+    rows read, those in emitted windows, those in windows still open, and the late ones, which the
+    watermark dropped because their window had been emitted.
+
+    Emitted rows are counted in the sink and open ones in the stream's state store; the rest of
+    what the stream read is late."""
+    out, ckpt = _folders(spark, state, "")
+    n = F.col("value").cast("struct<n:bigint,value_sum:double,value_n:bigint,total:double>")["n"]     # the aggregate's buffers
+    opened = spark.read.format("statestore").load(ckpt).select(F.col("key.event_type").alias("event_type"), F.lit("open").alias("as"), n.alias("n"))
+    closed = spark.read.schema(ROLLUP_OUT).parquet(out).select("event_type", F.lit("emitted").alias("as"), "n")
+    read = spark.read.parquet(source_path).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).select("event_type", F.lit("read").alias("as"), "n")
+
+    def total(name):
+        return F.coalesce(F.sum(F.when(F.col("as") == name, F.col("n"))), F.lit(0))
+
+    rows = read.unionByName(closed).unionByName(opened).groupBy("event_type").agg(
+        total("read").alias("n_read"), total("emitted").alias("n_emitted"), total("open").alias("n_open"))
+    return rows.withColumn("n_late", F.col("n_read") - F.col("n_emitted") - F.col("n_open"))
+
+
+def run_stream_late_rows(spark: SparkSession, deliveries: Sequence[DataFrame], window: str = "6 hours",
+                         delay: str = "1 hour", state: str | None = None) -> DataFrame:
+    """ST1 with late rows: the deliveries arrive one after the other, the append-mode roll-up takes each as
+    one micro-batch and resumes from its state, and ``late_rows`` tells what was dropped."""
+    base = state or scratch_path(spark, "stream-late")
+    for rows in deliveries:
+        rows.write.mode("append").parquet(f"{base}/source")
+        run_stream_rollup(spark, "", window, delay, "append", source_path=f"{base}/source", state=f"{base}/run", max_bytes_per_trigger=None)
+    return late_rows(spark, f"{base}/source", f"{base}/run")
+
+
+# ---------------------------------------------------------------- S8
+
+SINK_OUT = ("run_id string, tag string, bin bigint, total double, n_values bigint, n bigint, first_step bigint, "
+            "last_step bigint, epoch bigint")
+
+
+def run_metric_sink(spark: SparkSession, source_path: str, every: int = 10, state: str | None = None,
+                    max_files_per_trigger: int | None = None) -> DataFrame:
+    """A log of (run_id, step, tag, value) rows streamed into a metric folder, exactly once.
+
+    A micro-batch writes the sums of the windows of ``every`` steps that it touches under its epoch; a
+    repeated epoch replaces what its first attempt wrote.  The sums of a window add up over epochs,
+    whatever rows each holds.  Returns the windows of all epochs (the rows of R4)."""
+    out, ckpt = _folders(spark, state, "metric-sink")
+    every_ = F.lit(int(every))
+    src = file_stream(spark, source_path, max_files_per_trigger).select("run_id", F.col("step").cast("bigint").alias("step"), "tag", F.col("value").cast("double").alias("value"))
+
+    def sink(batch: DataFrame, epoch_id: int) -> None:
+        (batch.withColumn("bin", ((F.col("step") - 1) / every_).cast("bigint")).groupBy("run_id", "tag", "bin")
+         .agg(F.sum("value").alias("total"), F.count("value").alias("n_values"), F.count(F.lit(1)).alias("n"),
+              F.min("step").alias("first_step"), F.max("step").alias("last_step"))
+         .write.mode("overwrite").parquet(f"{out}/epoch={int(epoch_id)}"))
+
+    q = (src.writeStream.option("checkpointLocation", ckpt)
+         .trigger(availableNow=True).outputMode("append").foreachBatch(sink).start())
+    q.awaitTermination()
+    return read_metric_sink(spark, out, every)
+
+
+def read_metric_sink(spark: SparkSession, out: str, every: int = 10) -> DataFrame:
+    """The windows of a metric folder: run_id, tag, bin, value (the window's mean), n, log_step and
+    the first and last step."""
+    if _path_status(spark, out) is None:
+        parts = spark.createDataFrame([], SINK_OUT)
+    else:
+        parts = spark.read.schema(SINK_OUT).parquet(out)
+    return (parts.groupBy("run_id", "tag", "bin")
+            .agg(F.try_divide(F.sum("total"), F.sum("n_values")).alias("value"), F.sum("n").alias("n"),
+                 F.min("first_step").alias("first_step"), F.max("last_step").alias("last_step"))
+            .withColumn("log_step", (F.col("bin") + 1) * F.lit(int(every))))
+
+
 # ---------------------------------------------------------------- ST3
 
 def stream_metrics(pair_logps: DataFrame, cfg: PrefConfig = PrefConfig()) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from conftest import SF001, SF01
 from duelframe.operators import training as TR
 from duelframe.sources import fixtures as fx
-from duelframe.sources.tables import read_metrics, write_checkpoint, write_metrics
+from duelframe.sources.tables import checkpoint_names, read_checkpoints, read_metrics, write_checkpoint, write_metrics
 from duelframe.streaming import live
 
 
@@ -164,6 +164,87 @@ def test_checkpoint_and_metric_sinks_round_trip(spark, tmp_dir):
     assert [(r.step, r["count"]) for r in got] == [(1000, 5), (2000, 3)]
 
 
+def test_repeated_writes_leave_their_rows_once(spark, tmp_dir):
+    ml = fx.metric_log(spark, SF001)
+    out = os.path.join(tmp_dir, "metrics")
+    write_metrics(ml, out)
+    once = sorted(map(tuple, read_metrics(spark, out).collect()))
+    write_metrics(ml.where("run_id = 'click'"), out)                  # one run again: the others stay
+    assert sorted(map(tuple, read_metrics(spark, out).collect())) == once
+    ck = os.path.join(tmp_dir, "ckpt")
+    write_checkpoint(spark.range(5), ck, "run1", 1000)
+    write_checkpoint(spark.range(4), ck, "run1", 1000)
+    write_checkpoint(spark.range(2), ck, "run2", 1000)
+    assert read_checkpoints(spark, ck, "run1").count() == 4 and read_checkpoints(spark, ck).count() == 6
+    write_checkpoint(spark.range(0), ck, "run1", 1000)                # an empty table replaces rows, too
+    assert read_checkpoints(spark, ck, "run1", 1000).count() == 0
+    for bad in ("a/b", "", ".hidden"):
+        with pytest.raises(ValueError):
+            write_checkpoint(spark.range(1), ck, bad, 1)
+
+
+def test_a_broken_checkpoint_write_is_not_read(spark, tmp_dir):
+    ck = os.path.join(tmp_dir, "ckpt")
+    write_checkpoint(spark.range(5), ck, "run1", 1000)
+    write_checkpoint(spark.range(5), ck, "run1", 2000)
+    fails = spark.range(10, numPartitions=2).withColumn("x", F.when(F.col("id") == 9, F.raise_error(F.lit("lost"))).otherwise(F.lit("")))
+    with pytest.raises(Exception, match="lost"):
+        write_checkpoint(fails, ck, "run1", 2000)
+    assert checkpoint_names(spark, ck) == [("run1", 1000)]
+    assert read_checkpoints(spark, ck).count() == 5
+    with pytest.raises(FileNotFoundError):
+        read_checkpoints(spark, ck, "run1", 2000)
+    write_checkpoint(spark.range(3), ck, "run1", 2000)                # the retry
+    assert read_checkpoints(spark, ck, "run1", 2000).count() == 3
+
+
+def test_metric_sink_takes_every_row_once(spark, tmp_dir):
+    """Files in any order, two runs from one state, and an epoch repeated after a lost commit."""
+    src, state = os.path.join(tmp_dir, "log"), os.path.join(tmp_dir, "state")
+    log = fx.metric_log(spark, SF001).select("run_id", "step", "tag", "value")
+    want = sorted((r.run_id, r.bin, r.n, r.first_step, r.last_step, round(r.value, 9)) for r in TR.rollup_log(log, 10).collect())
+    log.where("step % 2 = 0").repartition(3).write.parquet(src)
+    live.run_metric_sink(spark, src, 10, state, 1)
+    log.where("step % 2 = 1").repartition(2).write.mode("append").parquet(src)
+    for attempt in range(2):
+        got = live.run_metric_sink(spark, src, 10, state, 1)
+        assert sorted((r.run_id, r.bin, r.n, r.first_step, r.last_step, round(r.value, 9)) for r in got.collect()) == want
+        last = max(int(x) for x in os.listdir(f"{state}/checkpoint/commits") if x.isdigit())
+        for f in (f"{last}", f".{last}.crc"):
+            if os.path.exists(f"{state}/checkpoint/commits/{f}"):
+                os.remove(f"{state}/checkpoint/commits/{f}")
+
+
+def test_late_rows_add_up(spark, tmp_dir):
+    t0 = datetime.datetime(2024, 1, 1)
+    at = lambda h, k: (t0 + datetime.timedelta(hours=h), f"t{k % 2}", float(k), k)
+    schema = "ts timestamp, event_type string, value double, event_id long"
+    first = spark.createDataFrame([at(h, h) for h in range(0, 30)], schema)
+    second = spark.createDataFrame([at(2, 0), at(3, 1), at(23, 3), at(25, 1), at(26, 2), at(29, 3)], schema)
+    got = {r.event_type: r for r in live.run_stream_late_rows(spark, [first, second], state=os.path.join(tmp_dir, "run")).collect()}
+    # the first delivery ends at 29 h: windows that end by 28 h are closed when the second comes
+    assert (got["t0"].n_read, got["t0"].n_late, got["t0"].n_emitted, got["t0"].n_open) == (17, 1, 12, 4)
+    assert (got["t1"].n_read, got["t1"].n_late, got["t1"].n_emitted, got["t1"].n_open) == (19, 2, 12, 5)
+
+
+def test_broken_lines_are_quarantined(spark, tmp_dir):
+    from duelframe.sources.tables import PAIR_SCHEMA, bad_records, load_pairs
+    path = os.path.join(tmp_dir, "pairs")
+    good = '{"pair_id": %d, "chosen": [{"role": "user", "content": "x"}], "rejected": []}'
+    for split, n, bad in (("train", 6, ["{broken", "[1", '{"pair_id": "word", "chosen": 3}']), ("test", 2, [])):
+        os.makedirs(f"{path}/split={split}")
+        with open(f"{path}/split={split}/a.json", "w") as f:
+            f.write("\n".join([good % i for i in range(n)] + bad + [""]))
+    train = load_pairs(spark, path, "train", "json", PAIR_SCHEMA, quarantine=True)
+    assert sorted(r.pair_id for r in train.collect()) == list(range(6))
+    assert sorted(r.line for r in bad_records(spark, path).collect()) == sorted(["{broken", "[1", '{"pair_id": "word", "chosen": 3}'])
+    assert "split=test" not in "".join(train.inputFiles()) or "PartitionFilters: [isnotnull(split" in train._jdf.queryExecution().toString()
+    with pytest.raises(Exception):
+        load_pairs(spark, path, "train", "json", PAIR_SCHEMA).collect()       # without a quarantine a bad line fails the job
+    with pytest.raises(ValueError, match="quarantine"):
+        load_pairs(spark, path, fmt="json", quarantine=True)
+
+
 def test_driver_contract(spark):
     import __spark_entry__ as E
     df = E.entry(spark)
