@@ -51,6 +51,7 @@ SMOKE_STEPS = 60                         # step cap of a short run
 SAVE_EVERY = 1000
 PAD_TOKEN = None
 EOS_TOKEN = "<|endoftext|>"
+MASK_TOKEN = "the"                       # stands for a token whose positions are not scored
 STREAM_WINDOW, STREAM_DELAY = "6 hours", "1 hour"
 STRAGGLERS = 10                          # every tenth event comes with the second delivery
 BROKEN_LINES = 7                         # every seventh pair's line is cut off
@@ -211,6 +212,13 @@ def q_render_prompt(spark, d):
                     T.char_len(F.concat(rendered, F.col("rejected_text"))).cast("bigint").alias("full_rejected_chars"))
 
 
+def q_render_user_prompt(spark, d):
+    """The first turn of every conversation as a one-message user chat, rendered for generation."""
+    rendered = C.render_chat(C.as_user_chat(F.col("text")), TEMPLATE, add_generation_prompt=True)
+    return fx.conversations(spark, d).where("turn = 0").select(
+        "conv_id", T.char_len(rendered).cast("bigint").alias("rendered_chars"), F.md5(rendered).alias("rendered_md5"))
+
+
 def q_select_index(spark, d):
     index = fx.pair_index(spark, d)
     n = index.count()
@@ -327,6 +335,12 @@ def q_sequence_logps(spark, d):
         "pair_id", "side", "model_id", F.col("n_tokens").cast("bigint").alias("n_tokens"), "sum_logp", "mean_logp")
 
 
+def q_sequence_logps_masked(spark, d):
+    """L3: positions that hold ``MASK_TOKEN`` are not scored; they still are predecessors."""
+    seq = SC.sequence_logps_wide(_sides(spark, d), _model(spark, d, ("ref",)), ("ref",), mask_token=MASK_TOKEN)
+    return seq.select("pair_id", "side", F.col("n_tokens").cast("bigint").alias("n_tokens"), F.col("sum_ref").alias("sum_logp"))
+
+
 def q_external_scores(spark, d):
     """L5 by a model outside Spark: bigrams of word classes, loaded once for each worker."""
     scorer = X.class_bigram(read_table(spark, d, "documents"))
@@ -622,6 +636,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pairs_positional": q_pairs_positional,
     "pairs_common_prefix": q_pairs_common_prefix,
     "render_prompt": q_render_prompt,
+    "render_user_prompt": q_render_user_prompt,
     "select_index": q_select_index,
     "head_slice": q_head_slice,
     "sample_hash": q_sample_hash,
@@ -646,6 +661,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "mean_logits": q_mean_logits,
     "bigram_fit": q_bigram_fit,
     "sequence_logps": q_sequence_logps,
+    "sequence_logps_masked": q_sequence_logps_masked,
     "external_scores": q_external_scores,
     "pair_logps": _pair_logps_query(),
     "pair_logps_positional": _pair_logps_query("positional"),

@@ -510,6 +510,16 @@ UNION ALL
 SELECT pair_id, side, 'policy' AS model_id, CAST(n_tokens AS BIGINT) AS n_tokens, {r6('sum_policy')} AS sum_logp,
        {r6('CASE WHEN n_tokens > 0 THEN sum_policy / n_tokens END')} AS mean_logp FROM seq"""
 
+    q["sequence_logps_masked"] = f"""
+WITH {F2}, {F3}, {bigram(("ref",))}
+SELECT s.pair_id, s.side, CAST(count(t.w) AS BIGINT) AS n_tokens, {r6('sum(t.lp_ref)')} AS sum_logp
+FROM f3 s LEFT JOIN tlp t ON s.pair_id = t.pair_id AND s.side = t.side AND t.w <> '{Q.MASK_TOKEN}' GROUP BY s.pair_id, s.side"""
+
+    q["render_user_prompt"] = f"""
+SELECT conv_id, CAST(length(r) AS BIGINT) AS rendered_chars, md5(r) AS rendered_md5
+FROM (SELECT conv_id, '<|im_start|>user' || {NL} || text || '<|im_end|>' || {NL} || '<|im_start|>assistant' || {NL} AS r
+      FROM conversations WHERE turn = 0)"""
+
     q["external_scores"] = f"""
 WITH {F2}, {F3},
 doc_tok AS (SELECT {tok('text')} AS t FROM documents),
