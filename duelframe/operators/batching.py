@@ -36,7 +36,7 @@ def with_row_index(df: DataFrame, order: Sequence[str], partition_by: Sequence[s
     index of a row is its partition's offset plus that position.  The offset table has one
     row per (partition, group) and is the only thing a window runs over.  All other columns
     are joined back by ``key``, which must identify a row (default: group and order columns,
-    which must then form a total order); a table of key columns only is not joined.
+    which must then form a total order), else an error; a table of key columns only is not joined.
     """
     spark = df.sparkSession
     grp, by = list(partition_by), [*partition_by, *order]
@@ -55,6 +55,8 @@ def with_row_index(df: DataFrame, order: Sequence[str], partition_by: Sequence[s
     index = tagged.join(offsets, cond).select(*key, (F.col("_mid") + F.col("_shift")).cast("bigint").alias(name))
     if set(df.columns) <= set(key):
         return index
+    if tagged.groupBy(*key).count().where("count > 1").first() is not None:
+        raise ValueError(f"key {key} does not identify a row")
     index = index.select(*[F.col(k).alias(f"_k_{k}") for k in key], name)
     return df.join(index, _same(df, index, [(k, f"_k_{k}") for k in key])).drop(*[f"_k_{k}" for k in key])
 
