@@ -73,7 +73,7 @@ def predecessor_rows(token_col: Column) -> Column:
     Built with ``arrays_zip`` (generated code, no per-element lambda).
     """
     t = token_col
-    prev = F.concat(F.array(F.lit(None).cast("string")), F.slice(t, F.lit(1), F.greatest(F.size(t) - 1, F.lit(0))))
+    prev = F.slice(F.concat(F.array(F.lit(None).cast("string")), t), F.lit(1), F.size(t))   # none for an empty text
     return F.arrays_zip(prev, t).cast("array<struct<prev:string,w:string>>")
 
 
@@ -106,12 +106,58 @@ def fit_bigram(docs: DataFrame, models: Mapping[str, Column], text_col: str = "t
     if write_counts:
         uni = materialize(uni, "unigram-counts")
         ctx = materialize(ctx, "context-counts")
-    totals = uni.agg(*[F.sum(f"c_{m}").alias(f"n_{m}") for m in ids], F.count(F.lit(1)).alias("vocab"))
+    totals = uni.agg(*[F.coalesce(F.sum(f"c_{m}"), F.lit(0)).alias(f"n_{m}") for m in ids], F.count(F.lit(1)).alias("vocab"))
     if write_counts:
         totals = materialize(totals, "model-totals")
     return BigramModel(ids, bi, uni, ctx, totals, alpha)
 
 
+@dataclass
+class CorpusModels:
+    """Bigram models that are counted only where they are scored.
+
+    A query that scores once needs c(v, w) for its own keys and no others.  ``counted`` sends the keys
+    along with the corpus's bigrams into one grouped sum, so the corpus's bigrams are shuffled once and
+    nothing but the keys' counts leaves that stage: no count table of all bigrams is written, read
+    again and shuffled to the keys.  ``fit_bigram`` remains the way to fit once and score often."""
+
+    model_ids: tuple[str, ...]
+    docs: DataFrame                  # text and what the conditions read
+    models: Mapping[str, Column]     # model id -> whether a document is in its corpus
+    text_col: str = "text"
+    alpha: float = DEFAULT_ALPHA
+
+    def counted(self, keys: DataFrame, model_ids: Sequence[str]) -> BigramModel:
+        """The models ``model_ids`` with the bigram counts of the distinct ``keys`` (prev, w).
+
+        A text gives its bigrams, and each of its words under a NULL prev with whether it starts a
+        bigram; so one grouped sum gives c(v, w) of the keys, c(w), c(v), N and V.  Words collapse
+        map-side to a task's vocabulary."""
+        ids = tuple(_safe(m) for m in model_ids)
+        fcols = [f"f_{m}" for m in ids]
+        flags = [F.coalesce(self.models[m], F.lit(False)).cast("long").alias(f) for m, f in zip(ids, fcols)]
+        t = F.col("_t")
+        n = F.size(t)
+        after = F.greatest(n - 1, F.lit(0))
+        kind = "array<struct<prev:string,w:string,s:int>>"
+        words = F.arrays_zip(F.array_repeat(F.lit(None).cast("string"), n), t,
+                             F.concat(F.array_repeat(F.lit(1), after), F.array(F.lit(0)))).cast(kind)
+        pairs = F.arrays_zip(F.slice(t, F.lit(1), after), F.slice(t, F.lit(2), after), F.array_repeat(F.lit(0), after)).cast(kind)
+        rows = (self.docs.select(*flags, tokens(F.col(self.text_col)).alias("_t")).where(n > 0)
+                .select(*fcols, F.inline(F.concat(words, pairs)))
+                .select("prev", "w", *fcols, *[(F.col("s") * F.col(f)).alias(f"s_{f}") for f in fcols], F.lit(False).alias("_key")))
+        none = F.lit(0).cast("long")
+        asked = keys.select("prev", "w", *[none.alias(f) for f in fcols], *[none.alias(f"s_{f}") for f in fcols], F.lit(True).alias("_key"))
+        sums = rows.unionByName(asked).groupBy("prev", "w").agg(
+            *[F.sum(f"f_{m}").alias(f"c_{m}") for m in ids], *[F.sum(f"s_f_{m}").alias(f"x_{m}") for m in ids], F.max("_key").alias("_key"))
+        counts = materialize(sums.where(F.col("prev").isNull() | F.col("_key")), "scored-counts")
+        uni = counts.where(F.col("prev").isNull())
+        totals = materialize(uni.agg(*[F.coalesce(F.sum(f"c_{m}"), F.lit(0)).alias(f"n_{m}") for m in ids], F.count(F.lit(1)).alias("vocab")), "model-totals")
+        return BigramModel(ids, counts.where(F.col("prev").isNotNull()).select("prev", "w", *[f"c_{m}" for m in ids]),
+                           uni.select("w", *[f"c_{m}" for m in ids]),
+                           uni.select(F.col("w").alias("prev"), *[F.col(f"x_{m}").alias(f"c_{m}") for m in ids]), totals, self.alpha)
+
+
 # A text's first answer word with no prompt word before it gets this context.  Tokens are
 # never empty strings, so the sentinel cannot collide with a real word, and plain
 # equality joins work on it (no null-safe join keys).
@@ -181,7 +227,7 @@ def _join_word(keys: DataFrame, counts: DataFrame, by: str, other: str, heavy: l
     return salted.join(repeated, on=[by, "_salt"], how="left").drop("_salt")
 
 
-def key_logps(keys: DataFrame, model: BigramModel, model_ids: tuple[str, ...] | None = None) -> DataFrame:
+def key_logps(keys: DataFrame, model: BigramModel | CorpusModels, model_ids: tuple[str, ...] | None = None) -> DataFrame:
     """log p(w | prev) for distinct (prev, w) keys, one ``lp_<m>`` column per model.
 
     The pairs are distinct, but one word can still have very many distinct successors (or
@@ -192,6 +238,8 @@ def key_logps(keys: DataFrame, model: BigramModel, model_ids: tuple[str, ...] |
     ids = model_ids or model.model_ids
     a = F.lit(float(model.alpha))
     keys = materialize(keys.select("prev", "w"), "scoring-keys")
+    if isinstance(model, CorpusModels):
+        model = model.counted(keys, ids)
     n_keys = keys.count()
     heavy = {"w": [], "prev": []}
     if n_keys > HEAVY_KEYS:
@@ -213,7 +261,7 @@ def key_logps(keys: DataFrame, model: BigramModel, model_ids: tuple[str, ...] |
     return k.select("prev", "w", *cols)
 
 
-def sequence_logps_wide(side_rows: DataFrame, model: BigramModel,
+def sequence_logps_wide(side_rows: DataFrame, model: BigramModel | CorpusModels,
                         model_ids: tuple[str, ...] | None = None, mask_token: str | None = None,
                         carry: Sequence[str] = (), empty: str = "null") -> DataFrame:
     """L4: per (pair_id, side): n_tokens and sum_<m> / mean_<m> for every model.
@@ -251,7 +299,7 @@ def sequence_logps_wide(side_rows: DataFrame, model: BigramModel,
     return agg
 
 
-def sequence_logps(side_rows: DataFrame, model: BigramModel,
+def sequence_logps(side_rows: DataFrame, model: BigramModel | CorpusModels,
                    model_ids: tuple[str, ...] | None = None) -> DataFrame:
     """L4 long form: pair_id, side, model_id, n_tokens, sum_logp, mean_logp."""
     ids = model_ids or model.model_ids

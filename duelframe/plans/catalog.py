@@ -100,25 +100,30 @@ def _sides(spark, d, cfg=CFG, mode="last_assistant", template=None):
     return S.sides(_extracted(spark, d, mode), cfg, template)
 
 
-def _model(spark, d, ids=("ref", "policy")):
-    """The corpus's bigram models: fitted together in one pass over the documents, their
-    counts written to the shared folder.  If the session names a folder in ``MODELS_CONF``,
+def _model(spark, d, ids=("ref", "policy"), whole=False):
+    """The corpus's bigram models, counted for the words that the query scores, or fitted
+    ``whole`` for one that walks them.  If the session names a folder in ``MODELS_CONF``,
     the fit that ``BigramModel.save`` left there is loaded instead."""
     unknown = set(ids) - set(MODEL_FILTERS)
     if unknown:
         raise ValueError(f"unknown model ids {sorted(unknown)}")
     saved = spark.conf.get(MODELS_CONF, None)
-    return SC.BigramModel.load(spark, saved) if saved else fit_models(spark, d, ids)
+    if saved:
+        return SC.BigramModel.load(spark, saved)
+    return fit_models(spark, d, ids) if whole else SC.CorpusModels(tuple(ids), _labelled(spark, d), {m: MODEL_FILTERS[m]() for m in ids})
 
 
-def fit_models(spark, d, ids=tuple(MODEL_FILTERS), partitions=None):
-    """A fit over all documents.  ``partitions`` spreads a corpus of few splits first; by
-    default the documents are read as they are split, without a shuffle."""
+def _labelled(spark, d, partitions=None):
     docs = read_table(spark, d, "documents")
     if partitions:
         docs = spread(docs, partitions)
-    docs = docs.join(read_table(spark, d, "labels"), on="doc_id", how="left")
-    return SC.fit_bigram(docs, {m: MODEL_FILTERS[m]() for m in ids})
+    return docs.join(read_table(spark, d, "labels"), on="doc_id", how="left")
+
+
+def fit_models(spark, d, ids=tuple(MODEL_FILTERS), partitions=None):
+    """A fit over all documents.  ``partitions`` spreads a corpus of few splits first; by
+    default the documents are read as they are split, without a shuffle."""
+    return SC.fit_bigram(_labelled(spark, d, partitions), {m: MODEL_FILTERS[m]() for m in ids})
 
 
 def _seq(spark, d, ids=("ref", "policy"), side_rows=None, carry=()):
@@ -449,7 +454,7 @@ def _turn0_seeds(spark, d):
 
 
 def q_greedy_extend(spark, d):
-    m = _model(spark, d, ("ref",))
+    m = _model(spark, d, ("ref",), whole=True)
     seeds = G.prompt_grid(_turn0_seeds(spark, d), ["ref"])
     walk = G.greedy_extend(seeds, G.next_word_table(m, ["ref"]), GREEDY_STEPS)
     return walk.select(F.col("prompt_id").alias("conv_id"), F.col("step").cast("bigint").alias("step"), "word")
@@ -457,7 +462,7 @@ def q_greedy_extend(spark, d):
 
 def q_generation_report(spark, d):
     ids = ["ref", "policy"]
-    m = _model(spark, d, tuple(ids))
+    m = _model(spark, d, tuple(ids), whole=True)
     prompts = _turn0_seeds(spark, d)
     seeds = G.prompt_grid(prompts, ids)
     walk = G.greedy_extend(seeds, G.next_word_table(m, ids), GREEDY_STEPS)

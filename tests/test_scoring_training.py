@@ -53,6 +53,25 @@ def test_bigram_scores_match_brute_force(spark):
                         brute_logp("the", "cat", DOCS, 3.0) + brute_logp("sat", "zebra", DOCS, 3.0), rel_tol=1e-12)
 
 
+def test_counts_of_the_scored_words_give_the_fit_scores(spark):
+    """Counted for the keys only, or fitted whole: equal scores, with null, empty and one-word texts,
+    words that only end texts, unseen words, and models without documents."""
+    texts = [*DOCS, None, "", "   ", "solo", "cat", "the the the the", "of  a\tcat\n"]
+    docs = spark.createDataFrame([(i, t, None if i % 5 == 0 else i % 2 == 0) for i, t in enumerate(texts)], "doc_id long, text string, q boolean")
+    models = {"ref": F.lit(True), "pol": F.col("q"), "none": F.lit(False)}
+    words = ["the", "cat", "sat", "solo", "zebra", "of", "a", ""]
+    keys = spark.createDataFrame([(p, w) for p in words for w in words if w], "prev string, w string")
+    want = {(r.prev, r.w): r for r in SC.key_logps(keys, SC.fit_bigram(docs, models, alpha=3.0)).collect()}
+    got = {(r.prev, r.w): r for r in SC.key_logps(keys, SC.CorpusModels(tuple(models), docs, models, alpha=3.0)).collect()}
+    assert got == want and len(got) == keys.count()
+    full = [t or "" for t in texts]
+    assert all(math.isclose(r.lp_ref, brute_logp(*k, full, 3.0), rel_tol=1e-12) for k, r in got.items())
+    one = {(r.prev, r.w): r.lp_pol for r in SC.key_logps(keys, SC.CorpusModels(tuple(models), docs, models, alpha=3.0), ("pol",)).collect()}
+    assert one == {k: r.lp_pol for k, r in want.items()}
+    empty = SC.key_logps(keys, SC.CorpusModels(("ref",), docs.limit(0), {"ref": F.lit(True)})).collect()
+    assert len(empty) == keys.count() and all(math.isclose(r.lp_ref, 0.0, abs_tol=1e-12) for r in empty)
+
+
 def test_saved_models_are_loaded(spark, tmp_dir):
     from conftest import SF001
     from duelframe.plans import catalog as Q
