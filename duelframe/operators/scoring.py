@@ -112,6 +112,36 @@ def fit_bigram(docs: DataFrame, models: Mapping[str, Column], text_col: str = "t
     return BigramModel(ids, bi, uni, ctx, totals, alpha)
 
 
+# The map of scored keys: BLOCKS rows of eight 64-bit words (about 14 MB broadcast, whatever the keys).
+BLOCKS = 1 << 17
+SLOTS = BLOCKS * 512
+
+
+def _slot() -> Column:
+    return F.xxhash64("prev", "w")
+
+
+def key_map(keys: DataFrame) -> DataFrame:
+    """A bitmap of the hashes of ``keys`` (prev, w): at most ``BLOCKS`` rows _block, _b0 ... _b7."""
+    h = keys.select(_slot().alias("h")).select(
+        F.pmod("h", F.lit(BLOCKS)).alias("_block"), F.shiftright("h", 20).alias("r"))
+    bit = F.expr("shiftleft(1L, int(r & 63))")
+    return h.groupBy("_block").agg(*[
+        F.bit_or(F.when(F.shiftright("r", 6).bitwiseAND(F.lit(7)) == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"_b{i}")
+        for i in range(8)])
+
+
+def may_be_key(rows: DataFrame, bits: DataFrame) -> DataFrame:
+    """``rows`` (prev, w, ...) without most of those that are no key: every key stays, and so do a few
+    others whose hash shares a slot with a key's, and rows with a NULL prev."""
+    cols = rows.columns
+    j = rows.withColumn("_h", _slot()).withColumn("_at", F.pmod("_h", F.lit(BLOCKS)))
+    j = j.join(F.broadcast(bits), F.col("_at") == F.col("_block"), "left")
+    word = F.expr("CASE int(shiftright(_h, 26) & 7) " + " ".join(f"WHEN {i} THEN _b{i}" for i in range(8)) + " END")
+    hit = F.expr("shiftleft(1L, int(shiftright(_h, 20) & 63))").bitwiseAND(word) != 0
+    return j.where(F.col("prev").isNull() | hit).select(*cols)
+
+
 @dataclass
 class CorpusModels:
     """Bigram models that are counted only where they are scored.
@@ -127,7 +157,7 @@ class CorpusModels:
     text_col: str = "text"
     alpha: float = DEFAULT_ALPHA
 
-    def counted(self, keys: DataFrame, model_ids: Sequence[str]) -> BigramModel:
+    def counted(self, keys: DataFrame, model_ids: Sequence[str], n_keys: int) -> BigramModel:
         """The models ``model_ids`` with the bigram counts of the distinct ``keys`` (prev, w).
 
         A text gives its bigrams, and each of its words under a NULL prev with whether it starts a
@@ -146,6 +176,8 @@ class CorpusModels:
         rows = (self.docs.select(*flags, tokens(F.col(self.text_col)).alias("_t")).where(n > 0)
                 .select(*fcols, F.inline(F.concat(words, pairs)))
                 .select("prev", "w", *fcols, *[(F.col("s") * F.col(f)).alias(f"s_{f}") for f in fcols], F.lit(False).alias("_key")))
+        if n_keys <= SLOTS:
+            rows = may_be_key(rows, key_map(keys))
         none = F.lit(0).cast("long")
         asked = keys.select("prev", "w", *[none.alias(f) for f in fcols], *[none.alias(f"s_{f}") for f in fcols], F.lit(True).alias("_key"))
         sums = rows.unionByName(asked).groupBy("prev", "w").agg(
@@ -238,9 +270,9 @@ def key_logps(keys: DataFrame, model: BigramModel | CorpusModels, model_ids: tup
     ids = model_ids or model.model_ids
     a = F.lit(float(model.alpha))
     keys = materialize(keys.select("prev", "w"), "scoring-keys")
-    if isinstance(model, CorpusModels):
-        model = model.counted(keys, ids)
     n_keys = keys.count()
+    if isinstance(model, CorpusModels):
+        model = model.counted(keys, ids, n_keys)
     heavy = {"w": [], "prev": []}
     if n_keys > HEAVY_KEYS:
         for by in heavy:                       # at most HEAVY_WORDS rows

@@ -72,6 +72,27 @@ def test_counts_of_the_scored_words_give_the_fit_scores(spark):
     assert len(empty) == keys.count() and all(math.isclose(r.lp_ref, 0.0, abs_tol=1e-12) for r in empty)
 
 
+def test_the_map_of_keys_passes_every_key_and_few_others(spark, monkeypatch):
+    keys = spark.range(3000).select(F.concat(F.lit("p"), (F.col("id") % 50).cast("string")).alias("prev"),
+                                    F.concat(F.lit("w"), F.col("id").cast("string")).alias("w"))
+    rows = spark.range(60000).select(F.concat(F.lit("p"), (F.col("id") % 50).cast("string")).alias("prev"),
+                                     F.concat(F.lit("w"), F.col("id").cast("string")).alias("w"), F.lit(1).alias("n"))
+    rows = rows.unionByName(spark.createDataFrame([(None, "w1", 1), (None, "none", 1)], "prev string, w string, n int"))
+    passed = SC.may_be_key(rows, SC.key_map(keys))
+    assert passed.columns == rows.columns
+    got = {(r.prev, r.w) for r in passed.collect()}
+    assert got >= {(r.prev, r.w) for r in keys.collect()} | {(None, "w1"), (None, "none")}
+    assert len(got) < 3002 + 100                         # 57,000 others meet 3,000 of 67 million slots
+    monkeypatch.setattr(SC, "BLOCKS", 2)                 # a full map still loses no key
+    assert {(r.prev, r.w) for r in SC.may_be_key(keys, SC.key_map(keys)).collect()} == {(r.prev, r.w) for r in keys.collect()}
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(DOCS)], "doc_id long, text string")
+    models = SC.CorpusModels(("ref",), docs, {"ref": F.lit(True)})
+    some = spark.createDataFrame([("the", "cat"), ("", "sat"), ("zebra", "cat")], "prev string, w string")
+    mapped = sorted(map(tuple, SC.key_logps(some, models).collect()))
+    monkeypatch.setattr(SC, "SLOTS", 0)                  # without the map: the same
+    assert sorted(map(tuple, SC.key_logps(some, models).collect())) == mapped
+
+
 def test_saved_models_are_loaded(spark, tmp_dir):
     from conftest import SF001
     from duelframe.plans import catalog as Q
