@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from duelframe.functions.logits import dot
 from duelframe.functions.metrics import log_sigmoid, sigmoid
-from duelframe.operators.batching import with_row_index
+from duelframe.operators.batching import step_plan, with_row_index
+from duelframe.session import materialize
 
 
 # ---------------------------------------------------------------- schedules and logs
@@ -141,15 +142,16 @@ def feature_deltas(pairs: DataFrame) -> DataFrame:
     return pairs.select("pair_id", F.zip_with("phi_chosen", "phi_rejected", lambda a, b: a - b).alias("dphi"))
 
 
-def gradient(deltas: DataFrame, theta, beta: float = 0.1) -> DataFrame:
-    """One full-batch gradient of the DPO loss of a linear reward beta * theta . phi.
+def gradient(deltas: DataFrame, theta, beta: float = 0.1, by: Sequence[str] = ()) -> DataFrame:
+    """Mean gradient of the DPO loss of a linear reward beta * theta . phi, over all pairs or
+    for each group ``by``.
 
     ``theta`` is a one-row table with an array column ``theta`` (lazy, e.g. derived from
     the data) or a list of floats.  A list becomes one array constant: the generated code
     does not change between steps (the constant is passed by reference), and no
     per-step broadcast job is needed.  The gradient is one vector mean (JVM Summarizer,
     partial per partition then merged), so a step is one job whatever the dimension.
-    Returns one row: n, loss, accuracy, grad (array<double>).
+    Returns one row (a group): n, loss, accuracy, grad (array<double>).
     """
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
@@ -166,16 +168,16 @@ def gradient(deltas: DataFrame, theta, beta: float = 0.1) -> DataFrame:
             th = F.expr("array(" + ", ".join(repr(v) + "D" for v in vals) + ")").cast("array<double>")
         else:
             th = F.array(*[F.lit(v) for v in vals]).cast("array<double>")
-    scored = j.select("dphi", dot(th, F.col("dphi")).alias("s"))
+    scored = j.select(*by, "dphi", dot(th, F.col("dphi")).alias("s"))
     s = F.col("s")
     coef = -b * sigmoid(-b * s)
     rows = scored.select(
-        (-log_sigmoid(b * s)).alias("loss"),
+        *by, (-log_sigmoid(b * s)).alias("loss"),
         (s > 0).cast("double").alias("acc"),
         array_to_vector(F.transform("dphi", lambda x: coef * x)).alias("g"))
-    agg = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("loss").alias("loss"), F.avg("acc").alias("accuracy"),
-                   Summarizer.mean(F.col("g")).alias("g"))
-    return agg.select("n", "loss", "accuracy", vector_to_array("g").alias("grad"))
+    agg = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("loss").alias("loss"), F.avg("acc").alias("accuracy"),
+                                Summarizer.mean(F.col("g")).alias("g"))
+    return agg.select(*by, "n", "loss", "accuracy", vector_to_array("g").alias("grad"))
 
 
 def fit_linear_dpo(pairs: DataFrame, beta: float = 0.1, steps: int = 60, lr: float = 50.0) -> DataFrame:
@@ -199,3 +201,68 @@ def fit_linear_dpo(pairs: DataFrame, beta: float = 0.1, steps: int = 60, lr: flo
             theta = [t - lr * gi for t, gi in zip(theta, g)]
     deltas.unpersist()
     return spark.createDataFrame(log, "step int, loss double, accuracy double, grad_norm_sq double")
+
+
+def prefix_sums(rows: DataFrame, index_col: str, dim_col: str, value_col: str, out_col: str,
+                block: int = 1024) -> DataFrame:
+    """``rows`` with the running sum of ``value_col`` over the 1-based ``index_col``, for each
+    dimension.  A window runs inside a block of ``block`` positions, another over one total per
+    (block, dimension); the two are added, so no dimension's whole curve is one task's."""
+    rows = rows.withColumn("_b", F.floor((F.col(index_col) - 1) / F.lit(int(block))).cast("bigint"))
+    inside = Window.partitionBy(dim_col, "_b").orderBy(index_col).rowsBetween(Window.unboundedPreceding, 0)
+    totals = rows.groupBy(F.col(dim_col).alias("_dim"), F.col("_b").alias("_blk")).agg(F.sum(value_col).alias("_t"))
+    earlier = Window.partitionBy("_dim").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select("_dim", "_blk", F.coalesce(F.sum("_t").over(earlier), F.lit(0.0)).alias("_c"))
+    return (rows.withColumn("_w", F.sum(value_col).over(inside))
+            .join(carry, (F.col(dim_col) == F.col("_dim")) & (F.col("_b") == F.col("_blk")))
+            .withColumn(out_col, F.col("_w") + F.col("_c")).drop("_b", "_w", "_dim", "_blk", "_c"))
+
+
+def fit_linear_dpo_epochs(pairs: DataFrame, beta: float = 0.1, epochs: int = 1, lr: float = 50.0,
+                          batch_size: int = 1, grad_accum: int = 8, warmup_ratio: float = 0.03,
+                          block: int = 1024) -> DataFrame:
+    """R3 in the optimiser steps of R1's plan, with R2's rates: a few jobs an epoch, whatever
+    the number of steps.
+
+    Pairs in ``pair_id`` order form steps of ``batch_size * grad_accum`` rows (the last, partial
+    one is dropped).  One pass an epoch sums the gradient of every step; all of them are taken
+    at the parameters with which the epoch began, as each step waiting for the one before it
+    would be a chain of one job (or one task) over the whole corpus.  The steps then move theta
+    in their order.  ``lr`` is the rate of a whole epoch: a step moves by its mean gradient
+    times ``lr / steps_per_epoch`` and its place in the warm-up and cosine schedule, so an epoch
+    goes as far at any size of the data.  ``pair_id`` must identify a row, else an error.
+
+    Returns one row a step: epoch (from 0), step (1-based over all epochs), n_pairs, loss and
+    accuracy of its pairs at the epoch's first parameters, rate, grad_norm_sq, and theta_norm_sq
+    after the step.  No full step: no rows.
+
+    Only theta (O(dimension)) and sums of moves come to the driver.  The deltas are written once
+    by range of steps, so a step's rows meet before the shuffle; an epoch's steps are written
+    too, and the next epoch reads none of the earlier ones' lineage.
+    """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    epochs = int(epochs)
+    deltas = feature_deltas(pairs)
+    plan = step_plan(with_row_index(deltas, ["pair_id"]), batch_size, grad_accum)
+    rows = materialize(plan.select("dphi", F.col("step").alias("_s"), F.col("steps_per_epoch").alias("_spe"))
+                       .repartitionByRange("_s"), "linear-steps")
+    theta = [0.0] * int(rows.agg(F.max(F.size("dphi")).alias("d")).first()["d"] or 0)
+    log = None
+    for e in range(epochs):
+        steps = gradient(rows, theta, beta, by=["_s", "_spe"]).select(
+            F.lit(e).cast("bigint").alias("epoch"), (F.lit(e) * F.col("_spe") + F.col("_s")).alias("step"),
+            (F.col("_spe") * F.lit(epochs)).alias("_total"), "_spe", F.col("n").alias("n_pairs"), "loss", "accuracy", "grad")
+        steps = lr_schedule(steps.withColumn("_idx", F.col("step") - 1), "_total", lr, warmup_ratio, "_idx")
+        steps = steps.withColumn("rate", F.col("lr") / F.col("_spe"))
+        steps = materialize(steps.select("epoch", "step", "n_pairs", "loss", "accuracy", "rate", "grad",
+                                         F.transform("grad", lambda g: -F.col("rate") * g).alias("move")), "linear-epoch")
+        log = steps if log is None else log.unionByName(steps)
+        if e < epochs - 1 and theta:
+            moved = steps.agg(Summarizer.sum(array_to_vector("move")).alias("m")).select(vector_to_array("m").alias("m"))
+            theta = [t + m for t, m in zip(theta, moved.first()["m"] or [])]
+    at = prefix_sums(log.select("step", F.posexplode("move").alias("dim", "move")), "step", "dim", "move", "theta", block)
+    norms = at.groupBy("step").agg(F.sum(F.col("theta") * F.col("theta")).alias("theta_norm_sq"))
+    grad_norm = F.aggregate("grad", F.lit(0.0), lambda a, g: a + g * g)
+    return log.select("epoch", "step", "n_pairs", "loss", "accuracy", "rate", grad_norm.alias("grad_norm_sq")).join(norms, "step")

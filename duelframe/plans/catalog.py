@@ -57,6 +57,7 @@ STRAGGLERS = 10                          # every tenth event comes with the seco
 BROKEN_LINES = 7                         # every seventh pair's line is cut off
 UNDERFLOW_EDGES = "32,64,96,128"
 LINEAR_STEPS, LINEAR_LR = 60, 50.0
+LINEAR_EPOCHS = 4                        # epochs of the linear fit in the step plan's mini-batches
 TEMPLATE = ChatTemplate()
 
 # Corpus membership of the bigram models (documents LEFT JOIN labels).
@@ -294,6 +295,21 @@ def q_nonpad_length(spark, d):
                      T.nonpad_len(F.col("prompt_tokens"), pad).cast("bigint").alias("prompt_nonpad_len"))
 
 
+def q_nonpad_length_padded(spark, d):
+    """T5 on rows that hold pad tokens: answers closed by the end token and filled up with the
+    pad token (P10: the end token) to the longest of their batch, as a batch stores them.  The
+    end token counts as padding too, since one token is both."""
+    sd = S.sides(S.extract(fx.pairs_indexed(spark, d)), TRAINER)
+    pad = F.coalesce(F.lit(PAD_TOKEN).cast("string"), F.lit(EOS_TOKEN))
+    sd = sd.withColumn("batch_id", (F.col("row_idx") / F.lit(AUDIT_BATCH)).cast("bigint"))
+    w = Window.partitionBy("batch_id", "side")   # a batch holds AUDIT_BATCH rows per side
+    sd = sd.withColumn("longest", F.max("answer_len").over(w))
+    ids = F.concat("answer_tokens", F.array(F.lit(EOS_TOKEN)), F.array_repeat(pad, (F.col("longest") - F.col("answer_len")).cast("int")))
+    return sd.select("pair_id", "side", "batch_id", ids.alias("ids")).select(
+        "pair_id", "side", "batch_id", F.size("ids").cast("bigint").alias("stored_len"),
+        T.nonpad_len(F.col("ids"), pad).cast("bigint").alias("nonpad_len"))
+
+
 # Lengths that go with the scores: name -> (column of a side, side)
 LENGTHS = {"len_prompt": ("prompt_len", "chosen"), "len_chosen": ("answer_len", "chosen"),
            "len_rejected": ("answer_len", "rejected")}
@@ -527,6 +543,13 @@ def q_linear_dpo_fit(spark, d):
         F.col("step").cast("bigint").alias("step"), "loss", "accuracy", (F.col("grad_norm_sq") * 1e6).alias("grad_norm_sq_e6"))
 
 
+def q_linear_dpo_epoch(spark, d):
+    """R3 by R1's steps and R2's rates."""
+    return TR.fit_linear_dpo_epochs(fx.feature_pairs(spark, d), CFG.beta, LINEAR_EPOCHS, LINEAR_LR, CFG.batch_size,
+                                    CFG.grad_accum, CFG.warmup_ratio).select(
+        "epoch", "step", "n_pairs", "loss", "accuracy", "rate", "grad_norm_sq", "theta_norm_sq")
+
+
 def q_metric_rollup(spark, d):
     r = TR.rollup_log(fx.metric_log(spark, d), LOG_EVERY)
     return r.select("run_id", "tag", "bin", "value", F.col("n").cast("bigint").alias("n"), "log_step", "first_step", "last_step")
@@ -657,6 +680,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "truncation_report_tight": _truncation(TIGHT),
     "truncation_report_rendered": _truncation(TRAINER, TEMPLATE),
     "nonpad_length": q_nonpad_length,
+    "nonpad_length_padded": q_nonpad_length_padded,
     "length_buckets_prompt": _bucket_query("prompt"),
     "length_buckets_chosen": _bucket_query("chosen"),
     "length_buckets_rejected": _bucket_query("rejected"),
@@ -693,6 +717,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "checkpoint_steps": q_checkpoint_steps,
     "linear_dpo_step0": q_linear_dpo_step0,
     "linear_dpo_fit": q_linear_dpo_fit,
+    "linear_dpo_epoch": q_linear_dpo_epoch,
     "metric_rollup": q_metric_rollup,
     "metric_smooth": q_metric_smooth,
     "metric_smooth_last": _smooth_last(SMOOTH_WEIGHT),

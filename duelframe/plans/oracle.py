@@ -6,10 +6,13 @@ Shared pieces are CTE fragments assembled per query.  Conventions: doubles round
 
 from __future__ import annotations
 
+import random
+
 from duelframe.operators import external as X
 from duelframe.plans import catalog as Q
 
 NL = "chr(10)"
+SAMPLE_WORDS = 1024           # generator outputs stated in the SQL of the seeded draw
 
 
 def tok(x: str) -> str:
@@ -444,6 +447,32 @@ WITH {F2}, sh AS (SELECT pair_id, last_turn, {shuffled(Q.SHUFFLE_SEED)} AS row_i
 SELECT CAST(row_idx AS BIGINT) AS row_idx, pair_id, CAST(last_turn + 1 AS BIGINT) AS n_msgs
 FROM sh WHERE row_idx < {Q.SHUFFLE_TAKE}"""
 
+    # the generator's 32-bit words of this seed, and how a draw without replacement reads them: a
+    # position below m takes the highest bits of the next word that spell a number below m.  Few rows:
+    # from a pool whose last entry fills the gap; many: again if drawn before.
+    words = random.Random(Q.SAMPLE_SEED)
+    words = ", ".join(str(words.getrandbits(32)) for _ in range(SAMPLE_WORDS))
+    q["sample_python_metrics"] = f"""
+WITH RECURSIVE {F2}, {F3}, {bigram()}, {PL},
+sz AS (SELECT n, k, n <= 21 + CASE WHEN k > 5 THEN CAST(pow(4, ceil(log2(k * 3) / 2)) AS BIGINT) ELSE 0 END AS pooled
+       FROM (SELECT count(*) AS n, least(count(*), {Q.SAMPLE_K}) AS k FROM f2i)),
+wd AS (SELECT CAST([{words}] AS BIGINT[]) AS word),
+dr(i, used, got, pool) AS (
+  SELECT 0, 0, CAST([] AS BIGINT[]), CASE WHEN pooled THEN range(n) ELSE CAST([] AS BIGINT[]) END FROM sz
+  UNION ALL
+  SELECT CASE WHEN ok THEN i + 1 ELSE i END, used + 1, CASE WHEN ok THEN list_append(got, CASE WHEN pooled THEN pool[j + 1] ELSE j END) ELSE got END,
+         CASE WHEN ok AND pooled THEN pool[:j] || [pool[m]] || pool[j + 2:] ELSE pool END
+  FROM (SELECT *, j < m AND (pooled OR NOT list_contains(got, j)) AS ok
+        FROM (SELECT *, word[used + 1] >> CAST(32 - length(bin(m)) AS INTEGER) AS j
+              FROM (SELECT dr.*, sz.pooled, sz.k, wd.word, CASE WHEN pooled THEN n - i ELSE n END AS m FROM dr, sz, wd
+                    WHERE i < k AND used < {SAMPLE_WORDS})))
+),
+drawn AS (SELECT unnest(got) AS row_idx, unnest(generate_series(0, len(got) - 1)) AS sample_pos FROM (SELECT got FROM dr ORDER BY used DESC LIMIT 1)),
+{metrics_cte('pl')}
+SELECT m.pair_id, CAST(sample_pos AS BIGINT) AS sample_pos, {r6('z')} AS z, {r6('loss')} AS loss, {r6('reward_chosen')} AS reward_chosen,
+       {r6('reward_rejected')} AS reward_rejected, {r6('reward_margin')} AS reward_margin, correct
+FROM drawn JOIN f2i USING (row_idx) JOIN m ON m.pair_id = f2i.pair_id"""
+
     q["sample_hash"] = f"""
 WITH ch AS (SELECT conv_id, count(*) AS n_msgs FROM conversations GROUP BY conv_id)
 SELECT conv_id, CAST({shuffled(Q.SAMPLE_SEED, key='conv_id')} AS BIGINT) AS sample_pos,
@@ -479,6 +508,14 @@ SELECT pair_id, side, CAST(row_idx // {Q.AUDIT_BATCH} AS BIGINT) AS batch_id,
        CAST(len(list_filter(p_tok, lambda x: x <> '{Q.EOS_TOKEN}')) AS BIGINT) AS prompt_nonpad_len
 FROM f3"""
 
+    # the longest answer and the end token, which is the pad token too
+    q["nonpad_length_padded"] = f"""
+WITH {F2}, {F3T}
+SELECT pair_id, side, CAST(row_idx // {Q.AUDIT_BATCH} AS BIGINT) AS batch_id,
+       CAST(max(answer_len) OVER (PARTITION BY row_idx // {Q.AUDIT_BATCH}, side) + 1 AS BIGINT) AS stored_len,
+       CAST(len(list_filter(a_tok, lambda x: x <> '{Q.EOS_TOKEN}')) AS BIGINT) AS nonpad_len
+FROM f3"""
+
     q["length_buckets_underflow"] = bucket_sql("prompt", True)
     for by in ("prompt", "chosen", "rejected", "pair_total"):
         q[f"length_buckets_{by}"] = bucket_sql(by)
@@ -756,6 +793,36 @@ x AS MATERIALIZED (
 {", ".join(chain)}
 {steps}"""
 
+    # an epoch's gradients by step at its first parameters, then the moves in order
+    chain = ["t0 AS (SELECT DISTINCT dim, CAST(0 AS DOUBLE) AS th FROM x)"]
+    for k in range(Q.LINEAR_EPOCHS):
+        chain.append(f"s{k} AS MATERIALIZED (SELECT pair_id, any_value(step) AS step, sum(x * th) AS s FROM x JOIN t{k} USING (dim) GROUP BY pair_id)")
+        chain.append(f"""g{k} AS MATERIALIZED (SELECT s{k}.step, dim, any_value(rate) AS rate, avg(-{Q.CFG.beta} / (1 + exp({Q.CFG.beta} * s)) * x) AS g
+  FROM x JOIN s{k} USING (pair_id) JOIN r ON r.epoch = {k} AND r.in_epoch = s{k}.step GROUP BY s{k}.step, dim)""")
+        chain.append(f"p{k} AS MATERIALIZED (SELECT step, dim, th - sum(rate * g) OVER (PARTITION BY dim ORDER BY step) AS th FROM g{k} JOIN t{k} USING (dim))")
+        chain.append(f"t{k + 1} AS MATERIALIZED (SELECT dim, th FROM p{k} WHERE step = (SELECT max(step) FROM p{k}))")
+    epochs = "\nUNION ALL\n".join(f"""
+SELECT CAST({k} AS BIGINT) AS epoch, CAST(max(r.step) AS BIGINT) AS step, CAST(count(*) AS BIGINT) AS n_pairs,
+       {r6(f"avg(-{logsig(f'{Q.CFG.beta} * s')})")} AS loss, {r6('avg(CASE WHEN s > 0 THEN 1.0 ELSE 0.0 END)')} AS accuracy,
+       {r6('max(r.rate)')} AS rate, {r6('max(gn)')} AS grad_norm_sq, {r6('max(tn)')} AS theta_norm_sq
+FROM s{k} JOIN r ON r.epoch = {k} AND r.in_epoch = s{k}.step
+JOIN (SELECT step, sum(g * g) AS gn FROM g{k} GROUP BY step) gk ON gk.step = s{k}.step
+JOIN (SELECT step, sum(th * th) AS tn FROM p{k} GROUP BY step) pk ON pk.step = s{k}.step GROUP BY s{k}.step""" for k in range(Q.LINEAR_EPOCHS))
+    per_step = Q.CFG.batch_size * Q.CFG.grad_accum
+    q["linear_dpo_epoch"] = f"""
+WITH {EMB},
+i AS (SELECT *, (row_number() OVER (ORDER BY pair_id) - 1) // {per_step} AS s, count(*) OVER () // {per_step} AS spe FROM fp),
+x AS MATERIALIZED (
+  SELECT pair_id, s + 1 AS step, unnest(generate_series(0, len(phi_chosen) - 1)) AS dim,
+         unnest(list_transform(generate_series(1, len(phi_chosen)), lambda i: phi_chosen[i] - phi_rejected[i])) AS x
+  FROM i WHERE s < spe),
+n AS (SELECT max(step) AS spe, {Q.LINEAR_EPOCHS} * max(step) AS total, ceil({Q.CFG.warmup_ratio} * {Q.LINEAR_EPOCHS} * max(step)) AS warm FROM x),
+z AS (SELECT *, unnest(generate_series(0, total - 1)) AS step_idx FROM n),
+r AS MATERIALIZED (SELECT step_idx // spe AS epoch, step_idx % spe + 1 AS in_epoch, step_idx + 1 AS step,
+     {Q.LINEAR_LR} * {rate} / spe AS rate FROM z),
+{", ".join(chain)}
+{epochs}"""
+
     q["metric_rollup"] = f"""
 WITH {F8}
 SELECT run_id, tag, CAST(bin AS BIGINT) AS bin, {r6('value')} AS value, CAST(n AS BIGINT) AS n,

@@ -210,6 +210,67 @@ def test_linear_fit_loss_falls(spark):
     assert abs(losses[59] - 0.649105) < 1e-6 and losses[60] < losses[59]
 
 
+def _linear_pairs(spark, n, dim=3, seed=5):
+    import random
+    rng = random.Random(seed)
+    rows = [(3 * i + 1, [rng.gauss(0.3, 1) for _ in range(dim)], [rng.gauss(0, 1) for _ in range(dim)]) for i in range(n)]
+    df = spark.createDataFrame(rows, "pair_id long, phi_chosen array<double>, phi_rejected array<double>")
+    return rows, df.orderBy(F.rand(1)).repartition(5)
+
+
+def test_linear_epochs_match_a_loop(spark):
+    """Steps in pair_id order, the partial one dropped, gradients of an epoch at its first theta,
+    warm-up and cosine rates; blocks of 4 steps, so that running sums are carried on."""
+    epochs, per, lr, beta, warmup = 3, 6, 4.0, 0.5, 0.2
+    rows, df = _linear_pairs(spark, 100)
+    got = sorted(TR.fit_linear_dpo_epochs(df, beta, epochs, lr, 2, 3, warmup, block=4).collect(), key=lambda r: r.step)
+    spe = 100 // per
+    warm = math.ceil(warmup * spe * epochs)
+    assert [r.step for r in got] == list(range(1, spe * epochs + 1))
+    theta = [0.0] * 3
+    for e in range(epochs):
+        start = list(theta)
+        for k in range(spe):
+            step = e * spe + k
+            batch = [[a - b for a, b in zip(c, r)] for _, c, r in rows[per * k:per * (k + 1)]]
+            s = [sum(t * x for t, x in zip(start, d)) for d in batch]
+            grad = [sum(-beta / (1 + math.exp(beta * si)) * d[j] for si, d in zip(s, batch)) / per for j in range(3)]
+            factor = step / warm if step < warm else 0.5 * (1 + math.cos(math.pi * (step - warm) / (spe * epochs - warm)))
+            theta = [t - lr * factor / spe * g for t, g in zip(theta, grad)]
+            r = got[step]
+            assert r.epoch == e and r.n_pairs == per
+            assert abs(r.loss - sum(math.log1p(math.exp(-beta * si)) for si in s) / per) < 1e-12
+            assert abs(r.accuracy - sum(si > 0 for si in s) / per) < 1e-12
+            assert abs(r.rate - lr * factor / spe) < 1e-12
+            assert abs(r.grad_norm_sq - sum(g * g for g in grad)) < 1e-12
+            assert abs(r.theta_norm_sq - sum(t * t for t in theta)) < 1e-9
+    mean = [sum(r.loss for r in got if r.epoch == e) / spe for e in range(epochs)]
+    assert abs(mean[0] - math.log(2)) < 1e-12 and mean[2] < mean[1] < mean[0]
+
+
+def test_linear_epochs_odd_tables(spark):
+    _, df = _linear_pairs(spark, 7)
+    assert TR.fit_linear_dpo_epochs(df, epochs=2).count() == 0             # no full step
+    assert TR.fit_linear_dpo_epochs(df.limit(0), epochs=2).count() == 0
+    with pytest.raises(ValueError, match="identify"):
+        TR.fit_linear_dpo_epochs(df.union(df))
+
+
+def test_linear_epochs_jobs_do_not_grow_with_rows(spark):
+    sc = spark.sparkContext
+    jobs = []
+    for n in (80, 1600):
+        _, df = _linear_pairs(spark, n)
+        sc.setJobGroup(f"epochs-{n}", "fit")
+        try:
+            log = TR.fit_linear_dpo_epochs(df, epochs=2)
+        finally:
+            sc.setLocalProperty("spark.jobGroup.id", None)
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"epochs-{n}")))
+        assert log.count() == 2 * n // 8
+    assert jobs[0] == jobs[1] > 0
+
+
 def test_f5_expected_values(spark):
     import __spark_entry__ as E
     pl = E.queries()["pair_logps"](spark, SF01)

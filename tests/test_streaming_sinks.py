@@ -255,7 +255,7 @@ def test_driver_contract(spark):
     qs, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(qs)
     own = {k for k in set(qs) - set(sql) if k != "pipeline" and not re.match(r"op\d+_", k)}
-    assert own == {"sample_python_metrics"}            # Python's generator draws its rows
+    assert not own                                     # every core query has SQL
 
 
 def test_load_pairs_split_filter_reaches_scan(spark, tmp_dir):
