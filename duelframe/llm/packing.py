@@ -14,8 +14,9 @@ only moves up with the length: each row of the program takes n log n steps.
 
 A bucket may hold any share of all rows, so its rows are dealt by a hash of the id into
 groups of about ``GROUP_ROWS`` that are batched independently; each group has at most one
-batch that is not full.  If one id alone has more rows than a group, the rows' places in the
-input are hashed with the ids.
+batch that is not full.  Rows without an id, and the rows of an id that alone has more rows than
+a group, are dealt by their place in the table as written (see ``pack``); the groups of all other
+rows depend on their ids only.
 
 Defined results: null and empty texts have length 0 and are packed like others.  Documents
 of equal length and id are ordered arbitrarily, their columns are equal either way.  Empty
@@ -29,6 +30,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from duelframe.session import materialize
+
 BUCKETS = 16
 TOKEN_BUDGET = 16_384
 EXACT = 1 << 16
@@ -105,10 +108,14 @@ def optimal_edges(lengths: np.ndarray, counts: np.ndarray, sums: np.ndarray, buc
 def pack(docs: DataFrame, length: Column, id_col: str = "doc_id", buckets: int = BUCKETS,
          budget: int = TOKEN_BUDGET, group_rows: int = GROUP_ROWS) -> DataFrame:
     """``docs`` with length, bucket and its boundary, padding, and the place in a batch:
-    batch ``(bucket, part, batch)`` holds slots 0, 1, ..."""
+    batch ``(bucket, part, batch)`` holds slots 0, 1, ...
+
+    The rows are written once with their lengths and places: each text is counted once, and a
+    place stays the same if an executor is lost.  Callers select the columns that they carry."""
     taken = {n.lower() for n in RESULT}
     rest = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken]
-    rows = docs.select(*rest, F.coalesce(length.cast("long"), F.lit(0)).alias("n_tokens"))
+    rows = materialize(docs.select(*rest, F.coalesce(length.cast("long"), F.lit(0)).alias("n_tokens"),
+                                   F.monotonically_increasing_id().alias("_llm_place")), "packing-rows")
     hist = (rows.groupBy("n_tokens").agg(F.count("*").alias("c"))
             .groupBy(_entry(F.col("n_tokens")).alias("e"))
             .agg(F.max("n_tokens").alias("top"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("n_tokens")).alias("s"))
@@ -123,16 +130,17 @@ def pack(docs: DataFrame, length: Column, id_col: str = "doc_id", buckets: int =
 
     n = F.col("n_tokens")
     bucket = sum((F.when(n > e, 1).otherwise(0) for e in edges[:-1]), F.lit(0))
-    place = F.monotonically_increasing_id().cast("string")
-    spread = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), place))
-    ids = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col)).agg(F.count("*").alias("_n"))
-    if ids.where(F.col("_n") > group_rows).first() is not None:
-        spread = F.xxhash64(F.col(id_col).cast("string"), place)
+    ids = rows.groupBy(F.col(f"`{id_col}`").alias("_llm_id")).agg(F.count("*").alias("_llm_n"))
+    heavy = ids.where(F.col("_llm_n") > group_rows)        # at most one of group_rows rows
+    rows = rows.join(heavy, F.col(f"`{id_col}`") == F.col("_llm_id"), "left")
+    by_place = F.col(f"`{id_col}`").isNull() | F.col("_llm_id").isNotNull()
+    spread = F.xxhash64(F.when(by_place, F.concat_ws(":", F.lit("place"), F.col("_llm_place").cast("string")))
+                        .otherwise(F.col(f"`{id_col}`").cast("string")))
     rows = (rows.withColumn("bucket", bucket.cast("int"))
             .withColumn("edge", pick(edges).cast("long"))
             .withColumn("padding", F.col("edge") - n)
             .withColumn("part", F.pmod(spread, pick(parts).cast("long")).cast("int")))
-    order = Window.partitionBy("bucket", "part").orderBy("n_tokens", id_col)
+    order = Window.partitionBy("bucket", "part").orderBy("n_tokens", F.col(f"`{id_col}`"), "_llm_place")
     at = F.row_number().over(order) - 1
     return (rows.withColumn("_at", at)
             .withColumn("batch", F.floor(F.col("_at") / pick(fit)).cast("int"))

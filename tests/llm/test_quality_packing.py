@@ -166,6 +166,22 @@ def test_long_lengths_share_bounded_entries(llm):
     assert all(got[i] == i for i in range(1025)) and all(i <= got[i] <= i * (1 + 1 / 64) for i in n)
 
 
+def test_packing_heavy_id_leaves_others_alone(llm):
+    """An id with more rows than a group is dealt by place; no other row's group changes."""
+    once = llm.createDataFrame([(i, 3) for i in range(300)], "doc_id long, n long")
+    many = llm.createDataFrame([(1000, 3)] * 300, "doc_id long, n long")
+    both = P.pack(once.union(many).repartition(3), F.col("n"), group_rows=100).collect()
+    own = {r.doc_id: r.part for r in P.pack(once.union(llm.range(2000, 2300).selectExpr("id", "3 as n")), F.col("n"),
+                                            group_rows=100).collect()}
+    assert all(own[r.doc_id] == r.part for r in both if r.doc_id < 300)
+    held = Counter(r.part for r in both if r.doc_id == 1000)
+    assert len(held) == 6 and max(held.values()) < 100
+    assert len({(r.bucket, r.part, r.batch, r.slot) for r in both}) == 600
+    # the places are those of the written table: reading the result again gives the same batches
+    df = P.pack(once.union(many), F.col("n"), group_rows=100)
+    assert sorted(df.collect()) == sorted(df.collect())
+
+
 def test_packing_odd_rows(odd, empty):
     got = P.pack(odd, P.word_count(F.col("text")))
     rows = got.collect()
