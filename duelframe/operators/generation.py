@@ -39,6 +39,24 @@ def next_word_table(model: BigramModel, model_ids: Sequence[str] | None = None)
     return best.select("prev", longf).where(F.col("next_word").isNotNull()).select("model_id", "prev", "next_word")
 
 
+# A pass over the map that leaves more than this share of its words is the last one, as is the eighth.
+WORTHWHILE, PASSES = 0.5, 8
+
+
+def _walked(on: DataFrame, starts: DataFrame) -> DataFrame:
+    """The map (model_id, word, there) without words that no walk comes to: a walk is at a start or at
+    a word that follows another one of the map.  Most words of a corpus follow none as its likeliest next
+    word, so a pass leaves a fraction; each pass looks only at the words that the last one left."""
+    n = on.count()
+    for _ in range(PASSES):
+        keep = starts.unionByName(on.select("model_id", F.col("there").alias("word"))).distinct()
+        on = materialize(on.join(keep, on=["model_id", "word"], how="left_semi"), "greedy-map")
+        before, n = n, on.count()
+        if n > WORTHWHILE * before:
+            break
+    return on
+
+
 def greedy_extend(seeds: DataFrame, next_table: DataFrame, max_new: int) -> DataFrame:
     """Up to ``max_new`` greedy steps from each seed word.
 
@@ -52,6 +70,7 @@ def greedy_extend(seeds: DataFrame, next_table: DataFrame, max_new: int) -> Data
     walk = materialize(seeds.select("model_id", F.col("word").alias("start")).distinct()
                        .select("model_id", "start", F.lit(0).alias("step"), F.col("start").alias("word")), "greedy-walk")
     on = materialize(next_table.select("model_id", F.col("prev").alias("word"), F.col("next_word").alias("there")), "greedy-map")
+    on = _walked(on, walk.select("model_id", F.col("start").alias("word")))
     length, last = 1, int(max_new)
     while length <= last:
         more = (walk.where(F.col("step") + length <= last).join(on, on=["model_id", "word"])
@@ -73,3 +92,16 @@ def continuation_text(walk: DataFrame) -> DataFrame:
     g = walk.where(F.col("step") > 0).groupBy("prompt_id", "model_id").agg(
         F.sort_array(F.collect_list(F.struct("step", "word"))).alias("_w"))
     return g.select("prompt_id", "model_id", F.array_join(F.col("_w.word"), " ").alias("continuation"))
+
+
+def continuations(seeds: DataFrame, next_table: DataFrame, max_new: int) -> DataFrame:
+    """G2 as text: ``continuation_text`` of ``greedy_extend`` per (prompt_id, model_id).
+
+    A continuation is a function of the model and the prompt's last word (words, if a prompt_id has
+    several rows), so each one is walked and joined once and then goes to all its prompts."""
+    ends = (seeds.where(F.col("prompt_id").isNotNull()).groupBy("prompt_id", "model_id")
+            .agg(F.sort_array(F.collect_list("word")).alias("ends")))
+    each = ends.select(F.col("ends").alias("prompt_id"), "model_id").distinct()
+    walk = greedy_extend(each.select("prompt_id", "model_id", F.explode("prompt_id").alias("word")), next_table, max_new)
+    text = continuation_text(walk).withColumnRenamed("prompt_id", "ends")
+    return ends.join(text, on=["ends", "model_id"], how="inner").select("prompt_id", "model_id", "continuation")

@@ -111,7 +111,9 @@ def _model(spark, d, ids=("ref", "policy"), whole=False):
     saved = spark.conf.get(MODELS_CONF, None)
     if saved:
         return SC.BigramModel.load(spark, saved)
-    return fit_models(spark, d, ids) if whole else SC.CorpusModels(tuple(ids), _labelled(spark, d), {m: MODEL_FILTERS[m]() for m in ids})
+    models = {m: MODEL_FILTERS[m]() for m in ids}
+    # a walk reads the bigram counts once: they are not written first
+    return SC.fit_bigram(_labelled(spark, d), models, write_counts=False) if whole else SC.CorpusModels(tuple(ids), _labelled(spark, d), models)
 
 
 def _labelled(spark, d, partitions=None):
@@ -481,8 +483,7 @@ def q_generation_report(spark, d):
     m = _model(spark, d, tuple(ids), whole=True)
     prompts = _turn0_seeds(spark, d)
     seeds = G.prompt_grid(prompts, ids)
-    walk = G.greedy_extend(seeds, G.next_word_table(m, ids), GREEDY_STEPS)
-    cont = G.continuation_text(walk)
+    cont = G.continuations(seeds, G.next_word_table(m, ids), GREEDY_STEPS)
     full = seeds.join(cont, on=["prompt_id", "model_id"], how="left").withColumn(
         "generated", F.concat_ws(" ", F.col("prompt"), F.col("continuation")))
     ans, _ = T.answer_after_prompt(F.col("generated"), F.col("prompt"))
