@@ -214,20 +214,15 @@ def token_multiset(side_rows: DataFrame, carry: Sequence[str] = (), mask_token:
     """L2/L3 as a multiset: one row per distinct (prev, w) of a side's answer and ``n``, how often it
     occurs there.  ``mask_token`` drops positions that hold it (it still is a predecessor).
 
-    Counted inside the row, by runs of the sorted bigrams, so no repeated token row is ever
-    shuffled.  Sides without a scored token keep one row with a NULL word."""
+    Counted by a partial aggregate before the shuffle, so repeated tokens of a side meet in their
+    task.  Sides without a scored token keep one row with a NULL word and ``n`` 0."""
     t = F.col("answer_tokens")
     prev = F.concat(F.array(F.coalesce("context0", F.lit(NO_CONTEXT))), F.slice(t, F.lit(1), F.greatest(F.size(t) - 1, F.lit(0))))
     scored = F.filter(F.arrays_zip(prev, t).cast("array<struct<prev:string,w:string>>"),
                       lambda x: x["w"].isNotNull() if mask_token is None else x["w"].isNotNull() & (x["w"] != F.lit(mask_token)))
-    rows = side_rows.select("pair_id", "side", *carry, F.sort_array(scored).alias("_z"))
-    at = F.when(F.size("_z") > 0, F.filter(F.sequence(F.lit(0), F.size("_z") - 1),
-                                           lambda i: (i == 0) | (F.col("_z")[i] != F.col("_z")[F.greatest(i - 1, F.lit(0))])))
-    rows = rows.withColumn("_at", at)
-    runs = F.transform("_at", lambda i, k: F.struct(
-        F.col("_z")[i]["prev"].alias("prev"), F.col("_z")[i]["w"].alias("w"),
-        (F.coalesce(F.get("_at", k + 1), F.size("_z")) - i).cast("long").alias("n")))
-    return rows.select("pair_id", "side", *carry, F.inline_outer(runs))
+    by = list(dict.fromkeys(["pair_id", "side", *carry, "prev", "w"]))
+    return (side_rows.select("pair_id", "side", *carry, F.inline_outer(scored))
+            .groupBy(*by).agg(F.count("w").alias("n")))
 
 
 # A word with more than HEAVY_KEYS distinct successors (or predecessors) among the keys, and more than
@@ -315,7 +310,8 @@ def sequence_logps_wide(side_rows: DataFrame, model: BigramModel | CorpusModels,
     # never match a key.
     if empty not in ("null", "nan"):
         raise ValueError("empty must be 'null' or 'nan'")
-    toks = token_multiset(side_rows, carry, mask_token)
+    # The texts behind the sides are grouped, cut and counted once: keys and join back read the table.
+    toks = materialize(token_multiset(side_rows, carry, mask_token), "side-tokens")
     lp = key_logps(toks.where("w IS NOT NULL").select("prev", "w").distinct(), model, ids)
     joined = toks.join(lp, on=["prev", "w"], how="left").select("pair_id", "side", *carry, "n", *[f"lp_{m}" for m in ids])
     agg = joined.groupBy("pair_id", "side").agg(

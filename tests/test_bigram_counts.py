@@ -3,9 +3,11 @@
 from collections import Counter
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from duelframe.operators import bigram_counts as BC
 from duelframe.operators import generation as G
+from duelframe.operators import scoring as SC
 
 TEXTS = ["the cat sat on the mat the cat", None, "", " \t\r\n", "solo", " the\x0bcat\x0csat\n", "a b a b c", "ein Wört Wört Wört", "x\x1cy x\x1cy"]
 
@@ -43,6 +45,17 @@ def test_pieces_hold_every_row_once():
     assert [t for p in pieces for t in p.column("text").to_pylist()] == texts and len(pieces) > 10
 
 
+def test_sides_are_cut_and_counted_once(spark):
+    docs = spark.createDataFrame([("a b c a b",), ("b a",)], "text string")
+    sides = spark.createDataFrame([(1, "chosen", None, ["a", "b"]), (1, "rejected", "a", []), (None, "chosen", "a", ["b"])],
+                                  "pair_id long, side string, context0 string, answer_tokens array<string>")
+    df = SC.sequence_logps_wide(sides, SC.CorpusModels(("m",), docs, {"m": F.lit(True)}))
+    assert "Generate" not in df._jdf.queryExecution().executedPlan().toString()     # read from the written table
+    assert sorted((r.pair_id or 0, r.side, r.n_tokens) for r in df.collect()) == [(0, "chosen", 1), (1, "chosen", 2), (1, "rejected", 0)]
+    none = SC.sequence_logps_wide(sides.where("pair_id = 5"), SC.CorpusModels(("m",), docs, {"m": F.lit(True)}))
+    assert none.collect() == []
+
+
 def test_continuations_are_walked_once_for_each_last_word(spark, monkeypatch):
     """One walk for all prompts that end alike; several rows and null ids as by a walk for each prompt."""
     table = spark.createDataFrame([("m", f"w{i}", f"w{i * 7 % 40}") for i in range(1, 300)], "model_id string, prev string, next_word string")
