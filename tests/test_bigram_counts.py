@@ -1,7 +1,9 @@
 """Counts combined inside a task, the key map there, sides cut once, and walks over the reached words."""
 
+import random
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -45,6 +47,25 @@ def test_pieces_hold_every_row_once():
     assert [t for p in pieces for t in p.column("text").to_pylist()] == texts and len(pieces) > 10
 
 
+def test_tasks_give_the_scored_bigrams_only(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["w%d" % i for i in range(300)]) for _ in range(200)) for _ in range(60)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    keys = spark.createDataFrame([("w1", "w2"), ("w7", "w7"), ("none", "w3"), ("", "w4")], "prev string, w string")
+    every = BC.bigram_rows(docs, {"m": F.lit(True)})
+    told = BC.bigram_rows(docs, {"m": F.lit(True)}, bits=SC.key_bits(keys))
+
+    def summed(df):
+        return {(r.prev, r.w): (r.c, r.x) for r in df.groupBy("prev", "w").agg(F.sum("c_m").alias("c"), F.sum("x_m").alias("x")).collect()}
+
+    whole, some = summed(every), summed(told)
+    assert some == {k: v for k, v in whole.items() if k in some} and len(some) < 320 < len(whole)
+    assert set(some) >= {k for k in whole if k[0] is None} | {k for k in (("w1", "w2"), ("w7", "w7")) if k in whole}
+    passed = SC.may_be_key(every.select("prev", "w"), SC.key_map(keys)).distinct().collect()
+    assert {(r.prev, r.w) for r in passed} == set(some)    # the map gives the same answer on Spark's rows
+    assert not SC.key_bits(keys.limit(0)).any() and np.unpackbits(SC.key_bits(keys).view(np.uint8)).sum() == 4
+
+
 def test_sides_are_cut_and_counted_once(spark):
     docs = spark.createDataFrame([("a b c a b",), ("b a",)], "text string")
     sides = spark.createDataFrame([(1, "chosen", None, ["a", "b"]), (1, "rejected", "a", []), (None, "chosen", "a", ["b"])],
